@@ -4,14 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import mixing
+from larkspur.llm import lm_scoring, mixing, packing, quality
 from larkspur.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.pareto_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_pareto_mixing": op1_pareto_mixing}
-ORACLE_SQL = {"op1_pareto_mixing": mixing.ORACLE}
+def op4_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op5_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_pareto_mixing": op1_pareto_mixing,
+    "op4_differencing_packing": op4_differencing_packing,
+    "op5_lattice_likelihood": op5_lattice_likelihood,
+    "op6_line_frequency": op6_line_frequency,
+}
+ORACLE_SQL = {"op1_pareto_mixing": mixing.ORACLE, "op6_line_frequency": quality.ORACLE}
