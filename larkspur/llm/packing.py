@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import scratch
 
-#: Tokens of a window, id that ends a document, windows that one group is packed into, words whose ids a task keeps.
-WINDOW, END_ID, GROUP_WINDOWS, CACHE_WORDS, CACHE_WORD_BYTES = 4096, 2, 128, 400_000, 48
+#: Tokens of a window; of a piece of what is left of a document beside whole windows (smaller pieces balance better); id that
+#: ends a document; windows that one group is packed into; words whose ids a task keeps.
+WINDOW, REST, END_ID, GROUP_WINDOWS, CACHE_WORDS, CACHE_WORD_BYTES = 4096, 512, 2, 128, 400_000, 48
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -40,8 +41,8 @@ class WordIds(dict):
         return packed
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
-    """Documents (doc_id, text) as pieces of at most ``window`` ids, in order and without gaps; a null text is empty.
+def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, rest: int = REST, keep_ids: bool = False) -> DataFrame:
+    """Documents (doc_id, text) as pieces in order and without gaps: whole windows, then ``rest`` ids at most; a null text is empty.
 
     ``salt`` numbers the documents of a task. With ``keep_ids`` the ids themselves come along.
     """
@@ -55,8 +56,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, kee
                 words = (text.as_py() or "").encode().split()
                 ids = memoryview(b"".join(map(cache.__getitem__, words)) + end)
                 n = len(ids) // 4
-                for start in range(0, n, window):
-                    part = ids[start * 4 : (start + window) * 4]
+                whole = n - n % window
+                for start in [*range(0, whole, window), *range(whole, n, rest)]:
+                    part = ids[start * 4 : min(start + (window if start < whole else rest), n) * 4]
                     row = (doc_id, start, len(part) // 4, zlib.crc32(part), n, salt)
                     rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if keep_ids else row)
                 if len(rows) >= 20_000:
@@ -136,10 +138,10 @@ def pack(pieces: DataFrame, window: int = WINDOW, group_windows: int = GROUP_WIN
     return keyed.groupBy("grp").applyInArrow(place, ", ".join([PIECE.replace(", salt long", ""), *more, "sequence_id long", "offset long"]))
 
 
-def packed_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
+def packed_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, rest: int = REST, keep_ids: bool = False) -> DataFrame:
     """Pieces of every document (doc_id, text) with their windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is its end token alone. Rows that share a doc_id are documents of their own. Documents longer than
-    a window are cut at its multiples. Other columns are not read; an empty table gives no pieces.
+    A null or empty text is its end token alone. Rows that share a doc_id are documents of their own. Documents are cut at
+    multiples of a window, and what is left at multiples of ``rest``. Other columns are not read; an empty table gives no pieces.
     """
-    return pack(scratch(token_pieces(docs, tokenizer_path, window, keep_ids)), window)
+    return pack(scratch(token_pieces(docs, tokenizer_path, window, rest, keep_ids)), window)

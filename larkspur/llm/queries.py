@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import lm_scoring, mixing, packing, quality
+from larkspur.llm import lm_scoring, mixing, near_dup, packing, quality
 from larkspur.llm.common import table
 
 
@@ -31,10 +31,15 @@ def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op4_differencing_packing": op4_differencing_packing,
     "op5_lattice_likelihood": op5_lattice_likelihood,
     "op6_line_frequency": op6_line_frequency,
+    "op8_bottom_k_near_dedup": op8_bottom_k_near_dedup,
 }
 ORACLE_SQL = {"op1_pareto_mixing": mixing.ORACLE, "op6_line_frequency": quality.ORACLE}
