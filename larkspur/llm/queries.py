@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm import lm_scoring, mixing, near_dup, packing, quality
+from larkspur.llm import lm_scoring, mixing, near_dup, packing, quality, topk_search
 from larkspur.llm.common import table
 
 
@@ -35,11 +36,16 @@ def op8_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op4_differencing_packing": op4_differencing_packing,
     "op5_lattice_likelihood": op5_lattice_likelihood,
     "op6_line_frequency": op6_line_frequency,
     "op8_bottom_k_near_dedup": op8_bottom_k_near_dedup,
+    "op3_dual_tree_search": op3_dual_tree_search,
 }
-ORACLE_SQL = {"op1_pareto_mixing": mixing.ORACLE, "op6_line_frequency": quality.ORACLE}
+ORACLE_SQL = {"op1_pareto_mixing": mixing.ORACLE, "op6_line_frequency": quality.ORACLE, "op3_dual_tree_search": topk_search.ORACLE}
