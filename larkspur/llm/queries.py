@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import lm_scoring, mixing, near_dup, packing, quality, topk_search
+from larkspur.llm import chunk_dedup, licenses, line_templates, lm_scoring, mixing, near_dup, packing, quality, topk_search
 from larkspur.llm.common import table
 
 
@@ -40,6 +40,18 @@ def op3_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(table(spark, sf_dir, "documents"))
+
+
+def op7_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def op9_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op4_differencing_packing": op4_differencing_packing,
@@ -47,5 +59,8 @@ QUERIES = {
     "op6_line_frequency": op6_line_frequency,
     "op8_bottom_k_near_dedup": op8_bottom_k_near_dedup,
     "op3_dual_tree_search": op3_dual_tree_search,
+    "op2_line_templates": op2_line_templates,
+    "op7_gear_chunks": op7_gear_chunks,
+    "op9_patience_licenses": op9_patience_licenses,
 }
 ORACLE_SQL = {"op1_pareto_mixing": mixing.ORACLE, "op6_line_frequency": quality.ORACLE, "op3_dual_tree_search": topk_search.ORACLE}
