@@ -1,11 +1,60 @@
-"""Corpus pipeline: documents -> stages of larkspur.llm, each written and read again by the caller."""
+"""Corpus pipeline: documents -> quality rules -> line dedup -> near dedup -> mix of sources -> token windows."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm import line_templates, mixing, near_dup, packing, quality
+from larkspur.llm.common import scratch
+from larkspur.llm.queries import tokenizer
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars as the text now has them."""
+    return docs.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without the lines that too many documents of their host have."""
+    return _measured(quality.clean_documents(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose template recurs across documents."""
+    return _measured(line_templates.deduplicated(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dup.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in token windows."""
+    return packing.packed_documents(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("source mix", mix_sources),
+    ("packing", pack_windows),
+]
+#: Line templates, sketches and token windows are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch(docs)
     return docs

@@ -215,3 +215,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("doc_id", "n_shingles", alone.alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """docs with all columns, one row of each component: that of the smallest doc_id (null last, then the first row).
+
+    Rows are told apart by a number of their own, so repeated rows are copies like any others. Documents without words stay.
+    """
+    rows = scratch(docs.withColumn("_row_number", F.monotonically_increasing_id()))
+    found = near_duplicates(rows.select(F.col("_row_number").alias("doc_id"), "text"), percent)
+    named = scratch(found.where("doc_id <> component_id OR n_shingles > 0").select(F.col("doc_id").alias("_row_number"), "component_id"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row_number")
+    best = named.join(rows.select("_row_number", "doc_id").hint("merge"), "_row_number").groupBy("component_id").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n"))
+    # Only groups of two or more lose rows.
+    many = scratch(best.where("n > 1").select("component_id", F.col("best._row_number").alias("stays")))
+    gone = scratch(join_checked(named, many, "component_id").where("_row_number <> stays").select("_row_number"))
+    return join_checked(rows, gone, "_row_number", "left_anti").drop("_row_number")

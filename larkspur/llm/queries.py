@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chunk_dedup, licenses, line_templates, lm_scoring, mixing, near_dup, packing, quality, topk_search
+from larkspur.llm import chunk_dedup, licenses, line_templates, lm_scoring, mixing, near_dup, packing, pii, quality, topk_search
 from larkspur.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op4_differencing_packing": op4_differencing_packing,
@@ -62,5 +66,6 @@ QUERIES = {
     "op2_line_templates": op2_line_templates,
     "op7_gear_chunks": op7_gear_chunks,
     "op9_patience_licenses": op9_patience_licenses,
+    "op10_weak_supervision_pii": op10_weak_supervision_pii,
 }
 ORACLE_SQL = {"op1_pareto_mixing": mixing.ORACLE, "op6_line_frequency": quality.ORACLE, "op3_dual_tree_search": topk_search.ORACLE}
