@@ -101,5 +101,5 @@ def beijing_minute(iso: Column) -> Column:
 def business_reason(reason: Column, finding_ids: Column, evidence_ids: Column) -> Column:
     """What follows the audit prefix of a reason, else a fixed sentence."""
     prefix = F.concat(F.array_join(finding_ids, "、"), F.lit("｜"), F.array_join(evidence_ids, "、"), F.lit("："))
-    tail = F.substring_index(reason, prefix, -1)
+    tail = F.call_function("substring_index", reason, prefix, F.lit(-1))
     return F.when(F.contains(reason, prefix), tail).otherwise("具体依据已收纳在审计证据中。")

@@ -16,7 +16,7 @@ def _hit(rows: DataFrame, code: str, object_id) -> DataFrame:
 
 def repeated(rows: DataFrame, key: str, code: str) -> DataFrame:
     """Keys that occur more than once."""
-    return _hit(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), code, key)
+    return _hit(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_times")).where("_times > 1"), code, key)
 
 
 def unknown(rows: DataFrame, known: DataFrame, on: list[str], code: str, object_id) -> DataFrame:
