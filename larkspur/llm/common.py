@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.plans.spill import scratch_path
+
 #: A word: what stands between the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
@@ -30,18 +29,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which all executors share; a temporary folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
-
-
 def scratch(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, so a lost executor costs one read."""
-    path = scratch_dir(df.sparkSession)
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

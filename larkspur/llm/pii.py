@@ -203,7 +203,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     rows = every.join(added.hint("merge"), "rid", "left")
     base = F.array_sort(F.transform(F.filter("found", lambda s: s["base"]), short))
     rows = rows.select("doc_id", base.alias("base"), F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("added"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = [F.size(F.filter(kinds, lambda x: x == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]  # noqa: B023
     return rows.select(
         "doc_id", *count, F.sha2(written(F.col("base")), 256).alias("base_sha256"),
         written(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
