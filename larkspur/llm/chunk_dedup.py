@@ -15,7 +15,7 @@ from larkspur.llm.common import join_checked, scratch
 
 #: Bytes that the rolling hash sees; a boundary is where its low MASK_BITS bits are 0; least and most bytes of a chunk; least
 #: bytes of a run of repeated chunks that counts as a repeated passage.
-SEEN, MASK_BITS, LEAST, MOST, RUN = 16, 5, 16, 128, 180
+SEEN, MASK_BITS, LEAST, MOST, RUN = 16, 4, 16, 128, 120
 
 
 def gear_table(seed: int = 1) -> np.ndarray:
