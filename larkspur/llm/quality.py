@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import BLANKS, ascii_lower, join_checked, scratch, word_count
 
 SYMBOLS = "#*$%&|<>"
+#: Letters that a word has at least to tell a text from others.
+LONG_WORD = 6
 #: A document fails with fewer words, or with a larger percentage of words in repeated 3-word windows. A line goes if more
 #: documents of its host have it; a document that keeps a smaller percentage of its words is depleted.
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LINE_DOCS, MIN_LEFT_PERCENT = 50, 50, 10, 50
@@ -50,7 +52,8 @@ def repeat_words(df: DataFrame) -> DataFrame:
 def figures(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """One row per row of docs with its figures, its lines as (key, words) and ``copy_key``, written to the shared folder.
 
-    Copies of a text, exact or with a few changes, share ``copy_key``: the longest word, the last by code point of several.
+    Copies of a text, exact or with a few changes, mostly share ``copy_key``: the smallest and the largest digest of their longer
+    words, read forwards and backwards. Texts that share some lines and differ in others mostly do not.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_text else F.lit(True).alias("row")
@@ -58,7 +61,9 @@ def figures(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     df = df.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.trim(F.translate(x, BLANKS, " " * 6)) != ""))
     df = repeat_words(df)
     keyed = F.transform("_lines", lambda x: F.struct(line_key(F.col("source"), normal_line(x)).alias("key"), word_count(x).alias("words")))
-    longest = F.array_max(F.transform("_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    df = df.withColumn("_digests", F.transform(F.filter("_words", lambda w: F.length(w) >= LONG_WORD), lambda w: F.md5(w)))
+    df = df.withColumn("_reversed", F.transform("_digests", lambda w: F.reverse(w)))
+    copy_key = F.when(F.size("_digests") == 0, F.md5("_text")).otherwise(F.concat(F.array_min("_digests"), F.array_max("_digests"), F.array_min("_reversed"), F.array_max("_reversed")))
     out = df.select(
         *(["row"] if keep_text else []),
         F.monotonically_increasing_id().alias("rid"),
@@ -68,17 +73,23 @@ def figures(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.xxhash64(longest["w"]).alias("copy_key"),
+        F.xxhash64(copy_key).alias("copy_key"),
         keyed.alias("lines"),
     )
     return scratch(out)
 
 
 def frequent_lines(rated: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
-    """Keys of lines that more than ``max_line_docs`` documents of a host have; copies of one text count once."""
+    """Keys of lines that more than ``max_line_docs`` documents of a host have, copies of one text counted once.
+
+    Where a line's documents are mostly copies of each other (fewer copy keys than half of them), it is their text and no
+    frequent line, however many copies there are.
+    """
     lines = rated.select("copy_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
-    # Each line of each text once, then documents per line: a line that all documents have is added up before it is moved.
-    return scratch(lines.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_line_docs))
+    # Each line of each text first, then documents per line: a line that all documents have is added up before it is moved.
+    per_text = lines.groupBy("key", "copy_key").agg(F.count(F.lit(1)).alias("n"))
+    per_line = per_text.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("rows"))
+    return scratch(per_line.where((F.col("docs") > max_line_docs) & (F.col("docs") * 2 > F.col("rows"))))
 
 
 def verdicts(rated: DataFrame, frequent: DataFrame, min_words=MIN_WORDS, max_repeat=MAX_REPEAT_PERCENT, min_left=MIN_LEFT_PERCENT) -> DataFrame:
@@ -102,7 +113,8 @@ def quality(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_left, kept of every row of docs.
 
     Rules: a text needs 50 words, at most half of them in repeated 3-word windows, and at least half of its words in lines
-    that no more than 10 documents of its host (``source``) have. Lines are compared in lower case with digits alike.
+    that no more than 10 documents of its host (``source``) have, copies of one text counted once. Lines are compared in
+    lower case with digits alike.
 
     A null text has no words and fails; a null source is a host of its own; rows that share a doc_id get a row each, and
     their lines count by text. Other columns are not read. An empty table gives an empty result.
@@ -135,15 +147,17 @@ WITH d AS (
   SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1
 ), covered AS (
   SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) o(k) GROUP BY rid
-), longest AS (
-  SELECT rid, max_by(x, (length(x), x)) AS copy_key FROM (SELECT rid, unnest(words) AS x FROM w) GROUP BY rid
+), longer AS (
+  SELECT rid, min(m) || max(m) || min(reverse(m)) || max(reverse(m)) AS k FROM (SELECT rid, md5(x) AS m FROM (SELECT rid, unnest(words) AS x FROM w) WHERE length(x) >= 6) GROUP BY rid
+), copies AS (
+  SELECT w.rid, coalesce(k, md5(text)) AS copy_key FROM w LEFT JOIN longer USING (rid)
 ), l AS (
   SELECT rid, source, unnest(lines) AS line FROM w
 ), n AS (
   SELECT rid, source, line, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[1-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
     len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l
 ), often AS (
-  SELECT source, norm FROM n JOIN longest USING (rid) GROUP BY source, norm HAVING count(DISTINCT copy_key) > 10
+  SELECT source, norm FROM n JOIN copies USING (rid) GROUP BY source, norm HAVING count(DISTINCT copy_key) > 10 AND count(DISTINCT copy_key) * 2 > count(DISTINCT rid)
 ), lost AS (
   SELECT rid, sum(n.words) AS words FROM n JOIN often o ON n.norm = o.norm AND n.source IS NOT DISTINCT FROM o.source GROUP BY rid
 ), f AS (
