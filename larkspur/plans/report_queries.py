@@ -11,7 +11,7 @@ from larkspur.operators import integrity as I
 from larkspur.plans import bindings as B
 from larkspur.plans import label_queries as LQ
 from larkspur.plans import review_queries as RQ
-from larkspur.plans.registry import query
+from larkspur.plans.registry import ORACLE_SQL, QUERIES, query
 from larkspur.schemas import DIMENSION_SQL, DIMENSIONS, KIND_LABELS, STATUS_LABELS, TOPICS, catalog
 
 RO, PO, AS = B.REVIEWS_ORDERS, B.PRODUCTS_ORDERS, B.ASSESSMENTS_ORDERS
@@ -272,3 +272,14 @@ STATUS = f"CASE event_id % 7 {' '.join(f'WHEN {i} THEN $${v}$$' for i, v in enum
 cells("label_names", STATUS, lambda: T.label_name(F.element_at(F.array(*[F.lit(k) for k in [*STATUS_LABELS, "x"]]), (F.col("event_id") % 7 + 1).cast("int")), STATUS_LABELS))
 KIND = f"CASE event_id % 4 {' '.join(f'WHEN {i} THEN $${v}$$' for i, v in enumerate(KIND_LABELS.values()))} END"
 cells("catalog_lookup", KIND, lambda: T.label_name(F.element_at(F.array(*[F.lit(k) for k in KIND_LABELS]), (F.col("event_id") % 4 + 1).cast("int")), KIND_LABELS))
+
+
+# The completeness table, and queries that go by a second name of their operator.
+
+query("report_tables", f"WITH {RQ.DENSE} SELECT p.product_id, role, role || '_' || kind AS kind, source_id, 100 AS expected_rows, used_rows, status, used_rows < 90 AS blocking, 'DATA-' || p.product_id || '-' || kind AS evidence_id FROM sources s JOIN products p ON p.product_id = s.product_id")(
+    lambda s, d: RQ.completeness(s, d).join(B.products_orders(s, d).select("product_id", "role"), "product_id").select(
+        "product_id", "role", "kind", F.concat("product_id", F.lit(":"), F.regexp_replace("kind", "^(self|competitor)_", "")).alias("source_id"), "expected_rows", "used_rows", "status", "blocking", "evidence_id"
+    )
+)
+for second, first in (("detail_with_aggregate", "report_tables_reviews"), ("source_anchor_check", "v11_source_anchor"), ("order_tags", "review_tag_totals"), ("catalog_reconcile", "v09_catalog_mismatch")):
+    query(second, ORACLE_SQL[first])(QUERIES[first])
