@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,34 +13,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import scratch
+from larkspur.llm.common import UPPER_TO_LOWER, scratch
 
 #: Tokens of a window; of a piece of what is left of a document beside whole windows (smaller pieces balance better); id that
 #: ends a document; windows that one group is packed into; words whose ids a task keeps.
-WINDOW, REST, END_ID, GROUP_WINDOWS, CACHE_WORDS, CACHE_WORD_BYTES = 4096, 512, 2, 128, 400_000, 48
+WINDOW, REST, END_ID, GROUP_WINDOWS, CACHE_WORDS, CACHE_WORD_BYTES = 4096, 512, 2, 128, 300_000, 48
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+_WORD_AND_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
+_LETTERS = re.compile(rb"[a-z]+")
+
+
 class WordIds(dict):
-    """Ids of a word as little-endian unsigned 32-bit numbers; a tokenizer that drops white space takes words one by one."""
+    """Ids of a word as little-endian unsigned 32-bit numbers; a tokenizer that drops white space takes words one by one.
+
+    Words are in lower case, as the tokenizer would make them. Letters and the marks after them are tokens apart, so each is
+    kept by itself as well. What is not used while CACHE_WORDS words come new is forgotten.
+    """
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.letters = self.tokenizer.model.tokenize
+        self.old: dict[bytes, bytes] = {}
+
+    def ids_of(self, word: bytes) -> bytes:
+        if _LETTERS.fullmatch(word):
+            return np.array([t.id for t in self.letters(word.decode())], "<u4").tobytes()
+        parts = _WORD_AND_MARKS.fullmatch(word)
+        if parts and parts[1].decode()[-1].isalpha():
+            return self[parts[1]] + self[parts[2]]
+        return np.array(self.tokenizer.encode_batch_fast([word.decode()], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([word.decode()], add_special_tokens=False)[0].ids
-        packed = np.array(ids, "<u4").tobytes()
+        packed = self.old.get(word)
+        if packed is None:
+            packed = self.ids_of(word)
         if len(word) <= CACHE_WORD_BYTES:
             if len(self) >= CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = packed
         return packed
 
+    def of(self, text: str | None) -> bytes:
+        data = (text or "").encode()
+        if b"<|" not in data:  # names of special tokens are told by their case
+            data = data.translate(UPPER_TO_LOWER)
+        return b"".join(map(self.__getitem__, data.split()))
+
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, rest: int = REST, keep_ids: bool = False) -> DataFrame:
     """Documents (doc_id, text) as pieces in order and without gaps: whole windows, then ``rest`` ids at most; a null text is empty.
@@ -53,8 +80,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, res
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 salt += 1
-                words = (text.as_py() or "").encode().split()
-                ids = memoryview(b"".join(map(cache.__getitem__, words)) + end)
+                ids = memoryview(cache.of(text.as_py()) + end)
                 n = len(ids) // 4
                 whole = n - n % window
                 for start in [*range(0, whole, window), *range(whole, n, rest)]:
