@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import join_checked, scratch, word_count
+from larkspur.llm.common import scratch, word_count
 
 #: Documents in a bucket of a source's ranking, and the most buckets a source has.
 BUCKET_DOCS, MAX_BUCKETS = 128, 1 << 20
