@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import BLANKS, ascii_lower, join_checked, scratch, word_count
 
 SYMBOLS = "#*$%&|<>"
-#: Letters that a word has at least to tell a text from others.
+#: Letters that a word has at least to tell a line from others.
 LONG_WORD = 6
 #: A document fails with fewer words, or with a larger percentage of words in repeated 3-word windows. A line goes if more
 #: documents of its host have it; a document that keeps a smaller percentage of its words is depleted.
@@ -50,20 +50,27 @@ def repeat_words(df: DataFrame) -> DataFrame:
 
 
 def figures(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """One row per row of docs with its figures, its lines as (key, words) and ``copy_key``, written to the shared folder.
+    """One row per row of docs with its figures and its lines as (key, words, like), written to the shared folder.
 
-    Copies of a text, exact or with a few changes, mostly share ``copy_key``: the smallest and the largest digest of their longer
-    words, read forwards and backwards. Texts that share some lines and differ in others mostly do not.
+    Lines that differ in a few words mostly share ``like``: the smallest and the largest digest of their longer words, each in
+    two orders. A line without longer words has its key there.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_text else F.lit(True).alias("row")
     df = docs.select(row, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), text.alias("_text"))
     df = df.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.trim(F.translate(x, BLANKS, " " * 6)) != ""))
     df = repeat_words(df)
-    keyed = F.transform("_lines", lambda x: F.struct(line_key(F.col("source"), normal_line(x)).alias("key"), word_count(x).alias("words")))
-    df = df.withColumn("_digests", F.transform(F.filter("_words", lambda w: F.length(w) >= LONG_WORD), lambda w: F.md5(w)))
-    df = df.withColumn("_reversed", F.transform("_digests", lambda w: F.reverse(w)))
-    copy_key = F.when(F.size("_digests") == 0, F.md5("_text")).otherwise(F.concat(F.array_min("_digests"), F.array_max("_digests"), F.array_min("_reversed"), F.array_max("_reversed")))
+    df = df.withColumn("_norm", F.transform("_lines", normal_line))
+    df = df.withColumn("_digests", F.transform("_norm", lambda x: F.transform(F.filter(F.split(x, " "), lambda w: F.length(w) >= LONG_WORD), lambda w: F.xxhash64(w))))
+    turned = F.transform("_digests", lambda x: F.transform(x, lambda h: F.shiftleft(h, 32).bitwiseOR(F.shiftrightunsigned(h, 32))))
+    df = df.withColumn("_turned", turned).withColumn("_keys", F.transform("_norm", lambda x: line_key(F.col("source"), x)))
+
+    def like(i: Column) -> Column:
+        one, two = F.get("_digests", i), F.get("_turned", i)
+        own = F.xxhash64(F.coalesce(F.concat(F.lit("="), "source"), F.lit("none")), F.array_min(one), F.array_max(one), F.array_min(two), F.array_max(two))
+        return F.when(F.size(one) == 0, F.get("_keys", i)).otherwise(own)
+
+    keyed = F.transform("_lines", lambda x, i: F.struct(F.get("_keys", i).alias("key"), word_count(x).alias("words"), like(i).alias("like")))
     out = df.select(
         *(["row"] if keep_text else []),
         F.monotonically_increasing_id().alias("rid"),
@@ -73,7 +80,6 @@ def figures(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.xxhash64(copy_key).alias("copy_key"),
         keyed.alias("lines"),
     )
     return scratch(out)
@@ -82,14 +88,22 @@ def figures(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 def frequent_lines(rated: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
     """Keys of lines that more than ``max_line_docs`` documents of a host have, copies of one text counted once.
 
-    Where a line's documents are mostly copies of each other (fewer copy keys than half of them), it is their text and no
-    frequent line, however many copies there are.
+    Lines that so many rows have are candidates. A document is told from others by its lines that are like no candidate, so
+    what documents share does not make them one; one that has only such lines is told by all of them.
     """
-    lines = rated.select("copy_key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key"))
-    # Each line of each text first, then documents per line: a line that all documents have is added up before it is moved.
-    per_text = lines.groupBy("key", "copy_key").agg(F.count(F.lit(1)).alias("n"))
-    per_line = per_text.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("rows"))
-    return scratch(per_line.where((F.col("docs") > max_line_docs) & (F.col("docs") * 2 > F.col("rows"))))
+    each = F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["key"].alias("key"), x["like"].alias("like"))))).alias("l")
+    # A line that all documents have is added up before it is moved.
+    rows = rated.select(each).groupBy("l.key", "l.like").agg(F.count(F.lit(1)).alias("rows"))
+    candidates = scratch(rows.where(F.col("rows") > max_line_docs).select("key", "like"))
+    shared = scratch(candidates.select("like").distinct().withColumn("shared", F.lit(True)))
+    hit = scratch(join_checked(rated.select("rid", each).select("rid", "l.key"), candidates.select("key"), "key"))
+    having = join_checked(rated.select("rid", "lines"), scratch(hit.select("rid").distinct()), "rid", "left_semi")
+    lines = join_checked(having.select("rid", each).select("rid", "l.like"), shared, "like", "left")
+    own, every = F.collect_set(F.when(F.col("shared").isNull(), F.col("like"))), F.collect_set("like")
+    told = lines.groupBy("rid").agg(own.alias("own"), every.alias("every"))
+    copy = F.when(F.size("own") > 0, F.xxhash64(F.lit(1), F.sort_array("own"))).otherwise(F.xxhash64(F.lit(2), F.sort_array("every")))
+    per_text = join_checked(hit, scratch(told.select("rid", copy.alias("copy"))), "rid").select("key", "copy").distinct()
+    return scratch(per_text.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_line_docs))
 
 
 def verdicts(rated: DataFrame, frequent: DataFrame, min_words=MIN_WORDS, max_repeat=MAX_REPEAT_PERCENT, min_left=MIN_LEFT_PERCENT) -> DataFrame:

@@ -290,6 +290,23 @@ def test_depleted_documents_go(spark):
     assert all(shared.split("\n")[0] not in x.text for x in quality.clean_documents(d).where("doc_id < 100").collect())
 
 
+def test_shared_lines_do_not_make_documents_one(spark):
+    r = random.Random(14)
+    word = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(8)) for _ in range(n))
+    shared, notice, texts = word(100), word(12), [word(60) for _ in range(41)]
+    # Distinct documents with 5 words of their own, and a line of 20 distinct documents that one text's many copies have too.
+    rows = [(i, f"{shared}\n{word(5)}", "en", "a", 0) for i in range(60)]
+    rows += [(100 + i, f"{texts[i]}\n{notice}", "en", "b", 0) for i in range(20)] + [(200 + i, f"{texts[40]}\n{notice}", "en", "b", 0) for i in range(60)]
+    # One line in 20 distinct texts of 12 copies each; near copies of one text, a word of the first line changed in each.
+    rows += [(300 + i, f"{texts[20 + i % 20]}\n{notice}", "en", "c", 0) for i in range(240)]
+    rows += [(600 + i, " ".join([*texts[0].split()[:i], word(1), *texts[0].split()[i + 1 :]]) + "\n" + texts[1], "en", "d", 0) for i in range(40)]
+    got = {x.doc_id: x for x in quality.quality(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(got[i].kept for i in range(60))
+    assert all(x.kept and x.words_left == x.n_words - 12 for i, x in got.items() if 100 <= i < 600)
+    assert all(x.kept and x.words_left == x.n_words for i, x in got.items() if i >= 600)
+
+
+
 # 7 chunks
 
 
