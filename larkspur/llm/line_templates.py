@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -88,17 +89,37 @@ def generalise(lines: list[bytes], similar: int = SIMILAR) -> tuple[list[int], l
     return of, [b" ".join(names[t] for t in x) for x in templates[:n]]
 
 
-def templates_of(lines: DataFrame, similar: int = SIMILAR, parsed: int = PARSED, max_rounds: int = 8) -> DataFrame:
+def dealt(lines: DataFrame, leaves: DataFrame, parsed: int, turn: int) -> DataFrame:
+    """lines (leaf, id, text) with ``part``: those of a leaf of more than one part by their token at place ``turn``, so that lines
+    that agree there meet; a token of more than ``parsed`` lines is dealt by the next places too, and by the text at last."""
+    df = join_checked(lines, leaves.select("leaf", "parts"), "leaf")
+    if leaves.where("parts > 1").isEmpty():
+        return df.withColumn("part", F.lit(0).cast("long"))
+    tokens = F.split(F.col("text").cast("string"), " ")
+    df = df.withColumn("deal", F.lit(0).cast("long")).withColumn("hot", F.when(F.col("parts") > 1, True))
+    for more in range(LEAD):
+        token = F.get(tokens, F.pmod(F.lit(turn + more), F.size(tokens)))
+        df = df.withColumn("deal", F.when(F.col("hot"), F.xxhash64("deal", token)).otherwise(F.col("deal"))).drop("hot")
+        hot = scratch(df.where("parts > 1").groupBy("leaf", "deal").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > parsed).select("leaf", "deal", F.lit(True).alias("hot")))
+        df = join_checked(df, hot, ["leaf", "deal"], "left")
+    deal = F.when(F.col("hot"), F.xxhash64("deal", "text")).otherwise(F.col("deal"))
+    return df.withColumn("part", F.pmod(F.xxhash64(deal, F.lit(turn)), "parts")).drop("deal", "hot")
+
+
+def templates_of(lines: DataFrame, similar: int = SIMILAR, parsed: int = PARSED) -> DataFrame:
     """(leaf, line, template) for the distinct lines (leaf, line, text) of leaves that may recur.
 
-    A leaf is parsed in parts of about ``parsed`` lines; the templates of its parts are parsed again as lines, dealt anew,
-    until a leaf is one part or a round merges nothing. No task ever holds a leaf that does not fit.
+    A leaf is parsed in parts of about ``parsed`` lines; the templates of its parts are parsed again as lines, dealt by their
+    token at the next place. A leaf is done once it is one part, or after as many rounds without a merge as it has places.
+    No task ever holds a leaf that does not fit.
     """
-    now = scratch(lines.select("leaf", "text", F.col("line").alias("id")))
-    mapping, before = None, None
-    for turn in range(max_rounds):
-        size = scratch(now.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / parsed).alias("parts")))
-        dealt = join_checked(now, size, "leaf").withColumn("part", F.pmod(F.xxhash64("text", F.lit(turn)), "parts"))
+    now = scratch(lines.select("leaf", F.col("line").alias("id"), "text"))
+    mapping = now.select("leaf", F.col("id").alias("line"), F.col("id").alias("to"))
+    places = F.size(F.split(F.col("text").cast("string"), " "))
+    leaves = now.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.first(places).alias("places")).withColumn("quiet", F.lit(0))
+    done, turn = [], 0
+    while True:
+        leaves = scratch(leaves.withColumn("parts", F.ceil(F.col("n") / parsed)))
 
         def parse(part: pa.Table) -> pa.Table:
             part = part.sort_by([("text", "ascending")])
@@ -106,17 +127,23 @@ def templates_of(lines: DataFrame, similar: int = SIMILAR, parsed: int = PARSED,
             ids = [key_of(t) for t in templates]
             return pa.table({"leaf": part["leaf"], "id": part["id"], "to": pa.array([ids[i] for i in of], pa.int64()), "template": pa.array([templates[i] for i in of], pa.binary())})
 
-        step = scratch(dealt.groupBy("leaf", "part").applyInArrow(parse, "leaf long, id long, to long, template binary"))
+        step = scratch(dealt(now, leaves, parsed, turn).groupBy("leaf", "part").applyInArrow(parse, "leaf long, id long, to long, template binary"))
         to = step.select("leaf", "id", "to")
-        mapping = to.withColumnRenamed("id", "line") if mapping is None else scratch(
-            mapping.withColumnRenamed("to", "id").join(to.hint("merge"), ["leaf", "id"]).select("leaf", "line", "to")
-        )
+        mapping = to.withColumnRenamed("id", "line") if turn == 0 else mapping.withColumnRenamed("to", "id").join(to.hint("merge"), ["leaf", "id"]).select("leaf", "line", "to")
         now = scratch(step.groupBy("leaf", F.col("to").alias("id")).agg(F.first("template").alias("text")))
-        left = now.count()
-        if size.where("parts > 1").isEmpty() or left == before:
+        left = scratch(now.groupBy("leaf").agg(F.count(F.lit(1)).alias("left")))
+        after = join_checked(leaves, left, "leaf").withColumn("quiet", F.when(F.col("left") < F.col("n"), 0).otherwise(F.col("quiet") + 1))
+        after = scratch(after.withColumn("open", (F.col("parts") > 1) & (F.col("quiet") < F.col("places"))))
+        leaves = after.where("open").select("leaf", F.col("left").alias("n"), "places", "quiet")
+        if leaves.isEmpty():
+            done.append(mapping)
             break
-        before = left
-    return mapping.select("leaf", "line", F.col("to").alias("template"))
+        mapping = scratch(join_checked(mapping, after.select("leaf", "open"), "leaf"))
+        done.append(mapping.where("NOT open").select("leaf", "line", "to"))
+        mapping = mapping.where("open").select("leaf", "line", "to")
+        now = join_checked(now, scratch(leaves.select("leaf")), "leaf")
+        turn += 1
+    return reduce(DataFrame.union, done).select("leaf", "line", F.col("to").alias("template"))
 
 
 def recurring_lines(keyed: DataFrame, recurs: int = RECURS, similar: int = SIMILAR) -> DataFrame:

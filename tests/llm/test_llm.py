@@ -149,6 +149,16 @@ def test_templates_in_parts_come_together(spark):
     assert line_templates.templates_of(df, parsed=20).select("template").distinct().count() == 1
 
 
+def test_templates_of_a_large_leaf_are_whole(spark):
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    end = [word() for _ in range(5)]
+    texts = [f"a b c {word()} {' '.join(end)} {word()}" for _ in range(12)] + [f"a b c {' '.join(word() for _ in range(7))}" for _ in range(1500)]
+    df = spark.createDataFrame([(7, i, t.encode()) for i, t in enumerate(texts)], "leaf long, line long, text binary")
+    got = {x.line: x.template for x in line_templates.templates_of(df, parsed=60).collect()}
+    assert len(got) == len(texts) and len({got[i] for i in range(12)}) == 1 and len(set(got.values())) == 1501
+
+
 # 3 top k
 
 
