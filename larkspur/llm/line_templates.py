@@ -39,33 +39,42 @@ def leaf_of(line: bytes) -> int:
     return key_of(b"%d " % (line.count(b" ") + 1) + b" ".join(head[:LEAD]))
 
 
+def near_key(data: bytes) -> int:
+    """Digest of the extremes of the words' digests in two orders: texts that differ in a few words mostly share it."""
+    words = set(data.split())
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    two = one << np.uint64(32) | one >> np.uint64(32)
+    return key_of(b"%d %d %d %d" % (one.min(), one.max(), two.min(), two.max())) if words else 0
+
+
 def keyed_documents(docs: DataFrame) -> DataFrame:
-    """docs, written, with ``_rid``, ``_copy`` (the first longest word: copies of a text share it) and ``_keys``: (leaf, line) of every line."""
+    """docs, written, with ``_rid``, ``_copy`` (digest of the text), ``_near`` and ``_keys``: (leaf, line) of every line."""
     names = docs.columns
     at = names.index("text")
     line = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("line", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_rid", T.LongType()), T.StructField("_copy", T.LongType()), T.StructField("_keys", T.ArrayType(line))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_rid", T.LongType()), T.StructField("_copy", T.LongType()), T.StructField("_near", T.LongType()), T.StructField("_keys", T.ArrayType(line))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 40
         for batch in batches:
-            copies, keys = [], []
+            copies, near, keys = [], [], []
             for text in batch.column(at):
                 data = (text.as_py() or "").encode()
-                copies.append(key_of(max(data.split(), key=len, default=b"")))
+                copies.append(key_of(data))
+                near.append(near_key(data))
                 lines = [masked(x) for x in data.split(b"\n")]
                 keys.append([{"leaf": leaf_of(x), "line": key_of(x)} if x else {"leaf": None, "line": None} for x in lines])
-            new = [pa.array(range(n, n + len(batch)), pa.int64()), pa.array(copies, pa.int64()), pa.array(keys, pa.list_(pa.struct([("leaf", pa.int64()), ("line", pa.int64())])))]
+            new = [pa.array(range(n, n + len(batch)), pa.int64()), pa.array(copies, pa.int64()), pa.array(near, pa.int64()), pa.array(keys, pa.list_(pa.struct([("leaf", pa.int64()), ("line", pa.int64())])))]
             n += len(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "_rid", "_copy", "_keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "_rid", "_copy", "_near", "_keys"])
 
     return scratch(docs.mapInArrow(parse, schema))
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """(rid, copy, leaf, line) of every line that has a token."""
-    each = keyed.select(F.col("_rid").alias("rid"), F.col("_copy").alias("copy"), F.explode("_keys").alias("k"))
-    return each.select("rid", "copy", "k.leaf", "k.line").where("line IS NOT NULL")
+    """(rid, copy, near, leaf, line) of every line that has a token."""
+    each = keyed.select(F.col("_rid").alias("rid"), F.col("_copy").alias("copy"), F.col("_near").alias("near"), F.explode("_keys").alias("k"))
+    return each.select("rid", "copy", "near", "k.leaf", "k.line").where("line IS NOT NULL")
 
 
 def generalise(lines: list[bytes], similar: int = SIMILAR) -> tuple[list[int], list[bytes]]:
@@ -151,6 +160,9 @@ def recurring_lines(keyed: DataFrame, recurs: int = RECURS, similar: int = SIMIL
 
     A template has no more documents than its leaf, so leaves are counted first, on digests alone; only lines of leaves with
     enough documents are read as text.
+
+    Templates that so many different texts have are candidates. A document is told from others by its lines of no candidate,
+    so a shared line does not decide; one that has only lines of candidates, as near copies of one text have, by ``_near``.
     """
     lines = _lines(keyed)
     leaves = scratch(lines.select("leaf", "copy").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= recurs).select("leaf"))
@@ -171,8 +183,17 @@ def recurring_lines(keyed: DataFrame, recurs: int = RECURS, similar: int = SIMIL
 
     distinct = texts.select("text", "_wanted").mapInArrow(show, "leaf long, line long, text binary")
     template = scratch(templates_of(distinct, similar))
-    of = join_checked(lines.select("line", "copy"), template.select("line", "template"), "line")
-    often = scratch(of.select("template", "copy").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= recurs))
+    of = join_checked(lines.select("line", "copy"), template.select("line", "template"), "line").select("template", "copy").distinct()
+    often = scratch(of.groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= recurs).select("template"))
+    shared = scratch(join_checked(template, often, "template").select("line", "template").distinct())
+    hit = scratch(join_checked(lines.select("line", "copy"), shared, "line").select("template", "copy").distinct())
+    having = join_checked(lines.select("copy", "near", "line"), scratch(hit.select("copy").distinct()), "copy", "left_semi")
+    told = join_checked(having, shared.select("line", F.lit(True).alias("shared")), "line", "left")
+    own = F.collect_set(F.when(F.col("shared").isNull(), F.col("line")))
+    told = told.groupBy("copy").agg(own.alias("own"), F.first("near").alias("near"))
+    document = F.when(F.size("own") > 0, F.xxhash64(F.lit(1), F.sort_array("own"))).otherwise(F.xxhash64(F.lit(2), "near"))
+    each = join_checked(hit, scratch(told.select("copy", document.alias("document"))), "copy").select("template", "document").distinct()
+    often = scratch(each.groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= recurs))
     return scratch(join_checked(template, often, "template").select("line").distinct())
 
 

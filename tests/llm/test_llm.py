@@ -143,6 +143,15 @@ def test_recurring_templates_are_dropped(spark):
     assert report[0].n_lines == 3 and report[0].n_dropped == 1 and report[0].kept_md5 == hashlib.md5(got[0].encode()).hexdigest()
 
 
+def test_a_shared_longest_word_does_not_make_documents_one(spark):
+    r = random.Random(16)
+    line, near = "see also http://example.org/a/very/long/address/of/all for more", [prose(r, 60), prose(r, 30)]
+    rows = [(i, f"{prose(r, 40)}\n{line}", "en", "s", 0) for i in range(12)]
+    rows += [(100 + i, " ".join([*near[0].split()[: 10 + i], "other", *near[0].split()[11 + i :]]) + "\n" + near[1], "en", "s", 0) for i in range(12)]
+    got = {x.doc_id: x.text for x in line_templates.deduplicated(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] == t.split("\n")[0] for i, t, *_ in rows[:12]) and all(got[i] == t for i, t, *_ in rows[12:])
+
+
 def test_templates_in_parts_come_together(spark):
     lines = [(7, i, f"user {chr(97 + i % 26)}{chr(97 + i // 26)} logged in from the far end".encode()) for i in range(300)]
     df = spark.createDataFrame(lines, "leaf long, line long, text binary")
