@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; a temporary one only where none is named."""
+    """A new path in the folder that all executors share. In local mode a temporary folder will do; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/larkspur-{uuid.uuid4().hex}"
