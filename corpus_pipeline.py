@@ -1,4 +1,7 @@
-"""Corpus pipeline: documents -> quality rules -> line dedup -> near dedup -> mix of sources -> token windows."""
+"""Corpus pipeline: documents -> quality rules -> line dedup -> near dedup -> mix of sources -> token windows.
+
+A stage's result is written before the next stage begins; then the work tables of the stage before are deleted.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import line_templates, mixing, near_dup, packing, quality
-from larkspur.llm.common import scratch
+from larkspur.llm.common import drop, scratch, stage_of
 from larkspur.llm.queries import tokenizer
 
 
@@ -17,27 +20,32 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without the lines that too many documents of their host have."""
-    return _measured(quality.clean_documents(docs))
+    with stage_of(docs, first=True):
+        return _measured(quality.clean_documents(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines whose template recurs across documents."""
-    return _measured(line_templates.deduplicated(docs))
+    with stage_of(docs):
+        return _measured(line_templates.deduplicated(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return near_dup.one_of_each(docs)
+    with stage_of(docs):
+        return near_dup.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.mixed_documents(docs)
+    with stage_of(docs):
+        return mixing.mixed_documents(docs)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in token windows."""
-    return packing.packed_documents(docs, tokenizer("word_bpe_49k.json"))
+    with stage_of(docs):
+        return packing.packed_documents(docs, tokenizer("word_bpe_49k.json"))
 
 
 STAGES = [
@@ -53,8 +61,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        made = scratch(stage(spark, docs, sf_dir))
+        if i:
+            drop(docs)
+        docs = made
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,12 +9,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from larkspur.llm.common import BROADCAST_ROWS, UPPER_TO_LOWER, join_checked, scratch
+from larkspur.llm.common import UPPER_TO_LOWER, WORD, drop, join_checked, scratch, without_lines
 
 #: Leading tokens on a path of the tree; equal positions (of 100) that bring a line to a template; documents from which a
 #: template recurs; lines that one task parses together.
@@ -47,34 +45,35 @@ def near_key(data: bytes) -> int:
     return key_of(b"%d %d %d %d" % (one.min(), one.max(), two.min(), two.max())) if words else 0
 
 
-def keyed_documents(docs: DataFrame) -> DataFrame:
-    """docs, written, with ``_rid``, ``_copy`` (digest of the text), ``_near`` and ``_keys``: (leaf, line) of every line."""
-    names = docs.columns
-    at = names.index("text")
-    line = T.StructType([T.StructField("leaf", T.LongType()), T.StructField("line", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_rid", T.LongType()), T.StructField("_copy", T.LongType()), T.StructField("_near", T.LongType()), T.StructField("_keys", T.ArrayType(line))])
+def text_keys() -> list[Column]:
+    """128 bits that tell texts apart."""
+    return [F.xxhash64(F.lit(n), F.coalesce("text", F.lit(""))).alias(f"t{n}") for n in (1, 2)]
+
+
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(t1, t2, near, keys) of every row of docs, written: keys of its text, ``near_key`` and (leaf, line) of every line."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = TaskContext.get().partitionId() << 40
         for batch in batches:
-            copies, near, keys = [], [], []
-            for text in batch.column(at):
+            near, leaves, lines, offsets = [], [], [], [0]
+            for text in batch.column(2):
                 data = (text.as_py() or "").encode()
-                copies.append(key_of(data))
                 near.append(near_key(data))
-                lines = [masked(x) for x in data.split(b"\n")]
-                keys.append([{"leaf": leaf_of(x), "line": key_of(x)} if x else {"leaf": None, "line": None} for x in lines])
-            new = [pa.array(range(n, n + len(batch)), pa.int64()), pa.array(copies, pa.int64()), pa.array(near, pa.int64()), pa.array(keys, pa.list_(pa.struct([("leaf", pa.int64()), ("line", pa.int64())])))]
-            n += len(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*names, "_rid", "_copy", "_near", "_keys"])
+                for x in map(masked, data.split(b"\n")):
+                    leaves.append(leaf_of(x) if x else None)
+                    lines.append(key_of(x) if x else None)
+                offsets.append(len(lines))
+            keys = pa.StructArray.from_arrays([pa.array(leaves, pa.int64()), pa.array(lines, pa.int64())], ["leaf", "line"])
+            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), keys)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int64()), keys], ["t1", "t2", "near", "keys"])
 
-    return scratch(docs.mapInArrow(parse, schema))
+    return scratch(docs.select(*text_keys(), "text").mapInArrow(parse, "t1 long, t2 long, near long, keys array<struct<leaf:long,line:long>>"))
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """(rid, copy, near, leaf, line) of every line that has a token."""
-    each = keyed.select(F.col("_rid").alias("rid"), F.col("_copy").alias("copy"), F.col("_near").alias("near"), F.explode("_keys").alias("k"))
-    return each.select("rid", "copy", "near", "k.leaf", "k.line").where("line IS NOT NULL")
+    """(t1, t2, near, at, leaf, line) of every line that has a token; at: its place in the text."""
+    each = keyed.select("t1", "t2", "near", F.posexplode("keys").alias("at", "k"))
+    return each.select("t1", "t2", "near", "at", "k.leaf", "k.line").where("line IS NOT NULL")
 
 
 def generalise(lines: list[bytes], similar: int = SIMILAR) -> tuple[list[int], list[bytes]]:
@@ -155,21 +154,21 @@ def templates_of(lines: DataFrame, similar: int = SIMILAR, parsed: int = PARSED)
     return reduce(DataFrame.union, done).select("leaf", "line", F.col("to").alias("template"))
 
 
-def recurring_lines(keyed: DataFrame, recurs: int = RECURS, similar: int = SIMILAR) -> DataFrame:
+def recurring_lines(docs: DataFrame, keyed: DataFrame, recurs: int = RECURS, similar: int = SIMILAR) -> DataFrame:
     """(line): digests of the lines whose template recurs in ``recurs`` documents or more; copies of a text count once.
 
     A template has no more documents than its leaf, so leaves are counted first, on digests alone; only lines of leaves with
     enough documents are read as text.
 
     Templates that so many different texts have are candidates. A document is told from others by its lines of no candidate,
-    so a shared line does not decide; one that has only lines of candidates, as near copies of one text have, by ``_near``.
+    so a shared line does not decide; one that has only lines of candidates, as near copies of one text have, by ``near``.
     """
-    lines = _lines(keyed)
+    lines = _lines(keyed).withColumnRenamed("t1", "copy")
     leaves = scratch(lines.select("leaf", "copy").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= recurs).select("leaf"))
-    # Each distinct line once, with the row that shows its text.
-    shown = scratch(join_checked(lines, leaves, "leaf").groupBy("leaf", "line").agg(F.min("rid").alias("rid")))
-    wanted = shown.groupBy(F.col("rid").alias("_rid")).agg(F.collect_set("line").alias("_wanted"))
-    texts = join_checked(keyed.select("_rid", "text"), scratch(wanted), "_rid")
+    # Each distinct line once, with a text that shows it.
+    shown = join_checked(lines, leaves, "leaf").groupBy("leaf", "line").agg(F.min(F.struct("copy", "t2")).alias("by"))
+    wanted = scratch(shown.groupBy(F.col("by.copy").alias("t1"), F.col("by.t2").alias("t2")).agg(F.collect_set("line").alias("wanted")))
+    texts = join_checked(docs.select(*text_keys(), "text"), wanted, ["t1", "t2"])
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,39 +180,41 @@ def recurring_lines(keyed: DataFrame, recurs: int = RECURS, similar: int = SIMIL
                         out[k] = x
             yield pa.RecordBatch.from_arrays([pa.array([leaf_of(x) for x in out.values()], pa.int64()), pa.array(out, pa.int64()), pa.array(list(out.values()), pa.binary())], ["leaf", "line", "text"])
 
-    distinct = texts.select("text", "_wanted").mapInArrow(show, "leaf long, line long, text binary")
+    distinct = texts.select("text", "wanted").mapInArrow(show, "leaf long, line long, text binary").dropDuplicates(["leaf", "line"])
     template = scratch(templates_of(distinct, similar))
     of = join_checked(lines.select("line", "copy"), template.select("line", "template"), "line").select("template", "copy").distinct()
     often = scratch(of.groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= recurs).select("template"))
     shared = scratch(join_checked(template, often, "template").select("line", "template").distinct())
     hit = scratch(join_checked(lines.select("line", "copy"), shared, "line").select("template", "copy").distinct())
-    having = join_checked(lines.select("copy", "near", "line"), scratch(hit.select("copy").distinct()), "copy", "left_semi")
+    copies = scratch(hit.select("copy").distinct())
+    having = join_checked(lines.select("copy", "near", "line"), copies, "copy", "left_semi")
     told = join_checked(having, shared.select("line", F.lit(True).alias("shared")), "line", "left")
     own = F.collect_set(F.when(F.col("shared").isNull(), F.col("line")))
     told = told.groupBy("copy").agg(own.alias("own"), F.first("near").alias("near"))
     document = F.when(F.size("own") > 0, F.xxhash64(F.lit(1), F.sort_array("own"))).otherwise(F.xxhash64(F.lit(2), "near"))
-    each = join_checked(hit, scratch(told.select("copy", document.alias("document"))), "copy").select("template", "document").distinct()
-    often = scratch(each.groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= recurs))
-    return scratch(join_checked(template, often, "template").select("line").distinct())
-
-
-def without_recurring(keyed: DataFrame, recurring: DataFrame) -> DataFrame:
-    """keyed with ``_dropped``: digests of the lines that it loses."""
-    hit = join_checked(_lines(keyed).select("rid", "line"), recurring, "line").groupBy(F.col("rid").alias("_rid")).agg(F.collect_set("line").alias("_dropped"))
-    return join_checked(keyed, scratch(hit), "_rid", "left", BROADCAST_ROWS)
+    named = scratch(told.select("copy", document.alias("document")))
+    each = join_checked(hit, named, "copy").select("template", "document").distinct()
+    real = scratch(each.groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= recurs).select("template"))
+    out = scratch(join_checked(template, real, "template").select("line").distinct())
+    drop(leaves, wanted, template, often, shared, hit, copies, named, real)
+    return out
 
 
-def _cleaned():
-    lines = F.split("text", "\n")
-    stays = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("_dropped", F.get("_keys", i)["line"]), F.lit(False)))
-    return F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+def with_drops(docs: DataFrame, **kw) -> DataFrame:
+    """(row, text, dropped): every row of docs as one struct, its text and the places of the lines that it loses (null: none)."""
+    keyed = keyed_texts(docs)
+    recurring = recurring_lines(docs, keyed, **kw)
+    # Copies of a text have the same lines at the same places.
+    gone = scratch(join_checked(_lines(keyed).select("t1", "t2", "at", "line"), recurring, "line").groupBy("t1", "t2").agg(F.collect_set("at").alias("dropped")))
+    drop(keyed, recurring)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", *text_keys())
+    return join_checked(rows, gone, ["t1", "t2"], "left").select("row", "text", "dropped")
 
 
 def deduplicated(docs: DataFrame, **kw) -> DataFrame:
-    """docs with the lines of recurring templates taken out of ``text``; all other columns as they are."""
-    keyed = keyed_documents(docs)
-    rows = without_recurring(keyed, recurring_lines(keyed, **kw))
-    return rows.select(*[_cleaned().alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    """docs with the lines of recurring templates taken out of ``text``; all other columns, whatever their names, as they are."""
+    rows = without_lines(with_drops(docs, **kw), F.col("text"), F.col("dropped"))
+    return rows.select(*[F.col("cleaned").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, **kw) -> DataFrame:
@@ -223,11 +224,9 @@ def line_report(docs: DataFrame, **kw) -> DataFrame:
     A null text has no lines and stays null (kept_md5 null). Rows that share a doc_id get a row each. Other columns are
     carried by deduplicated() and not read. An empty table gives an empty result.
     """
-    keyed = keyed_documents(docs.select("doc_id", "text"))
-    rows = without_recurring(keyed, recurring_lines(keyed, **kw))
-    real = F.filter("_keys", lambda k: k["line"].isNotNull())
-    dropped = F.filter(real, lambda k: F.coalesce(F.array_contains("_dropped", k["line"]), F.lit(False)))
+    rows = without_lines(with_drops(docs.select("doc_id", "text"), **kw), F.col("text"), F.col("dropped"))
+    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(WORD)))
     return rows.select(
-        "doc_id", F.size(real).cast("long").alias("n_lines"), F.size(dropped).cast("long").alias("n_dropped"),
-        F.length(_cleaned()).cast("long").alias("kept_chars"), F.md5(_cleaned()).alias("kept_md5"),
+        "row.doc_id", n_lines.cast("long").alias("n_lines"), F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"),
+        F.length("cleaned").cast("long").alias("kept_chars"), F.md5("cleaned").alias("kept_md5"),
     )

@@ -5,26 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BLANKS, ascii_lower, join_checked, scratch, word_count
+from larkspur.llm.common import WORD, ascii_lower, drop, join_checked, scratch, without_lines
 
-SYMBOLS = "#*$%&|<>"
-#: Letters that a word has at least to tell a line from others.
-LONG_WORD = 6
+BLANK = r"[\x20\x09-\x0D]"
 #: A document fails with fewer words, or with a larger percentage of words in repeated 3-word windows. A line goes if more
 #: documents of its host have it; a document that keeps a smaller percentage of its words is depleted.
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LINE_DOCS, MIN_LEFT_PERCENT = 50, 50, 10, 50
 
 
 def words_of(text: Column) -> Column:
-    """Words as an array; blanks of all kinds become spaces first."""
-    spaced = F.trim(F.translate(text, BLANKS, " " * len(BLANKS)))
-    return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " +"))
+    return F.array_remove(F.split(text, BLANK + "+"), "")
 
 
-def normal_line(line: Column) -> Column:
-    """Lower case, digits as 0, one space for blanks; empty if the line has no word."""
-    spaced = F.trim(F.translate(ascii_lower(line), BLANKS + "123456789", " " * len(BLANKS) + "0" * 9))
-    return F.regexp_replace(spaced, " +", " ")
+def normal_text(text: Column) -> Column:
+    """A-Z in lower case, digits as 0, one space for blanks within lines. Lower-casing is quicker on texts that are ASCII alone."""
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
+    return F.regexp_replace(F.regexp_replace(lower, "[1-9]", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
 
 
 def line_key(source: Column, line: Column) -> Column:
@@ -49,103 +45,102 @@ def repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_grams", "_sorted", "_places")
 
 
-def figures(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """One row per row of docs with its figures and its lines as (key, words, like), written to the shared folder.
+def text_keys() -> list[Column]:
+    """128 bits that tell apart rows of another host or text."""
+    source = F.coalesce(F.concat(F.lit("="), "source"), F.lit("none"))
+    return [F.xxhash64(F.lit(n), source, F.coalesce("text", F.lit(""))).alias(f"t{n}") for n in (1, 2)]
 
-    Lines that differ in a few words mostly share ``like``: the smallest and the largest digest of their longer words, each in
-    two orders. A line without longer words has its key there.
+
+def figures(docs: DataFrame) -> DataFrame:
+    """One row per row of docs with its figures, its keys of host and text and its lines as (key, words), written.
+
+    key: digest of the host and the normalised line; null for a line without a word. copy: digest of all normalised lines.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_text else F.lit(True).alias("row")
-    df = docs.select(row, F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), text.alias("_text"))
-    df = df.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.trim(F.translate(x, BLANKS, " " * 6)) != ""))
-    df = repeat_words(df)
-    df = df.withColumn("_norm", F.transform("_lines", normal_line))
-    df = df.withColumn("_digests", F.transform("_norm", lambda x: F.transform(F.filter(F.split(x, " "), lambda w: F.length(w) >= LONG_WORD), lambda w: F.xxhash64(w))))
-    turned = F.transform("_digests", lambda x: F.transform(x, lambda h: F.shiftleft(h, 32).bitwiseOR(F.shiftrightunsigned(h, 32))))
-    df = df.withColumn("_turned", turned).withColumn("_keys", F.transform("_norm", lambda x: line_key(F.col("source"), x)))
-
-    def like(i: Column) -> Column:
-        one, two = F.get("_digests", i), F.get("_turned", i)
-        own = F.xxhash64(F.coalesce(F.concat(F.lit("="), "source"), F.lit("none")), F.array_min(one), F.array_max(one), F.array_min(two), F.array_max(two))
-        return F.when(F.size(one) == 0, F.get("_keys", i)).otherwise(own)
-
-    keyed = F.transform("_lines", lambda x, i: F.struct(F.get("_keys", i).alias("key"), word_count(x).alias("words"), like(i).alias("like")))
+    df = docs.select("doc_id", "source", *text_keys(), text.alias("_text"))
+    df = df.withColumn("_words", words_of(F.col("_text"))).withColumn("_lines", F.split("_text", "\n"))
+    df = repeat_words(df).withColumn("_norm", F.transform(F.split(normal_text(F.col("_text")), "\n"), lambda x: F.trim(x)))
+    key = lambda x: F.when(x != "", line_key(F.col("source"), x))
+    count = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1
+    with_word = F.filter("_lines", lambda x: x.rlike(WORD))
     out = df.select(
-        *(["row"] if keep_text else []),
         F.monotonically_increasing_id().alias("rid"),
-        "doc_id",
+        "doc_id", "t1", "t2",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("_text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size(with_word) - F.size(F.array_distinct(with_word))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        keyed.alias("lines"),
-    )
+        F.xxhash64(F.array_join(F.array_remove("_norm", ""), "\n")).alias("copy"),
+        F.transform("_norm", lambda x: F.struct(key(x).alias("key"), count(x).alias("words"))).alias("lines"),
+    )
     return scratch(out)
 
 
 def frequent_lines(rated: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
-    """Keys of lines that more than ``max_line_docs`` documents of a host have, copies of one text counted once.
+    """(key) of lines that more than ``max_line_docs`` documents of a host have; documents of one normalised text count once.
 
-    Lines that so many rows have are candidates. A document is told from others by its lines that are like no candidate, so
-    what documents share does not make them one; one that has only such lines is told by all of them.
+    Rows are counted first, added up before they are moved; only lines that so many rows have are counted by document.
     """
-    each = F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["key"].alias("key"), x["like"].alias("like"))))).alias("l")
-    # A line that all documents have is added up before it is moved.
-    rows = rated.select(each).groupBy("l.key", "l.like").agg(F.count(F.lit(1)).alias("rows"))
-    candidates = scratch(rows.where(F.col("rows") > max_line_docs).select("key", "like"))
-    shared = scratch(candidates.select("like").distinct().withColumn("shared", F.lit(True)))
-    hit = scratch(join_checked(rated.select("rid", each).select("rid", "l.key"), candidates.select("key"), "key"))
-    having = join_checked(rated.select("rid", "lines"), scratch(hit.select("rid").distinct()), "rid", "left_semi")
-    lines = join_checked(having.select("rid", each).select("rid", "l.like"), shared, "like", "left")
-    own, every = F.collect_set(F.when(F.col("shared").isNull(), F.col("like"))), F.collect_set("like")
-    told = lines.groupBy("rid").agg(own.alias("own"), every.alias("every"))
-    copy = F.when(F.size("own") > 0, F.xxhash64(F.lit(1), F.sort_array("own"))).otherwise(F.xxhash64(F.lit(2), F.sort_array("every")))
-    per_text = join_checked(hit, scratch(told.select("rid", copy.alias("copy"))), "rid").select("key", "copy").distinct()
-    return scratch(per_text.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_line_docs))
+    keys = F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key")
+    rows = rated.select(keys).where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    candidates = scratch(rows.where(F.col("rows") > max_line_docs).select("key"))
+    each = join_checked(rated.select(keys, "copy"), candidates, "key").distinct()
+    out = scratch(each.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_line_docs).select("key"))
+    drop(candidates)
+    return out
 
 
 def verdicts(rated: DataFrame, frequent: DataFrame, min_words=MIN_WORDS, max_repeat=MAX_REPEAT_PERCENT, min_left=MIN_LEFT_PERCENT) -> DataFrame:
-    """rated with base_failed, words_left, dropped (keys of its frequent lines) and kept."""
-    lines = rated.select("rid", F.explode("lines").alias("l")).select("rid", "l.key", "l.words")
-    lost = (
-        join_checked(lines, frequent.select("key"), "key")
-        .groupBy("rid").agg(F.sum("words").alias("words_lost"), F.collect_set("key").alias("dropped"))
-    )
+    """rated without lines, with base_failed, words_left, dropped (places of its frequent lines) and kept; written."""
+    lines = rated.select("rid", F.posexplode("lines").alias("at", "l")).where("l.key IS NOT NULL").select("rid", "at", "l.key", "l.words")
+    lost = scratch(join_checked(lines, frequent, "key").groupBy("rid").agg(F.sum("words").alias("words_lost"), F.collect_list("at").alias("dropped")))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     left = F.col("n_words") - F.coalesce("words_lost", F.lit(0))
-    return (
-        join_checked(rated, scratch(lost), "rid", "left")
+    out = scratch(
+        join_checked(rated.drop("lines", "copy"), lost, "rid", "left")
         .withColumn("base_failed", failed)
         .withColumn("words_left", left)
         .withColumn("kept", ~failed & (100 * left >= min_left * F.col("n_words")))
     )
+    drop(lost)
+    return out
+
+
+def _rated(docs: DataFrame, **kw) -> DataFrame:
+    rated = figures(docs)
+    frequent = frequent_lines(rated)
+    out = verdicts(rated, frequent, **kw)
+    drop(rated, frequent)
+    return out
 
 
 def quality(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_left, kept of every row of docs.
 
     Rules: a text needs 50 words, at most half of them in repeated 3-word windows, and at least half of its words in lines
-    that no more than 10 documents of its host (``source``) have, copies of one text counted once. Lines are compared in
-    lower case with digits alike.
+    that no more than 10 documents of its host (``source``) have. Lines are compared in lower case (A-Z) with digits alike;
+    documents whose lines are all alike so are one document, other near copies are not.
 
     A null text has no words and fails; a null source is a host of its own; rows that share a doc_id get a row each, and
     their lines count by text. Other columns are not read. An empty table gives an empty result.
     """
-    rated = figures(docs)
-    out = verdicts(rated, frequent_lines(rated), **kw)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", "kept")
+    return _rated(docs, **kw).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", "kept")
 
 
 def clean_documents(docs: DataFrame, **kw) -> DataFrame:
-    """The kept documents with all their columns, their frequent lines taken out of the text."""
-    rated = figures(docs, keep_text=True)
-    kept = verdicts(rated, frequent_lines(rated), **kw).where("kept")
-    rows = kept.select("row.*", F.col("dropped").alias("_dropped_lines"))
-    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_dropped_lines", line_key(F.col("source"), normal_line(x))))
-    cleaned = F.when(F.col("_dropped_lines").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
-    return rows.select(*[cleaned.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    """The kept documents with all their columns, whatever their names, their frequent lines taken out of the text.
+
+    Rows of one host and text have one verdict, which finds them by digest; most rows stay as they are and have none.
+    """
+    rated = _rated(docs, **kw)
+    changed = rated.where("NOT kept OR dropped IS NOT NULL").groupBy("t1", "t2").agg(F.first("kept").alias("kept"), F.first("dropped").alias("dropped"))
+    found = scratch(changed)
+    drop(rated)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *text_keys())
+    rows = join_checked(rows, found, ["t1", "t2"], "left").where(F.coalesce("kept", F.lit(True)))
+    rows = without_lines(rows, F.col("row.text"), F.col("dropped"))
+    return rows.select(*[F.col("cleaned").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
@@ -161,17 +156,12 @@ WITH d AS (
   SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1
 ), covered AS (
   SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) o(k) GROUP BY rid
-), longer AS (
-  SELECT rid, min(m) || max(m) || min(reverse(m)) || max(reverse(m)) AS k FROM (SELECT rid, md5(x) AS m FROM (SELECT rid, unnest(words) AS x FROM w) WHERE length(x) >= 6) GROUP BY rid
-), copies AS (
-  SELECT w.rid, coalesce(k, md5(text)) AS copy_key FROM w LEFT JOIN longer USING (rid)
-), l AS (
-  SELECT rid, source, unnest(lines) AS line FROM w
+), c AS (
+  SELECT rid, source, lines, [trim(regexp_replace(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[1-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) FOR x IN lines] AS norms FROM w
 ), n AS (
-  SELECT rid, source, line, trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[1-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
-    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l
+  SELECT rid, source, array_to_string(norms, chr(10)) AS copy, unnest(norms) AS norm, unnest([len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) FOR x IN lines]) AS words FROM c
 ), often AS (
-  SELECT source, norm FROM n JOIN copies USING (rid) GROUP BY source, norm HAVING count(DISTINCT copy_key) > 10 AND count(DISTINCT copy_key) * 2 > count(DISTINCT rid)
+  SELECT source, norm FROM n GROUP BY source, norm HAVING count(DISTINCT copy) > 10
 ), lost AS (
   SELECT rid, sum(n.words) AS words FROM n JOIN often o ON n.norm = o.norm AND n.source IS NOT DISTINCT FROM o.source GROUP BY rid
 ), f AS (
