@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import scratch
@@ -26,28 +26,44 @@ CONTEXT_CHARS, ROUNDS = 24, 50
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu")
 COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "86", "91")
 CARD_FIRST = ("3", "4", "5", "6")
-SECRET_NAMES = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\x20\"']{0,3}[=:][\x20\"']{0,3}$"
+_NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)"
+_SETS = _NAMES + r"[\x20\"']{0,3}[=:][\x20\"']{0,3}"
+SECRET_NAMES = f"(?i){_SETS}$"
+#: Texts that name a secret, and what follows such a name: candidates that the context alone proposes, whatever they look like.
+NAMED = f"(?i){_SETS}[^\\s\"'=:]"
+VALUE = f"(?<=(?i:{_SETS}))[^\\s\"'=:,;<>()\\[\\]{{}}][^\\s\"',;<>()\\[\\]{{}}]{{7,}}+"
 
 
-def matches(text: Column, kind: str) -> Column:
-    """Spans of one kind: what matches the pattern, placed by the lengths of what stands between."""
+def pieces(text: Column, kind: str) -> Column:
+    """What matches one kind's pattern, in order: (kind, gap, value, before, after), gap the code points since the match before."""
     pattern = PATTERNS[kind]
+    if kind == "secret":
+        found = F.when(text.rlike(NAMED), _cut(text, kind, f"{VALUE}|{pattern}")).when(text.rlike(GATES[kind]), _cut(text, kind, pattern))
+    else:
+        found = F.when(text.rlike(GATES[kind]), _cut(text, kind, pattern))
+    return F.coalesce(found, F.array().cast("array<struct<kind:int,gap:int,value:string,before:string,after:string>>"))
+
+
+def _cut(text: Column, kind: str, pattern: str) -> Column:
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    pieces = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), F.slice(gaps, F.lit(2), F.size(hits)).alias("next"))
-    kind_no = F.lit(KINDS.index(kind))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string,before:string,after:string>>")
+    each = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), F.slice(gaps, F.lit(2), F.size(hits)).alias("next"))
+    one = lambda p: F.struct(
+        F.lit(KINDS.index(kind)).alias("kind"), F.length(p["gap"]).alias("gap"), p["hit"].alias("value"),
+        F.right(p["gap"], F.lit(CONTEXT_CHARS)).alias("before"), F.left(p["next"], F.lit(1)).alias("after"),
+    )
+    return F.transform(each, one)
 
-    def add(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.length(p["hit"])
-        span = F.struct(
-            start.alias("start"), kind_no.alias("kind"), end.alias("end"), p["hit"].alias("value"),
-            F.right(p["gap"], F.lit(CONTEXT_CHARS)).alias("before"), F.left(p["next"], F.lit(1)).alias("after"),
-        )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(GATES[kind]), found).otherwise(none)
+def placed(found: DataFrame) -> DataFrame:
+    """(rid, s) of every span, s: (start, kind, end, value, before, after); found: (rid, found), the pieces of each text.
+
+    Places are running sums over a text's matches of one kind, so work is linear in the spans (but for their sorting).
+    """
+    each = found.select("rid", F.posexplode("found").alias("n", "p")).select("rid", "n", "p.*")
+    so_far = Window.partitionBy("rid", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.length("value")).over(so_far).cast("int")
+    s = F.struct((F.col("end") - F.length("value")).alias("start"), "kind", "end", "value", "before", "after")
+    return each.withColumn("end", end).select("rid", s.alias("s"))
 
 
 def digits(value: Column) -> Column:
@@ -142,9 +158,10 @@ def reliabilities(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int
 
 
 def labelled(spans: DataFrame) -> DataFrame:
-    """rid, s, its votes v0.. and its features f, written."""
+    """rid, s, base, its votes v0.. and its features f, written; base: whether it is a span of the base rules."""
     votes = [f(F.col("s")).cast("int").alias(f"v{i}") for i, f in enumerate(LABELERS)]
-    return scratch(spans.select("rid", "s", F.col("s.kind").alias("kind"), *votes, F.array(*features(F.col("s"))).alias("f")))
+    base = ((F.col("s.kind") < 4) & passes(F.col("s"))).alias("base")
+    return scratch(spans.select("rid", "s", base, F.col("s.kind").alias("kind"), *votes, F.array(*features(F.col("s"))).alias("f")))
 
 
 def trained(spans: DataFrame) -> Column:
@@ -194,18 +211,15 @@ def personal_data(docs: DataFrame) -> DataFrame:
     gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    every = docs.select("doc_id", F.concat(*[matches(text, k) for k in KINDS]).alias("found"))
-    every = scratch(every.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.transform("found", lambda s: s.withField("base", (s["kind"] < 4) & passes(s))).alias("found")))
-    spans = labelled(every.select("rid", F.explode("found").alias("s")))
-    score = trained(spans)
-    added = scratch(spans.where(~F.col("s.base")).select("rid", "s", score.alias("odds")).where("odds > 0").groupBy("rid").agg(F.collect_list(F.struct("s.start", "s.kind", "s.end")).alias("added")))
-    short = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    rows = every.join(added.hint("merge"), "rid", "left")
-    base = F.array_sort(F.transform(F.filter("found", lambda s: s["base"]), short))
-    rows = rows.select("doc_id", base.alias("base"), F.coalesce("added", F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("added"))
-    kinds = F.transform("base", lambda s: s["kind"])
-    count = [F.size(F.filter(kinds, lambda x: x == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]  # noqa: B023
+    every = scratch(docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.concat(*[pieces(text, k) for k in KINDS]).alias("found")))
+    spans = labelled(placed(every))
+    chosen = spans.select("rid", "s.start", "s.kind", "s.end", "base", trained(spans).alias("odds")).where("base OR odds > 0")
+    own = scratch(chosen.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "base"))).alias("all")))
+    rows = every.select("doc_id", "rid").join(own.hint("merge"), "rid", "left")
+    rows = rows.select("doc_id", F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,base:boolean>>")).alias("all"))
+    rows = rows.withColumn("base", F.filter("all", lambda s: s["base"]))
+    count = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]  # noqa: B023
     return rows.select(
-        "doc_id", *count, F.sha2(written(F.col("base")), 256).alias("base_sha256"),
-        written(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
+        "doc_id", *count, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("all")).alias("spans"),
+        (F.size("all") - F.size("base")).cast("long").alias("n_added"),
     )
