@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import UPPER_TO_LOWER, scratch
 
-#: Words that every task holds, rounds of re-estimation, words that a task counts before it sends them on, bytes of a word
-#: that are taken at once (longer ones are cut there, so that time and memory stay linear).
-HEAD_WORDS, ROUNDS, COUNTED_WORDS, CHUNK_BYTES = 200_000, 2, 400_000, 64
+#: Words that every task holds, and bytes of the longest of them; rounds of re-estimation; words that a task counts before it
+#: sends them on; bytes up to which words of one length are taken together; bytes of a longer one whose pieces are held at once.
+HEAD_WORDS, HEAD_BYTES, ROUNDS, COUNTED_WORDS, SHORT, HELD = 200_000, 64, 2, 400_000, 64, 1 << 16
 #: Documents whose crc32(id) leaves this remainder are held out.
 FOLDS, HELD_FOLD = 7, 2
 LOG10 = math.log(10)
@@ -28,7 +28,8 @@ class Lattice:
     """Unigram scores of subword pieces; forward and backward sums over the segmentations of many words at once.
 
     A word is a start mark and its UTF-8 bytes. The vocabulary has all single bytes, so every word can be segmented. Words of
-    one length are the rows of a matrix; all of their pieces that begin at one byte are found together by hash.
+    one length are the rows of a matrix; all of their pieces that begin at one byte are found together by hash. Longer words
+    are taken alone, their pieces for many bytes at once; pieces are short, so time and memory are linear in a word's length.
     """
 
     MARK = b"\xff"  # no byte of UTF-8 text
@@ -77,33 +78,59 @@ class Lattice:
             alpha[at, j] = np.logaddexp(alpha[at, j], alpha[at, i] + p)
         return alpha
 
-    def batches(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Matrices of bytes, and the word of each row. Long words are cut every CHUNK_BYTES; segmentations do not cross a cut."""
-        parts, owner = [], []
-        for w, word in enumerate(words):
-            marked = self.MARK + word
-            for at in range(0, len(marked), CHUNK_BYTES):
-                parts.append(marked[at : at + CHUNK_BYTES])
-                owner.append(w)
-        length, owner = np.fromiter(map(len, parts), np.int64, len(parts)), np.array(owner, np.int64)
+    def matrices(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Matrices of the bytes of short words of one length, and the place of each row's word."""
+        short = np.array([w for w, word in enumerate(words) if len(word) < SHORT], np.int64)
+        length = np.fromiter((len(words[w]) for w in short), np.int64, len(short))
         order = np.argsort(length, kind="stable")
         edges = np.flatnonzero(np.diff(length[order], prepend=-1, append=-1))
         for a, b in zip(edges, edges[1:], strict=False):
             for low in range(a, b, 8192):
-                some = order[low : min(b, low + 8192)]
-                yield np.frombuffer(b"".join([parts[i] for i in some]), np.uint8).reshape(len(some), -1), owner[some]
+                some = short[order[low : min(b, low + 8192)]]
+                yield np.frombuffer(b"".join([self.MARK + words[w] for w in some]), np.uint8).reshape(len(some), -1), some
+
+    def arcs_of_long(self, data: np.ndarray, low: int) -> tuple[list, list, list, list]:
+        """Starts, ends, pieces and scores of all pieces of a long word that begin at one of HELD bytes from ``low`` on, by start."""
+        last = len(self.hashes) - 1
+        at = np.arange(low, min(low + HELD, len(data)))
+        h, found, length = np.zeros(len(at), np.uint64), [], 0
+        while len(at):
+            h = h * np.uint64(self.FACTOR) + data[at + length]
+            place = np.minimum(np.searchsorted(self.hashes, h), last)
+            alive = self.hashes[place] == h
+            at, h, piece = at[alive], h[alive], self.number[place[alive]]
+            length += 1
+            found.append((at[piece >= 0], at[piece >= 0] + length, piece[piece >= 0]))
+            inside = at + length < len(data)
+            at, h = at[inside], h[inside]
+        start, end, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((end, start))
+        return start[order].tolist(), end[order].tolist(), piece[order].tolist(), self.scores_of[piece[order]].tolist()
+
+    def forward_of_long(self, word: bytes) -> tuple[np.ndarray, list[float]]:
+        """The word's bytes, and the log of the summed probability of all segmentations up to each of them."""
+        data = np.frombuffer(self.MARK + word, np.uint8).astype(np.uint64) + np.uint64(1)
+        alpha = [-math.inf] * (len(data) + 1)
+        alpha[0] = 0.0
+        for low in range(0, len(data), HELD):
+            for i, j, _, p in zip(*self.arcs_of_long(data, low), strict=True):
+                alpha[j] = log_sum(alpha[j], alpha[i] + p)
+        return data, alpha
 
     def scores(self, words: list[bytes]) -> np.ndarray:
         """Natural logs of the words' marginal probabilities."""
         out = np.zeros(len(words))
-        for rows, owner in self.batches(words):
-            np.add.at(out, owner, self.forward(self.arcs(rows), rows.shape)[:, -1])
+        for rows, owner in self.matrices(words):
+            out[owner] = self.forward(self.arcs(rows), rows.shape)[:, -1]
+        for w, word in enumerate(words):
+            if len(word) >= SHORT:
+                out[w] = self.forward_of_long(word)[1][-1]
         return out
 
     def expected(self, words: list[bytes], weights: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece in so many occurrences of each word."""
         uses = np.zeros(len(self.pieces))
-        for rows, owner in self.batches(words):
+        for rows, owner in self.matrices(words):
             arcs = self.arcs(rows)
             alpha = self.forward(arcs, rows.shape)
             beta = np.full_like(alpha, -np.inf)
@@ -114,9 +141,25 @@ class Lattice:
                 pieces = np.concatenate([x[3] for x in arcs])
                 share = np.concatenate([np.exp(alpha[at, i] + p + beta[at, j] - alpha[at, -1]) * weights[owner[at]] for i, j, at, _, p in arcs])
                 uses += np.bincount(pieces, share, len(uses))
+        for w, word in enumerate(words):
+            if len(word) >= SHORT:
+                data, ahead = self.forward_of_long(word)
+                behind = [-math.inf] * len(ahead)
+                behind[-1] = 0.0
+                for low in reversed(range(0, len(data), HELD)):
+                    for i, j, k, p in reversed(list(zip(*self.arcs_of_long(data, low), strict=True))):
+                        behind[i] = log_sum(behind[i], p + behind[j])
+                        uses[k] += math.exp(ahead[i] + p + behind[j] - ahead[-1]) * weights[w]
         return uses
 
 
+def log_sum(a: float, b: float) -> float:
+    """Log of e**a + e**b."""
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 def vocabulary(model_path: str) -> dict[bytes, float]:
     """Pieces of an existing subword vocabulary with their scores, as bytes; the word mark is one byte, every byte is a piece.
 
@@ -208,7 +251,8 @@ class Head(dict):
 
 
 def frequent(words: DataFrame, most: int) -> list:
-    """The rows of the most frequent words: those from the smallest count on that leaves no more than ``most`` of them."""
+    """The rows of the most frequent words of bounded length: those from the smallest count on that leaves no more than ``most``."""
+    words = words.where(F.octet_length("word") <= HEAD_BYTES)
     sizes = words.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(most).collect()
     total, least = 0, None
     for r in sizes:
