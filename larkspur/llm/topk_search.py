@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,46 +13,70 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import scratch
 
 #: Vectors of the sample that names cells; vectors of a data block; of a query group; of a chunk of queries that meets a block
-#: in one task; of a leaf; children of a tree node.
-PIVOTS, BLOCK, GROUP, CHUNK, LEAF, FANOUT = 64, 2048, 256, 4096, 96, 12
+#: in one task; of a leaf; data points that are scored together; query groups whose bounds a task takes together.
+PIVOTS, BLOCK, GROUP, CHUNK, LEAF, SCORED, GROUPS = 64, 2048, 256, 4096, 32, 1024, 1024
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 @dataclass
-class Node:
-    """Points of a subtree, their center and covering radius."""
+class CoverTree:
+    """A cover tree in arrays. Node 0 is the root; a node's points are order[low:high], its center is the first of them.
 
-    rows: np.ndarray
-    center: np.ndarray
-    radius: float
-    children: list[Node] = field(default_factory=list)
+    Every center is a data point. A node's ``radius`` covers all of its points. Its children's centers, of which its own center
+    is the first, are apart by more than ``scale`` and cover its points within ``scale``, half its radius: so radii halve at least from level to level.
+    Nodes of LEAF points or fewer, or of equal points, have no children.
+    """
+
+    order: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray  # children are the nodes first[n] to last[n]
+    last: np.ndarray
 
     @property
-    def norm(self) -> float:
-        return float(np.sqrt(self.center @ self.center))
-
-
-def cover_tree(points: np.ndarray, rows: np.ndarray | None = None) -> Node:
-    """A tree whose levels halve the covering radius where FANOUT centers, each farthest from those before, can cover so."""
-    rows = np.arange(len(points)) if rows is None else rows
-    own = points[rows]
-    center = own.mean(axis=0)
-    away = np.sqrt(((own - center) ** 2).sum(axis=1))
-    node = Node(rows, center, float(away.max()) * (1 + 1e-12) + 1e-9)
-    if len(rows) <= LEAF or away.max() == 0:
-        return node
-    nearest, of, pick = np.full(len(rows), np.inf), np.zeros(len(rows), int), int(away.argmax())
-    for k in range(FANOUT):
-        d = np.sqrt(((own - own[pick]) ** 2).sum(axis=1))
-        of[d < nearest] = k
-        nearest = np.minimum(nearest, d)
-        pick = int(nearest.argmax())
-        if nearest[pick] <= node.radius / 2:
-            break
-    parts = [rows[of == k] for k in range(of.max() + 1)]
-    if sum(len(p) > 0 for p in parts) > 1:
-        node.children = [cover_tree(points, p) for p in parts if len(p)]
-    return node
+    def center(self) -> np.ndarray:
+        return self.order[self.low]
+
+
+def cover_tree(points: np.ndarray) -> CoverTree:
+    """Level by level: centers are taken greedily, each the farthest from those before, until all points are covered."""
+    norms = (points**2).sum(axis=1)
+
+    def away(center: int, rows: np.ndarray) -> np.ndarray:
+        d = norms[rows] + norms[center] - 2 * (points[rows] @ points[center])
+        return np.sqrt(np.maximum(d, 0)) * (1 + 1e-9)
+
+    middle = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
+    order = np.concatenate([[middle], np.delete(np.arange(len(points)), middle)])
+    nodes = [[0, len(points), float(away(middle, order).max()), 0, 0]]
+    n = 0
+    while n < len(nodes):
+        low, high, radius, _, _ = nodes[n]
+        rows = order[low:high]
+        if len(rows) > LEAF and radius > 0:
+            scale, pick = radius / 2, 0
+            nearest, of, centers = np.full(len(rows), np.inf), np.zeros(len(rows), int), 0
+            while nearest.max() > scale:
+                d = away(rows[pick], rows)
+                d[pick] = 0
+                of[d < nearest] = centers
+                nearest = np.minimum(nearest, d)
+                centers += 1
+                pick = int(nearest.argmax())
+            # Points by child, nearest first: a center is at no distance from itself.
+            by = np.lexsort((nearest, of))
+            order[low:high] = rows[by]
+            size = np.bincount(of, minlength=centers)
+            reach = np.maximum.reduceat(nearest[by], np.cumsum(size) - size)
+            nodes[n][3:] = len(nodes), len(nodes) + centers
+            at = low
+            for k in range(centers):
+                nodes.append([at, at + int(size[k]), float(reach[k]), 0, 0])
+                at += int(size[k])
+        n += 1
+    low, high, radius, first, last = (np.array(x) for x in zip(*nodes, strict=True))
+    return CoverTree(order, low, high, radius, first, last)
 
 
 class Best:
@@ -84,29 +108,63 @@ class Best:
         self.score[rows], self.found[rows] = np.take_along_axis(s, first, 1), np.take_along_axis(i, first, 1)
 
 
-def bound(q: Node, x: Node) -> float:
-    """No inner product of a point of q and a point of x is above this."""
-    return float(q.center @ x.center) + q.norm * x.radius + x.norm * q.radius + q.radius * x.radius
+def bounds(near: np.ndarray, nq, rq, nx, rx) -> np.ndarray:
+    """No inner product of points of two balls is above this: near, of their centers, with norms n and radii r.
+
+    Scores are integers, so half a unit and a share of what was added up are room enough for rounding.
+    """
+    more = nq * rx + nx * rq + rq * rx
+    return near + more + 1e-9 * (np.abs(near) + nq * nx + more) + 0.5
+
+
+def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges first to last, one range after the other."""
+    size = last - first
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def dual_tree(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, best: Best) -> None:
-    """Walk both trees together; a pair of nodes goes if its bound is below the worst k-th score of the query node."""
+    """Walk both trees together: each query node with the data nodes that may still hold one of the k best of its queries.
+
+    Data nodes whose bound is below the worst k-th score of the query node go. Where data nodes are wider than the query node
+    they give way to their children, else the query node does. A query leaf takes the data nodes in the order of their bounds,
+    their points together, so that later ones meet better k-th scores.
+    """
     if not len(queries) or not len(data):
         return
     safe = max(np.abs(queries).max(), 1) * max(np.abs(data).max(), 1) * queries.shape[1] < 2**53
-    stack = [(cover_tree(queries), cover_tree(data))]
+    q, x = cover_tree(queries), cover_tree(data)
+    norm_q, norm_x = np.sqrt((queries[q.center] ** 2).sum(axis=1)), np.sqrt((data[x.center] ** 2).sum(axis=1))
+    leaf_x = x.last == 0
+    stack = [(0, np.zeros(1, np.int64))]
     while stack:
-        q, x = stack.pop()
-        top = bound(q, x)
-        if top * (1 + 1e-9 * np.sign(top)) + 1e-6 < best.worst(q.rows).min():
+        n, nodes = stack.pop()
+        rows, center = q.order[q.low[n] : q.high[n]], queries[q.center[n]]
+
+        def top(nodes: np.ndarray, n=n, center=center) -> np.ndarray:
+            return bounds(data[x.center[nodes]] @ center, norm_q[n], q.radius[n], norm_x[nodes], x.radius[nodes])
+
+        leaf = q.last[n] == 0
+        while True:
+            nodes = nodes[top(nodes) >= best.worst(rows).min()]
+            wide = ~leaf_x[nodes] & (leaf | (x.radius[nodes] >= q.radius[n]))
+            if not wide.any():
+                break
+            nodes = np.concatenate([nodes[~wide], spread(x.first[nodes[wide]], x.last[nodes[wide]])])
+        if not len(nodes):
+            continue
+        if not leaf:
+            stack += [(c, nodes) for c in range(q.first[n], q.last[n])]
             continue
-        if not q.children and not x.children:
-            a, b = queries[q.rows], data[x.rows]
-            best.offer(q.rows, a @ b.T if safe else (a.astype(np.int64) @ b.astype(np.int64).T).astype(float), ids[x.rows])
-        elif not q.children or (x.children and x.radius >= q.radius):
-            stack += sorted(((q, c) for c in x.children), key=lambda p: float(p[0].center @ p[1].center))
-        else:
-            stack += [(c, x) for c in q.children]
+        nodes = nodes[np.argsort(-top(nodes), kind="stable")]
+        part = (np.cumsum(x.high[nodes] - x.low[nodes]) - 1) // SCORED
+        for k in range(part.max() + 1):
+            some = nodes[part == k]
+            some = some[top(some) >= best.worst(rows).min()]
+            if len(some):
+                at = x.order[spread(x.low[some], x.high[some])]
+                a, b = queries[rows], data[at]
+                best.offer(rows, a @ b.T if safe else (a.astype(np.int64) @ b.astype(np.int64).T).astype(float), ids[at])
 
 
 def matrix(column) -> np.ndarray:
@@ -151,36 +209,53 @@ def dealt(vectors: DataFrame, size: int, name: str) -> DataFrame:
 
 
 def balls(rows: DataFrame, key: str) -> DataFrame:
-    """(key, center, radius, n) of every block, by sums over its vectors."""
+    """(key, center, radius) of every block: the vector nearest to the mean, and how far the others are from it."""
 
     def ball(part: pa.Table) -> pa.Table:
         m = matrix(part["v"])
-        center = m.mean(axis=0)
-        radius = float(np.sqrt(((m - center) ** 2).sum(axis=1)).max()) * (1 + 1e-12) + 1e-9
-        return pa.table({key: part[key][:1], "center": pa.array([center], pa.list_(pa.float64())), "radius": [radius], "n": pa.array([len(m)], pa.int64())})
+        center = m[((m - m.mean(axis=0)) ** 2).sum(axis=1).argmin()]
+        radius = float(np.sqrt(((m - center) ** 2).sum(axis=1)).max()) * (1 + 1e-9)
+        return pa.table({key: part[key][:1], "center": pa.array([center], pa.list_(pa.float64())), "radius": [radius]})
 
-    return rows.groupBy(key).applyInArrow(ball, f"{key} long, center array<double>, radius double, n long")
+    return rows.groupBy(key).applyInArrow(ball, f"{key} long, center array<double>, radius double")
 
 
-def meeting(groups: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(grp, block, top, home): bounds of query groups against data blocks, groups in chunks of 1024 at a time."""
-    chunks = max(1, -(-groups.count() // 1024))
-    g = groups.select(F.pmod(F.xxhash64("grp"), F.lit(chunks)).alias("part"), F.struct("grp", "center", "radius", "worst").alias("g")).groupBy("part").agg(F.collect_list("g").alias("gs"))
+def _together(groups: DataFrame, blocks: DataFrame, *more: str) -> DataFrame:
+    """Every block with every chunk of about GROUPS query groups, one row for each chunk."""
+    chunks = max(1, -(-groups.count() // GROUPS))
+    g = groups.select(F.pmod(F.xxhash64("grp"), F.lit(chunks)).alias("part"), F.struct("grp", "center", "radius", *more).alias("g")).groupBy("part").agg(F.collect_list("g").alias("gs"))
     b = blocks.select("block", "center", "radius", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("part"))
+    return b.join(g.hint("merge"), "part").select("part", "block", "center", "radius", "gs")
+
+
+def nearest_blocks(groups: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(grp, block): the block whose center has the largest inner product with the group's; a task returns one row per group."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[float, int]] = {}
+        for batch in batches:
+            for block, center, gs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4)), strict=True):
+                for r, p in zip(gs, (np.array([r["center"] for r in gs]) @ np.array(center)).tolist(), strict=True):
+                    best[r["grp"]] = max(best.get(r["grp"], (p, block)), (p, block))
+        columns = [pa.array(best, pa.int64()), pa.array([b for _, b in best.values()], pa.int64()), pa.array([p for p, _ in best.values()], pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["grp", "block", "near"])
+
+    found = _together(groups, blocks).mapInArrow(near, "grp long, block long, near double")
+    return found.groupBy("grp").agg(F.max_by("block", F.struct("near", "block")).alias("block"))
+
+
+def meeting(groups: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(grp, block): data blocks that may hold one of the k best of a query group; groups: with worst, their least k-th score."""
 
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, center, radius, gs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, block, center, radius, gs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, q = np.array(center), np.array([r["center"] for r in gs])
-                rq, worst = np.array([r["radius"] for r in gs]), np.array([r["worst"] for r in gs])
-                near = q @ x
-                top = near + np.sqrt((q**2).sum(axis=1)) * radius + np.sqrt(x @ x) * rq + rq * radius
-                keep = np.flatnonzero(top + 1e-6 + 1e-9 * np.abs(top) >= worst)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([gs[i]["grp"] for i in keep], pa.int64()), pa.array([block] * len(keep), pa.int64()), pa.array(near[keep])], ["grp", "block", "near"]
-                )
+                top = bounds(q @ x, np.sqrt((q**2).sum(axis=1)), np.array([r["radius"] for r in gs]), np.sqrt(x @ x), radius)
+                hit = np.flatnonzero(top >= np.array([r["worst"] for r in gs]))
+                yield pa.RecordBatch.from_arrays([pa.array([gs[i]["grp"] for i in hit], pa.int64()), pa.array([block] * len(hit), pa.int64())], ["grp", "block"])
 
-    return b.join(g.hint("merge"), "part").select("block", "center", "radius", "gs").mapInArrow(bounds, "grp long, block long, near double")
+    return _together(groups, blocks, "worst").mapInArrow(keep, "grp long, block long")
 
 
 def searched(queries: DataFrame, data: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
@@ -230,8 +305,7 @@ def exact_top_k(embeddings: DataFrame, is_query, k: int = 20) -> DataFrame:
     blocks = scratch(balls(data, "block"))
     groups = balls(queries, "grp")
     low = F.lit(float("-inf"))
-    every = scratch(meeting(groups.withColumn("worst", low), blocks))
-    home = scratch(every.groupBy("grp").agg(F.max_by("block", F.struct("near", F.col("block"))).alias("block")))
+    home = scratch(nearest_blocks(scratch(groups), blocks))
     first = scratch(searched(queries.withColumn("floor", low), data, home, k))
     kth = top_k(first, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
     asked = scratch(
