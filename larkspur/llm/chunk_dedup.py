@@ -93,23 +93,23 @@ def repeated_chunks(every: DataFrame) -> DataFrame:
 
 def passages(every: DataFrame, run: int = RUN) -> DataFrame:
     """(rid, doc_id, start, end, dropped): runs of adjoining repeated chunks of ``run`` bytes or more; dropped: bytes of them
-    whose first place is elsewhere. A text's chunks are gathered as one array, no larger than the text."""
+    whose first place is elsewhere. A text's repeated chunks are gathered as one array: three numbers for some 32 bytes of text."""
     own = repeated_chunks(every).groupBy("rid", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "first"))).alias("c"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for rid, doc_id, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                start = end = dropped = 0
-                for x in [*c, {"start": -1, "length": 0, "first": True}]:
-                    if x["start"] != end or end == 0:
-                        if end - start >= run and end:
-                            rows.append((rid, doc_id, start, end, dropped))
-                        start, dropped = x["start"], 0
-                    end = x["start"] + x["length"]
-                    dropped += 0 if x["first"] else x["length"]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["rid", "doc_id", "start", "end", "dropped"])
+            if not len(batch):
+                continue
+            lists = batch.column(2)
+            of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            start, length, first = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            end = start + length
+            head = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (start[1:] != end[:-1])]))
+            tail = np.append(head[1:], len(of)) - 1
+            dropped = np.add.reduceat(np.where(first, 0, length), head)
+            long = end[tail] - start[head] >= run
+            columns = [*(batch.column(i).take(pa.array(of[head[long]])) for i in (0, 1)), *(pa.array(x[long].astype(np.int64)) for x in (start[head], end[tail], dropped))]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "start", "end", "dropped"])
 
     return own.select("rid", "doc_id", "c").mapInArrow(runs, "rid long, doc_id long, start long, end long, dropped long")
 
