@@ -16,25 +16,83 @@ from larkspur.llm.common import UPPER_TO_LOWER
 #: Part of a template's words that must be aligned, in percent.
 COVERED = 80
 
-# Notices and grants as their licenses have them.
+# Texts, notices and grants as their licenses have them. Words in braces tell a license from its kin.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "{Neither} the name of the copyright holder nor the names of its contributors may be used to {endorse} or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the "
+    "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
+)
+_MIT_REST = (
+    ", and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+    "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+    "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+    "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+    "OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC_GRANT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+)
+_GNU_HEADER = (
+    "{subject} is free software; you can redistribute it and/or modify it under the terms of the {{GNU}} {kind}General Public License as published by the Free Software "
+    "Foundation; either version {{{version}}} of the License, or (at your option) any later version."
+)
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Apache-2.0": "Licensed under the {Apache} License, Version {2.0}",
+    "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.{apache}.org/licenses/LICENSE-{2.0} "
     "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR "
     "CONDITIONS OF ANY KIND, either express or implied.",
-    "MIT-notice": "Released under the MIT License",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the "
-    "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
-    "and this permission notice appear in all copies.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
-    "Foundation, either version 3 of the License, or (at your option) any later version.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "All-rights-reserved": "All rights reserved",
+    "MIT-notice": "Released under the {MIT} License",
+    "MIT-grant": _MIT_GRANT,
+    "MIT": _MIT_GRANT + _MIT_REST,
+    "ISC": _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL "
+    "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+    "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "ISC-grant": _ISC_GRANT + ", {provided} that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause": _BSD + _BSD_END,
+    "BSD-3-Clause": _BSD + _BSD_NAMES + _BSD_END,
+    "Zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this "
+    "software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to "
+    "the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be "
+    "plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Distributed under the {Boost} Software License, Version {1.0}",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+    "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "CC0-1.0-notice": "Licensed under {CC0} 1.0 Universal",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the {Mozilla} Public License, v. {2.0}. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "GPL-2.0-header": _GNU_HEADER.format(subject="This program", kind="", version=2),
+    "GPL-3.0-header": _GNU_HEADER.format(subject="This program", kind="", version=3),
+    "LGPL-2.1-header": _GNU_HEADER.format(subject="This library", kind="{Lesser} ", version="2.1"),
+    "LGPL-3.0-header": _GNU_HEADER.format(subject="This library", kind="{Lesser} ", version=3),
+    "AGPL-3.0-header": _GNU_HEADER.format(subject="This program", kind="{Affero} ", version=3),
+    "GPL-2.0": "This work is licensed under the {GNU} General Public License, version {2}",
+    "GPL-3.0": "This work is licensed under the {GNU} General Public License, version {3}",
+    "LGPL-2.1": "This work is licensed under the {GNU} {Lesser} General Public License, version {2.1}",
+    "LGPL-3.0": "This work is licensed under the {GNU} {Lesser} General Public License, version {3}",
+    "AGPL-3.0": "This work is licensed under the {GNU} {Affero} General Public License, version {3}",
+    "All-rights-reserved": "All rights {reserved}",
 }
+_CC_NAMES = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+for _parts in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"):
+    for _version in ("3.0", "4.0"):
+        _scope = "International" if _version == "4.0" else "Unported"
+        TEMPLATES[f"CC-{_parts}-{_version}"] = f"Licensed under {{CC}} {{{_parts}}} {{{_version}}}"
+        TEMPLATES[f"CC-{_parts}-{_version}-notice"] = f"This work is licensed under a Creative {{Commons}} {{{'-'.join(_CC_NAMES[p] for p in _parts.split('-'))}}} {{{_version}}} {_scope} License"
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -90,23 +148,29 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Template:
-    """A template's words, and words of which every text that covers enough of it has one."""
+    """A template's words, those that must be aligned, and words of which every text that covers enough of it has one."""
 
     def __init__(self, name: str, text: str, covered: int):
-        self.name, self.words = name, tokens(text)
+        marked = re.split(r"[{}]", text)
+        self.name, self.words, self.must = name, [], set()
+        for n, part in enumerate(marked):
+            own = tokens(part)
+            self.must |= set(range(len(self.words), len(self.words) + len(own))) if n % 2 else set()
+            self.words += own
         self.need = -(-covered * len(self.words) // 100)
         self.place = {w: i for i, w in reversed(list(enumerate(self.words)))}
-        counts, spare = Counter(self.words), len(self.words) - self.need
-        # Without the longest words, fewer words than needed are left: so a text must have one of them.
-        self.keys: list[bytes] = []
-        for w in sorted(counts, key=lambda w: (-len(w), w)):
+        self.counts = Counter(self.words)
+        self.keys: list[bytes] = sorted({self.words[i] for i in self.must}, key=lambda w: (-len(w), w))[:1]
+        # Else: without the longest words, fewer words than needed are left, so a text must have one of them.
+        spare = -1 if self.keys else len(self.words) - self.need
+        for w in sorted(self.counts, key=lambda w: (-len(w), w)):
             if spare < 0:
                 break
             self.keys.append(w)
-            spare -= counts[w]
+            spare -= self.counts[w]
 
-    def best(self, words: list[bytes], at: dict[bytes, list[int]]) -> tuple[int, int, int] | None:
-        """(words aligned, start, end) of the best place, the first of several.
+    def best(self, words: list[bytes], at: dict[bytes, list[int]], taken: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+        """(words aligned, start, end) of the best place that meets no taken stretch, the first of several.
 
         Places start where a key word would put the template's first word; each is as long as twice the template.
         """
@@ -116,11 +180,14 @@ class Template:
         top = None
         for s in starts:
             part = words[s : s + 2 * n + slack]
-            if sum((Counter(part) & Counter(self.words)).values()) < self.need:
+            if sum((Counter(part) & self.counts).values()) < self.need:
                 continue
             pairs = patience(self.words, part)
-            if len(pairs) >= self.need and (top is None or len(pairs) > top[0]):
-                top = (len(pairs), s + pairs[0][1], s + pairs[-1][1] + 1)
+            if len(pairs) < self.need or not self.must <= {i for i, _ in pairs}:
+                continue
+            start, end = s + pairs[0][1], s + pairs[-1][1] + 1
+            if (top is None or len(pairs) > top[0]) and not any(a < end and start < b for a, b in taken):
+                top = (len(pairs), start, end)
         return top
 
 
@@ -128,12 +195,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, covered: int
     """doc_id, license, template_words, matched_words, coverage, start_word, end_word: a row for each license a text has.
 
     Words are runs of letters and digits in lower case. A text has a license if at least 80 % of its template's words are
-    aligned with a stretch of the text; the best stretch is given, in words, end exclusive.
+    aligned with a stretch of the text, the words that tell it from its kin (as version, Lesser, NC) among them. The best
+    stretch is given, in words, end exclusive. Templates are tried from the longest on, and no stretch is given twice: a notice
+    within a license's text, or CC BY within CC BY-NC, is no license of its own.
 
     Null and empty texts have none. Rows that share a doc_id are scanned each. Other columns are not read. An empty table
     gives an empty result.
     """
-    known = [Template(k, v, covered) for k, v in (templates or TEMPLATES).items()]
+    known = sorted((Template(k, v, covered) for k, v in (templates or TEMPLATES).items()), key=lambda t: (-len(t.words), t.name))
     keys = sorted({w for t in known for w in t.keys})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,9 +218,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, covered: int
                 for i, w in enumerate(words):
                     if w in has:
                         at.setdefault(w, []).append(i)
+                taken: list[tuple[int, int]] = []
                 for t in known:
-                    if hit := t.best(words, at):
+                    if (not at.keys().isdisjoint(t.keys)) and (hit := t.best(words, at, taken)):
                         rows.append((doc_id, t.name, len(t.words), hit[0], hit[0] / len(t.words), hit[1], hit[2]))
+                        taken.append(hit[1:])
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             names = ["doc_id", "license", "template_words", "matched_words", "coverage", "start_word", "end_word"]
