@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import UPPER_TO_LOWER, WORD, drop, join_checked, scratch, without_lines
 
 #: Leading tokens on a path of the tree; equal positions (of 100) that bring a line to a template; documents from which a
-#: template recurs; lines that one task parses together.
-LEAD, SIMILAR, RECURS, PARSED = 3, 70, 6, 2000
+#: template recurs; tokens of the lines that one task parses together; rounds without a merge after which a larger leaf is done;
+#: templates that a line is simply compared with.
+LEAD, SIMILAR, RECURS, PARSED, QUIET, FEW = 3, 70, 6, 1 << 20, 16, 64
 WILD = b"<*>"
 _VARIABLE = re.compile(rb"[^ ]*[0-9][^ ]*")
 
@@ -78,56 +79,75 @@ def _lines(keyed: DataFrame) -> DataFrame:
 
 def generalise(lines: list[bytes], similar: int = SIMILAR) -> tuple[list[int], list[bytes]]:
     """Bring lines of one leaf, in order, to the template with most equal positions, if enough are equal; where a line and
-    its template differ, the template gets a wildcard. Returns each line's template number and the templates."""
+    its template differ, the template gets a wildcard. Returns each line's template number and the templates.
+
+    A template with enough equal positions is equal at one of any ``rare`` positions at least, so where templates are many, only
+    those that have one of the line's rarest tokens at its place are compared.
+    """
     code: dict[bytes, int] = {WILD: 0}
     rows = np.array([[code.setdefault(t, len(code)) for t in x.split(b" ")] for x in lines], np.int32)
-    templates, of, n = np.empty_like(rows), [], 0
+    templates, of, n, width = np.empty_like(rows), [], 0, rows.shape[1]
+    rare = width - -(-similar * width // 100) + 1
+    having: dict[tuple[int, int], list[int]] = {}
     for row in rows:
-        if n:
-            same = (templates[:n] == row).sum(axis=1)
-            best = int(same.argmax())
-            if 100 * same[best] >= similar * rows.shape[1]:
-                templates[best][templates[best] != row] = 0
+        keys = list(enumerate(row.tolist()))
+        near = np.arange(n)
+        if n > FEW:
+            lists = sorted((having.get(k, ()) for k in keys), key=len)[:rare]
+            near = np.array(sorted(set().union(*lists)), np.int64)
+        if len(near):
+            same = (templates[near] == row).sum(axis=1)
+            best = int(near[same.argmax()])
+            if 100 * same.max() >= similar * width:
+                for p in np.flatnonzero((templates[best] != row) & (templates[best] != 0)).tolist():
+                    having.setdefault((p, 0), []).append(best)
+                    templates[best, p] = 0
                 of.append(best)
                 continue
         templates[n] = row
+        for k in keys:
+            having.setdefault(k, []).append(n)
         of.append(n)
         n += 1
     names = list(code)
     return of, [b" ".join(names[t] for t in x) for x in templates[:n]]
 
 
-def dealt(lines: DataFrame, leaves: DataFrame, parsed: int, turn: int) -> DataFrame:
-    """lines (leaf, id, text) with ``part``: those of a leaf of more than one part by their token at place ``turn``, so that lines
-    that agree there meet; a token of more than ``parsed`` lines is dealt by the next places too, and by the text at last."""
-    df = join_checked(lines, leaves.select("leaf", "parts"), "leaf")
+def dealt(lines: DataFrame, leaves: DataFrame, turn: int) -> DataFrame:
+    """lines (leaf, id, text) with ``part``: those of a leaf of more than one part by their token at a place, the ``turn``-th after the
+    leading ones, so that lines that agree there meet; a token of more lines than have room in a part is dealt by further places
+    too, and by the text at last."""
+    df = join_checked(lines, leaves.select("leaf", "parts", "room"), "leaf")
     if leaves.where("parts > 1").isEmpty():
         return df.withColumn("part", F.lit(0).cast("long"))
     tokens = F.split(F.col("text").cast("string"), " ")
     df = df.withColumn("deal", F.lit(0).cast("long")).withColumn("hot", F.when(F.col("parts") > 1, True))
     for more in range(LEAD):
-        token = F.get(tokens, F.pmod(F.lit(turn + more), F.size(tokens)))
+        token = F.get(tokens, LEAD + F.pmod(F.lit(turn + more * 7), F.greatest(F.size(tokens) - LEAD, F.lit(1))))
         df = df.withColumn("deal", F.when(F.col("hot"), F.xxhash64("deal", token)).otherwise(F.col("deal"))).drop("hot")
-        hot = scratch(df.where("parts > 1").groupBy("leaf", "deal").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > parsed).select("leaf", "deal", F.lit(True).alias("hot")))
+        hot = scratch(df.where("parts > 1").groupBy("leaf", "deal", "room").agg(F.count(F.lit(1)).alias("n")).where("n > room").select("leaf", "deal", F.lit(True).alias("hot")))
         df = join_checked(df, hot, ["leaf", "deal"], "left")
     deal = F.when(F.col("hot"), F.xxhash64("deal", "text")).otherwise(F.col("deal"))
-    return df.withColumn("part", F.pmod(F.xxhash64(deal, F.lit(turn)), "parts")).drop("deal", "hot")
+    return df.withColumn("part", F.pmod(F.xxhash64(deal, F.lit(turn)), "parts")).drop("deal", "hot", "room")
 
 
 def templates_of(lines: DataFrame, similar: int = SIMILAR, parsed: int = PARSED) -> DataFrame:
     """(leaf, line, template) for the distinct lines (leaf, line, text) of leaves that may recur.
 
-    A leaf is parsed in parts of about ``parsed`` lines; the templates of its parts are parsed again as lines, dealt by their
-    token at the next place. A leaf is done once it is one part, or after as many rounds without a merge as it has places.
-    No task ever holds a leaf that does not fit.
+    A leaf of more than ``parsed`` tokens is parsed in parts; the templates of its parts are parsed again as lines, dealt by their
+    token at the next place. Lines of n tokens that are similar differ at 30 % of the places at most, so of one place more they
+    have met at one. A leaf is done once it is one part, or after so many rounds without a merge, QUIET at most: what has not met
+    by then would be similar with a probability of 0.3 to the power of QUIET. No task ever holds a leaf that does not fit.
     """
     now = scratch(lines.select("leaf", F.col("line").alias("id"), "text"))
     mapping = now.select("leaf", F.col("id").alias("line"), F.col("id").alias("to"))
     places = F.size(F.split(F.col("text").cast("string"), " "))
     leaves = now.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.first(places).alias("places")).withColumn("quiet", F.lit(0))
+    enough = F.least(F.floor(F.col("places") * (100 - similar) / 100) + 1, F.lit(QUIET))
     done, turn = [], 0
     while True:
-        leaves = scratch(leaves.withColumn("parts", F.ceil(F.col("n") / parsed)))
+        leaves = leaves.withColumn("room", F.greatest(F.floor(F.lit(parsed) / F.col("places")), F.lit(1)))
+        leaves = scratch(leaves.withColumn("parts", F.ceil(F.col("n") / F.col("room"))))
 
         def parse(part: pa.Table) -> pa.Table:
             part = part.sort_by([("text", "ascending")])
@@ -135,13 +155,16 @@ def templates_of(lines: DataFrame, similar: int = SIMILAR, parsed: int = PARSED)
             ids = [key_of(t) for t in templates]
             return pa.table({"leaf": part["leaf"], "id": part["id"], "to": pa.array([ids[i] for i in of], pa.int64()), "template": pa.array([templates[i] for i in of], pa.binary())})
 
-        step = scratch(dealt(now, leaves, parsed, turn).groupBy("leaf", "part").applyInArrow(parse, "leaf long, id long, to long, template binary"))
+        step = scratch(dealt(now, leaves, turn).groupBy("leaf", "part").applyInArrow(parse, "leaf long, id long, to long, template binary"))
         to = step.select("leaf", "id", "to")
         mapping = to.withColumnRenamed("id", "line") if turn == 0 else mapping.withColumnRenamed("to", "id").join(to.hint("merge"), ["leaf", "id"]).select("leaf", "line", "to")
+        if leaves.where("parts > 1").isEmpty():
+            done.append(mapping)
+            break
         now = scratch(step.groupBy("leaf", F.col("to").alias("id")).agg(F.first("template").alias("text")))
         left = scratch(now.groupBy("leaf").agg(F.count(F.lit(1)).alias("left")))
         after = join_checked(leaves, left, "leaf").withColumn("quiet", F.when(F.col("left") < F.col("n"), 0).otherwise(F.col("quiet") + 1))
-        after = scratch(after.withColumn("open", (F.col("parts") > 1) & (F.col("quiet") < F.col("places"))))
+        after = scratch(after.withColumn("open", (F.col("parts") > 1) & (F.col("quiet") < enough)))
         leaves = after.where("open").select("leaf", F.col("left").alias("n"), "places", "quiet")
         if leaves.isEmpty():
             done.append(mapping)
