@@ -19,6 +19,10 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text) == F.length(text), F.lit(True))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
 

@@ -20,7 +20,7 @@ def distinct_products(rows: DataFrame) -> DataFrame:
 def type_share_gap(reviews: DataFrame, types: DataFrame) -> DataFrame:
     """Per product and type: count and share in the default and the recent list and their difference.
 
-    Shares are of all rows of the list, labelled or not. Types without rows are there with 0. One shuffle, on product and
+    Shares are of all rows of the list, labelled or not. Types (a catalog, so a few rows) without rows are there with 0. One shuffle, on product and
     type; the totals are sums over its result.
     """
     counts = reviews.groupBy("product_id", "type_id").agg(
@@ -38,14 +38,25 @@ def type_share_gap(reviews: DataFrame, types: DataFrame) -> DataFrame:
 
 def top_gap_type(gaps: DataFrame, own: DataFrame) -> DataFrame:
     """Own row of the largest absolute difference; ties by type, then product."""
-    return gaps.join(F.broadcast(own.select("product_id")), "product_id", "left_semi").orderBy(F.desc(F.abs("difference")), "type_id", "product_id").limit(1)
+    return gaps.join(own.select("product_id").hint("merge"), "product_id", "left_semi").orderBy(F.desc(F.abs("difference")), "type_id", "product_id").limit(1)
 
 
-def topic_stats(questions: DataFrame, topics: DataFrame, representatives: int = 3) -> DataFrame:
-    """Per product and topic: count, share of all questions, and the first row ids by rank and id."""
+def representatives(questions: DataFrame, most: int = 3) -> DataFrame:
+    """(product_id, topic_id, row_id, n): the first rows of each topic of a product, by rank and id."""
     order = Window.partitionBy("product_id", "topic_id").orderBy("rank", "row_id")
+    return questions.select("product_id", "topic_id", "rank", "row_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("rank")
+
+
+def eligible_topic_evidence(topics: DataFrame, questions: DataFrame, need: int = READY_ROWS) -> DataFrame:
+    """Topic rows of products with enough questions, whatever their role."""
+    enough = questions.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need).select("product_id")
+    return topics.join(enough.hint("merge"), "product_id", "left_semi")
+
+
+def topic_stats(questions: DataFrame, topics: DataFrame, most: int = 3) -> DataFrame:
+    """Per product and topic: count, share of all questions, and the first row ids by rank and id."""
     top = (
-        questions.withColumn("n", F.row_number().over(order)).where(F.col("n") <= representatives)
+        representatives(questions, most)
         .groupBy("product_id", "topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "row_id"))), lambda x: x["row_id"]).alias("representative_ids"))
     )
     counts = questions.groupBy("product_id", "topic_id").agg(F.count(F.lit(1)).alias("count"))
@@ -62,13 +73,13 @@ def topic_stats(questions: DataFrame, topics: DataFrame, representatives: int =
 def dimension_coverage(assessments: DataFrame, reviews: DataFrame, dimensions: DataFrame, need: int = TOP_ROWS) -> DataFrame:
     """Per product with enough default reviews and dimension: assessments that have it, all assessments, coverage."""
     enough = reviews.where("sort = 'default'").groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need).select("product_id")
-    rows = assessments.select("review_id", "dimensions").join(reviews.select(F.col("row_id").alias("review_id"), "product_id"), "review_id").join(enough, "product_id", "left_semi")
+    rows = assessments.select("review_id", "dimensions").join(reviews.select(F.col("row_id").alias("review_id"), "product_id").hint("merge"), "review_id").join(enough.hint("merge"), "product_id", "left_semi")
     total = rows.groupBy("product_id").agg(F.count_distinct("review_id").alias("total_count"))
     hits = (
         rows.select("product_id", "review_id", F.explode(F.array_distinct(F.transform(F.filter("dimensions", lambda d: d["present"]), lambda d: d["dimension"]))).alias("dimension"))
         .groupBy("product_id", "dimension").agg(F.count_distinct("review_id").alias("hit_count"))
     )
-    dense = enough.crossJoin(F.broadcast(dimensions.select("dimension"))).join(total, "product_id", "left").join(hits, ["product_id", "dimension"], "left")
+    dense = enough.crossJoin(F.broadcast(dimensions.select("dimension"))).join(total.hint("merge"), "product_id", "left").join(hits.hint("merge"), ["product_id", "dimension"], "left")
     hit, all_ = F.coalesce("hit_count", F.lit(0)), F.coalesce("total_count", F.lit(0))
     return dense.select(
         "product_id", "dimension", hit.alias("hit_count"), all_.alias("total_count"), share(hit, all_).alias("coverage"),
@@ -77,7 +88,7 @@ def dimension_coverage(assessments: DataFrame, reviews: DataFrame, dimensions: D
 
 
 def lowest_coverage(coverage: DataFrame, own: DataFrame) -> DataFrame:
-    return coverage.join(F.broadcast(own.select("product_id")), "product_id", "left_semi").orderBy("coverage", "dimension").limit(1)
+    return coverage.join(own.select("product_id").hint("merge"), "product_id", "left_semi").orderBy("coverage", "dimension").limit(1)
 
 
 def eligible_products(products: DataFrame, questions: DataFrame, need: int = READY_ROWS) -> DataFrame:
@@ -87,14 +98,19 @@ def eligible_products(products: DataFrame, questions: DataFrame, need: int = REA
     return products.select("product_id", "role").join(n, "product_id", "left").select("product_id", "role", q.alias("questions"), ((F.col("role") == "self") | (q >= need)).alias("eligible"))
 
 
+def top_own_topic(topics: DataFrame, own: DataFrame) -> DataFrame:
+    """Own row of the largest share; ties by topic."""
+    return topics.join(own.select("product_id").hint("merge"), "product_id", "left_semi").orderBy(F.desc("share"), "topic_id").limit(1)
+
+
 def top_topic_per_product(topics: DataFrame, eligible: DataFrame) -> DataFrame:
     order = Window.partitionBy("product_id").orderBy(F.desc("share"), "topic_id")
-    return topics.join(F.broadcast(eligible.select("product_id")), "product_id", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    return topics.join(eligible.select("product_id").hint("merge"), "product_id", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
 def readiness(reviews: DataFrame, questions: DataFrame, products: DataFrame, need: int = READY_ROWS) -> DataFrame:
     """(finding_id, status, default_rows, recent_rows, question_rows, competitors): what the own products' rows allow."""
-    own = F.broadcast(products.where("role = 'self'").select("product_id"))
+    own = products.where("role = 'self'").select("product_id").hint("merge")
     r = reviews.join(own, "product_id", "left_semi").agg(F.count_if(F.col("sort") == "default").alias("default_rows"), F.count_if(F.col("sort") == "recent").alias("recent_rows"))
     e = eligible_products(products, questions, need)
     q = e.agg(
@@ -114,7 +130,7 @@ def readiness(reviews: DataFrame, questions: DataFrame, products: DataFrame, nee
 
 def problem_flags(ready: DataFrame, gaps: DataFrame, coverage: DataFrame, topics: DataFrame, products: DataFrame) -> DataFrame:
     """(finding_id, status, measure, has_problem): each finding's measure over own products against its threshold."""
-    own = F.broadcast(products.where("role = 'self'").select("product_id"))
+    own = products.where("role = 'self'").select("product_id").hint("merge")
     m = (
         gaps.join(own, "product_id", "left_semi").agg(F.max(F.abs("difference")).alias("F01"))
         .crossJoin(F.broadcast(coverage.join(own, "product_id", "left_semi").agg(F.min("coverage").alias("F02"))))

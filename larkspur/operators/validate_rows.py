@@ -25,16 +25,52 @@ def exclude_rows(rows: DataFrame, empty: list[tuple[str, str]], cap: int = SOURC
     """Adds ``reason``: USED or the first exclusion that holds.
 
     A rank belongs to its first row that passes the earlier tests; the first ``cap`` such rows of a source are used. What comes
-    after the last of them is OVER_LIMIT, also a repeat of such a rank; other repeats are DUPLICATE_RANK. Only narrow columns
-    are sorted: first rows per rank by an aggregate, the cut of a source by a limited window over those.
+    after the last of them is OVER_LIMIT, also a repeat of such a rank; other repeats are DUPLICATE_RANK. Rows that show their
+    reason by themselves, as those without a rank, take no part in the join. Only narrow columns are sorted: first rows per
+    rank by an aggregate, the cut of a source by a limited window over those.
     """
     e = early_reason(rows, empty)
-    firsts = e.where("early IS NULL").groupBy("source_id", "rank").agg(F.min("row_no").alias("first_row"))
+    due = e.where("early IS NULL")
+    firsts = due.groupBy("source_id", "rank").agg(F.min("row_no").alias("first_row"))
     order = Window.partitionBy("source_id").orderBy("first_row")
     cuts = firsts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).groupBy("source_id").agg(F.max("first_row").alias("cut"))
-    joined = e.join(firsts, ["source_id", "rank"], "left").join(cuts, "source_id", "left")
+    joined = due.join(firsts.join(cuts.hint("merge"), "source_id").hint("merge"), ["source_id", "rank"])
     late = F.when(F.col("first_row") > F.col("cut"), "OVER_LIMIT").when(F.col("row_no") > F.col("first_row"), "DUPLICATE_RANK").otherwise("USED")
-    return joined.withColumn("reason", F.coalesce("early", late)).drop("early", "first_row", "cut")
+    done = e.where("early IS NOT NULL").withColumn("reason", F.col("early"))
+    return done.drop("early").unionByName(joined.withColumn("reason", late).drop("early", "first_row", "cut"))
+
+
+def with_row_ids(rows: DataFrame, kind: str, product: str = "product_id") -> DataFrame:
+    """Adds source_id (product:kind) and row_id (product:kind:row number)."""
+    return rows.withColumns({"source_id": F.concat_ws(":", product, F.lit(kind)), "row_id": F.concat_ws(":", product, F.lit(kind), "row_no")})
+
+
+def of_list(rows: DataFrame, products: DataFrame, sort: str, role: str) -> DataFrame:
+    """Rows of one list of the products of one role. A few products are compared, so they are joined by a hint to merge."""
+    return rows.where(F.col("sort") == sort).join(products.where(F.col("role") == role).select("product_id").hint("merge"), "product_id", "left_semi")
+
+
+def union_packs(*packs: DataFrame) -> DataFrame:
+    """Rows of several products' packs, columns by name, those that a pack lacks as nulls."""
+    out = packs[0]
+    for p in packs[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def every_pair(products: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Each product with each id of a catalog, which is a few rows: products are many, catalogs are not."""
+    return products.select("product_id").crossJoin(F.broadcast(names.select(key)))
+
+
+def known_products(rows: DataFrame, products: DataFrame) -> DataFrame:
+    """Adds whether the row's product is one of the given ones."""
+    k = products.select("product_id", F.lit(True).alias("known")).distinct()
+    return rows.join(k.hint("merge"), "product_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def without_products(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    return rows.join(gone.select("product_id").hint("merge"), "product_id", "left_anti")
 
 
 def first_by_rank(rows: DataFrame) -> DataFrame:

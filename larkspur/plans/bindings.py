@@ -63,8 +63,9 @@ PRIORITIES = "types AS (SELECT DISTINCT o_orderpriority AS type_id FROM orders)"
 FLAGS = {"persona": "l_returnflag = 'R'", "scene": "l_returnflag = 'A'", "painPoint": "l_returnflag = 'N'", "detail": "l_discount >= 0.08", "effect": "l_tax >= 0.07", "delight": "l_quantity >= 45"}
 
 
-def assessments_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = reviews_orders(spark, sf_dir).where((F.col("sort") == "default") & (F.col("rank") <= TOP))
+def assessments_orders(spark: SparkSession, sf_dir: str, reviews: DataFrame | None = None) -> DataFrame:
+    reviews = reviews_orders(spark, sf_dir) if reviews is None else reviews
+    top = reviews.where((F.col("sort") == "default") & (F.col("rank") <= TOP))
     lines = table(spark, sf_dir, "lineitem").join(top.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     has = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*[F.bool_or(F.expr(f)).alias(d) for d, f in FLAGS.items()])
     rows = top.join(has, "o_orderkey", "left")
@@ -180,10 +181,10 @@ FILES_PAGES = """files AS (
 )"""
 
 
-def markdown_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Markdown text per region: a heading and a table of its nations."""
-    n = table(spark, sf_dir, "nation")
-    lines = F.array_sort(F.collect_list(F.struct("n_nationkey", F.format_string("| %d | **%s** |", "n_nationkey", "n_name").alias("l"))))
-    rows = n.groupBy("n_regionkey").agg(F.transform(lines, lambda x: x["l"]).alias("ls")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    head = F.array(F.concat(F.lit("## 1. "), "r_name"), F.lit(""), F.lit("| key | name |"), F.lit("|---|:---:|"))
-    return rows.select(F.col("r_name").alias("doc"), F.array_join(F.concat(head, F.col("ls"), F.array(F.lit(""), F.lit("end"))), "\n").alias("markdown"))
+def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Markdown text per source and language: a heading and a table with a line for each of its documents."""
+    d = table(spark, sf_dir, "documents").withColumn("line", F.format_string("| %d | **%s** |", "doc_id", F.md5("text")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
+    rows = d.groupBy("source", "lang").agg(lines.alias("ls"))
+    head = F.array(F.concat(F.lit("## 1. "), "source", F.lit(" "), "lang"), F.lit(""), F.lit("| key | name |"), F.lit("|---|:---:|"))
+    return rows.select(F.concat_ws(":", "source", "lang").alias("doc"), F.array_join(F.concat(head, F.col("ls"), F.array(F.lit(""), F.lit("end"))), "\n").alias("markdown"))

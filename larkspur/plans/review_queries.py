@@ -10,7 +10,8 @@ from larkspur.operators import dedup as D
 from larkspur.operators import validate_rows as V
 from larkspur.plans import bindings as B
 from larkspur.plans.registry import query
-from larkspur.schemas import DIMENSIONS, KINDS, TOPICS, catalog
+from larkspur.plans.report import Report
+from larkspur.schemas import KINDS, TOPICS, catalog
 
 RO, PO, TY, AS, QC, PC, TP, GD, DR = B.REVIEWS_ORDERS, B.PRODUCTS_ORDERS, B.PRIORITIES, B.ASSESSMENTS_ORDERS, B.QUESTIONS_CONV, B.PRODUCTS_CONV, B.TOPICS_SQL, B.GRID_DOCS, B.REVIEWS_DOCS
 GAPS = """counts AS (
@@ -37,8 +38,7 @@ def gaps(s, d):
 
 
 def coverage(s, d):
-    dims = catalog(s, DIMENSIONS, "dimension")
-    return A.dimension_coverage(B.assessments_orders(s, d), B.reviews_orders(s, d), dims)
+    return Report(s, d).coverage
 
 
 def topics(s, d):
@@ -57,7 +57,8 @@ def _(s, d):
 
 @query("lowest_coverage", f"WITH {RO}, {AS}, {COVER} SELECT * FROM cover WHERE product_id = 'BUILDING' ORDER BY coverage, dimension LIMIT 1")
 def _(s, d):
-    return A.lowest_coverage(coverage(s, d), B.products_orders(s, d).where("role = 'self'"))
+    r = Report(s, d)
+    return A.lowest_coverage(r.coverage, r.own)
 
 
 @query("distinct_products", "SELECT DISTINCT c_mktsegment AS product_id FROM customer")
@@ -67,8 +68,7 @@ def _(s, d):
 
 @query("filter_by_sort_role", f"WITH {RO}, {PO} SELECT row_id, rank FROM reviews JOIN products USING (product_id) WHERE sort = 'recent' AND role = 'self'")
 def _(s, d):
-    own = B.products_orders(s, d).where("role = 'self'").select("product_id")
-    return B.reviews_orders(s, d).where("sort = 'recent'").join(F.broadcast(own), "product_id", "left_semi").select("row_id", "rank")
+    return V.of_list(B.reviews_orders(s, d), B.products_orders(s, d), "recent", "self").select("row_id", "rank")
 
 
 ELIGIBLE = "elig AS (SELECT p.product_id, role, count(q.row_id) AS questions, role = 'self' OR count(q.row_id) >= 90 AS eligible FROM qproducts p LEFT JOIN questions q ON q.product_id = p.product_id GROUP BY p.product_id, role)"
@@ -79,23 +79,22 @@ def _(s, d):
     return A.eligible_products(B.products_conv(s), B.answered(s, d))
 
 
-@query("top_topic_per_product", f"WITH {QC}, {PC}, {TP}, {TSTAT}, {ELIGIBLE} SELECT * FROM tstat WHERE product_id IN (SELECT product_id FROM elig WHERE eligible) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY share DESC, topic_id) = 1")
+@query("top_own_topic", f"WITH {QC}, {PC}, {TP}, {TSTAT} SELECT * FROM tstat WHERE product_id = 'p0' ORDER BY share DESC, topic_id LIMIT 1")
 def _(s, d):
-    return A.top_topic_per_product(topics(s, d), A.eligible_products(B.products_conv(s), B.answered(s, d)).where("eligible"))
+    return A.top_own_topic(topics(s, d), B.products_conv(s).where("role = 'self'"))
 
 
-@query("f03_eligible_evidence", f"WITH {QC}, {TP}, {TSTAT} SELECT evidence_id FROM tstat WHERE product_id IN (SELECT product_id FROM questions GROUP BY 1 HAVING count(*) >= 90)")
+@query("top_topic_per_product", f"WITH {QC}, {PC}, {TP}, {TSTAT}, {ELIGIBLE} SELECT * FROM tstat WHERE product_id IN (SELECT product_id FROM elig WHERE eligible) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY share DESC, topic_id) = 1")
 def _(s, d):
-    enough = B.answered(s, d).groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 90")
-    return topics(s, d).join(enough, "product_id", "left_semi").select("evidence_id")
+    return A.top_topic_per_product(topics(s, d), A.eligible_products(B.products_conv(s), B.answered(s, d)).where("eligible"))
 
 
-@query("representatives", f"WITH {QC} SELECT product_id, topic_id, row_id, CAST(row_number() OVER (PARTITION BY product_id, topic_id ORDER BY rank, row_id) AS INTEGER) AS n FROM questions QUALIFY n <= 3")
-def _(s, d):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("product_id", "topic_id").orderBy("rank", "row_id")
-    return B.answered(s, d).withColumn("n", F.row_number().over(order)).where("n <= 3").select("product_id", "topic_id", "row_id", "n")
+query("f03_eligible_evidence", f"WITH {QC}, {TP}, {TSTAT} SELECT evidence_id FROM tstat WHERE product_id IN (SELECT product_id FROM questions GROUP BY 1 HAVING count(*) >= 90)")(
+    lambda s, d: A.eligible_topic_evidence(topics(s, d), B.answered(s, d)).select("evidence_id")
+)
+query("representatives", f"WITH {QC} SELECT product_id, topic_id, row_id, CAST(row_number() OVER (PARTITION BY product_id, topic_id ORDER BY rank, row_id) AS INTEGER) AS n FROM questions QUALIFY n <= 3")(
+    lambda s, d: A.representatives(B.answered(s, d), 3)
+)
 
 
 READY = f"""own AS (SELECT count(*) FILTER (sort = 'default') AS default_rows, count(*) FILTER (sort = 'recent') AS recent_rows FROM reviews WHERE product_id = 'BUILDING'
@@ -104,20 +103,12 @@ READY = f"""own AS (SELECT count(*) FILTER (sort = 'default') AS default_rows, c
   default_rows, recent_rows, question_rows, competitors FROM own, ownq, (VALUES ('F01'), ('F02'), ('F03')) v(f))"""
 
 
-def domain(s, d):
-    """Products, reviews and questions of one report: the order segments, with the questions' products named after three of them."""
-    names = F.create_map(F.lit("p0"), F.lit("BUILDING"), F.lit("p1"), F.lit("FURNITURE"), F.lit("p2"), F.lit("MACHINERY"))
-    q = B.answered(s, d).withColumn("product_id", F.element_at(names, F.col("product_id")))
-    return B.products_orders(s, d), B.reviews_orders(s, d), q
-
-
 DOMAIN = f"{RO}, {PO}, {TY}, {QC.replace('questions AS (SELECT * FROM all_questions', 'questions AS (SELECT * REPLACE (CASE product_id WHEN $$p0$$ THEN $$BUILDING$$ WHEN $$p1$$ THEN $$FURNITURE$$ ELSE $$MACHINERY$$ END AS product_id) FROM all_questions')}, {TP}, {ELIGIBLE.replace('qproducts', 'products')}, {READY}"
 
 
 @query("readiness", f"WITH {DOMAIN} SELECT * FROM ready")
 def readiness(s, d):
-    p, r, q = domain(s, d)
-    return A.readiness(r, q, p)
+    return Report(s, d).ready
 
 
 FLAGGED = f"""{DOMAIN}, {AS}, {COVER}, {GAPS}, {TSTAT}, measures AS (
@@ -130,8 +121,7 @@ FLAGGED = f"""{DOMAIN}, {AS}, {COVER}, {GAPS}, {TSTAT}, measures AS (
 
 @query("problem_flags", f"WITH {FLAGGED} SELECT * FROM flagged")
 def problem_flags(s, d):
-    p, r, q = domain(s, d)
-    return A.problem_flags(A.readiness(r, q, p), gaps(s, d), coverage(s, d), A.topic_stats(q, catalog(s, TOPICS, "topic_id")), p)
+    return Report(s, d).flags
 
 
 # Validation of rows.
@@ -159,8 +149,8 @@ query(
 query("status_of", "SELECT i AS used, CASE WHEN i = 0 THEN 'missing' WHEN i < 90 THEN 'insufficient' WHEN i < 100 THEN 'provisional' ELSE 'complete' END AS status FROM (SELECT DISTINCT user_id % 120 AS i FROM events)")(
     lambda s, d: B.table(s, d, "events").select((F.col("user_id") % 120).alias("used")).distinct().select("used", V.status_of(F.col("used")).alias("status"))
 )
-query("parse_rank", "SELECT item, CASE WHEN regexp_full_match(item, '[0-9]+') AND CAST(item AS HUGEINT) BETWEEN 1 AND 9007199254740991 THEN CAST(item AS BIGINT) END AS rank FROM (SELECT substr(text, 1, 1 + doc_id % 3) AS item FROM documents UNION ALL SELECT CAST(doc_id * 1000003 - 5 AS VARCHAR) FROM documents)")(
-    lambda s, d: B.table(s, d, "documents").select(F.explode(F.array(F.substring(F.col("text"), F.lit(1), (1 + F.col("doc_id") % 3).cast("int")), (F.col("doc_id") * 1000003 - 5).cast("string"))).alias("item")).select("item", T.rank_value(F.col("item")).alias("rank"))
+query("parse_rank", "SELECT doc_id, CASE WHEN regexp_full_match(item, '[0-9]+') AND length(item) < 30 AND CAST(item AS HUGEINT) BETWEEN 1 AND 9007199254740991 THEN CAST(item AS BIGINT) END AS rank FROM (SELECT doc_id, text AS item FROM documents UNION ALL SELECT doc_id, CAST(doc_id * 1000003 - 5 AS VARCHAR) FROM documents)")(
+    lambda s, d: B.table(s, d, "documents").select("doc_id", F.explode(F.array("text", (F.col("doc_id") * 1000003 - 5).cast("string"))).alias("item")).select("doc_id", T.rank_value(F.col("item")).alias("rank"))
 )
 
 
@@ -178,46 +168,49 @@ def _(s, d):
 COUNTS = f"counts2 AS (SELECT product_id, sort || '_reviews' AS kind, count(*) AS used_rows FROM reviews GROUP BY ALL), kinds AS (SELECT * FROM (VALUES {', '.join(f'($${k}$$)' for k in KINDS)}) v(kind))"
 
 
-def source_counts(s, d):
-    return B.reviews_orders(s, d).groupBy("product_id", F.concat("sort", F.lit("_reviews")).alias("kind")).agg(F.count(F.lit(1)).alias("used_rows"))
-
-
 def all_sources(s, d):
-    return V.densify_sources(B.products_orders(s, d), s.createDataFrame([(k,) for k in KINDS], "kind string"), source_counts(s, d))
+    return Report(s, d).sources
 
 
-DENSE = f"""{RO}, {PO}, {COUNTS}, sources AS (SELECT p.product_id || ':' || k.kind AS source_id, p.product_id, k.kind, coalesce(used_rows, 0) AS used_rows,
+SOURCES = f"""{COUNTS}, sources AS (SELECT p.product_id || ':' || k.kind AS source_id, p.product_id, k.kind, coalesce(used_rows, 0) AS used_rows,
   CASE WHEN coalesce(used_rows, 0) = 0 THEN 'missing' WHEN used_rows < 90 THEN 'insufficient' WHEN used_rows < 100 THEN 'provisional' ELSE 'complete' END AS status
   FROM products p CROSS JOIN kinds k LEFT JOIN counts2 c ON c.product_id = p.product_id AND c.kind = k.kind)"""
+DENSE = f"{RO}, {PO}, {SOURCES}"
 query("densify_sources", f"WITH {DENSE} SELECT * FROM sources")(all_sources)
 
 
 @query("completeness_evidence", f"WITH {DENSE} SELECT 'DATA-' || product_id || '-' || kind AS evidence_id, product_id, role || '_' || kind AS kind, 100 AS expected_rows, used_rows AS valid_rows, used_rows, CAST(0 AS BIGINT) AS excluded_over_limit, status, used_rows < 90 AS blocking, true AS known FROM sources JOIN products USING (product_id)")
 def completeness(s, d):
-    full = all_sources(s, d).withColumn("valid_rows", F.col("used_rows")).withColumn("excluded_over_limit", F.lit(0).cast("long"))
-    return V.completeness(B.products_orders(s, d), full)
+    return Report(s, d).completeness
 
 
 @query("completeness_join", f"WITH {DENSE} SELECT source_id, product_id IN (SELECT product_id FROM products WHERE product_id <> 'MACHINERY') AS known FROM sources")
 def _(s, d):
-    some = B.products_orders(s, d).where("product_id <> 'MACHINERY'").select("product_id", F.lit(True).alias("known"))
-    return all_sources(s, d).join(some, "product_id", "left").select("source_id", F.coalesce("known", F.lit(False)).alias("known"))
+    r = Report(s, d)
+    return V.known_products(r.sources, r.products.where("product_id <> 'MACHINERY'")).select("source_id", "known")
 
 
 # Duplicates.
 
 
-def keyed(s, d, unicode=True):
-    return B.reviews_docs(s, d).withColumn("text_key", T.normalize_exact(F.col("initial_text"), unicode)).withColumn("key", F.md5("text_key"))
+def keyed(s, d):
+    return D.with_text_key(B.reviews_docs(s, d).select("row_id", "product_id", "sort", "source_id", "initial_text"), "initial_text")
 
 
 query("normalize_exact", f"WITH {DR} SELECT row_id, md5(key) AS key FROM dr")(lambda s, d: keyed(s, d).select("row_id", "key"))
-query("duplicate_groups", f"WITH {DR} SELECT source_id, md5(key) AS key, count(*) AS size, list(row_id ORDER BY row_id) AS row_ids FROM dr GROUP BY source_id, dr.key HAVING count(*) > 1")(lambda s, d: D.duplicate_groups(keyed(s, d)))
-NUMBERED = f"{DR}, nd AS (SELECT *, CAST(row_number() OVER (PARTITION BY product_id, sort, dr.key ORDER BY row_id) AS INTEGER) AS n FROM dr)"
+query("duplicate_groups", f"WITH {DR}, n AS (SELECT source_id, dr.key AS k, row_id, count(*) OVER (PARTITION BY source_id, dr.key) AS size, row_number() OVER (PARTITION BY source_id, dr.key ORDER BY row_id) AS n FROM dr) SELECT source_id, md5(k) AS key, size, CAST((n - 1) // 1000 + 1 AS BIGINT) AS part, list(row_id ORDER BY row_id) AS row_ids FROM n WHERE size > 1 GROUP BY ALL")(lambda s, d: D.duplicate_groups(keyed(s, d)))
+NUMBERED = f"{DR}, nd AS (SELECT *, row_number() OVER (PARTITION BY product_id, sort, dr.key ORDER BY row_id) AS n FROM dr)"
 query("occurrence_number", f"WITH {NUMBERED} SELECT row_id, n FROM nd")(lambda s, d: D.occurrence_number(keyed(s, d)).select("row_id", "n"))
 MATCHED = f"{NUMBERED}, m AS (SELECT l.product_id, md5(l.key) AS key, l.n, l.row_id AS default_row, r.row_id AS recent_row FROM nd l JOIN nd r ON l.product_id = r.product_id AND l.key = r.key AND l.n = r.n AND l.sort = 'default' AND r.sort = 'recent')"
 query("multiset_match", f"WITH {MATCHED} SELECT * FROM m")(lambda s, d: D.multiset_match(keyed(s, d)))
-query("cross_list_overlap", f"WITH {MATCHED} SELECT d.product_id, coalesce(max(c.pairs), 0) AS pairs, count(*) FILTER (sort = 'default') AS default_rows, count(*) FILTER (sort = 'recent') AS recent_rows, coalesce(coalesce(max(c.pairs), 0) / nullif(least(count(*) FILTER (sort = 'default'), count(*) FILTER (sort = 'recent')), 0), 0) AS overlap FROM dr d LEFT JOIN (SELECT product_id, count(*) AS pairs FROM m GROUP BY 1) c USING (product_id) GROUP BY 1")(
-    lambda s, d: D.cross_list_overlap(keyed(s, d), D.multiset_match(keyed(s, d)))
-)
+
+
+@query("cross_list_overlap", f"""WITH {MATCHED} SELECT d.product_id, coalesce(max(c.pairs), 0) AS pairs, count(*) FILTER (sort = 'default') AS default_rows, count(*) FILTER (sort = 'recent') AS recent_rows,
+  list_sort(list(DISTINCT source_id) FILTER (sort = 'default')) AS default_sources, list_sort(list(DISTINCT source_id) FILTER (sort = 'recent')) AS recent_sources,
+  coalesce(coalesce(max(c.pairs), 0) / nullif(least(count(*) FILTER (sort = 'default'), count(*) FILTER (sort = 'recent')), 0), 0) AS overlap FROM dr d LEFT JOIN (SELECT product_id, count(*) AS pairs FROM m GROUP BY 1) c USING (product_id) GROUP BY 1""")
+def _(s, d):
+    k = keyed(s, d)
+    return D.cross_list_overlap(k, D.multiset_match(k))
+
+
 query("text_intersect_all", f"WITH {MATCHED} SELECT product_id, count(*) AS pairs FROM m GROUP BY 1")(lambda s, d: D.text_intersect_all(keyed(s, d)))
