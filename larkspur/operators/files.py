@@ -6,14 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import markdown as M
-from larkspur.functions.paths import file_type
+from larkspur.functions.paths import file_type, is_system_path, is_temporary
 from larkspur.functions.text import file_extension, strip
+from larkspur.operators.numbering import numbered
+
+#: Files that one row of a manifest names at most.
+FILES = 1000
+
+
+def drop_temporary(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files without temporary ones, a warning row (id, code, detail) for each that went)."""
+    t = is_temporary(F.element_at(F.split("path", "/"), -1))
+    return files.where(~t), files.where(t).select("id", F.lit("TEMPORARY_FILE_IGNORED").alias("code"), F.col("path").alias("detail"))
+
+
+def expand_inventory(files: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(taken, skipped) of uploaded files (id, path, size) and the members of archives among them (archive_id, path, size).
+
+    A member's path stands below its archive's path without extension; its archive itself is not taken. skipped: (id, path, code),
+    UNSUPPORTED_FILE or SYSTEM_PATH.
+    """
+    stem = files.select(F.col("id").alias("archive_id"), F.regexp_replace("path", r"\.[^./]*$", "").alias("stem"))
+    inside = members.join(stem.hint("merge"), "archive_id").select(F.col("archive_id").alias("id"), F.concat_ws("/", "stem", "path").alias("path"), "size")
+    plain = files.join(members.select(F.col("archive_id").alias("id")).distinct().hint("merge"), "id", "left_anti").select("id", "path", "size")
+    every = plain.unionByName(inside)
+    code = F.when(is_system_path(F.col("path")), "SYSTEM_PATH").when(file_type(file_extension(F.col("path"))) == "other", "UNSUPPORTED_FILE")
+    every = every.withColumn("code", code)
+    return every.where("code IS NULL").drop("code"), every.where("code IS NOT NULL").select("id", "path", "code")
 
 
 def apply_overrides(files: DataFrame, overrides: DataFrame) -> DataFrame:
     """Adds group_name: the trimmed assignment if there is one, else what was detected."""
     given = F.when(strip(F.col("assigned")) != "", strip(F.col("assigned")))
-    return files.join(overrides.select("id", "assigned"), "id", "left").withColumn("group_name", F.coalesce(given, "detected")).drop("assigned")
+    return files.join(overrides.select("id", "assigned").hint("merge"), "id", "left").withColumn("group_name", F.coalesce(given, "detected")).drop("assigned")
 
 
 def file_type_counts(files: DataFrame) -> DataFrame:
@@ -32,8 +57,8 @@ def size_budgets(files: DataFrame, most_files: int, most_bytes: int, most_total:
 def group_recognition(files: DataFrame) -> DataFrame:
     """(group_name, position, files): groups in the order in which they first occur; a null group is what no rule names."""
     g = files.groupBy("group_name").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("files"))
-    order = Window.partitionBy(F.col("group_name").isNull()).orderBy("first_id")
-    return g.withColumn("position", F.row_number().over(order)).select("group_name", "position", "files")
+    n = numbered(g.withColumn("none", F.col("group_name").isNull()), ["none"], ["first_id"], "position")
+    return n.select("group_name", F.col("position").cast("int").alias("position"), "files")
 
 
 def manifest_caps(files: DataFrame, groups: int, per_group: int) -> DataFrame:
@@ -44,16 +69,20 @@ def manifest_caps(files: DataFrame, groups: int, per_group: int) -> DataFrame:
 
 
 def group_manifest(files: DataFrame) -> DataFrame:
-    """(group_name, manifest): a JSON object of each group's name and files in order."""
-    g = files.groupBy("group_name").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "path"))), lambda x: x["path"]).alias("files"))
-    return g.where(F.col("group_name").isNotNull()).select("group_name", F.to_json(F.struct(F.col("group_name").alias("name"), "files")).alias("manifest"))
+    """(group_name, part, manifest): a JSON object of each group's name and files in order, 1,000 files a part; files of no
+    group are a group without a name, the unclassified ones."""
+    n = numbered(files.select("group_name", "id", "path"), ["group_name"], ["id", "path"])
+    part = (F.floor((F.col("n") - 1) / FILES) + 1).alias("part")
+    g = n.groupBy("group_name", part).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "path"))), lambda x: x["path"]).alias("files"))
+    named = F.to_json(F.struct(F.col("group_name").alias("name"), "files"))
+    return g.select("group_name", "part", F.when(F.col("group_name").isNull(), F.to_json(F.struct(F.col("files").alias("unclassified")))).otherwise(named).alias("manifest"))
 
 
 def module_counts(files: DataFrame, module: Column, modules) -> DataFrame:
-    """Files of each module, with modules without files, and those of none as unclassified."""
+    """Files of each module, with modules without files, and those of none as unclassified. Both tables have a row per module."""
     names = files.sparkSession.createDataFrame([(m,) for m in [*modules, "unclassified"]], "module string")
     n = files.select(F.coalesce(module, F.lit("unclassified")).alias("module")).groupBy("module").agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(names).join(n, "module", "left").select("module", F.coalesce("n", F.lit(0)).alias("files"))
+    return names.join(F.broadcast(n), "module", "left").select("module", F.coalesce("n", F.lit(0)).alias("files"))
 
 
 def markdown_rows(texts: DataFrame) -> DataFrame:

@@ -9,15 +9,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import quote_contained, strip
+from larkspur.operators.numbering import numbered
 
 LABELS = "struct<labels:array<struct<rowId:bigint,typeId:string,evidenceSource:string,evidenceQuote:string>>>"
 
 
 def batch_rows(rows: DataFrame, task: str, size: int = 50) -> DataFrame:
-    """Adds request_id (task:product:list:number) and place: batches of ``size`` rows of each product and list, in row order."""
-    n = F.row_number().over(Window.partitionBy("product_id", "sort").orderBy("row_id")) - 1
-    number = (F.floor(n / size) + 1).cast("string")
-    return rows.withColumn("place", (n % size + 1).cast("int")).withColumn("request_id", F.concat_ws(":", F.lit(task), "product_id", "sort", number))
+    """Adds request_id (task:product:list:number) and place: batches of ``size`` rows of each product and list, in row order.
+
+    Only keys are numbered, which a list of any length allows; the rows join them.
+    """
+    n = numbered(rows.select("product_id", "sort", "row_id"), ["product_id", "sort"], ["row_id"], "_n").withColumn("_n", F.col("_n") - 1)
+    x = rows.join(n.hint("merge"), ["product_id", "sort", "row_id"])
+    number = (F.floor(F.col("_n") / size) + 1).cast("string")
+    return x.withColumn("place", (F.col("_n") % size + 1).cast("int")).withColumn("request_id", F.concat_ws(":", F.lit(task), "product_id", "sort", number)).drop("_n")
 
 
 def requests(batched: DataFrame, *columns: str) -> DataFrame:
@@ -38,6 +43,30 @@ def apply_labeller(batches: DataFrame, label: Callable[[pd.DataFrame], pd.DataFr
     return batches.mapInPandas(run, schema)
 
 
+def split_results(results: DataFrame, asked: DataFrame, task: str) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) of results (task, request_id, output) of one task: bad ones, with a code, are of another task or answer a
+    request that was not asked. asked: (request_id)."""
+    known = asked.select("request_id", F.lit(True).alias("_asked")).distinct()
+    x = results.join(known.hint("merge"), "request_id", "left")
+    code = F.when(~F.col("task").eqNullSafe(F.lit(task)), "TASK_MISMATCH").when(F.col("_asked").isNull(), "REQUEST_MISMATCH")
+    x = x.withColumn("code", code).drop("_asked")
+    return x.where("code IS NULL").drop("code"), x.where("code IS NOT NULL").drop("output")
+
+
+def out_of_domain(labels: DataFrame, types: DataFrame) -> DataFrame:
+    """(request_id, position, type_id) of labels whose type is not in the catalog (type_id), which is a few rows."""
+    return labels.join(F.broadcast(types.select("type_id")), "type_id", "left_anti").select("request_id", "position", "type_id")
+
+
+def results_in_order(labels: DataFrame) -> DataFrame:
+    """(request_id, n): labels of each request, in the order of request ids."""
+    return labels.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).orderBy("request_id")
+
+
+def assessments_in_order(assessments: DataFrame) -> DataFrame:
+    return assessments.orderBy("product_id", "rank", "review_id")
+
+
 def parse_results(results: DataFrame) -> DataFrame:
     """(request_id, position, row_id, type_id, quote) of JSON results; a text that is not of the declared form gives no rows."""
     parsed = results.select("request_id", F.from_json("output", LABELS).alias("o")).select("request_id", F.posexplode("o.labels").alias("position", "l"))
@@ -51,14 +80,14 @@ def first_label(labels: DataFrame) -> DataFrame:
 
 
 def attach_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    return rows.join(first_label(labels).select("row_id", "type_id", "quote"), "row_id", "left")
+    return rows.join(first_label(labels).select("row_id", "type_id", "quote").hint("merge"), "row_id", "left")
 
 
 def rejected_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(request_id, position, row_id, why): labels of unknown rows and labels after a row's first."""
     n = F.row_number().over(Window.partitionBy("row_id").orderBy("request_id", "position"))
     known = rows.select("row_id", F.lit(True).alias("known"))
-    x = labels.withColumn("n", n).join(known, "row_id", "left")
+    x = labels.withColumn("n", n).join(known.hint("merge"), "row_id", "left")
     why = F.when(F.col("known").isNull(), "UNKNOWN_ROW").when(F.col("n") > 1, "LABELLED_BEFORE")
     return x.select("request_id", "position", "row_id", why.alias("why")).where("why IS NOT NULL")
 
@@ -73,7 +102,7 @@ def results_for_products(results: DataFrame, products: DataFrame) -> DataFrame:
 def request_coverage(batched: DataFrame, labels: DataFrame) -> DataFrame:
     """Per request: rows asked for without a label, labels of other rows, rows with more than one label."""
     got = labels.groupBy("request_id", "row_id").agg(F.count(F.lit(1)).alias("times"))
-    both = batched.select("request_id", "row_id", F.lit(True).alias("asked")).join(got, ["request_id", "row_id"], "full_outer")
+    both = batched.select("request_id", "row_id", F.lit(True).alias("asked")).join(got.hint("merge"), ["request_id", "row_id"], "full_outer")
     return both.groupBy("request_id").agg(
         F.count_if(F.col("times").isNull()).alias("missing"), F.count_if(F.col("asked").isNull()).alias("foreign"), F.count_if(F.col("times") > 1).alias("repeated")
     )
@@ -145,18 +174,59 @@ def unwrap_fence(text: Column) -> Column:
     return F.when(inner != "", inner).otherwise(text)
 
 
-def strict_json_error(text: Column, required: dict[str, str], ranges: dict[str, tuple[float, float]]) -> Column:
-    """The first fault of a JSON object: not JSON, a missing or a further key, a number outside its range; null if none."""
-    keys = F.json_object_keys(text)
-    o = F.from_json(text, "struct<" + ",".join(f"{k}:{t}" for k, t in required.items()) + ">")
-    want = F.array(*[F.lit(k) for k in required])
+def strict_json_error(text: Column, shape: dict) -> Column:
+    """The first fault of a JSON object against a shape, null if there is none.
+
+    A shape names the keys, in the order in which they are checked, and no others are allowed. The value of a key is one of:
+    ("enum", names), ("int", low, high), ("number", low, high), ("text", longest), ("bool",), each with "?" after its name if it
+    may be null, or ("list", shape) for an array of objects. Faults: NOT_AN_OBJECT, MISSING_KEY, FURTHER_KEY, and
+    WRONG_ENUM, WRONG_INT, WRONG_NUMBER, WRONG_TEXT, WRONG_BOOL or WRONG_LIST with the key.
+    """
+    return _object_fault(text, shape)
+
+
+def _object_fault(text: Column, shape: dict) -> Column:
+    keys, want = F.json_object_keys(text), F.array(*[F.lit(k) for k in shape])
     out = F.when(keys.isNull(), "NOT_AN_OBJECT").when(F.size(F.array_except(want, keys)) > 0, "MISSING_KEY").when(F.size(F.array_except(keys, want)) > 0, "FURTHER_KEY")
-    for k, (low, high) in ranges.items():
-        out = out.when(F.coalesce(~o[k].between(low, high), F.lit(True)), F.lit(f"OUT_OF_RANGE {k}"))
+    # Values as JSON texts: strings keep their quotes.
+    values = F.from_json(text, "map<string,variant>")
+    for key, (kind, *more) in shape.items():
+        v = F.to_json(F.try_element_at(values, F.lit(key)))
+        name = kind.rstrip("?")
+        plain = F.coalesce(v, F.lit("null"))
+        text_of = F.from_json(F.concat(F.lit('{"v":'), plain, F.lit("}")), "v string")["v"]
+        if name == "list":
+            fault = F.array_compact(F.transform(F.from_json(plain, "array<variant>"), _fault_of(more[0])))
+            out = out.when(~F.startswith(plain, F.lit("[")), F.lit(f"WRONG_LIST {key}")).when(F.size(fault) > 0, F.concat(F.lit(f"{key}: "), F.get(fault, F.lit(0))))
+            continue
+        if name == "enum":
+            good = F.startswith(plain, F.lit('"')) & text_of.isin(*more[0])
+        elif name == "text":
+            good = F.startswith(plain, F.lit('"')) & (F.length(text_of) <= more[0])
+        elif name == "bool":
+            good = plain.isin("true", "false")
+        else:
+            form = r"^-?[0-9]+$" if name == "int" else r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+            good = plain.rlike(form) & plain.try_cast("double").between(more[0], more[1])
+        good = F.coalesce(good, F.lit(False)) | (F.lit(kind.endswith("?")) & (plain == "null"))
+        out = out.when(~good, F.lit(f"WRONG_{name.upper()} {key}"))
     return out
 
 
+def _fault_of(shape: dict) -> Callable[[Column], Column]:
+    return lambda entry: _object_fault(F.to_json(entry), shape)
+
+
 def label_shape(text: Column) -> tuple[Column, Column]:
     """Type and topic of a label whose fields have one of several names."""
     get = lambda *names: F.coalesce(*[F.get_json_object(text, f"$.{n}") for n in names])
     return get("typeId", "category", "tier"), get("topicId", "topic")
+
+
+def dimension_flags(text: Column, dimensions) -> Column:
+    """Flags of dimensions as a map, from a JSON object that has them in ``dimensions`` or beside its other fields; a missing one is false."""
+    def flag(d: str) -> Column:
+        given = F.coalesce(F.get_json_object(text, f"$.dimensions.{d}"), F.get_json_object(text, f"$.{d}"))
+        return F.coalesce(F.lower(given).isin("true", "1"), F.lit(False))
+
+    return F.create_map(*[x for d in dimensions for x in (F.lit(d), flag(d))])

@@ -10,6 +10,7 @@ from larkspur.functions import paths as P
 from larkspur.functions import text as T
 from larkspur.operators import files as FI
 from larkspur.operators import labels as L
+from larkspur.operators import validate_rows as V
 from larkspur.plans import bindings as B
 from larkspur.plans.registry import query
 
@@ -48,6 +49,13 @@ def labels(s, d):
     return L.parse_results(results(s, d))
 
 
+def sorted_results(s, d):
+    """Results of which each third is of another task, and a twin of each with a request that nobody asked for."""
+    r = results(s, d).withColumn("n", F.regexp_extract("request_id", "([0-9]+)$", 1).cast("int"))
+    r = r.select("request_id", F.when(F.col("n") % 3 == 0, "topic").otherwise("type").alias("task"), "output")
+    return L.split_results(r.union(r.select(F.concat("request_id", F.lit(":x")), F.lit("type"), "output")), asked(s, d), "type")
+
+
 query("batch_rows", f"WITH {BATCHED} SELECT row_id, request_id, place FROM batched")(lambda s, d: batched(s, d).select("row_id", "request_id", "place"))
 query("label_request_projection", f"WITH {BATCHED} SELECT request_id, count(*) AS n_rows, sum(row_id) AS id_sum, min(product_id) AS product_id FROM batched GROUP BY request_id")(
     lambda s, d: L.requests(batched(s, d), "initial_text").select(
@@ -56,9 +64,12 @@ query("label_request_projection", f"WITH {BATCHED} SELECT request_id, count(*) A
     )
 )
 query("scan_label_results", f"WITH {BATCHED} SELECT request_id, position, row_id, type_id, quote FROM labels2")(labels)
+SPLIT = f"{BATCHED}, every AS (SELECT DISTINCT request_id, CAST(regexp_extract(request_id, '([0-9]+)$', 1) AS INTEGER) AS n FROM given)"
+query("good_results", f"WITH {SPLIT} SELECT request_id, 'type' AS task FROM every WHERE n % 3 <> 0")(lambda s, d: sorted_results(s, d)[0].select("request_id", "task"))
+query("rejected_results", f"WITH {SPLIT} SELECT request_id, 'topic' AS task, 'TASK_MISMATCH' AS code FROM every WHERE n % 3 = 0 UNION ALL SELECT request_id || ':x', 'type', 'REQUEST_MISMATCH' FROM every")(lambda s, d: sorted_results(s, d)[1])
 query("scan_json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")(lambda s, d: B.table(s, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k")))
 query("first_label", f"WITH {BATCHED} SELECT request_id, position, row_id, type_id, quote FROM ranked WHERE nth = 1")(lambda s, d: L.first_label(labels(s, d)))
-query("order_results", f"WITH {BATCHED} SELECT request_id, count(*) AS n FROM labels2 GROUP BY 1 ORDER BY 1")(lambda s, d: labels(s, d).groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).orderBy("request_id"))
+query("order_results", f"WITH {BATCHED} SELECT request_id, count(*) AS n FROM labels2 GROUP BY 1 ORDER BY 1")(lambda s, d: L.results_in_order(labels(s, d)))
 query("attach_labels", f"WITH {BATCHED} SELECT dr.row_id, r.type_id, quote FROM dr LEFT JOIN ranked r ON dr.row_id = r.row_id AND nth = 1")(
     lambda s, d: L.attach_labels(B.reviews_docs(s, d).select("row_id"), labels(s, d))
 )
@@ -69,16 +80,16 @@ query("results_for_products", f"WITH {BATCHED} SELECT DISTINCT request_id FROM l
     lambda s, d: L.results_for_products(results(s, d), s.createDataFrame([("en",), ("de",)], "product_id string")).select("request_id")
 )
 query("drop_excluded_products", f"WITH {DR} SELECT row_id FROM dr WHERE product_id NOT IN ('fr', 'es')")(
-    lambda s, d: B.reviews_docs(s, d).join(F.broadcast(s.createDataFrame([("fr",), ("es",)], "product_id string")), "product_id", "left_anti").select("row_id")
+    lambda s, d: V.without_products(B.reviews_docs(s, d), s.createDataFrame([("fr",), ("es",)], "product_id string")).select("row_id")
 )
 query("label_domain_check", f"WITH {BATCHED} SELECT request_id, position, type_id FROM labels2 WHERE type_id NOT IN ('q0t0', 'q0t1', 'q1t0', 'q1t1')")(
-    lambda s, d: labels(s, d).where(~F.col("type_id").isin("q0t0", "q0t1", "q1t0", "q1t1")).select("request_id", "position", "type_id")
+    lambda s, d: L.out_of_domain(labels(s, d), s.createDataFrame([(t,) for t in ("q0t0", "q0t1", "q1t0", "q1t1")], "type_id string"))
 )
 query("request_coverage", f"WITH {BATCHED}, got AS (SELECT request_id, row_id, count(*) AS times FROM labels2 GROUP BY ALL) SELECT coalesce(b.request_id, g.request_id) AS request_id, count(*) FILTER (times IS NULL) AS missing, count(*) FILTER (b.row_id IS NULL) AS foreign, count(*) FILTER (times > 1) AS repeated FROM batched b FULL JOIN got g ON b.request_id = g.request_id AND b.row_id = g.row_id GROUP BY 1")(
     lambda s, d: L.request_coverage(batched(s, d), labels(s, d))
 )
 query("quote_contained", f"WITH {BATCHED} SELECT r.row_id, trim(r.quote) <> '' AND contains(dr.initial_text, r.quote) AS ok FROM ranked r JOIN dr USING (row_id) WHERE nth = 1")(
-    lambda s, d: L.quote_check(L.first_label(labels(s, d)).join(B.reviews_docs(s, d).select("row_id", F.col("initial_text").alias("text")), "row_id"))
+    lambda s, d: L.quote_check(L.first_label(labels(s, d)).join(B.reviews_docs(s, d).select("row_id", F.col("initial_text").alias("text")).hint("merge"), "row_id"))
 )
 query("input_limits", f"WITH {BATCHED} SELECT request_id, 'TEXT_TOO_LONG' AS code FROM batched GROUP BY 1 HAVING max(length(initial_text)) > 20000 UNION ALL SELECT request_id, 'EMPTY_TEXT' FROM batched GROUP BY 1 HAVING count(*) FILTER (trim(initial_text) = '') > 0")(
     lambda s, d: L.input_limits(batched(s, d), "initial_text")
@@ -115,7 +126,7 @@ query("top20_if_full", f"WITH {B.REVIEWS_ORDERS} SELECT row_id, product_id, rank
     lambda s, d: L.top_if_full(B.reviews_orders(s, d), 20).select("row_id", "product_id", "rank")
 )
 query("order_top20", f"WITH {B.REVIEWS_ORDERS}, {B.ASSESSMENTS_ORDERS} SELECT product_id, CAST(rank AS INTEGER) AS rank, review_id, CAST(count(*) FILTER (present) AS INTEGER) AS score FROM assessed GROUP BY ALL ORDER BY product_id, rank, review_id")(
-    lambda s, d: B.assessments_orders(s, d).orderBy("product_id", "rank", "review_id").select("product_id", "rank", "review_id", "score")
+    lambda s, d: L.assessments_in_order(B.assessments_orders(s, d)).select("product_id", "rank", "review_id", "score")
 )
 
 
@@ -141,14 +152,30 @@ FENCED = "CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || props || chr(10)
 query("unwrap_fence", "SELECT event_id, props AS inner_text FROM events")(
     lambda s, d: B.table(s, d, "events").select("event_id", L.unwrap_fence(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.col("props"))).alias("inner_text"))
 )
-query("strict_json", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'MISSING_KEY' WHEN event_id % 7 = 0 THEN 'FURTHER_KEY' WHEN CAST(json_extract(props, '$.k') AS INTEGER) > 50 THEN 'OUT_OF_RANGE k' END AS error FROM events")(
-    lambda s, d: B.table(s, d, "events").select(
-        "event_id",
-        L.strict_json_error(
-            F.when(F.col("event_id") % 5 == 0, F.lit("{}")).when(F.col("event_id") % 7 == 0, F.regexp_replace("props", r"\}$", ', "more": 1}')).otherwise(F.col("props")), {"k": "int"}, {"k": (0, 50)}
-        ).alias("error"),
-    )
-)
+SHAPE = {"rowId": ("int", 0, 10**9), "kind": ("enum", ["q0", "q1"]), "note": ("text?", 20), "ok": ("bool",), "score": ("number?", 0, 1), "dims": ("list", {"name": ("enum", ["persona", "scene"]), "hit": ("bool",)})}
+
+
+@query("strict_json", """SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'NOT_AN_OBJECT' WHEN 1 THEN 'MISSING_KEY' WHEN 2 THEN 'FURTHER_KEY' WHEN 3 THEN 'WRONG_ENUM kind' WHEN 4 THEN 'WRONG_BOOL ok' WHEN 5 THEN 'WRONG_NUMBER score' WHEN 6 THEN 'dims: WRONG_ENUM name'
+  WHEN 7 THEN 'dims: MISSING_KEY' WHEN 8 THEN 'WRONG_LIST dims' END AS error FROM documents""")
+def _(s, d):
+    """A JSON text per document, of the fault that its id says, or none."""
+    m, k = F.col("doc_id") % 10, F.col("doc_id")
+    dims = F.when(m == 6, '[{"name":"scene","hit":true},{"name":"other","hit":true}]').when(m == 7, '[{"name":"scene"}]').when(m == 8, '{"name":"scene","hit":true}').when(k % 3 == 0, "[]").otherwise('[{"name":"persona","hit":false}]')
+    parts = [
+        F.concat(F.lit('"rowId":'), k.cast("string")), F.when(m != 1, F.concat(F.lit('"kind":"'), F.when(m == 3, "q2").otherwise("q1"), F.lit('"'))), F.concat(F.lit('"note":'), F.when(k % 4 == 0, "null").otherwise('"' + "x" * 20 + '"')),
+        F.concat(F.lit('"ok":'), F.when(m == 4, '"true"').otherwise("true")), F.concat(F.lit('"score":'), F.when(m == 5, "1.5").when(k % 4 == 1, "null").otherwise("0.5")), F.concat(F.lit('"dims":'), dims), F.when(m == 2, '"more":1'),
+    ]
+    text = F.when(m == 0, "[1, 2]").otherwise(F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*parts)), ","), F.lit("}")))
+    return B.table(s, d, "documents").select("doc_id", L.strict_json_error(text, SHAPE).alias("error"))
+
+
+@query("dimension_flags", "SELECT doc_id, quality = 1 AS persona, doc_id % 2 = 0 AND toxic = 1 AS scene, false AS effect FROM labels")
+def _(s, d):
+    """Flags beside the other fields for odd documents, in an object of their own for even ones; one is never given."""
+    given = F.concat(F.lit('"persona":'), (F.col("quality") == 1).cast("string"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(',"scene":'), F.col("toxic").cast("string"))).otherwise(""))
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"dimensions":{'), given, F.lit("}}"))).otherwise(F.concat(F.lit('{"typeId":"t1",'), given, F.lit("}")))
+    flags = L.dimension_flags(text, ("persona", "scene", "effect"))
+    return B.table(s, d, "labels").select("doc_id", *[flags[k].alias(k) for k in ("persona", "scene", "effect")])
 
 
 @query("coalesce_label_shape", "SELECT doc_id, 't' || quality AS type_id, CASE WHEN doc_id % 2 = 0 THEN 'q' || toxic END AS topic_id FROM labels")
@@ -180,9 +207,14 @@ query("apply_overrides", f"WITH {GROUPED} SELECT id, group_name FROM grouped")(l
 query("drop_system_paths", f"WITH {FP} SELECT id FROM files WHERE id % 4 = 0 AND path NOT LIKE '%/'")(
     lambda s, d: B.files_pages(s, d).withColumn("p", F.when(F.col("id") % 4 == 1, F.concat("path", F.lit("/"))).when(F.col("id") % 4 == 2, F.concat(F.lit("__MACOSX/"), "path")).when(F.col("id") % 4 == 3, F.concat("path", F.lit("/.DS_Store"))).otherwise(F.col("path"))).where(~P.is_system_path(F.col("p"))).select("id")
 )
-query("drop_temp_files", f"WITH {FP} SELECT id, id % 3 = 0 OR id % 3 = 1 AS temporary FROM files")(
-    lambda s, d: B.files_pages(s, d).select("id", P.is_temporary(F.concat(F.when(F.col("id") % 3 == 0, ".~").when(F.col("id") % 3 == 1, "~$").otherwise("a"), "path")).alias("temporary"))
-)
+def uploaded(s, d):
+    """Files of which one in three has a name for a temporary file and one in three another such name."""
+    stem = F.when(F.col("id") % 3 == 0, ".~").when(F.col("id") % 3 == 1, "~$").otherwise("a")
+    return FI.drop_temporary(B.files_pages(s, d).select("id", F.concat(F.lit("up/load/"), stem, F.regexp_replace("path", "/", "_")).alias("path")))
+
+
+query("drop_temp_files", f"WITH {FP} SELECT id FROM files WHERE id % 3 = 2")(lambda s, d: uploaded(s, d)[0].select("id"))
+query("temp_file_warnings", f"WITH {FP} SELECT id, 'TEMPORARY_FILE_IGNORED' AS code, 'up/load/' || CASE id % 3 WHEN 0 THEN '.~' ELSE '~$' END || replace(path, '/', '_') AS detail FROM files WHERE id % 3 <> 2")(lambda s, d: uploaded(s, d)[1])
 query("file_type_counts", f"WITH {GROUPED}, e AS (SELECT group_name, lower(string_split(path || CASE id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.md' WHEN 2 THEN '.csv' ELSE '.bin' END, '.')[-1]) AS x FROM grouped) SELECT group_name, count(*) FILTER (x = 'png') AS image_count, count(*) FILTER (x = 'md') AS document_count, count(*) FILTER (x = 'csv') AS spreadsheet_count, count(*) FILTER (x = 'bin') AS other_count FROM e GROUP BY 1")(
     lambda s, d: FI.file_type_counts(grouped(s, d).withColumn("path", F.concat("path", F.element_at(F.array(*map(F.lit, (".PNG", ".md", ".csv", ".bin"))), (F.col("id") % 4 + 1).cast("int")))))
 )
@@ -191,7 +223,10 @@ query("group_recognition", f"WITH {GROUPED} SELECT group_name, CAST(row_number()
 query("manifest_caps", f"WITH {GROUPED} SELECT id, group_name FROM grouped WHERE group_name IN (SELECT group_name FROM grouped GROUP BY 1 ORDER BY min(id) LIMIT 20) QUALIFY row_number() OVER (PARTITION BY group_name ORDER BY id) <= 3")(
     lambda s, d: FI.manifest_caps(grouped(s, d), 20, 3).select("id", "group_name")
 )
-query("group_manifest", f"""WITH {GROUPED} SELECT group_name, '{{"name":"' || group_name || '","files":["' || string_agg(path, '","' ORDER BY id, path) || '"]}}' AS manifest FROM grouped GROUP BY 1""")(lambda s, d: FI.group_manifest(grouped(s, d)))
+query("group_manifest", f"""WITH {GROUPED}, kept AS (SELECT * REPLACE (CASE WHEN id % 6 <> 0 THEN group_name END AS group_name) FROM grouped) SELECT group_name, CAST((n - 1) // 1000 + 1 AS BIGINT) AS part, '{{"name":"' || group_name || '","files":["' || string_agg(path, '","' ORDER BY id, path) || '"]}}' AS manifest FROM (SELECT *, row_number() OVER (PARTITION BY group_name ORDER BY id) AS n FROM kept WHERE group_name IS NOT NULL) GROUP BY 1, 2
+  UNION ALL SELECT NULL, CAST((n - 1) // 1000 + 1 AS BIGINT), '{{"unclassified":["' || string_agg(path, '","' ORDER BY id, path) || '"]}}' FROM (SELECT *, row_number() OVER (ORDER BY id) AS n FROM kept WHERE group_name IS NULL) GROUP BY 2""")(
+    lambda s, d: FI.group_manifest(grouped(s, d).withColumn("group_name", F.when(F.col("id") % 6 != 0, F.col("group_name"))))
+)
 MODULE = "CASE id % 6 WHEN 0 THEN '/market/' WHEN 1 THEN '/competitor/' WHEN 2 THEN '/buyer/' WHEN 3 THEN '/detail/' WHEN 4 THEN '/review/' ELSE '/x/' END"
 
 
@@ -207,21 +242,37 @@ query("module_counts", f"WITH {FP} SELECT m AS module, count(id) AS files FROM (
 query("infer_group", f"WITH {FP} SELECT id, CASE WHEN length(detected) > 40 THEN substr(detected, 1, 40) ELSE detected END AS group_name FROM files")(
     lambda s, d: B.files_pages(s, d).select("id", P.infer_group(P.normalize_path(F.concat(F.lit("uploads/"), "path"))).alias("group_name"))
 )
-query("expand_inventory", f"WITH {FP} SELECT id, 'stem/' || path AS path, id % 3 <> 0 AS supported FROM files")(
-    lambda s, d: B.files_pages(s, d).withColumn("name", F.concat("path", F.when(F.col("id") % 3 == 0, ".exe").otherwise(".PDF"))).select(
-        "id", F.concat(F.lit("stem/"), "path").alias("path"), (P.file_type(T.file_extension(F.col("name"))) != "other").alias("supported")
-    )
+def inventory(s, d):
+    """Pages as uploads: each fifth is an archive with the pages whose ids stand a thousand apart as members; others of two types."""
+    f = B.files_pages(s, d).withColumn("path", F.regexp_replace("path", "/", "_"))
+    kind = F.when(F.col("id") % 5 == 0, ".zip").when(F.col("id") % 3 == 0, ".exe").otherwise(".PDF")
+    files = f.select("id", F.concat("path", kind).alias("path"), "size")
+    inside = f.where("id % 5 = 0").select(F.col("id").alias("archive_id"), F.explode(F.array(F.lit("a/b.md"), F.lit("__MACOSX/x.md"), F.lit("c.bin"))).alias("path"), "size")
+    return FI.expand_inventory(files, inside)
+
+
+INVENTORY = f"{FP}, i AS (SELECT id, replace(path, '/', '_') AS p FROM files)"
+query("expand_inventory", f"WITH {INVENTORY} SELECT id, p || '.PDF' AS path FROM i WHERE id % 5 <> 0 AND id % 3 <> 0 UNION ALL SELECT id, p || '/a/b.md' FROM i WHERE id % 5 = 0")(lambda s, d: inventory(s, d)[0].select("id", "path"))
+query("skipped_files", f"WITH {INVENTORY} SELECT id, p || '.exe' AS path, 'UNSUPPORTED_FILE' AS code FROM i WHERE id % 5 <> 0 AND id % 3 = 0 UNION ALL SELECT id, p || '/__MACOSX/x.md', 'SYSTEM_PATH' FROM i WHERE id % 5 = 0 UNION ALL SELECT id, p || '/c.bin', 'UNSUPPORTED_FILE' FROM i WHERE id % 5 = 0")(
+    lambda s, d: inventory(s, d)[1]
 )
 
 # Markdown.
 
-query("markdown_islands", "SELECT r_name AS doc, n_nationkey AS k, n_name AS name, r_name AS heading FROM nation JOIN region ON n_regionkey = r_regionkey")(
-    lambda s, d: FI.markdown_rows(B.markdown_regions(s, d)).where("row_no > 0").select("doc", F.get("cells", F.lit(0)).cast("int").alias("k"), F.get("cells", F.lit(1)).alias("name"), F.col("name").alias("heading"))
+query("markdown_islands", "SELECT source || ':' || lang AS doc, doc_id AS k, md5(text) AS name, source || ' ' || lang AS heading FROM documents")(
+    lambda s, d: FI.markdown_rows(B.markdown_docs(s, d)).where("row_no > 0").select("doc", F.get("cells", F.lit(0)).cast("long").alias("k"), F.get("cells", F.lit(1)).alias("name"), F.col("name").alias("heading"))
 )
-query("split_md_row", "SELECT n_nationkey, [n_name, 'a|b', ''] AS cells FROM nation")(lambda s, d: B.table(s, d, "nation").select("n_nationkey", M.split_row(F.concat(F.lit(" | "), "n_name", F.lit(r" | a\|b | | "))).alias("cells")))
-query("clean_md_cell", "SELECT n_nationkey, n_name || chr(10) || '& <x>' AS cell FROM nation")(lambda s, d: B.table(s, d, "nation").select("n_nationkey", M.clean_cell(F.concat(F.lit(" **"), "n_name", F.lit("**<br/>&amp; `<x>` "))).alias("cell")))
-query("is_md_separator", "SELECT n_nationkey, n_nationkey % 2 = 0 AS separator FROM nation")(lambda s, d: B.table(s, d, "nation").select("n_nationkey", M.is_separator(M.split_row(F.when(F.col("n_nationkey") % 2 == 0, "|:---| ---- |:---:|").otherwise("|--|---|"))).alias("separator")))
-query("clean_heading", "SELECT n_nationkey, n_name || ' x' AS heading FROM nation")(lambda s, d: B.table(s, d, "nation").select("n_nationkey", M.clean_heading(F.concat(F.lit("三、 **"), "n_name", F.lit("** `x` "))).alias("heading")))
-query("fit_width", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN [n_name, ''] ELSE [n_name, 'b'] END AS cells FROM nation")(
-    lambda s, d: B.table(s, d, "nation").select("n_nationkey", M.fit_width(F.when(F.col("n_nationkey") % 2 == 0, F.array("n_name")).otherwise(F.array("n_name", F.lit("b"), F.lit("c"))), F.lit(2)).alias("cells"))
+DOCS = "(SELECT doc_id, md5(text) AS m FROM documents)"
+
+
+def md(s, d):
+    return B.table(s, d, "documents").select("doc_id", F.md5("text").alias("m"))
+
+
+query("split_md_row", f"SELECT doc_id, [m, 'a|b', ''] AS cells FROM {DOCS}")(lambda s, d: md(s, d).select("doc_id", M.split_row(F.concat(F.lit(" | "), "m", F.lit(r" | a\|b | | "))).alias("cells")))
+query("clean_md_cell", f"SELECT doc_id, m || chr(10) || '& <x>' AS cell FROM {DOCS}")(lambda s, d: md(s, d).select("doc_id", M.clean_cell(F.concat(F.lit(" **"), "m", F.lit("**<br/>&amp; `<x>` "))).alias("cell")))
+query("is_md_separator", f"SELECT doc_id, doc_id % 2 = 0 AS separator FROM {DOCS}")(lambda s, d: md(s, d).select("doc_id", M.is_separator(M.split_row(F.when(F.col("doc_id") % 2 == 0, "|:---| ---- |:---:|").otherwise("|--|---|"))).alias("separator")))
+query("clean_heading", f"SELECT doc_id, m || ' x' AS heading FROM {DOCS}")(lambda s, d: md(s, d).select("doc_id", M.clean_heading(F.concat(F.lit("三、 **"), "m", F.lit("** `x` "))).alias("heading")))
+query("fit_width", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [m, ''] ELSE [m, 'b'] END AS cells FROM {DOCS}")(
+    lambda s, d: md(s, d).select("doc_id", M.fit_width(F.when(F.col("doc_id") % 2 == 0, F.array("m")).otherwise(F.array("m", F.lit("b"), F.lit("c"))), F.lit(2)).alias("cells"))
 )

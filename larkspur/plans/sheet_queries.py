@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.operators import integrity as I
+from larkspur.operators import report as R
+from larkspur.operators import validate_rows as V
 from larkspur.plans import bindings as B
 from larkspur.plans import review_queries as RQ
 from larkspur.plans.registry import query
+from larkspur.schemas import FINDINGS
 from larkspur.sources import headers as H
+from larkspur.sources import workbooks as W
 
 NAMES = ("序号", "评价时间", "SKU", "初评内容")
 
@@ -59,30 +63,47 @@ query("question_profile", f"WITH {SHEETS} SELECT source_id, CASE k % 3 WHEN 0 TH
     )
 )
 query("row_and_source_ids", "SELECT source || ':default_reviews' AS source_id, source || ':default_reviews:' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) + 1) AS row_id FROM documents")(
-    lambda s, d: B.grid_docs(s, d).select(F.concat_ws(":", "source_id", F.lit("default_reviews")).alias("source_id"), F.concat_ws(":", "source_id", F.lit("default_reviews"), "row_no").alias("row_id"))
+    lambda s, d: V.with_row_ids(B.grid_docs(s, d), "default_reviews", "source_id").select("source_id", "row_id")
 )
-query("select_sheet", f"WITH {SHEETS} SELECT source_id, CASE WHEN k % 5 = 0 THEN 'MISSING_REVIEW_SHEET' ELSE 'RANK_ORDER_CONFLICT' END AS code FROM sheets WHERE k % 5 = 0 OR k % 2 = 1")(
+query("select_sheet", "SELECT source AS path, doc_id, lang AS sheet FROM documents WHERE lang = 'en'")(
+    lambda s, d: W.select_sheet(B.table(s, d, "documents").select(F.col("source").alias("path"), "doc_id", F.col("lang").alias("sheet"), F.lit(None).cast("int").alias("sheet_no")), "en").select("path", "doc_id", "sheet")
+)
+query("sheet_conflicts", f"WITH {SHEETS} SELECT source_id, CASE WHEN k % 5 = 0 THEN 'MISSING_REVIEW_SHEET' ELSE 'RANK_ORDER_CONFLICT' END AS code FROM sheets WHERE k % 5 = 0 OR k % 2 = 1")(
     lambda s, d: _conflicts(s, d)
 )
 
 
 def _conflicts(s, d):
-    from larkspur.sources.workbooks import sheet_conflicts
-
     k = F.col("k")
     names = F.when(k % 5 == 0, F.array(F.lit("default"))).when(k % 2 == 1, F.array(F.lit("recent"), F.lit("default"))).otherwise(F.array(F.lit("default"), F.lit("recent")))
     cells = sheets(s, d).select(F.col("source_id").alias("path"), F.posexplode(names).alias("sheet_no", "sheet"))
-    return sheet_conflicts(cells, "default", "recent").withColumnRenamed("path", "source_id")
+    return W.sheet_conflicts(cells, "default", "recent").withColumnRenamed("path", "source_id")
+
+
+@query("preflight_gate", f"""WITH {SHEETS}, used AS (SELECT source AS source_id, count(*) AS n FROM documents GROUP BY 1) SELECT source_id, CASE WHEN k % 7 = 0 THEN 'NAME_MISSING' WHEN k % 4 = 0 OR k % 3 = 0 THEN 'HEADER_FAULT' WHEN n < 5 THEN 'NOTHING_PARSED' WHEN k % 5 = 0 THEN 'NOT_CONFIRMED' END AS why,
+  NOT (k % 7 = 0 OR k % 4 = 0 OR k % 3 = 0 OR n < 5 OR k % 5 = 0) AS ready, CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS warnings FROM sheets JOIN used USING (source_id)""")
+def _(s, d):
+    """Sources as packs: some without a name, with faults in their header, with too few rows or not confirmed; some with warnings."""
+    k = F.col("k")
+    packs = sheets(s, d).select("source_id", F.when(k % 7 == 0, " ").otherwise(F.col("source_id")).alias("name"), (k % 5 != 0).alias("confirmed"))
+    used = B.table(s, d, "documents").groupBy(F.col("source").alias("source_id")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("source_id")
+    warnings = sheets(s, d).where(k % 2 == 0).select("source_id")
+    return H.preflight_gate(packs, mapped(s, d)[1], used, warnings)
 
 
-query("preflight_gate", f"WITH {SHEETS} SELECT source_id, k % 4 <> 0 AND k % 3 <> 0 AS ready FROM sheets")(
-    lambda s, d: sheets(s, d).select("source_id").join(mapped(s, d)[1].where("code <> 'IGNORED_COLUMN'").select("source_id", F.lit(False).alias("ok")).distinct(), "source_id", "left").select("source_id", F.coalesce("ok", F.lit(True)).alias("ready"))
+@query("by_order_ranks", "SELECT source AS source_id, doc_id AS row_no, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS rank FROM documents")
+def _(s, d):
+    return H.rank_by_order(B.table(s, d, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("row_no"), "text")).select("source_id", "row_no", "rank")
+
+
+query("union_packs", "SELECT product_id, count(*) AS n, count(extra) AS extras FROM (SELECT lang AS product_id, NULL AS extra FROM documents UNION ALL SELECT source, doc_id FROM documents) GROUP BY 1")(
+    lambda s, d: V.union_packs(B.table(s, d, "documents").select(F.col("lang").alias("product_id")), B.table(s, d, "documents").select(F.col("source").alias("product_id"), F.col("doc_id").alias("extra")))
+    .groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.count("extra").alias("extras"))
 )
-query("union_packs", "SELECT product_id, count(*) AS n FROM (SELECT lang AS product_id FROM documents UNION ALL SELECT source FROM documents) GROUP BY 1")(
-    lambda s, d: B.table(s, d, "documents").select(F.col("lang").alias("product_id")).unionByName(B.table(s, d, "documents").select(F.col("source").alias("product_id"))).groupBy("product_id").agg(F.count(F.lit(1)).alias("n"))
+query("screenshot_tags_flatten", "SELECT role AS product_id, x AS name, len(x) AS count FROM (SELECT role, unnest(regexp_extract_all(text, '[a-z]+')) AS x FROM conversations)")(
+    lambda s, d: R.flatten_tags(B.table(s, d, "conversations").select(F.col("role").alias("product_id"), F.transform(F.regexp_extract_all("text", F.lit("[a-z]+"), 0), lambda x: F.struct(x.alias("name"), F.length(x).cast("long").alias("count"))).alias("tags")))
 )
-query("screenshot_tags_flatten", "SELECT conv_id, unnest(string_split(role, 's')) AS tag FROM conversations")(lambda s, d: B.table(s, d, "conversations").select("conv_id", F.explode(F.split("role", "s")).alias("tag")))
-query("cross_catalog", f"WITH {B.PRODUCTS_ORDERS}, {B.PRIORITIES} SELECT product_id, type_id FROM products, types")(lambda s, d: B.products_orders(s, d).select("product_id").crossJoin(F.broadcast(B.priorities(s, d))))
+query("cross_catalog", f"WITH {B.PRODUCTS_ORDERS}, {B.PRIORITIES} SELECT product_id, type_id FROM products, types")(lambda s, d: V.every_pair(B.products_orders(s, d), B.priorities(s, d), "type_id"))
 
 
 @query("gate_then_write", f"WITH {RQ.DENSE} SELECT source_id, used_rows FROM sources")
@@ -96,13 +117,16 @@ def _(s, d):
     return s.read.schema(rows.schema).parquet(path)
 
 
-query("validate_facts", f"WITH {B.PRODUCTS_ORDERS} SELECT 'REPEATED_PRODUCT' AS code, product_id AS object_id FROM products WHERE product_id = 'MACHINERY' UNION ALL SELECT 'UNKNOWN_PRODUCT', 'x:' || product_id FROM products")(
-    lambda s, d: _facts(s, d)
-)
+FACTS = f"""SELECT 'REPEATED_PRODUCT' AS code, product_id AS object_id FROM products WHERE product_id = 'MACHINERY' UNION ALL SELECT 'NO_OWN_PRODUCT', 'products' UNION ALL SELECT 'UNKNOWN_PRODUCT', 'x:' || product_id FROM products
+  UNION ALL SELECT 'REPEATED_EVIDENCE', 'AGG:BUILDING' UNION ALL SELECT 'UNKNOWN_EVIDENCE', 'AGG:none' UNION ALL SELECT 'UNKNOWN_FINDING', 'F09' UNION ALL SELECT 'REPEATED_FINDING', 'F02'"""
 
 
-def _facts(s, d):
-    p = B.products_orders(s, d).select("product_id")
+@query("validate_facts", f"WITH {B.PRODUCTS_ORDERS} {FACTS}")
+def _(s, d):
+    """Facts and a proposal with a fault of each kind."""
+    p = B.products_orders(s, d).select("product_id", F.lit("competitor").alias("role"))
     given = p.union(p.where("product_id = 'MACHINERY'"))
-    cited = p.select("product_id", F.col("product_id").alias("evidence_id")).union(p.select(F.concat(F.lit("x:"), "product_id"), F.concat(F.lit("x:"), "product_id")))
-    return I.repeated(given, "product_id", "REPEATED_PRODUCT").union(I.unknown(cited, p, ["product_id"], "UNKNOWN_PRODUCT", "evidence_id"))
+    cited = p.select("product_id", F.concat(F.lit("AGG:"), "product_id").alias("evidence_id"))
+    cited = cited.union(cited.where("product_id = 'BUILDING'")).union(p.select(F.concat(F.lit("x:"), "product_id"), F.concat(F.lit("x:"), "product_id")))
+    proposals = s.createDataFrame([("F01", ["AGG:BUILDING"]), ("F02", ["AGG:none"]), ("F02", []), ("F09", ["AGG:BUILDING"])], "finding_id string, evidence_ids array<string>")
+    return I.validate_facts(given, cited, proposals, FINDINGS)

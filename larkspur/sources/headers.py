@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import normalize_header
+from larkspur.functions.text import normalize_header, strip
+from larkspur.operators.numbering import numbered
 
 # Names under which exports have each field.
 REVIEW_ALIASES = {
@@ -45,7 +46,7 @@ def map_headers(headers: DataFrame, aliases: DataFrame, required: list[str], ign
     sources = headers.select("source_id").distinct()
     empty = sources.join(named, "source_id", "left_anti").select("source_id", F.lit("MISSING_HEADER").alias("code"), F.lit("").alias("detail"))
     due = sources.join(empty, "source_id", "left_anti").select("source_id", F.explode(F.array(*[F.lit(r) for r in required])).alias("field"))
-    lacking = due.join(mapping, ["source_id", "field"], "left_anti").select("source_id", F.lit("MISSING_COLUMN").alias("code"), F.col("field").alias("detail"))
+    lacking = due.join(mapping.hint("merge"), ["source_id", "field"], "left_anti").select("source_id", F.lit("MISSING_COLUMN").alias("code"), F.col("field").alias("detail"))
     return mapping, faults.union(empty).union(lacking)
 
 
@@ -53,7 +54,7 @@ def pivot_cells(cells: DataFrame, mapping: DataFrame, faults: DataFrame, fields:
     """Cells (source_id, row_no, col_no, value, is_formula) as rows with one column per field, and whether the rank is a
     formula; a source with an error gives no rows."""
     bad = faults.where("code <> 'IGNORED_COLUMN'").select("source_id").distinct()
-    x = cells.join(mapping, ["source_id", "col_no"]).join(bad, "source_id", "left_anti")
+    x = cells.join(mapping.hint("merge"), ["source_id", "col_no"]).join(bad.hint("merge"), "source_id", "left_anti")
     columns = [F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields]
     formula = F.coalesce(F.bool_or((F.col("field") == "rank") & F.col("is_formula")), F.lit(False)).alias("is_formula")
     return x.groupBy("source_id", "row_no").agg(*columns, formula)
@@ -66,3 +67,25 @@ def question_profile(headers: DataFrame, exact: list[str]) -> DataFrame:
     g = h.groupBy("source_id").agg(names.alias("names"))
     rank = F.arrays_overlap("names", F.array(*[F.lit(n) for n in QUESTION_ALIASES["rank"]]))
     return g.select("source_id", F.when(F.col("names") == F.array(*[F.lit(e) for e in exact]), "by_order").when(rank, "by_rank").otherwise("INVALID_QUESTION_HEADER_PROFILE").alias("profile"))
+
+
+def rank_by_order(rows: DataFrame) -> DataFrame:
+    """Adds rank: the place of each row (source_id, row_no) in its source, for sheets that have no rank of their own."""
+    n = numbered(rows.select("source_id", "row_no"), ["source_id"], ["row_no"], "rank")
+    return rows.join(n.hint("merge"), ["source_id", "row_no"])
+
+
+def preflight_gate(packs: DataFrame, faults: DataFrame, parsed: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(source_id, why, ready, warnings): whether a pack may be sent on, and the first reason why not: it has no name, its header
+    has faults, nothing was parsed, or it was not confirmed. Warnings are counted and stop nothing.
+
+    packs: source_id, name, confirmed; faults: of map_headers(); parsed: source_id of packs with rows; warnings: source_id of each.
+    """
+    bad = faults.where("code <> 'IGNORED_COLUMN'").select("source_id", F.lit(True).alias("_bad")).distinct()
+    has = parsed.select("source_id", F.lit(True).alias("_parsed")).distinct()
+    count = warnings.groupBy("source_id").agg(F.count(F.lit(1)).alias("_warnings"))
+    x = packs
+    for t in (bad, has, count):
+        x = x.join(t.hint("merge"), "source_id", "left")
+    why = F.when(strip(F.coalesce("name", F.lit(""))) == "", "NAME_MISSING").when(F.col("_bad"), "HEADER_FAULT").when(F.col("_parsed").isNull(), "NOTHING_PARSED").when(~F.coalesce("confirmed", F.lit(False)), "NOT_CONFIRMED")
+    return x.select("source_id", why.alias("why"), why.isNull().alias("ready"), F.coalesce("_warnings", F.lit(0)).cast("int").alias("warnings"))
