@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -31,10 +31,12 @@ def spark(tmp_path_factory):
 def duck():
     import duckdb
 
-    con = duckdb.connect()
-    for f in os.listdir(SMALL):
-        con.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SMALL}/{f}'")
-    return con
+    out = {}
+    for folder in (SMALL, LARGER):
+        out[folder] = duckdb.connect()
+        for f in os.listdir(folder):
+            out[folder].sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}'")
+    return out
 
 
 def plain(v):
@@ -62,9 +64,9 @@ def rows(columns, table):
 def same(spark, duck):
     """Asserts that a query and its SQL give the same rows."""
 
-    def check(query, sql):
-        got = query(spark, SMALL)
-        want = duck.sql(sql)
+    def check(query, sql, folder=SMALL):
+        got = query(spark, folder)
+        want = duck[folder].sql(sql)
         assert sorted(got.columns) == sorted(want.columns)
         columns = sorted(got.columns)
         left = rows(columns, [r.asDict() for r in got.collect()])

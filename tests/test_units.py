@@ -1,6 +1,7 @@
 """Functions and small operators on literal rows."""
 
 import zipfile
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,9 @@ from pyspark.sql import functions as F
 from larkspur.functions import markdown as M
 from larkspur.functions import paths as P
 from larkspur.functions import text as T
-from larkspur.operators import files, findings, integrity, labels, validate_rows
+from larkspur.operators import dedup, files, findings, integrity, labels, report, validate_rows
+from larkspur.operators.numbering import numbered
+from larkspur.plans.spill import scratch_path
 from larkspur.sources import headers, workbooks
 
 
@@ -111,7 +114,9 @@ def test_sink_is_gated(spark, tmp_path):
 
 def test_findings_without_data(spark):
     f = spark.createDataFrame([("F01", "available", False, ["AGG-1"]), ("F02", "available", True, ["AGG-2"]), ("F03", "unavailable", False, ["DATA-3"])], "finding_id string, status string, has_problem boolean, evidence_ids array<string>")
-    got = findings.build_actions(f, short_competitor=True).orderBy("action_id").collect()
+    eligible = spark.createDataFrame([("a", "self", 20, True), ("b", "competitor", 95, True), ("c", "competitor", 3, False)], "product_id string, role string, questions long, eligible boolean")
+    got = findings.build_actions(f, eligible).orderBy("action_id").collect()
+    assert findings.build_actions(f, eligible.where("product_id <> 'c'")).where("action_id = 'A02'").first().action == "补齐问大家数据"
     assert [(r.action_id, r.priority, r.finding_ids) for r in got] == [("A01", "P1", ["F02"]), ("A02", "P0", ["F03"])]
     assert got[1].reason == "F03｜DATA-3：" + findings.MORE_COMPETITORS[1]
 
@@ -163,3 +168,40 @@ def test_headers_without_any(spark):
     mapping, faults = headers.map_headers(h, headers.alias_table(spark, headers.REVIEW_ALIASES), ["rank"])
     assert [(r.source_id, r.field, r.col_no) for r in mapping.collect()] == [("a", "rank", 1)]
     assert {(r.source_id, r.code, r.detail) for r in faults.collect()} == {("a", "DUPLICATE_COLUMN", "排名"), ("b", "MISSING_HEADER", "")}
+
+
+def test_numbers_in_groups_of_any_size(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("g"), F.col("id") % 7)).when(F.col("id") % 10 > 1, F.lit("hot")).alias("g"), (F.col("id") * 7919 % 3001).alias("o"), F.lit("x").alias("n2"))
+    want = defaultdict(list)
+    for r in rows.collect():
+        want[r.g].append(r.o)
+    got = defaultdict(list)
+    for r in numbered(rows, ["g"], ["o"]).orderBy("g", "n").collect():
+        got[r.g].append((r.n, r.o))
+    assert got == {g: list(enumerate(sorted(o), 1)) for g, o in want.items()}
+    assert numbered(rows.where("false"), ["g"], ["o"]).count() == 0
+
+
+def test_only_texts_beyond_ascii_are_normalised_in_python(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, "ａ ｂ"), (3, "ab"), (4, None), (5, "\u3000é"), (6, "e\u0301")], "row_id long, text string")
+    key = {r.row_id: r.key for r in dedup.with_text_key(rows, "text").collect()}
+    assert key[1] == key[2] == key[3] and key[4] is None and key[5] == key[6] != key[1]
+
+
+def test_notes_are_appended(spark, tmp_path):
+    notes = spark.createDataFrame([(1, "2024-01-01", " a ", None), (2, "2024-01-02", " ", "x"), (3, "2024-01-02", "b", "y")], "note_id long, ts string, title string, content string")
+    report.append_notes(notes, str(tmp_path / "n"))
+    table = report.append_notes(notes.where("note_id = 3").withColumn("note_id", F.lit(4).cast("long")), str(tmp_path / "n"))
+    assert [(r.note_id, r.title, r.content) for r in report.recent_notes(table, 2).collect()] == [(4, "b", "y"), (3, "b", "y")] and table.count() == 3
+
+
+def test_work_tables_need_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch_path(Session())
