@@ -5,40 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LIST, TOP, CAP = 100, 20, 20
+from larkspur.operators.numbering import numbered
+
+TOP, CAP = 20, 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Orders as reviews: the segment is the product, the dearest and the latest orders its two lists, the priority the type.
+# Orders as reviews: the segment is the product, even orders are its default list from the dearest on, odd ones its recent list
+# from the latest on, the priority is the type.
 
 
 def reviews_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("c_mktsegment").alias("product_id"), "o_orderkey", "o_totalprice", "o_orderdate", F.col("o_orderpriority").alias("type_id")
-    )
-    lists = []
-    for sort, by in (("default", "o_totalprice"), ("recent", "o_orderdate")):
-        rank = F.row_number().over(Window.partitionBy("product_id").orderBy(F.desc(by), "o_orderkey"))
-        lists.append(o.withColumn("rank", rank).where(F.col("rank") <= LIST).withColumn("sort", F.lit(sort)))
-    rows = lists[0].unionByName(lists[1])
-    return rows.select(
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("product_id"))
+    o = table(spark, sf_dir, "orders").join(customers.hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
+    even = F.col("o_orderkey") % 2 == 0
+    by = F.when(even, -F.col("o_totalprice").cast("double")).otherwise(-F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double"))
+    o = o.select("product_id", F.when(even, "default").otherwise("recent").alias("sort"), by.alias("_by"), "o_orderkey", F.col("o_orderpriority").alias("type_id"))
+    return numbered(o, ["product_id", "sort"], ["_by", "o_orderkey"], "rank").select(
         F.concat_ws(":", "sort", "o_orderkey").alias("row_id"), F.concat("product_id", F.lit(":"), "sort", F.lit("_reviews")).alias("source_id"),
-        "product_id", "sort", "rank", "type_id", "o_orderkey",
+        "product_id", "sort", F.col("rank").cast("int").alias("rank"), "type_id", "o_orderkey",
     )
 
 
-REVIEWS_ORDERS = f"""ro_all AS (
-  SELECT c_mktsegment AS product_id, o_orderkey, o_orderpriority AS type_id,
-    row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS rd,
-    row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate DESC, o_orderkey) AS rr
+REVIEWS_ORDERS = """ro_all AS (
+  SELECT c_mktsegment AS product_id, o_orderkey, o_orderpriority AS type_id, CASE WHEN o_orderkey % 2 = 0 THEN 'default' ELSE 'recent' END AS sort, o_totalprice, o_orderdate
   FROM orders JOIN customer ON o_custkey = c_custkey
 ), reviews AS (
-  SELECT sort || ':' || o_orderkey AS row_id, product_id || ':' || sort || '_reviews' AS source_id, product_id, sort, CAST(rank AS INTEGER) AS rank, type_id, o_orderkey FROM (
-    SELECT product_id, o_orderkey, type_id, 'default' AS sort, rd AS rank FROM ro_all WHERE rd <= {LIST}
-    UNION ALL SELECT product_id, o_orderkey, type_id, 'recent', rr FROM ro_all WHERE rr <= {LIST})
+  SELECT sort || ':' || o_orderkey AS row_id, product_id || ':' || sort || '_reviews' AS source_id, product_id, sort, type_id, o_orderkey,
+    CAST(row_number() OVER (PARTITION BY product_id, sort ORDER BY CASE WHEN sort = 'default' THEN o_totalprice END DESC, CASE WHEN sort = 'recent' THEN o_orderdate END DESC, o_orderkey) AS INTEGER) AS rank FROM ro_all
 )"""
 
 
@@ -66,9 +63,9 @@ FLAGS = {"persona": "l_returnflag = 'R'", "scene": "l_returnflag = 'A'", "painPo
 def assessments_orders(spark: SparkSession, sf_dir: str, reviews: DataFrame | None = None) -> DataFrame:
     reviews = reviews_orders(spark, sf_dir) if reviews is None else reviews
     top = reviews.where((F.col("sort") == "default") & (F.col("rank") <= TOP))
-    lines = table(spark, sf_dir, "lineitem").join(top.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    lines = table(spark, sf_dir, "lineitem").join(top.select(F.col("o_orderkey").alias("l_orderkey")).hint("merge"), "l_orderkey", "left_semi")
     has = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*[F.bool_or(F.expr(f)).alias(d) for d, f in FLAGS.items()])
-    rows = top.join(has, "o_orderkey", "left")
+    rows = top.join(has.hint("merge"), "o_orderkey", "left")
     dims = F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(d, F.lit(False)).alias("present"), F.when(F.col(d), F.concat(F.lit(f"{d}:"), "row_id")).otherwise("").alias("evidence")) for d in FLAGS])
     rows = rows.select(F.col("row_id").alias("review_id"), "product_id", "rank", dims.alias("dimensions"))
     return rows.withColumn("score", F.size(F.filter("dimensions", lambda d: d["present"])))
