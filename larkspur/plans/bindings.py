@@ -89,9 +89,8 @@ def questions_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(m < 2, "p0").when(m < 4, "p1").otherwise("p2").alias("product_id"), "conv_id", "turn", F.col("text").alias("question"),
         F.when(F.col("next_role") == "assistant", F.col("next_text")).otherwise("").alias("answer"),
     )
-    rank = F.row_number().over(Window.partitionBy("product_id").orderBy("conv_id", "turn"))
-    return c.select(
-        F.concat("product_id", F.lit(":questions")).alias("source_id"), F.concat_ws(":", F.lit("q"), "conv_id", "turn").alias("row_id"), "product_id", rank.alias("rank"),
+    return numbered(c, ["product_id"], ["conv_id", "turn"], "rank").select(
+        F.concat("product_id", F.lit(":questions")).alias("source_id"), F.concat_ws(":", F.lit("q"), "conv_id", "turn").alias("row_id"), "product_id", F.col("rank").cast("int").alias("rank"),
         "question", "answer", F.concat(F.lit("q"), 1 + F.length("question") % 8).alias("topic_id"),
     )
 
@@ -124,8 +123,8 @@ TOPICS_SQL = "topics AS (SELECT 'q' || i AS topic_id FROM range(1, 9) t(i))"
 
 def grid_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars")
-    sq = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    d = d.withColumn("sq", sq)
+    places = numbered(d.select("source", "doc_id"), ["source"], ["doc_id"], "sq").select("doc_id", "sq")
+    d = d.join(places.hint("merge"), "doc_id")
     rank = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("sq") % 5 == 0, F.col("sq") - 1).otherwise(F.col("sq"))
     return d.select(
         F.col("source").alias("source_id"), (F.col("sq") + 1).alias("row_no"), (F.col("doc_id") % 17 == 0).alias("is_formula"), rank.cast("string").alias("rank_text"),
