@@ -313,6 +313,14 @@ def test_the_walk_prunes(monkeypatch):
     assert (best.score == -np.sort(-want, axis=1)[:, :5]).all() and sum(scored) < 0.5 * want.size
 
 
+def test_search_reads_no_other_columns(spark):
+    m = np.random.default_rng(44).normal(size=(60, 4))
+    d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    one = topk_search.exact_top_k(d, F.col("vec_id") % 20 == 0, 5).collect()
+    two = topk_search.exact_top_k(d.withColumns({c: F.lit("x") for c in ("v", "cell", "block", "grp", "floor", "asks", "parts")}), F.col("vec_id") % 20 == 0, 5).collect()
+    assert sorted(one) == sorted(two) and len(one) == 15
+
+
 def test_search_without_vectors(spark):
     assert topk_search.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
@@ -363,6 +371,14 @@ def test_pieces_are_the_documents(spark, docs):
     assert all(len(r.ids) == r.length for r in kept)
 
 
+def test_rows_that_share_an_id_are_packed_each(spark):
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    d = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (1, "four"), (None, None), (2, "word " * 5000)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("salt", "grp", "length", "ids")})
+    rows = packing.packed_documents(d, path).collect()
+    assert sum(r.length for r in rows) == 4 + 4 + 2 + 1 + 5001 and sorted(r.doc_tokens for r in rows if r.doc_id == 1) == [2, 4, 4]
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) and [r.doc_tokens for r in rows if r.doc_id is None] == [1]
+
+
 # 5 scores
 
 
@@ -850,6 +866,53 @@ def test_labelers_are_weighed():
 # pipeline
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before has written, against the rules of its operator in plain Python."""
+    import corpus_pipeline as c
+    from tokenizers import Tokenizer
+
+    rows = [r for r in corpus(41, 150) if r[0] is not None]
+    r = random.Random(42)
+    notice = "this line stands in very many documents of all hosts"
+    rows += [(1000 + i, f"{prose(r, 70)}\n{notice}\nprinted at {i}:00 by the press of {i} streets\n{prose(r, 20)}", "en", "hot", 0) for i in range(16)]
+    now = spark.createDataFrame(rows, DOCS)
+    now.write.parquet(str(tmp_path / "in"))
+    now, stages = spark.read.parquet(str(tmp_path / "in")), dict(c.STAGES)
+    given = [tuple(x) for x in now.collect()]
+
+    def after(name):
+        stages[name](spark, now, "").write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    now = after("quality rules")
+    want = Counter((x[0], t) for x, (kept, t) in zip(given, brute_quality(given), strict=True) if kept)
+    given = [tuple(x) for x in now.collect()]
+    assert Counter((x[0], x[1]) for x in given) == want and any(notice not in x[1] for x in given if x[0] >= 1000)
+    now = after("line dedup")
+    want = Counter((x[0], t) for x, t in zip(given, brute_lines(given), strict=True))
+    given = [tuple(x) for x in now.collect()]
+    assert Counter((x[0], x[1]) for x in given) == want and not any("printed at" in x[1] for x in given if x[0] >= 1000)
+    now = after("near dedup")
+    # Rows are told by their places here, as ids may repeat.
+    groups = brute([(n, x[1]) for n, x in enumerate(sorted(given, key=lambda x: x[0]))])
+    want = Counter(sorted(x[0] for x in given)[n] for n, (_, first) in groups.items() if n == first)
+    assert Counter(x.doc_id for x in now.collect()) == want and sum(want.values()) < len(given)
+    before = Counter(x.doc_id for x in now.collect())
+    size = {x.doc_id: len(words(x.text)) for x in now.collect()}
+    targets = {x.source: x.target for x in mixing.pareto_mix(now).collect()}
+    now = after("source mix")
+    taken = Counter(x.doc_id for x in now.collect())
+    assert all(n <= 2 * before[i] for i, n in taken.items())
+    for source, target in targets.items():
+        own = sum(len(words(x.text)) for x in now.collect() if x.source == source)
+        assert abs(own - target) <= max(size.values()) / 2 + 1e-6
+    text = {x.doc_id: x.text for x in now.collect()}
+    now = after("packing")
+    tok = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    want = sum(n * (len(tok.encode(text[i] or "", add_special_tokens=False).ids) + 1) for i, n in taken.items())
+    assert now.agg(F.sum("length")).first()[0] == want and now.where("offset + length > 4096").count() == 0
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as c
 
