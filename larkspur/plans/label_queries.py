@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -140,12 +142,13 @@ def _(s, d):
     return a.select("review_id", L.score_consistent(flags, quotes, score, text).alias("ok"))
 
 
-@query("apply_labeller")
+@query("apply_labeller", f"WITH {BATCHED} SELECT request_id, count(*) AS units, min(row_id) AS first_row FROM batched GROUP BY 1")
 def _(s, d):
     def label(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"request_id": part["request_id"], "units": part["payload"].str.len()})
+        rows = [json.loads(p)["rows"] for p in part["payload"]]
+        return pd.DataFrame({"request_id": part["request_id"], "units": [len(r) for r in rows], "first_row": [r[0]["rowId"] for r in rows]})
 
-    return L.apply_labeller(L.requests(batched(s, d), "initial_text"), label, "request_id string, units long")
+    return L.apply_labeller(L.requests(batched(s, d), "initial_text"), label, "request_id string, units long, first_row long")
 
 
 FENCED = "CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' ELSE props END"
