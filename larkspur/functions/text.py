@@ -27,6 +27,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+$", "")
 
 
+def is_blank(text: Column) -> Column:
+    """Whether a text is null or white space alone: seen at its first other character."""
+    return ~F.coalesce(text, F.lit("")).rlike(f"[^{SPACE[1:]}")
+
+
 def text_value(value: Column) -> Column:
     """A cell as trimmed text; null is empty."""
     return strip(F.coalesce(value.cast("string"), F.lit("")))
@@ -62,7 +67,7 @@ def extract_refs(reason: Column, kind: str) -> Column:
 
 
 def quote_contained(text: Column, quote: Column) -> Column:
-    return F.coalesce((strip(quote) != "") & F.contains(text, quote), F.lit(False))
+    return F.coalesce(~is_blank(quote) & F.contains(text, quote), F.lit(False))
 
 
 def safe_cell(cell: Column, trusted: bool = False) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import quote_contained, strip
+from larkspur.functions.text import is_blank, quote_contained
 from larkspur.operators.numbering import numbered
 
 LABELS = "struct<labels:array<struct<rowId:bigint,typeId:string,evidenceSource:string,evidenceQuote:string>>>"
@@ -158,7 +158,7 @@ def score_consistent(flags: Column, quotes: Column, score: Column, text: Column)
 
 def input_limits(batched: DataFrame, text: str, longest: int = 20_000, most: int = 50) -> DataFrame:
     """(request_id, code) of requests that break a limit on rows, texts or ids."""
-    empty = strip(F.coalesce(text, F.lit(""))) == ""
+    empty = is_blank(F.col(text))
     g = batched.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"), F.max(F.length(text)).alias("longest"), F.count_if(empty).alias("empty"))
     codes = F.array_compact(
         F.array(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import rank_value, strip
+from larkspur.functions.text import is_blank, rank_value
 from larkspur.schemas import READY_ROWS, SOURCE_CAP
 
 
@@ -17,7 +17,7 @@ def early_reason(rows: DataFrame, empty: list[tuple[str, str]]) -> DataFrame:
     """Adds rank and the first of the reasons that a row shows by itself; empty: (column, reason) in order."""
     reason = F.when(F.col("is_formula"), "FORMULA_RANK").when(F.col("rank").isNull(), "MISSING_RANK")
     for column, code in empty:
-        reason = reason.when(strip(F.coalesce(column, F.lit(""))) == "", code)
+        reason = reason.when(is_blank(F.col(column)), code)
     return rows.withColumn("rank", rank_value(F.col("rank_text"))).withColumn("early", reason)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import normalize_header, strip
+from larkspur.functions.text import is_blank, normalize_header
 from larkspur.operators.numbering import numbered
 
 # Names under which exports have each field.
@@ -87,5 +87,5 @@ def preflight_gate(packs: DataFrame, faults: DataFrame, parsed: DataFrame, warni
     x = packs
     for t in (bad, has, count):
         x = x.join(t.hint("merge"), "source_id", "left")
-    why = F.when(strip(F.coalesce("name", F.lit(""))) == "", "NAME_MISSING").when(F.col("_bad"), "HEADER_FAULT").when(F.col("_parsed").isNull(), "NOTHING_PARSED").when(~F.coalesce("confirmed", F.lit(False)), "NOT_CONFIRMED")
+    why = F.when(is_blank(F.col("name")), "NAME_MISSING").when(F.col("_bad"), "HEADER_FAULT").when(F.col("_parsed").isNull(), "NOTHING_PARSED").when(~F.coalesce("confirmed", F.lit(False)), "NOT_CONFIRMED")
     return x.select("source_id", why.alias("why"), why.isNull().alias("ready"), F.coalesce("_warnings", F.lit(0)).cast("int").alias("warnings"))
