@@ -151,7 +151,6 @@ def _(s, d):
     return L.apply_labeller(L.requests(batched(s, d), "initial_text"), label, "request_id string, units long, first_row long")
 
 
-FENCED = "CASE event_id % 3 WHEN 0 THEN '```json' || chr(10) || props || chr(10) || '```' ELSE props END"
 query("unwrap_fence", "SELECT event_id, props AS inner_text FROM events")(
     lambda s, d: B.table(s, d, "events").select("event_id", L.unwrap_fence(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.col("props"))).alias("inner_text"))
 )

@@ -16,7 +16,7 @@ from larkspur.plans import review_queries as RQ
 from larkspur.plans.registry import query
 from larkspur.plans.report import Report
 from larkspur.plans.spill import scratch_path, written
-from larkspur.schemas import DIMENSIONS, KIND_LABELS, STATUS_LABELS, TOPICS, TYPES, catalog
+from larkspur.schemas import DIMENSIONS, KIND_LABELS, STATUS_LABELS, TOPICS, catalog
 
 RO, PO, AS = B.REVIEWS_ORDERS, B.PRODUCTS_ORDERS, B.ASSESSMENTS_ORDERS
 FOUND = f"""{RQ.FLAGGED}, families AS (
@@ -488,9 +488,6 @@ query("long_cells", "SELECT 'CELL_TOO_LONG' AS code, doc_id || ':text' AS object
 
 # Cells.
 
-EV = "SELECT event_id, "
-
-
 def cells(name, sql, column):
     query(name, f"SELECT event_id, {sql} AS cell FROM events")(lambda s, d: B.table(s, d, "events").select("event_id", column().alias("cell")))
 

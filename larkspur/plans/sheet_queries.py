@@ -14,8 +14,6 @@ from larkspur.schemas import FINDINGS
 from larkspur.sources import headers as H
 from larkspur.sources import workbooks as W
 
-NAMES = ("序号", "评价时间", "SKU", "初评内容")
-
 
 def sheets(s, d):
     return B.table(s, d, "documents").select(F.col("source").alias("source_id"), F.regexp_extract("source", "([0-9]+)$", 1).cast("int").alias("k")).distinct()

@@ -45,5 +45,3 @@ def values(names) -> str:
     """A catalog as SQL rows."""
     return ", ".join(f"('{k}', '{v}')" for k, v in names.items())
 
-
-DIMENSION_SQL = "dimension_catalog AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(DIMENSIONS.items())) + ") v(dimension, name, position))"
