@@ -52,29 +52,39 @@ def text_keys() -> list[Column]:
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(t1, t2, near, keys) of every row of docs, written: keys of its text, ``near_key`` and (leaf, line) of every line."""
+    """(t1, t2, keys) of every row of docs, written: keys of its text and (leaf, line) of every line."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near, leaves, lines, offsets = [], [], [], [0]
+            leaves, lines, offsets = [], [], [0]
             for text in batch.column(2):
-                data = (text.as_py() or "").encode()
-                near.append(near_key(data))
-                for x in map(masked, data.split(b"\n")):
+                for x in map(masked, (text.as_py() or "").encode().split(b"\n")):
                     leaves.append(leaf_of(x) if x else None)
                     lines.append(key_of(x) if x else None)
                 offsets.append(len(lines))
             keys = pa.StructArray.from_arrays([pa.array(leaves, pa.int64()), pa.array(lines, pa.int64())], ["leaf", "line"])
             keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), keys)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int64()), keys], ["t1", "t2", "near", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys], ["t1", "t2", "keys"])
 
-    return scratch(docs.select(*text_keys(), "text").mapInArrow(parse, "t1 long, t2 long, near long, keys array<struct<leaf:long,line:long>>"))
+    return scratch(docs.select(*text_keys(), "text").mapInArrow(parse, "t1 long, t2 long, keys array<struct<leaf:long,line:long>>"))
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """(t1, t2, near, at, leaf, line) of every line that has a token; at: its place in the text."""
-    each = keyed.select("t1", "t2", "near", F.posexplode("keys").alias("at", "k"))
-    return each.select("t1", "t2", "near", "at", "k.leaf", "k.line").where("line IS NOT NULL")
+    """(t1, t2, at, leaf, line) of every line that has a token; at: its place in the text."""
+    each = keyed.select("t1", "t2", F.posexplode("keys").alias("at", "k"))
+    return each.select("t1", "t2", "at", "k.leaf", "k.line").where("line IS NOT NULL")
+
+
+def near_keys(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(copy, near): ``near_key`` of the texts of a written table of copies; written."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [near_key((text.as_py() or "").encode()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64())], ["copy", "near"])
+
+    texts = join_checked(docs.select(text_keys()[0].alias("copy"), "text"), copies, "copy").select("copy", "text")
+    return scratch(texts.mapInArrow(near, "copy long, near long").dropDuplicates(["copy"]))
 
 
 def generalise(lines: list[bytes], similar: int = SIMILAR) -> tuple[list[int], list[bytes]]:
@@ -210,16 +220,16 @@ def recurring_lines(docs: DataFrame, keyed: DataFrame, recurs: int = RECURS, sim
     shared = scratch(join_checked(template, often, "template").select("line", "template").distinct())
     hit = scratch(join_checked(lines.select("line", "copy"), shared, "line").select("template", "copy").distinct())
     copies = scratch(hit.select("copy").distinct())
-    having = join_checked(lines.select("copy", "near", "line"), copies, "copy", "left_semi")
-    told = join_checked(having, shared.select("line", F.lit(True).alias("shared")), "line", "left")
+    having = join_checked(lines.select("copy", "line"), copies, "copy", "left_semi")
+    told = join_checked(having, scratch(shared.select("line", F.lit(True).alias("shared"))), "line", "left")
     own = F.collect_set(F.when(F.col("shared").isNull(), F.col("line")))
-    told = told.groupBy("copy").agg(own.alias("own"), F.first("near").alias("near"))
-    document = F.when(F.size("own") > 0, F.xxhash64(F.lit(1), F.sort_array("own"))).otherwise(F.xxhash64(F.lit(2), "near"))
-    named = scratch(told.select("copy", document.alias("document")))
+    told = scratch(told.groupBy("copy").agg(own.alias("own")).select("copy", F.when(F.size("own") > 0, F.xxhash64(F.lit(1), F.sort_array("own"))).alias("own")))
+    near = near_keys(docs, scratch(told.where("own IS NULL").select("copy")))
+    named = scratch(join_checked(told, near, "copy", "left").select("copy", F.coalesce("own", F.xxhash64(F.lit(2), "near")).alias("document")))
     each = join_checked(hit, named, "copy").select("template", "document").distinct()
     real = scratch(each.groupBy("template").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= recurs).select("template"))
     out = scratch(join_checked(template, real, "template").select("line").distinct())
-    drop(leaves, wanted, template, often, shared, hit, copies, named, real)
+    drop(leaves, wanted, template, often, shared, hit, copies, told, near, named, real)
     return out
 
 
