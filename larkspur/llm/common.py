@@ -13,7 +13,6 @@ from larkspur.plans.spill import scratch_path
 
 #: A word: what stands between the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Bytes of a table that may be broadcast.

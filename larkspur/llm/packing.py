@@ -20,7 +20,6 @@ from larkspur.llm.common import UPPER_TO_LOWER, scratch
 WINDOW, REST, END_ID, GROUP_WINDOWS, CACHE_WORDS, CACHE_WORD_BYTES = 4096, 512, 2, 128, 300_000, 48
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
-PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 _WORD_AND_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
