@@ -62,11 +62,12 @@ def drop(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def stage_of(docs: DataFrame, first: bool = False) -> Iterator[None]:
+def stage_of(docs: DataFrame, first: bool = False, last: bool = False) -> Iterator[None]:
     """Work tables written inside belong to a stage of a pipeline; they go when the next stage begins.
 
     A stage is given what its predecessor's result was written to, so nothing of the predecessor's work is read again; tables
-    that ``docs`` does read stay. The ``first`` stage of a pipeline leaves what earlier pipelines have written alone.
+    that ``docs`` does read stay. The ``first`` stage of a pipeline leaves what earlier pipelines have written alone, and what
+    the ``last`` one has written belongs to its result.
     """
     global _stage_tables, _in_stage
     if _stage_tables and not first:
@@ -82,6 +83,8 @@ def stage_of(docs: DataFrame, first: bool = False) -> Iterator[None]:
         yield
     finally:
         _in_stage = False
+        if last:
+            _stage_tables = []
 
 
 def table_bytes(df: DataFrame) -> int:
