@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in token windows."""
-    with stage_of(docs):
+    with stage_of(docs, last=True):
         return packing.packed_documents(docs, tokenizer("word_bpe_49k.json"))
 
 
