@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import scratch
 
 #: Vectors of the sample that names cells; vectors of a data block; of a query group; of a chunk of queries that meets a block
-#: in one task; of a leaf; data points that are scored together; query groups whose bounds a task takes together.
-PIVOTS, BLOCK, GROUP, CHUNK, LEAF, SCORED, GROUPS = 64, 2048, 256, 4096, 32, 1024, 1024
+#: in one task; of a leaf; points that a child has on average at least; data points that are scored together; query groups whose
+#: bounds a task takes together.
+PIVOTS, BLOCK, GROUP, CHUNK, LEAF, CHILD, SCORED, GROUPS = 64, 2048, 256, 4096, 32, 4, 1024, 1024
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -24,7 +25,8 @@ class CoverTree:
 
     Every center is a data point. A node's ``radius`` covers all of its points. Its children's centers, of which its own center
     is the first, are apart by more than ``scale`` and cover its points within ``scale``, half its radius: so radii halve at least from level to level.
-    Nodes of LEAF points or fewer, or of equal points, have no children.
+    Nodes of LEAF points or fewer, or of equal points, have no children, nor have those whose points are so far apart that children
+    would have fewer than CHILD points on average, as in many dimensions: there bounds cannot leave out much.
     """
 
     order: np.ndarray
@@ -57,13 +59,16 @@ def cover_tree(points: np.ndarray) -> CoverTree:
         if len(rows) > LEAF and radius > 0:
             scale, pick = radius / 2, 0
             nearest, of, centers = np.full(len(rows), np.inf), np.zeros(len(rows), int), 0
-            while nearest.max() > scale:
+            while nearest.max() > scale and centers * CHILD <= len(rows):
                 d = away(rows[pick], rows)
                 d[pick] = 0
                 of[d < nearest] = centers
                 nearest = np.minimum(nearest, d)
                 centers += 1
                 pick = int(nearest.argmax())
+            if nearest.max() > scale:
+                n += 1
+                continue
             # Points by child, nearest first: a center is at no distance from itself.
             by = np.lexsort((nearest, of))
             order[low:high] = rows[by]

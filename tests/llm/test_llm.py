@@ -291,7 +291,10 @@ def test_cover_tree_keeps_its_invariants(leaf, monkeypatch):
             assert (away(own, t.center[n]) <= t.radius[n] + 1e-5).all()
             kids = np.arange(t.first[n], t.last[n])
             if not len(kids):
-                assert len(own) <= leaf or t.radius[n] < 1e-5
+                far, centers = away(own, own[0]), 1
+                while far.max() > t.radius[n] / 2 and t.radius[n] > 0:
+                    far, centers = np.minimum(far, away(own, own[far.argmax()])), centers + 1
+                assert len(own) <= leaf or t.radius[n] < 1e-5 or centers * topk_search.CHILD > len(own)
                 continue
             assert t.center[kids[0]] == t.center[n] and (t.radius[kids] <= t.radius[n] / 2 + 1e-5).all()
             assert t.low[kids[0]] == t.low[n] and t.high[kids[-1]] == t.high[n] and (t.low[kids[1:]] == t.high[kids[:-1]]).all()
