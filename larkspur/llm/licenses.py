@@ -16,7 +16,8 @@ from larkspur.llm.common import UPPER_TO_LOWER
 #: Part of a template's words that must be aligned, in percent.
 COVERED = 80
 
-# Texts, notices and grants as their licenses have them. Words in braces tell a license from its kin.
+# Texts, notices and grants as their licenses have them. Words in braces tell a license from its kin; a text is
+# looked at where it has the first of them, so that is a rare one.
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
     "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
@@ -54,7 +55,7 @@ TEMPLATES = {
     "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.{apache}.org/licenses/LICENSE-{2.0} "
     "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR "
     "CONDITIONS OF ANY KIND, either express or implied.",
-    "MIT-notice": "Released under the {MIT} License",
+    "MIT-notice": "{Released} under the {MIT} License",
     "MIT-grant": _MIT_GRANT,
     "MIT": _MIT_GRANT + _MIT_REST,
     "ISC": _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL "
@@ -160,7 +161,7 @@ class Template:
         self.need = -(-covered * len(self.words) // 100)
         self.place = {w: i for i, w in reversed(list(enumerate(self.words)))}
         self.counts = Counter(self.words)
-        self.keys: list[bytes] = sorted({self.words[i] for i in self.must}, key=lambda w: (-len(w), w))[:1]
+        self.keys: list[bytes] = [self.words[min(self.must)]] if self.must else []
         # Else: without the longest words, fewer words than needed are left, so a text must have one of them.
         spare = -1 if self.keys else len(self.words) - self.need
         for w in sorted(self.counts, key=lambda w: (-len(w), w)):
