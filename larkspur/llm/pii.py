@@ -30,7 +30,7 @@ _NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|privat
 _SETS = _NAMES + r"[\x20\"']{0,3}[=:][\x20\"']{0,3}"
 SECRET_NAMES = f"(?i){_SETS}$"
 #: Texts that name a secret, and what follows such a name: candidates that the context alone proposes, whatever they look like.
-NAMED = f"(?i){_SETS}[^\\s\"'=:]"
+NAMED = f"[=:](?<=(?i:{_NAMES})[\\x20\"']{{0,3}}[=:])[\\x20\"']{{0,3}}[^\\s\"'=:]"
 VALUE = f"(?<=(?i:{_SETS}))[^\\s\"'=:,;<>()\\[\\]{{}}][^\\s\"',;<>()\\[\\]{{}}]{{7,}}+"
 
 
