@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chunk_dedup, licenses, line_templates, lm_scoring, mixing, near_dup, packing, pii, quality, topk_search
+from larkspur.llm import chunk_dedup, divergence, licenses, line_templates, lm_scoring, mixing, near_dup, packing, pii, quality, topk_search, turn_repair, warc
 from larkspur.llm.common import table
 
 
@@ -56,6 +56,19 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_salvaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turn_repair.repair(turn_repair.damaged(conversations), conversations)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op4_differencing_packing": op4_differencing_packing,
@@ -67,5 +80,14 @@ QUERIES = {
     "op7_gear_chunks": op7_gear_chunks,
     "op9_patience_licenses": op9_patience_licenses,
     "op10_weak_supervision_pii": op10_weak_supervision_pii,
+    "op11_salvaged_warc": op11_salvaged_warc,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_source_divergence": op13_source_divergence,
+}
+ORACLE_SQL = {
+    "op1_pareto_mixing": mixing.ORACLE,
+    "op6_line_frequency": quality.ORACLE,
+    "op3_dual_tree_search": topk_search.ORACLE,
+    "op11_salvaged_warc": warc.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
-ORACLE_SQL = {"op1_pareto_mixing": mixing.ORACLE, "op6_line_frequency": quality.ORACLE, "op3_dual_tree_search": topk_search.ORACLE}
