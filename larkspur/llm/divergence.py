@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ KEEP_DOCS, TOP_TERMS = 3, 200
 #: What a probability of 1 is as an integer.
 SCALE = 1_000_000_000
 #: Distinct terms that a task holds before it passes their counts on; bytes of a text that are split at once.
-HELD_TERMS, PIECE_BYTES = 300_000, 1 << 20
+HELD_TERMS, PIECE_BYTES = 600_000, 1 << 20
 #: Terms of a block and sources of a tile whose pairs one task compares.
 BLOCK_TERMS, TILE_SOURCES = 16_384, 128
 
@@ -38,21 +39,42 @@ def _pieces(data: bytes) -> Iterator[bytes]:
     yield data[start:]
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs) of docs (text, lang, source): counts and documents of a term, several rows for a term where
-    tasks pass their counts on in parts. Each group has a row without a term as well, so that groups without terms are known."""
+def digest_of(term: bytes) -> int:
+    """64 bits of a term."""
+    return xxhash.xxh64_intdigest(term) - (1 << 63)
+
+
+def term_counts(docs: DataFrame, digest: Callable[[bytes], int] | None = digest_of) -> DataFrame:
+    """(lang, source, digest, n, docs, term) of docs (text, lang, source): rows of two kinds, several for a key where tasks pass on in parts.
+
+    Counts: occurrences n and documents of a term's digest, without its text; each group has a row without a digest as well, so
+    that groups without terms are known. Texts: the terms of a language with their digests, no source and no counts. Without a
+    ``digest`` counts have the term's text instead, and there are no texts.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
 
+        def batch_of(rows: int, lang: str, **columns) -> pa.RecordBatch:
+            whole = {"lang": pa.repeat(pa.scalar(lang, pa.string()), rows)} | columns
+            return pa.RecordBatch.from_arrays([whole.get(f.name, pa.nulls(rows, f.type)) for f in _COUNTS], schema=_COUNTS)
+
         def out():
+            digests: dict[str, dict[bytes, int]] = defaultdict(dict)
             for (lang, source), (n, docs) in held.items():
-                terms = pa.array([None, *n], pa.binary()).view(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.repeat(pa.scalar(source, pa.string()), len(terms)), terms, pa.array([0, *n.values()], pa.int64()), pa.array([0, *(docs[t] for t in n)], pa.int64())],
-                    names=["lang", "source", "term", "n", "docs"],
-                )
+                own = digests[lang]
+                if digest:
+                    for t in n:
+                        if t not in own:
+                            own[t] = digest(t)
+                    key = {"digest": pa.array([None, *(own[t] for t in n)], pa.int64())}
+                else:
+                    key = {"term": pa.array([None, *n], pa.binary()).view(pa.string())}
+                rows = len(n) + 1
+                yield batch_of(rows, lang, source=pa.repeat(pa.scalar(source, pa.string()), rows), n=pa.array([0, *n.values()], pa.int64()), docs=pa.array([0, *(docs[t] for t in n)], pa.int64()), **key)
+            for lang, own in digests.items():
+                yield batch_of(len(own), lang, digest=pa.array(own.values(), pa.int64()), term=pa.array(own, pa.binary()).view(pa.string()))
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
@@ -70,7 +92,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from out()
 
     given = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return given.mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    return given.mapInArrow(count, "lang string, source string, digest long, n long, docs long, term string")
+
+
+_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("digest", pa.int64()), ("n", pa.int64()), ("docs", pa.int64()), ("term", pa.string())])
 
 
 def _share(n: Column, total: Column) -> Column:
@@ -90,33 +115,34 @@ def _gap(p: Column, q: Column) -> Column:
     return F.expr("cast(0 as bigint)") + F.call_function("div", (p - q) * (p - q), q)
 
 
-def kept_terms(partials: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
-    """(kept, counts) of the written rows of term_counts() with their digest.
+def kept_terms(docs: DataFrame, rows: DataFrame, sums: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """(kept, counts) of rows of term_counts() and their sums (lang, source, digest, n, docs), both written.
 
     kept: (lang, digest, part, term, lang_n); counts: (lang, source, digest, part, n, lang_n) of kept terms. Counts are shuffled
-    by digest alone. A language's smallest and largest string of a digest tell whether terms collide; those that do are
-    told apart by ``part``, their place among the strings of the digest, and counted by their text. No collision: part 0.
+    by digest alone. A language's smallest and largest string of a digest tell whether terms collide; if any do, the terms of
+    those digests are counted again by their text and told apart by ``part``, their place among the strings. No collision: part 0.
     """
     key = ["lang", "digest"]
-    terms = partials.where("term is not null")
-    found = scratch(
-        terms.groupBy(*key).agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.min("term").alias("low"), F.max("term").alias("high")).where(F.col("docs") >= keep)
-    )
+    columns = ["lang", "source", "digest", "part", "n", "lang_n"]
+    often = scratch(sums.where("digest is not null").groupBy(*key).agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= keep).drop("docs"))
+    strings = rows.where("term is not null").groupBy(*key).agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    found = scratch(join_checked(strings, often, key))
+    drop(often)
     alone = found.where("low = high").select(*key, F.lit(0).alias("part"), F.col("low").alias("term"), "lang_n")
-    by_source = terms.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"))
     mixed = found.where("low <> high").select(*key)
     if mixed.isEmpty():
         kept = scratch(alone)
-        counts = scratch(join_checked(by_source, scratch(kept.drop("term")), key).select("lang", "source", "digest", "part", "n", "lang_n"))
-        return kept, counts
-    texts = scratch(join_checked(terms, scratch(mixed), key).groupBy("lang", "source", "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+        drop(found)
+        return kept, join_checked(sums, kept.drop("term"), key).select(*columns)
+    terms = scratch(join_checked(rows.where("term is not null").select(*key, "term").distinct(), scratch(mixed), key))
+    again = term_counts(docs, None).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    texts = scratch(join_checked(again, terms, ["lang", "term"]))
     apart = texts.groupBy(*key, "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= keep)
     apart = scratch(apart.withColumn("part", F.row_number().over(Window.partitionBy(*key).orderBy("term"))).select(*key, "part", "term", "lang_n"))
     kept = scratch(alone.unionByName(apart))
-    plain = join_checked(by_source, scratch(alone.drop("term")), key)
+    plain = join_checked(sums, scratch(alone.drop("term")), key)
     split = join_checked(texts.drop("docs"), apart, [*key, "term"])
-    columns = ["lang", "source", "digest", "part", "n", "lang_n"]
-    return kept, scratch(plain.select(*columns).unionByName(split.select(*columns)))
+    return kept, plain.select(*columns).unionByName(split.select(*columns))
 
 
 def _compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +210,7 @@ def top_terms(gaps: DataFrame, kept: DataFrame, top: int) -> DataFrame:
     return named.withColumn("rank", F.row_number().over(group.orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
 
 
-def divergence(docs: DataFrame, keep: int = KEEP_DOCS, top: int = TOP_TERMS, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+def divergence(docs: DataFrame, keep: int = KEEP_DOCS, top: int = TOP_TERMS, digest: Callable[[bytes], int] = digest_of) -> DataFrame:
     """(lang, source, part, item, value, rank): per group of docs (text, lang, source), parts ``pair`` and ``term``.
 
     ``pair``: the other sources of the language by how far the group's shares are from theirs, over all kept terms; ``term``:
@@ -192,15 +218,18 @@ def divergence(docs: DataFrame, keep: int = KEEP_DOCS, top: int = TOP_TERMS, dig
     string; rows are documents, so repeated rows count again; a group without terms has shares too; a language without kept
     terms has pairs of value 0. Ties go by the item's bytes. Other columns are not read. An empty table gives an empty one.
     """
-    partials = scratch(term_counts(docs).withColumn("digest", digest(F.col("term"))))
-    kept, counts = kept_terms(partials, keep)
+    rows = scratch(term_counts(docs, digest))
+    sums = scratch(rows.where("n is not null").groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    kept, counts = kept_terms(docs, rows, sums, keep)
+    counts = scratch(counts)
     langs = scratch(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total")))
     totals = scratch(counts.groupBy("lang", "source").agg(F.sum("n").alias("total")))
-    groups = join_checked(join_checked(partials.select("lang", "source").distinct(), totals, ["lang", "source"], "left"), langs, "lang", "left")
+    groups = join_checked(join_checked(sums.select("lang", "source").distinct(), totals, ["lang", "source"], "left"), langs, "lang", "left")
     groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("v", "lang_total", "total")])
     groups = groups.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1)
     tiles = F.floor((F.count(F.lit(1)).over(Window.partitionBy("lang")) - 1) / TILE_SOURCES) + 1
     groups = scratch(groups.withColumn("rest", _share(F.lit(0).cast("long"), F.col("total") + F.col("v"))).withColumn("tiles", tiles))
+    drop(rows, sums, totals, langs)
     own = join_checked(counts, groups, ["lang", "source"])
     shares = scratch(
         own.select(
@@ -208,7 +237,7 @@ def divergence(docs: DataFrame, keep: int = KEEP_DOCS, top: int = TOP_TERMS, dig
             _share(F.col("n"), F.col("total") + F.col("v")).alias("p"), _share(F.col("lang_n"), F.col("lang_total") + F.col("v")).alias("q"),
         )
     )
-    drop(counts, totals, langs)
+    drop(counts)
     pairs = pair_gaps(groups, shares)
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(by_value))
