@@ -30,9 +30,9 @@ def normalize_path(path: Column) -> Column:
 
 
 def safe_archive_path(path: Column) -> Column:
-    """A member's path without empty and dot parts; null if it climbs out."""
+    """A member's path without empty and dot parts; null if it climbs out or has no parts."""
     parts = F.filter(F.split(F.regexp_replace(path, r"\\", "/"), "/"), lambda p: ~p.isin("", "."))
-    return F.when(~F.array_contains(parts, ".."), F.array_join(parts, "/"))
+    return F.when((F.size(parts) > 0) & ~F.array_contains(parts, ".."), F.array_join(parts, "/"))
 
 
 def is_system_path(path: Column) -> Column:
@@ -47,7 +47,8 @@ def _usable(part: Column) -> Column:
     return F.coalesce((part != "") & ~part.rlike(MANY) & ~part.rlike(CONTENT) & ~F.startswith(part, F.lit(".")), F.lit(False))
 
 
-def _clean(name: Column) -> Column:
+def clean_group(name: Column) -> Column:
+    """A group's name without a leading number, cut."""
     return F.substring(strip(F.regexp_replace(name, r"^[0-9]+[_\-\s]*", "")), 1, 40)
 
 
@@ -64,11 +65,11 @@ def infer_group(path: Column) -> Column:
     named = F.length(prefix).between(2, 24) & ~prefix.rlike(SAYS_NOTHING)
     return (
         F.when(F.size(parts) == 0, None)
-        .when((many > 0) & _usable(after), _clean(after))
-        .when((F.size(folders) == 1) & _usable(first), _clean(first))
-        .when((F.size(folders) >= 2) & _usable(second), _clean(second))
-        .when((F.size(folders) >= 2) & _usable(first), _clean(first))
-        .when(named, _clean(prefix))
+        .when((many > 0) & _usable(after), clean_group(after))
+        .when((F.size(folders) == 1) & _usable(first), clean_group(first))
+        .when((F.size(folders) >= 2) & _usable(second), clean_group(second))
+        .when((F.size(folders) >= 2) & _usable(first), clean_group(first))
+        .when(named, clean_group(prefix))
     )
 
 

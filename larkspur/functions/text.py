@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # The white space that texts are trimmed of.
-SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 @F.pandas_udf(StringType())
@@ -19,6 +19,12 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+def in_order(name: str, collation: str | None = None) -> list[Column]:
+    """Sort keys for a column of texts: by bytes, or by a collation (UNICODE is the root locale's) and then by bytes, so that texts
+    that count as equal there have an order too."""
+    return [F.collate(F.col(name), collation), F.col(name)] if collation else [F.col(name)]
+
+
 def is_ascii(text: Column) -> Column:
     return F.coalesce(F.octet_length(text) == F.length(text), F.lit(True))
 
@@ -51,13 +57,32 @@ def normalize_header(cell: Column) -> Column:
 
 
 def rank_value(text: Column) -> Column:
-    """A positive integer up to 2^53 - 1 written in digits, else null."""
-    n = F.when(text.rlike("^[0-9]+$"), text.try_cast("long"))
+    """A positive integer up to 2^53 - 1 written in digits, else null; blanks around it and full-width digits count."""
+    plain = nfkc(strip(text))
+    n = F.when(plain.rlike("^[0-9]+$"), F.regexp_replace(plain, "^0+(?=[0-9])", "").try_cast("long"))
     return F.when((n > 0) & (n <= (1 << 53) - 1), n)
 
 
+def _tenths(x: Column) -> Column:
+    """The nearest number of tenths of a double that is not negative, by the exact value of its bits, ties up.
+
+    The fraction is split after 26 bits, so twenty times either part has no rounding error; the carry between them is found by a
+    comparison that has none either. Twenty times a tie is an odd number.
+    """
+    whole = F.floor(x)
+    fraction = x - whole
+    cut = F.lit(float(1 << 26))
+    head = F.floor(fraction * cut) / cut
+    high, low = head * 20, (fraction - head) * 20
+    twentieths = F.floor(high) + (low >= 1 - (high - F.floor(high))).cast("long")
+    return whole * 10 + F.shiftright(twentieths + 1, 1)
+
+
 def percent1(share: Column, unit: str = "%") -> Column:
-    return F.format_string(f"%.1f{unit.replace('%', '%%')}", share * 100)
+    """A share in hundredths with one decimal: that nearest to the double's exact value, of two as near the one farther from 0."""
+    x = share.cast("double") * 100
+    n = _tenths(F.abs(x))
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"), F.lit(unit))
 
 
 def extract_refs(reason: Column, kind: str) -> Column:
@@ -101,14 +126,27 @@ def label_name(value: Column, names: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, value), value)
 
 
+# What follows a minute, and what stands for none.
+MINUTE_MARK, NO_MINUTE = "（北京时间）", "时间未知"
+
+
 def beijing_minute(iso: Column) -> Column:
-    """An instant as a Shanghai minute; what is no instant as a fixed text."""
-    at = F.try_to_timestamp(iso)
-    return F.coalesce(F.concat(F.date_format(F.from_utc_timestamp(at, "Asia/Shanghai"), "yyyy-MM-dd HH:mm"), F.lit("（北京时间）")), F.lit("时间未知"))
+    """An instant as a Shanghai minute, whatever the session's zone; what is no instant as a fixed text.
+
+    A text without a zone is UTC. The wall time is a timestamp without a zone, so nothing prints it in the session's.
+    """
+    zoned = F.when(iso.rlike(r"(?:[zZ]|[+-][0-9]{2}:?[0-9]{2})\s*$"), iso).otherwise(F.concat(iso, F.lit("Z")))
+    shift = F.unix_seconds(F.from_utc_timestamp(F.try_to_timestamp(zoned), "Asia/Shanghai"))
+    wall = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=shift.cast("decimal(18,6)"))
+    return F.coalesce(F.concat(F.substring(wall.cast("string"), 1, 16), F.lit(MINUTE_MARK)), F.lit(NO_MINUTE))
+
+
+# Fixed value: what stands for a reason without its audit prefix.
+REASON_KEPT = "具体依据已收纳在审计证据中。"
 
 
 def business_reason(reason: Column, finding_ids: Column, evidence_ids: Column) -> Column:
     """What follows the audit prefix of a reason, else a fixed sentence."""
     prefix = F.concat(F.array_join(finding_ids, "、"), F.lit("｜"), F.array_join(evidence_ids, "、"), F.lit("："))
     tail = F.call_function("substring_index", reason, prefix, F.lit(-1))
-    return F.when(F.contains(reason, prefix), tail).otherwise("具体依据已收纳在审计证据中。")
+    return F.when(F.contains(reason, prefix), tail).otherwise(REASON_KEPT)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import in_order
+from larkspur.operators.joins import join_checked, join_written
+from larkspur.plans.spill import written
 from larkspur.schemas import READY_ROWS, SHARE_GAP, LOW_COVERAGE, TOPIC_SHARE, TOP_ROWS
 
 
@@ -13,8 +16,8 @@ def share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def distinct_products(rows: DataFrame) -> DataFrame:
-    return rows.select("product_id").distinct().orderBy("product_id")
+def distinct_products(rows: DataFrame, collation: str | None = None) -> DataFrame:
+    return rows.select("product_id").distinct().orderBy(*in_order("product_id", collation))
 
 
 def type_share_gap(reviews: DataFrame, types: DataFrame) -> DataFrame:
@@ -36,27 +39,27 @@ def type_share_gap(reviews: DataFrame, types: DataFrame) -> DataFrame:
     )
 
 
-def top_gap_type(gaps: DataFrame, own: DataFrame) -> DataFrame:
+def top_gap_type(gaps: DataFrame, own: DataFrame, collation: str | None = None) -> DataFrame:
     """Own row of the largest absolute difference; ties by type, then product."""
-    return gaps.join(own.select("product_id").hint("merge"), "product_id", "left_semi").orderBy(F.desc(F.abs("difference")), "type_id", "product_id").limit(1)
+    return gaps.join(own.select("product_id").hint("merge"), "product_id", "left_semi").orderBy(F.desc(F.abs("difference")), *in_order("type_id", collation), *in_order("product_id", collation)).limit(1)
 
 
-def representatives(questions: DataFrame, most: int = 3) -> DataFrame:
+def representatives(questions: DataFrame, most: int = 3, collation: str | None = None) -> DataFrame:
     """(product_id, topic_id, row_id, n): the first rows of each topic of a product, by rank and id."""
-    order = Window.partitionBy("product_id", "topic_id").orderBy("rank", "row_id")
+    order = Window.partitionBy("product_id", "topic_id").orderBy("rank", *in_order("row_id", collation))
     return questions.select("product_id", "topic_id", "rank", "row_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("rank")
 
 
 def eligible_topic_evidence(topics: DataFrame, questions: DataFrame, need: int = READY_ROWS) -> DataFrame:
     """Topic rows of products with enough questions, whatever their role."""
     enough = questions.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= need).select("product_id")
-    return topics.join(enough.hint("merge"), "product_id", "left_semi")
+    return join_written(topics, enough, "product_id", "left_semi")
 
 
-def topic_stats(questions: DataFrame, topics: DataFrame, most: int = 3) -> DataFrame:
+def topic_stats(questions: DataFrame, topics: DataFrame, most: int = 3, collation: str | None = None) -> DataFrame:
     """Per product and topic: count, share of all questions, and the first row ids by rank and id."""
     top = (
-        representatives(questions, most)
+        representatives(questions, most, collation)
         .groupBy("product_id", "topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "row_id"))), lambda x: x["row_id"]).alias("representative_ids"))
     )
     counts = questions.groupBy("product_id", "topic_id").agg(F.count(F.lit(1)).alias("count"))
@@ -73,7 +76,8 @@ def topic_stats(questions: DataFrame, topics: DataFrame, most: int = 3) -> DataF
 def dimension_coverage(assessments: DataFrame, reviews: DataFrame, dimensions: DataFrame, need: int = TOP_ROWS) -> DataFrame:
     """Per product with enough default reviews and dimension: assessments that have it, all assessments, coverage."""
     enough = reviews.where("sort = 'default'").groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need).select("product_id")
-    rows = assessments.select("review_id", "dimensions").join(reviews.select(F.col("row_id").alias("review_id"), "product_id").hint("merge"), "review_id").join(enough.hint("merge"), "product_id", "left_semi")
+    enough = written(enough)
+    rows = join_checked(assessments.select("review_id", "dimensions").join(reviews.select(F.col("row_id").alias("review_id"), "product_id").hint("merge"), "review_id"), enough, "product_id", "left_semi")
     total = rows.groupBy("product_id").agg(F.count_distinct("review_id").alias("total_count"))
     hits = (
         rows.select("product_id", "review_id", F.explode(F.array_distinct(F.transform(F.filter("dimensions", lambda d: d["present"]), lambda d: d["dimension"]))).alias("dimension"))
@@ -87,8 +91,8 @@ def dimension_coverage(assessments: DataFrame, reviews: DataFrame, dimensions: D
     )
 
 
-def lowest_coverage(coverage: DataFrame, own: DataFrame) -> DataFrame:
-    return coverage.join(own.select("product_id").hint("merge"), "product_id", "left_semi").orderBy("coverage", "dimension").limit(1)
+def lowest_coverage(coverage: DataFrame, own: DataFrame, collation: str | None = None) -> DataFrame:
+    return coverage.join(own.select("product_id").hint("merge"), "product_id", "left_semi").orderBy("coverage", *in_order("dimension", collation)).limit(1)
 
 
 def eligible_products(products: DataFrame, questions: DataFrame, need: int = READY_ROWS) -> DataFrame:
@@ -98,20 +102,20 @@ def eligible_products(products: DataFrame, questions: DataFrame, need: int = REA
     return products.select("product_id", "role").join(n, "product_id", "left").select("product_id", "role", q.alias("questions"), ((F.col("role") == "self") | (q >= need)).alias("eligible"))
 
 
-def top_own_topic(topics: DataFrame, own: DataFrame) -> DataFrame:
+def top_own_topic(topics: DataFrame, own: DataFrame, collation: str | None = None) -> DataFrame:
     """Own row of the largest share; ties by topic."""
-    return topics.join(own.select("product_id").hint("merge"), "product_id", "left_semi").orderBy(F.desc("share"), "topic_id").limit(1)
+    return topics.join(own.select("product_id").hint("merge"), "product_id", "left_semi").orderBy(F.desc("share"), *in_order("topic_id", collation)).limit(1)
 
 
-def top_topic_per_product(topics: DataFrame, eligible: DataFrame) -> DataFrame:
-    order = Window.partitionBy("product_id").orderBy(F.desc("share"), "topic_id")
+def top_topic_per_product(topics: DataFrame, eligible: DataFrame, collation: str | None = None) -> DataFrame:
+    order = Window.partitionBy("product_id").orderBy(F.desc("share"), *in_order("topic_id", collation))
     return topics.join(eligible.select("product_id").hint("merge"), "product_id", "left_semi").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
 def readiness(reviews: DataFrame, questions: DataFrame, products: DataFrame, need: int = READY_ROWS) -> DataFrame:
     """(finding_id, status, default_rows, recent_rows, question_rows, competitors): what the own products' rows allow."""
-    own = products.where("role = 'self'").select("product_id").hint("merge")
-    r = reviews.join(own, "product_id", "left_semi").agg(F.count_if(F.col("sort") == "default").alias("default_rows"), F.count_if(F.col("sort") == "recent").alias("recent_rows"))
+    own = products.where("role = 'self'").select("product_id")
+    r = join_written(reviews, own, "product_id", "left_semi").agg(F.count_if(F.col("sort") == "default").alias("default_rows"), F.count_if(F.col("sort") == "recent").alias("recent_rows"))
     e = eligible_products(products, questions, need)
     q = e.agg(
         F.coalesce(F.sum(F.when(F.col("role") == "self", F.col("questions"))), F.lit(0)).alias("question_rows"),
@@ -142,6 +146,6 @@ def problem_flags(ready: DataFrame, gaps: DataFrame, coverage: DataFrame, topics
         .when(F.col("finding_id") == "F02", F.col("measure") < LOW_COVERAGE)
         .otherwise(F.col("measure") >= TOPIC_SHARE)
     )
-    return ready.select("finding_id", "status").join(m, "finding_id", "left").select(
+    return ready.select("finding_id", "status").join(F.broadcast(m), "finding_id", "left").select(
         "finding_id", "status", "measure", F.coalesce((F.col("status") == "available") & hit, F.lit(False)).alias("has_problem")
     )

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import markdown as M
-from larkspur.functions.paths import file_type, is_system_path, is_temporary
-from larkspur.functions.text import file_extension, strip
+from larkspur.functions.paths import clean_group, file_type, is_system_path, is_temporary
+from larkspur.functions.text import cell_units, file_extension, sanitize_text, strip
 from larkspur.operators.numbering import numbered
 
 #: Files that one row of a manifest names at most.
@@ -61,6 +61,51 @@ def group_recognition(files: DataFrame) -> DataFrame:
     return n.select("group_name", F.col("position").cast("int").alias("position"), "files")
 
 
+def recognise(files: DataFrame, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, entries, unclassified) of files (id, path, group_name, of apply_overrides) and further names (name, position).
+
+    Names are cleaned as folders are: no leading number, 40 characters. Groups stand in the order of the further names, then of
+    their first file; a further name without files is a group too. groups: (group_name, position, files and counts by type); entries: (group_name,
+    id). A null name is unclassified (id); a name of which nothing is left is no group, and its files are neither.
+    """
+    named = files.withColumn("group_name", clean_group(F.col("group_name")))
+    order = named.where("group_name <> ''").groupBy("group_name").agg(F.min(F.struct(F.lit(1).alias("late"), F.col("id").alias("place"))).alias("o"))
+    if extra is not None:
+        more = extra.select(clean_group(F.col("name")).alias("group_name"), F.struct(F.lit(0).alias("late"), F.col("position").cast(files.schema["id"].dataType).alias("place")).alias("o")).where("group_name <> ''")
+        order = order.unionByName(more).groupBy("group_name").agg(F.min("o").alias("o"))
+    places = numbered(order.select("group_name", "o.late", "o.place"), [], ["late", "place", "group_name"], "position").select("group_name", F.col("position").cast("int").alias("position"))
+    counts = file_type_counts(named.where("group_name <> ''")).withColumn("files", F.col("image_count") + F.col("document_count") + F.col("spreadsheet_count") + F.col("other_count"))
+    groups = places.join(counts.hint("merge"), "group_name", "left").fillna(0)
+    return groups, named.where("group_name <> ''").select("group_name", "id"), files.where("group_name IS NULL").select("id")
+
+
+# Groups and files of a manifest that count, units of a name, of a file and of the whole.
+MANIFEST_GROUPS, MANIFEST_FILES, NAME_UNITS, FILE_UNITS, MANIFEST_UNITS = 20, 80, 40, 240, 30_000
+
+
+def manifest_text(manifests: DataFrame) -> DataFrame:
+    """(id, text) of manifests (id, manifest): a JSON object of groups with names and files as numbered lines, else an empty text.
+
+    The first 20 groups count and the first 80 files of each, at the places where they stand; names are cut to 40 and files to
+    240 characters, in compatibility form and without control characters; blank files go, then groups without a name or files. What
+    is no JSON, longer than 30,000 units, has no array of groups or a null among them is empty. A manifest is bounded so, and its
+    parts meet again by its id.
+    """
+    v = F.try_parse_json("manifest")
+    groups = F.slice(F.try_variant_get(v, "$.groups", "array<variant>"), 1, MANIFEST_GROUPS)
+    fits = cell_units(F.coalesce("manifest", F.lit(""))) <= MANIFEST_UNITS
+    kept = F.when(fits & F.coalesce(F.forall(groups, lambda g: ~F.is_variant_null(g)), F.lit(False)), groups)
+    text_of = lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")).otherwise("")
+    rows = manifests.select("id", F.posexplode_outer(kept).alias("g", "v")).select("id", "g", text_of(F.try_variant_get("v", "$.name", "variant")).alias("name"), F.slice(F.try_variant_get("v", "$.files", "array<variant>"), 1, MANIFEST_FILES).alias("files"))
+    rows = rows.select("id", "g", "name", F.posexplode_outer("files").alias("f", "file")).withColumn("file", F.coalesce(text_of(F.col("file")), F.lit("")))
+    rows = rows.select("id", "g", sanitize_text(F.coalesce("name", F.lit("")), NAME_UNITS).alias("name"), "f", sanitize_text(F.col("file"), FILE_UNITS).alias("file"))
+    files = F.transform(F.array_sort(F.collect_list(F.when(F.col("file") != "", F.struct("f", "file")))), lambda x: x["file"])
+    lines = rows.groupBy("id", "g").agg(F.first("name").alias("name"), files.alias("files")).withColumn("line", F.when((F.col("name") != "") & (F.size("files") > 0), F.concat("name", F.lit("："), F.array_join("files", "、"))))
+    whole = lines.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("g", "line")))).alias("l"))
+    numbered_lines = F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["line"]))
+    return whole.select("id", F.array_join(numbered_lines, "\n").alias("text"))
+
+
 def manifest_caps(files: DataFrame, groups: int, per_group: int) -> DataFrame:
     """Files of the first groups, as many of each: groups by their first id, files by id."""
     first = files.groupBy("group_name").agg(F.min("id").alias("first_id")).where(F.col("group_name").isNotNull()).orderBy("first_id").limit(groups)
@@ -88,19 +133,19 @@ def module_counts(files: DataFrame, module: Column, modules) -> DataFrame:
 def markdown_rows(texts: DataFrame) -> DataFrame:
     """(doc, table_no, row_no, name, cells) of every table in (doc, markdown); row 0 is the header.
 
-    Lines with pipes that follow each other are an island; its table starts at the first line whose next is a separator, which
-    is left out. The latest heading outside islands names the table, else its number does. A text's lines are ordered by window.
+    Lines with pipes that follow each other are an island; its table starts at the first line that is no heading and whose next is a
+    separator, which is left out. The latest heading outside islands names the table, else its number does. A text's lines are ordered by window.
     """
     lines = texts.select("doc", F.posexplode(F.split(F.regexp_replace("markdown", "\r\n?", "\n"), "\n")).alias("pos", "line"))
     order = Window.partitionBy("doc").orderBy("pos")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     x = lines.withColumn("cells", M.split_row(F.col("line"))).withColumn("piped", F.col("cells").isNotNull())
     x = x.withColumn("island", F.sum(F.when(F.col("piped"), 0).otherwise(1)).over(so_far)).withColumn("separator", M.is_separator(F.col("cells")))
-    x = x.withColumn("starts", F.col("piped") & F.coalesce(F.lead("separator").over(order), F.lit(False)))
+    title = F.regexp_extract(strip(F.col("line")), r"^#{1,6}\s+(.+)$", 1)
+    x = x.withColumn("starts", F.col("piped") & (title == "") & F.coalesce(F.lead("separator").over(order), F.lit(False)))
     island = Window.partitionBy("doc", "island")
     x = x.withColumn("start", F.min(F.when(F.col("starts"), F.col("pos"))).over(island))
     in_table = F.col("piped") & (F.col("pos") >= F.col("start"))
-    title = F.regexp_extract(strip(F.col("line")), r"^#{1,6}\s+(.+)$", 1)
     heading = F.when(~F.coalesce(in_table, F.lit(False)) & (title != ""), M.clean_heading(title))
     x = x.withColumn("name", F.last(heading, ignorenulls=True).over(so_far)).where(in_table & (F.col("pos") != F.col("start") + 1))
     x = x.withColumn("width", F.max(F.when(F.col("pos") == F.col("start"), F.size("cells"))).over(island))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import label_name, percent1
 from larkspur.operators.aggregates import lowest_coverage, top_gap_type, top_own_topic, top_topic_per_product
+from larkspur.plans.spill import written
 from larkspur.schemas import DIMENSIONS, FINDINGS, READY_ROWS, TOPICS, TYPES
 
 # Titles, actions and reasons by finding and outcome.
@@ -113,6 +114,23 @@ def data_evidence(completeness: DataFrame, need: int) -> DataFrame:
     return x.select("finding_id", F.coalesce(ids, F.array().cast("array<string>")).alias("evidence_ids"))
 
 
+def data_citations(completeness: DataFrame, need: int) -> DataFrame:
+    """(finding_id, evidence_id): what data_evidence() has in arrays, as edges."""
+    k = F.col("kind")
+    mine = F.array_compact(
+        F.array(
+            F.when(k.isin("self_default_reviews", "self_recent_reviews"), "F01"), F.when(k == "self_default_reviews", "F02"),
+            F.when((k == "self_questions") | ((k == "competitor_questions") & (F.col("used_rows") < need)), "F03"),
+        )
+    )
+    found = written(completeness.select(F.explode(mine).alias("finding_id"), "evidence_id"))
+    first = completeness.where(F.startswith(k, F.lit("self_"))).agg(F.min("evidence_id").alias("evidence_id")).where("evidence_id is not null")
+    due = completeness.sparkSession.createDataFrame([(f,) for f in FINDINGS if f != "F03"], "finding_id string")
+    # Two rows, and one: small by their nature.
+    lacking = due.join(F.broadcast(found.select("finding_id").distinct()), "finding_id", "left_anti").crossJoin(F.broadcast(first))
+    return found.unionByName(lacking)
+
+
 def gate_findings(proposed: DataFrame, ready: DataFrame, allowed: DataFrame, data: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, errors) of proposals (finding_id, status, evidence_ids): a proposal counts if its status is the one found and
     all of its evidence is allowed, without repeats; else the finding is unavailable, cites ``data`` (of data_evidence) and has an

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import extract_refs
+from larkspur.functions.text import extract_refs, is_blank
 from larkspur.operators.aggregates import dimension_coverage, problem_flags, readiness, topic_stats, type_share_gap
+from larkspur.operators.joins import join_written
 from larkspur.operators.validate_rows import completeness, status_of
 from larkspur.plans.spill import written
+from larkspur.schemas import FINDINGS
 
 
 def _hit(rows: DataFrame, code: str, object_id) -> DataFrame:
@@ -169,6 +171,35 @@ def validate_facts(products: DataFrame, evidence: DataFrame, proposals: DataFram
     ])
 
 
+def validate_synthesis(readiness: DataFrame, readiness_edges: DataFrame, proposals: DataFrame, proposal_edges: DataFrame, evidence: DataFrame, findings=FINDINGS) -> DataFrame:
+    """(code, object_id) of a synthesis that cannot be used: of its readiness table, then of what is proposed.
+
+    readiness: finding_id, status, reason; proposals: finding_id, status; both with their evidence as edges (finding_id,
+    evidence_id); evidence: evidence_id, product_id. Each finding has readiness once, with a reason and with evidence, none of it
+    twice or unknown; ids are not blank. Each has a proposal once, with the status of its readiness and with evidence, none of it twice and all
+    of it cited by its readiness. That there is an own product is not asked here.
+    """
+    names = readiness.sparkSession.createDataFrame([(f,) for f in findings], "finding_id string")
+    pair = ["finding_id", "evidence_id"]
+
+    def of(things: DataFrame, edges: DataFrame, code: str, repeated_code: str, missing: str) -> list[DataFrame]:
+        times = edges.groupBy(*pair).agg(F.count(F.lit(1)).alias("times"))
+        n = times.groupBy("finding_id").agg(F.max("times").alias("most"))
+        cites = join_written(things.select("finding_id").distinct(), n, "finding_id", "left").where("most IS NULL OR most > 1")
+        return [repeated(things, "finding_id", repeated_code), _hit(join_written(names, things.select("finding_id").distinct(), "finding_id", "left_anti"), missing, "finding_id"), _hit(cites, code, "finding_id")]
+
+    key = F.concat_ws(":", *pair)
+    known = readiness_edges.select(*pair).distinct()
+    unknown_ids = known.join(evidence.select("evidence_id").distinct().hint("merge"), "evidence_id", "left_anti")
+    states = join_written(proposals, readiness.select("finding_id", F.col("status").alias("_status")).distinct(), "finding_id", "left")
+    beyond = proposal_edges.select(*pair).distinct().join(known.hint("merge"), pair, "left_anti")
+    return reduce(DataFrame.union, [
+        *of(readiness, readiness_edges, "READINESS_EVIDENCE", "REPEATED_READINESS", "MISSING_READINESS"), where(readiness, is_blank(F.col("reason")), "READINESS_WITHOUT_REASON", "finding_id"), _hit(unknown_ids, "UNKNOWN_EVIDENCE", key),
+        _hit(evidence.where(is_blank(F.col("evidence_id"))), "BLANK_ID", F.lit("evidence")), where(states, ~F.col("status").eqNullSafe(F.col("_status")), "STATUS_DIFFERS", "finding_id"),
+        *of(proposals, proposal_edges, "PROPOSAL_EVIDENCE", "REPEATED_PROPOSAL", "MISSING_PROPOSAL"), _hit(beyond, "EVIDENCE_NOT_ALLOWED", key),
+    ])
+
+
 def source_checks(sources: DataFrame, products: DataFrame, rows: DataFrame, excluded: DataFrame, ready: int, full: int) -> DataFrame:
     """COMPLETENESS_MISMATCH of sources that repeat, whose product is unknown or whose counts the rows do not bear out.
 

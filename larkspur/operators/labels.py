@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import is_blank, quote_contained
+from larkspur.functions.text import cell_units, in_order, is_blank, quote_contained, strip
 from larkspur.operators.numbering import numbered
 
 LABELS = "struct<labels:array<struct<rowId:bigint,typeId:string,evidenceSource:string,evidenceQuote:string>>>"
@@ -33,16 +33,6 @@ def requests(batched: DataFrame, *columns: str) -> DataFrame:
     return g.select("request_id", "n_rows", F.to_json(F.struct("rows")).alias("payload"))
 
 
-def apply_labeller(batches: DataFrame, label: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A user's function over requests, some at a time, on the executors; what it returns is still to be checked."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield label(part)
-
-    return batches.mapInPandas(run, schema)
-
-
 def split_results(results: DataFrame, asked: DataFrame, task: str) -> tuple[DataFrame, DataFrame]:
     """(good, bad) of results (task, request_id, output) of one task: bad ones, with a code, are of another task or answer a
     request that was not asked. asked: (request_id)."""
@@ -58,13 +48,13 @@ def out_of_domain(labels: DataFrame, types: DataFrame) -> DataFrame:
     return labels.join(F.broadcast(types.select("type_id")), "type_id", "left_anti").select("request_id", "position", "type_id")
 
 
-def results_in_order(labels: DataFrame) -> DataFrame:
+def results_in_order(labels: DataFrame, collation: str | None = None) -> DataFrame:
     """(request_id, n): labels of each request, in the order of request ids."""
-    return labels.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).orderBy("request_id")
+    return labels.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).orderBy(*in_order("request_id", collation))
 
 
-def assessments_in_order(assessments: DataFrame) -> DataFrame:
-    return assessments.orderBy("product_id", "rank", "review_id")
+def assessments_in_order(assessments: DataFrame, collation: str | None = None) -> DataFrame:
+    return assessments.orderBy(*in_order("product_id", collation), "rank", *in_order("review_id", collation))
 
 
 def parse_results(results: DataFrame) -> DataFrame:
@@ -96,7 +86,7 @@ def results_for_products(results: DataFrame, products: DataFrame) -> DataFrame:
     """Results of the given products: the request id is task:product or goes on with a colon. The product is taken out of
     the id, so this is an equi-join."""
     product = F.get(F.split("request_id", ":"), F.lit(1))
-    return results.join(products.select(F.col("product_id").alias("_product")), product == F.col("_product"), "left_semi")
+    return results.join(products.select(F.col("product_id").alias("_product")).hint("merge"), product == F.col("_product"), "left_semi")
 
 
 def request_coverage(batched: DataFrame, labels: DataFrame) -> DataFrame:
@@ -108,39 +98,9 @@ def request_coverage(batched: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def resume_plan(asked: DataFrame, earlier: DataFrame) -> DataFrame:
-    """(request_id, task, status): earlier success, failure or exclusion is kept if the task is still the same; all else is
-    pending; earlier requests that are no longer asked for are dropped."""
-    e = earlier.select("request_id", F.col("task").alias("_task"), F.col("status").alias("_status"))
-    kept = F.when((F.col("_task") == F.col("task")) & F.col("_status").isin("succeeded", "failed", "excluded"), F.col("_status")).otherwise("pending")
-    return asked.join(e, "request_id", "left").select("request_id", "task", kept.alias("status"))
-
-
-def state_transitions(state: DataFrame, commands: DataFrame) -> DataFrame:
-    """Status after commands (kind, target): retry one request, retry_failed all, exclude a product's; success stays.
-
-    commands have one row per request at most, after exclusion before retry.
-    """
-    c = commands.groupBy("target").agg(F.collect_set("kind").alias("kinds"))
-    by_product = c.select(F.col("target").alias("product_id"), F.array_contains("kinds", "exclude").alias("gone"))
-    by_request = c.select(F.col("target").alias("request_id"), F.array_contains("kinds", "retry").alias("again"))
-    every = commands.where("kind = 'retry_failed'").limit(1).select(F.lit(True).alias("all_again"))
-    s = state.join(by_product, "product_id", "left").join(by_request, "request_id", "left").join(F.broadcast(every), F.lit(True), "left")
-    failed = F.col("status") == "failed"
-    status = (
-        F.when(F.col("status") == "succeeded", "succeeded").when(F.col("gone"), "excluded")
-        .when(failed & (F.coalesce("again", F.lit(False)) | F.coalesce("all_again", F.lit(False))), "pending").otherwise(F.col("status"))
-    )
-    return s.select("request_id", status.alias("status"))
-
-
-def task_status_counts(state: DataFrame) -> DataFrame:
-    return state.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-def top_if_full(reviews: DataFrame, top: int) -> DataFrame:
+def top_if_full(reviews: DataFrame, top: int, collation: str | None = None) -> DataFrame:
     """The first ``top`` default rows of each product that has as many."""
-    n = F.row_number().over(Window.partitionBy("product_id").orderBy("rank", "row_id"))
+    n = F.row_number().over(Window.partitionBy("product_id").orderBy("rank", *in_order("row_id", collation)))
     first = reviews.where("sort = 'default'").withColumn("n", n).where(F.col("n") <= top)
     full = first.groupBy("product_id").agg(F.max("n").alias("m")).where(F.col("m") == top).select("product_id")
     return first.join(full, "product_id", "left_semi").drop("n")
@@ -156,22 +116,37 @@ def score_consistent(flags: Column, quotes: Column, score: Column, text: Column)
     return (score == F.size(F.filter(F.map_values(flags), lambda v: v))) & fits
 
 
-def input_limits(batched: DataFrame, text: str, longest: int = 20_000, most: int = 50) -> DataFrame:
-    """(request_id, code) of requests that break a limit on rows, texts or ids."""
-    empty = is_blank(F.col(text))
-    g = batched.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"), F.max(F.length(text)).alias("longest"), F.count_if(empty).alias("empty"))
+def input_limits(batched: DataFrame, texts: str | list[str], longest: int = 20_000, most: int = 50, longest_id: int = 256) -> DataFrame:
+    """(request_id, code) of requests that break a limit: on rows, on ids (1 to 256 units, each once), or on texts.
+
+    Of a row's texts one at least is not blank, none is longer than ``longest`` UTF-16 units or a picture's data address.
+    """
+    texts = [texts] if isinstance(texts, str) else texts
+    row_id = F.col("row_id").cast("string")
+    empty = reduce(lambda a, b: a & b, [is_blank(F.col(t)) for t in texts])
+    size = F.greatest(F.lit(0), *[F.coalesce(cell_units(F.col(t)), F.lit(0)) for t in texts])
+    picture = reduce(lambda a, b: a | b, [F.startswith(strip(F.coalesce(t, F.lit(""))), F.lit("data:image/")) for t in texts])
+    g = batched.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("ids"), F.max(size).alias("longest"), F.count_if(empty).alias("empty"),
+        F.count_if(is_blank(row_id) | (cell_units(F.coalesce(row_id, F.lit(""))) > longest_id)).alias("bad_ids"), F.count_if(picture).alias("pictures"), F.count("row_id").alias("with_id"),
+    )
     codes = F.array_compact(
         F.array(
-            F.when(F.col("n") > most, "TOO_MANY_ROWS"), F.when(F.col("ids") < F.col("n"), "REPEATED_ID"), F.when(F.col("longest") > longest, "TEXT_TOO_LONG"), F.when(F.col("empty") > 0, "EMPTY_TEXT")
+            F.when(F.col("n") > most, "TOO_MANY_ROWS"), F.when(F.col("bad_ids") > 0, "INVALID_ID"), F.when(F.col("ids") < F.col("with_id"), "REPEATED_ID"), F.when(F.col("longest") > longest, "TEXT_TOO_LONG"),
+            F.when(F.col("empty") > 0, "EMPTY_TEXT"), F.when(F.col("pictures") > 0, "IMAGE_DATA"),
         )
     )
     return g.select("request_id", F.explode(codes).alias("code"))
 
 
+# Fixed value: a text that is a code fence, of JSON in any case or of nothing named, and what stands in it.
+FENCE = r"(?i)^```(?:json)?\s*([\s\S]*?)\s*```$"
+
+
 def unwrap_fence(text: Column) -> Column:
-    """What stands in a code fence, or the text."""
-    inner = F.regexp_extract(text, r"^\s*```(?:json)?\s*([\s\S]*?)\s*```\s*$", 1)
-    return F.when(inner != "", inner).otherwise(text)
+    """What stands in a code fence, without blanks around it, even if that is nothing; else the trimmed text."""
+    plain = strip(text)
+    return F.when(plain.rlike(FENCE), F.regexp_extract(plain, FENCE, 1)).otherwise(plain)
 
 
 def strict_json_error(text: Column, shape: dict) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import cell_units, clean_xml_text, label_name, percent1, safe_cell, strip
+from larkspur.functions.text import cell_units, clean_xml_text, in_order, label_name, percent1, safe_cell, strip
 from larkspur.operators.aggregates import top_gap_type
+from larkspur.operators.joins import join_written
 from larkspur.schemas import TOPICS, TYPES
 
 #: UTF-16 units that a cell holds at most.
@@ -38,7 +39,7 @@ def reviews_table(reviews: DataFrame, gaps: DataFrame) -> DataFrame:
     """The 19 columns of the table of labelled reviews. reviews: product_id, sort, rank, source_id, source_row, row_id, date, sku,
     initial_text, followup_text, type_id, evidence_source, evidence_quote."""
     g = gaps.drop("difference").withColumn("_gap", F.col("recent_share") - F.col("default_share"))
-    x = reviews.join(g.hint("merge"), ["product_id", "type_id"], "left")
+    x = join_written(reviews, g, ["product_id", "type_id"], "left")
     quote = F.when(F.col("evidence_quote").isNotNull(), F.concat_ws("：", "evidence_source", "evidence_quote")).otherwise("")
     share = lambda c: F.coalesce(percent1(F.col(c)), F.lit(""))
     return x.withColumn("type_evidence", quote).select(
@@ -52,7 +53,7 @@ def dimensions_table(assessments: DataFrame, reviews: DataFrame, coverage: DataF
     """The 13 columns of the table of six dimensions, a row for each dimension of an assessment."""
     a = assessments.select("review_id", "rank", "score", F.explode("dimensions").alias("d")).select("review_id", "rank", "score", "d.*")
     r = reviews.select(F.col("row_id").alias("review_id"), "product_id", "source_id", "source_row")
-    x = a.join(r.hint("merge"), "review_id", "left").join(coverage.hint("merge"), ["product_id", "dimension"], "left")
+    x = join_written(a.join(r.hint("merge"), "review_id", "left"), coverage, ["product_id", "dimension"], "left")
     return x.select(
         _cell("product_id"), F.col("review_id").alias("row_id"), _cell("source_id"), "source_row", "rank", "score", "dimension", "present", _cell("evidence"),
         "hit_count", "total_count", F.coalesce(percent1(F.col("coverage")), F.lit("")).alias("coverage"), _cell("evidence_id"),
@@ -62,7 +63,7 @@ def dimensions_table(assessments: DataFrame, reviews: DataFrame, coverage: DataF
 def questions_table(questions: DataFrame, topics: DataFrame) -> DataFrame:
     """The 15 columns of the table of labelled questions. questions: product_id, rank, source_id, source_row, row_id, date, question,
     answer, topic_id, topic_evidence."""
-    x = questions.join(topics.hint("merge"), ["product_id", "topic_id"], "left")
+    x = join_written(questions, topics, ["product_id", "topic_id"], "left")
     return x.withColumn("representatives", F.array_join("representative_ids", "、")).select(
         _cell("product_id"), "rank", _cell("source_id"), "source_row", _cell("row_id"), _cell("date"), _cell("question"), _cell("answer"), _cell("topic_id"),
         label_name(F.coalesce("topic_id", F.lit("")), TOPICS).alias("topic_name"), _cell("topic_evidence"), "count", F.coalesce(percent1(F.col("share")), F.lit("")).alias("share"),
@@ -118,7 +119,7 @@ def report_document(parts: dict[str, tuple[DataFrame, dict[str, str]]], keys: di
     return out
 
 
-def tag_totals(results: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+def tag_totals(results: DataFrame, tags: DataFrame, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(totals, warnings) of screenshots' tags. results: (product_id, completeness); tags: (product_id, name, count).
 
     totals: (product_id, name, count) in order; a tag without a count adds nothing and has a warning, as has a product whose
@@ -126,7 +127,7 @@ def tag_totals(results: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFram
     """
     partial = results.where("completeness <> 'complete'").select(F.concat(F.lit("SCREENSHOT_METADATA_"), F.upper("completeness")).alias("code"), "product_id", F.lit("").alias("name"))
     blank = tags.where("count IS NULL").select(F.lit("SCREENSHOT_TAG_COUNT_UNAVAILABLE").alias("code"), "product_id", "name")
-    totals = tags.where("count IS NOT NULL").groupBy("product_id", "name").agg(F.sum("count").alias("count")).orderBy("product_id", "name")
+    totals = tags.where("count IS NOT NULL").groupBy("product_id", "name").agg(F.sum("count").alias("count")).orderBy(*in_order("product_id", collation), *in_order("name", collation))
     return totals, partial.union(blank)
 
 
@@ -135,10 +136,15 @@ def flatten_tags(results: DataFrame) -> DataFrame:
     return results.select("product_id", F.explode("tags").alias("t")).select("product_id", "t.name", "t.count")
 
 
+def notes_to_keep(notes: DataFrame) -> DataFrame:
+    trimmed = [strip(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "content")]
+    return notes.select("note_id", "ts", *trimmed).where("title <> ''")
+
+
 def append_notes(notes: DataFrame, path: str) -> DataFrame:
-    """Append notes (note_id, ts, title, content) to a table and return the table: titles are trimmed and must not be empty, a null
-    content is empty."""
-    good = notes.select("note_id", "ts", strip(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("content", F.lit("")).alias("content")).where("title <> ''")
+    """Append notes (note_id, ts, title, content) to a table and return the table: titles and contents are trimmed, a title must not
+    be empty, a null content is."""
+    good = notes_to_keep(notes)
     good.write.mode("append").parquet(path)
     return notes.sparkSession.read.schema(good.schema).parquet(path)
 

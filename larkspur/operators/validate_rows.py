@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import is_blank, rank_value
+from larkspur.operators.joins import join_written
 from larkspur.schemas import READY_ROWS, SOURCE_CAP
 
 
@@ -46,8 +47,8 @@ def with_row_ids(rows: DataFrame, kind: str, product: str = "product_id") -> Dat
 
 
 def of_list(rows: DataFrame, products: DataFrame, sort: str, role: str) -> DataFrame:
-    """Rows of one list of the products of one role. A few products are compared, so they are joined by a hint to merge."""
-    return rows.where(F.col("sort") == sort).join(products.where(F.col("role") == role).select("product_id").hint("merge"), "product_id", "left_semi")
+    """Rows of one list of the products of one role; rows are shuffled only if the products are many."""
+    return join_written(rows.where(F.col("sort") == sort), products.where(F.col("role") == role).select("product_id"), "product_id", "left_semi")
 
 
 def union_packs(*packs: DataFrame) -> DataFrame:
@@ -66,11 +67,11 @@ def every_pair(products: DataFrame, names: DataFrame, key: str) -> DataFrame:
 def known_products(rows: DataFrame, products: DataFrame) -> DataFrame:
     """Adds whether the row's product is one of the given ones."""
     k = products.select("product_id", F.lit(True).alias("known")).distinct()
-    return rows.join(k.hint("merge"), "product_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return join_written(rows, k, "product_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def without_products(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    return rows.join(gone.select("product_id").hint("merge"), "product_id", "left_anti")
+    return join_written(rows, gone.select("product_id"), "product_id", "left_anti")
 
 
 def first_by_rank(rows: DataFrame) -> DataFrame:

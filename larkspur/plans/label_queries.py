@@ -12,9 +12,12 @@ from larkspur.functions import paths as P
 from larkspur.functions import text as T
 from larkspur.operators import files as FI
 from larkspur.operators import labels as L
+from larkspur.operators import queue_state as Q
+from larkspur.operators import replies as R
 from larkspur.operators import validate_rows as V
 from larkspur.plans import bindings as B
 from larkspur.plans.registry import query
+from larkspur.plans.spill import scratch_path
 
 DR = B.REVIEWS_DOCS
 BATCHED = f"""{DR}, batched AS (
@@ -93,13 +96,44 @@ query("request_coverage", f"WITH {BATCHED}, got AS (SELECT request_id, row_id, c
 query("quote_contained", f"WITH {BATCHED} SELECT r.row_id, trim(r.quote) <> '' AND contains(dr.initial_text, r.quote) AS ok FROM ranked r JOIN dr USING (row_id) WHERE nth = 1")(
     lambda s, d: L.quote_check(L.first_label(labels(s, d)).join(B.reviews_docs(s, d).select("row_id", F.col("initial_text").alias("text")).hint("merge"), "row_id"))
 )
-query("input_limits", f"WITH {BATCHED} SELECT request_id, 'TEXT_TOO_LONG' AS code FROM batched GROUP BY 1 HAVING max(length(initial_text)) > 20000 UNION ALL SELECT request_id, 'EMPTY_TEXT' FROM batched GROUP BY 1 HAVING count(*) FILTER (trim(initial_text) = '') > 0")(
-    lambda s, d: L.input_limits(batched(s, d), "initial_text")
+LIMITED = f"""{BATCHED}, limited AS (SELECT request_id, CASE WHEN row_id % 97 = 0 THEN repeat('x', 257) ELSE '' END || CASE WHEN row_id % 31 = 0 THEN 'same' ELSE CAST(row_id AS VARCHAR) END AS row_id, CASE WHEN row_id % 5 = 0 THEN ' ' ELSE initial_text END AS a,
+  CASE WHEN row_id % 41 = 0 THEN ' data:image/png;base64,' WHEN row_id % 10 <> 0 THEN 'again' END AS b FROM batched)"""
+BLANK = "NOT regexp_matches(coalesce({}, ''), '[^\\s]')".format
+UNITS = "length({0}) + len(regexp_extract_all({0}, '[\\x{{10000}}-\\x{{10FFFF}}]'))".format
+query("input_limits", f"""WITH {LIMITED}, m AS (SELECT request_id, count(*) - count(DISTINCT row_id) AS again, max({UNITS('a')}) AS longest, count(*) FILTER ({BLANK('a')} AND {BLANK('b')}) AS empty, count(*) FILTER (length(row_id) > 256) AS ids, count(*) FILTER (b LIKE '%data:%' OR ltrim(a) LIKE 'data:image/%') AS pictures FROM limited GROUP BY 1)
+  SELECT request_id, 'TEXT_TOO_LONG' AS code FROM m WHERE longest > 20000 UNION ALL SELECT request_id, 'EMPTY_TEXT' FROM m WHERE empty > 0 UNION ALL SELECT request_id, 'INVALID_ID' FROM m WHERE ids > 0 UNION ALL SELECT request_id, 'REPEATED_ID' FROM m WHERE again > 0 UNION ALL SELECT request_id, 'IMAGE_DATA' FROM m WHERE pictures > 0""")(
+    lambda s, d: L.input_limits(limited(s, d), ["a", "b"])
 )
 
-STATE = f"""{BATCHED}, asked2 AS (SELECT DISTINCT request_id, 'type' AS task, product_id, CAST(regexp_extract(request_id, '([0-9]+)$', 1) AS INTEGER) AS n FROM batched
-), earlier AS (SELECT request_id, CASE WHEN n % 5 = 0 THEN 'topic' ELSE 'type' END AS etask, CASE n % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'excluded' END AS estatus FROM asked2 WHERE n % 7 <> 0
-), state AS (SELECT a.request_id, a.task, a.product_id, CASE WHEN etask = task AND estatus IN ('succeeded', 'failed', 'excluded') THEN estatus ELSE 'pending' END AS status FROM asked2 a LEFT JOIN earlier USING (request_id))"""
+
+def limited(s, d):
+    """Batches of which some rows have a long or a repeated id, no text at all, or a picture in the place of a text."""
+    k = F.col("row_id")
+    row_id = F.concat(F.when(k % 97 == 0, "x" * 257).otherwise(""), F.when(k % 31 == 0, "same").otherwise(k.cast("string")))
+    return batched(s, d).select("request_id", row_id.alias("row_id"), F.when(k % 5 == 0, " ").otherwise(F.col("initial_text")).alias("a"), F.when(k % 41 == 0, " data:image/png;base64,").when(k % 10 != 0, "again").alias("b"))
+
+
+SMALL_BATCH = 5
+BY_FIVE = f"""{DR}, by_five AS (
+  SELECT *, 'type:' || product_id || ':' || sort || ':' || CAST(CAST(floor((k - 1) / {SMALL_BATCH}) AS BIGINT) + 1 AS VARCHAR) AS request_id, CAST((k - 1) % {SMALL_BATCH} + 1 AS INTEGER) AS place, CAST(floor((k - 1) / {SMALL_BATCH}) AS BIGINT) + 1 AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY product_id, sort ORDER BY row_id) AS k FROM dr)
+)"""
+
+
+def by_five(s, d):
+    return L.batch_rows(B.reviews_docs(s, d), "type", SMALL_BATCH)
+
+
+def number():
+    """The number of a request in its list."""
+    return F.regexp_extract("request_id", "([0-9]+)$", 1).cast("int")
+
+
+STATE = f"""{BY_FIVE}, asked2 AS (SELECT DISTINCT request_id, 'type' AS task, product_id, n FROM by_five
+), earlier AS (SELECT request_id, CASE n % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'excluded' END AS estatus, n % 5 <> 0 AND n % 6 <> 0 AS fits, CASE WHEN n % 9 = 0 THEN -1 ELSE n % 3 END AS tries FROM asked2 WHERE n % 7 <> 0
+), state AS (SELECT a.request_id, a.task, a.product_id, CASE WHEN estatus IN ('failed', 'excluded') THEN estatus WHEN estatus = 'succeeded' AND fits THEN 'succeeded' ELSE 'pending' END AS status,
+  CAST(CASE WHEN tries >= 0 THEN tries ELSE 0 END AS INTEGER) AS attempts, CASE WHEN estatus IN ('failed', 'excluded') THEN 'E' || n END AS error_code, CASE WHEN fits AND estatus IN ('succeeded', 'excluded') THEN 'result ' || n END AS result
+  FROM asked2 a LEFT JOIN earlier USING (request_id))"""
 
 
 def asked(s, d):
@@ -107,21 +141,37 @@ def asked(s, d):
 
 
 def state(s, d):
-    n = F.regexp_extract("request_id", "([0-9]+)$", 1).cast("int")
-    e = asked(s, d).withColumn("n", n).where("n % 7 <> 0")
-    status = F.when(F.col("n") % 4 == 0, "succeeded").when(F.col("n") % 4 == 1, "failed").when(F.col("n") % 4 == 2, "running").otherwise("excluded")
-    earlier = e.select("request_id", F.when(F.col("n") % 5 == 0, "topic").otherwise("type").alias("task"), status.alias("status"))
-    return L.resume_plan(asked(s, d), earlier)
+    """State resumed from a log of two versions: all running, then what became of them; a fifth of the results is of another
+    task, a sixth of another request."""
+    want = by_five(s, d).select("request_id", F.lit("type").alias("task"), "product_id").distinct()
+    n = F.col("n")
+    e = want.withColumn("n", number()).where("n % 7 <> 0")
+    first = e.select(
+        "request_id", "product_id", "task", F.lit("running").alias("status"), F.lit(1).alias("attempts"), F.lit(None).cast("struct<code:string,message:string,retryable:boolean>").alias("error"),
+        *[F.lit(None).cast("string").alias(c) for c in ("result_task", "result_id", "result")],
+    )
+    then = e.select(
+        "request_id", "product_id", "task", F.when(n % 4 == 0, "succeeded").when(n % 4 == 1, "failed").when(n % 4 == 2, "running").otherwise("excluded").alias("status"),
+        F.when(n % 9 == 0, -1).otherwise(n % 3).cast("int").alias("attempts"), F.struct(F.concat(F.lit("E"), n).alias("code"), F.lit("m").alias("message"), F.lit(True).alias("retryable")).alias("error"),
+        F.when(n % 5 == 0, "topic").otherwise("type").alias("result_task"), F.when(n % 6 == 0, "x").otherwise(F.col("request_id")).alias("result_id"), F.concat(F.lit("result "), n).alias("result"),
+    )
+    log = scratch_path(s)
+    Q.append_versions(first, 1, log)
+    Q.append_versions(then, 2, log)
+    return Q.resume_plan(want, Q.latest(Q.read_log(s, log)))
 
 
-query("resume_plan", f"WITH {STATE} SELECT request_id, task, status FROM state")(state)
-query("task_status_counts", f"WITH {STATE} SELECT status, count(*) AS n FROM state GROUP BY 1")(lambda s, d: L.task_status_counts(state(s, d)))
+query("resume_plan", f"WITH {STATE} SELECT request_id, task, status, attempts, error_code, result FROM state")(lambda s, d: state(s, d).select("request_id", "task", "status", "attempts", F.col("error.code").alias("error_code"), "result"))
+query("task_status_counts", f"WITH {STATE} SELECT status, count(*) AS n FROM state GROUP BY 1")(lambda s, d: Q.task_status_counts(state(s, d)))
+query("task_status_ids", f"WITH {STATE} SELECT status, CAST((k - 1) // 1000 + 1 AS BIGINT) AS part, list(request_id ORDER BY k) AS request_ids FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY request_id) AS k FROM state) GROUP BY ALL")(
+    lambda s, d: Q.status_lists(state(s, d))
+)
 
 
-@query("state_transitions", f"WITH {STATE} SELECT request_id, CASE WHEN status = 'succeeded' THEN status WHEN product_id = 'es' THEN 'excluded' WHEN status = 'failed' THEN 'pending' ELSE status END AS status FROM state")
+@query("state_transitions", f"WITH {STATE} SELECT request_id, CASE WHEN status = 'succeeded' THEN status WHEN product_id = 'es' THEN 'excluded' WHEN status = 'failed' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'failed' AND product_id <> 'es' THEN NULL ELSE error_code END AS error_code, attempts FROM state")
 def _(s, d):
-    st = state(s, d).join(asked(s, d).select("request_id", "product_id"), "request_id")
-    return L.state_transitions(st, s.createDataFrame([("exclude", "es"), ("retry_failed", None)], "kind string, target string"))
+    commands = s.createDataFrame([("exclude", "es"), ("retry_failed", None)], "kind string, target string")
+    return Q.state_transitions(state(s, d), commands).select("request_id", "status", F.col("error.code").alias("error_code"), "attempts")
 
 
 query("top20_if_full", f"WITH {B.REVIEWS_ORDERS} SELECT row_id, product_id, rank FROM reviews WHERE sort = 'default' AND rank <= 20 AND product_id IN (SELECT product_id FROM reviews WHERE sort = 'default' GROUP BY 1 HAVING count(*) >= 20)")(
@@ -142,18 +192,99 @@ def _(s, d):
     return a.select("review_id", L.score_consistent(flags, quotes, score, text).alias("ok"))
 
 
-@query("apply_labeller", f"WITH {BATCHED} SELECT request_id, count(*) AS units, min(row_id) AS first_row FROM batched GROUP BY 1")
-def _(s, d):
-    def label(part: pd.DataFrame) -> pd.DataFrame:
-        rows = [json.loads(p)["rows"] for p in part["payload"]]
-        return pd.DataFrame({"request_id": part["request_id"], "units": [len(r) for r in rows], "first_row": [r[0]["rowId"] for r in rows]})
+def label(part: pd.DataFrame) -> pd.DataFrame:
+    """A labeller with every fault: by a request's number it raises, is no JSON, leaves a row out, quotes what is not there, or says it
+    all under another name in a fence."""
+    out = []
+    for request, payload in zip(part["request_id"], part["payload"], strict=True):
+        n, rows = int(request.rsplit(":", 1)[1]) % 7, json.loads(payload)["rows"]
+        if n == 3:
+            raise ValueError("no answer")
+        said = [{"rowId": str(r["rowId"]), "typeId" if n != 2 else "tier": f"t{1 + r['rowId'] % 8}", "evidenceSource": "initial", "evidenceQuote": r.get("initial_text", "")[:10]} for r in rows]
+        if n == 6:
+            said[0]["evidenceQuote"] = "\u0001 not there"
+        text = json.dumps({"items" if n == 2 else "labels": said[1:] if n == 5 else said})
+        out.append((request, "not json" if n == 4 else f"```JSON\n{text}\n```" if n == 2 else text))
+    return pd.DataFrame(out, columns=["request_id", "output"])
+
+
+def answered(s, d):
+    return R.run_labeller(L.requests(by_five(s, d), "initial_text"), label)
+
+
+def checked(s, d):
+    asked_rows = by_five(s, d).select("request_id", "row_id", "initial_text", F.lit(None).cast("string").alias("followup_text"))
+    return R.checked_replies(answered(s, d), asked_rows, "review")
+
+
+JUDGED = f"""{BY_FIVE}, blanks AS (SELECT request_id, min(place) FILTER (NOT regexp_matches(substr(initial_text, 1, 10), '[^\\s]') OR (n % 7 = 6 AND place = 1)) AS first FROM by_five WHERE n % 7 NOT IN (3, 4, 5) GROUP BY 1
+), dead AS (
+  SELECT DISTINCT request_id, CASE n % 7 WHEN 3 THEN 'LABELLER_FAILED' WHEN 4 THEN 'INVALID_REPLY' ELSE 'ROWS_DIFFER' END AS code, CASE n % 7 WHEN 3 THEN 'ValueError: no answer' WHEN 4 THEN 'INVALID_JSON' END AS detail FROM by_five WHERE n % 7 IN (3, 4, 5)
+  UNION ALL SELECT request_id, 'QUOTE_NOT_FOUND', 'labels[' || (first - 1) || ']' FROM blanks WHERE first IS NOT NULL
+)"""
+query("apply_labeller", f"WITH {BY_FIVE} SELECT request_id, CAST(CASE WHEN n % 7 = 3 THEN 2 ELSE 1 END AS INTEGER) AS attempts, CASE WHEN n % 7 = 3 THEN 'LABELLER_FAILED' END AS error_code, CASE WHEN n % 7 NOT IN (2, 3, 4) THEN count(*) - CASE WHEN n % 7 = 5 THEN 1 ELSE 0 END END AS units FROM by_five GROUP BY request_id, n")(
+    lambda s, d: answered(s, d).select(
+        "request_id", F.when(F.col("error_code").isNotNull(), F.col("attempts")).otherwise(1).alias("attempts"), "error_code",
+        F.size(F.from_json("output", "labels array<struct<rowId:string>>")["labels"]).cast("long").alias("units"),
+    )
+)
+query("checked_labels", f"WITH {JUDGED} SELECT request_id, CAST(row_id AS VARCHAR) AS row_id, 't' || (1 + row_id % 8) AS type_id, substr(initial_text, 1, 10) AS quote FROM by_five WHERE request_id NOT IN (SELECT request_id FROM dead)")(
+    lambda s, d: checked(s, d)[0].select("request_id", "row_id", F.col("typeId").alias("type_id"), F.col("evidenceQuote").alias("quote"))
+)
+query("dead_letters", f"WITH {JUDGED} SELECT request_id, code, detail FROM dead")(lambda s, d: checked(s, d)[1])
 
-    return L.apply_labeller(L.requests(batched(s, d), "initial_text"), label, "request_id string, units long, first_row long")
+
+@query("reply_form", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"labels":[{"rowId":"r' || doc_id || '","typeId":"t1","evidenceSource":"initial","evidenceQuote":"' || md5(text) || '"}]}' WHEN 1 THEN '{"a":[{"evidenceQuote":"","evidenceSource":"initial","rowId":"x","typeId":"t1"}],"b":[{"evidenceQuote":"","evidenceSource":"initial","rowId":"x","typeId":"t1"}]}'
+  WHEN 2 THEN '{"labels":[],"note":"' || md5(text) || '"}' ELSE '[' || doc_id || ']' END AS form FROM documents""")
+def _(s, d):
+    """Replies with their rows under an unknown name, in two arrays of which neither is meant, in their own form, and no object at all."""
+    row = lambda k, q: F.concat(F.lit('[{"rowId":"'), k, F.lit('","category":null,"tier":"t1","evidenceSource":"initial","evidenceQuote":"'), q, F.lit('"}]'))
+    k, m = F.col("doc_id").cast("string"), F.md5("text")
+    plain = F.lit('[{"evidenceQuote":"","evidenceSource":"initial","rowId":"x","typeId":"t1"}]')
+    text = (
+        F.when(k.cast("long") % 4 == 0, F.concat(F.lit('{"requestId":"q","things":'), row(F.concat(F.lit("r"), k), m), F.lit(',"more":[]}')))
+        .when(k.cast("long") % 4 == 1, F.concat(F.lit('{"a":'), plain, F.lit(',"b":'), plain, F.lit("}")))
+        .when(k.cast("long") % 4 == 2, F.concat(F.lit('{"task":"t","labels":[],"note":"'), m, F.lit('"}')))
+        .otherwise(F.concat(F.lit("["), k, F.lit("]")))
+    )
+    return B.table(s, d, "documents").select("doc_id", R.reply_form(text, "review").alias("form"))
 
 
-query("unwrap_fence", "SELECT event_id, props AS inner_text FROM events")(
-    lambda s, d: B.table(s, d, "events").select("event_id", L.unwrap_fence(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.col("props"))).alias("inner_text"))
+@query("json_schema_fault", f"""SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'INVALID_JSON' WHEN 1 THEN 'result.labels {R.MISSING}' WHEN 2 THEN 'result.more {R.UNDEFINED}' WHEN 3 THEN 'result.labels[1].typeId {R.NOT_ALLOWED}' WHEN 4 THEN 'result.labels[' || CASE WHEN n_chars % 2 = 0 THEN 0 ELSE 1 END || '].evidenceQuote {R.WRONG_TYPE}'
+  WHEN 5 THEN 'result.labels {R.TOO_MANY}' WHEN 6 THEN 'result.labels[1].rowId {R.MISSING}' WHEN 7 THEN 'result.labels {R.WRONG_TYPE}' END AS fault FROM documents""")
+def _(s, d):
+    """A reply per document, of the fault that its id says, with the document's text as a quote."""
+    m, at = F.col("doc_id") % 9, F.col("n_chars") % 2
+    quote = F.get_json_object(F.to_json(F.struct(F.array(F.substring("text", 1, 50)).alias("q"))), "$.q")
+    quote = F.regexp_extract(quote, r"(?s)^\[(.*)\]$", 1)
+
+    def row(i: int):
+        fields = [
+            F.when(~((m == 6) & F.lit(i == 1)), F.concat(F.lit('"rowId":"'), F.col("doc_id").cast("string"), F.lit('"'))), F.when((m == 3) & F.lit(i == 1), '"typeId":"t9"').otherwise('"typeId":"t8"'), F.lit('"evidenceSource":"followup"'),
+            F.concat(F.lit('"evidenceQuote":'), F.when((m == 4) & (at == i), "null").otherwise(quote)),
+        ]
+        return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ","), F.lit("}"))
+
+    rows = F.when(m == 5, F.array_repeat(row(0), 51)).otherwise(F.array(row(0), row(1)))
+    labels = F.when(m == 7, '{"0":1}').otherwise(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")))
+    members = F.array_compact(F.array(F.when(m != 1, F.concat(F.lit('"labels":'), labels)), F.when(m == 2, '"more":1')))
+    text = F.concat(F.lit("{"), F.array_join(members, ","), F.when(m == 0, ",}").otherwise("}"))
+    return B.table(s, d, "documents").select("doc_id", R.schema_fault(text, R.REPLY_SCHEMAS["review"]).alias("fault"))
+
+
+query("unwrap_fence", "SELECT event_id, CASE WHEN event_id % 5 = 4 THEN '' ELSE props END AS inner_text FROM events")(
+    lambda s, d: B.table(s, d, "events").select("event_id", L.unwrap_fence(fenced(F.col("event_id") % 5, F.col("props"))).alias("inner_text"))
 )
+
+
+def fenced(kind, text):
+    """A text in fences of several forms, plain with blanks around it, and a fence with nothing inside."""
+    return (
+        F.when(kind == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(kind == 1, F.concat(F.lit(" ```JSON  "), text, F.lit("```\n"))).when(kind == 2, F.concat(F.lit("```"), text, F.lit(" ```")))
+        .when(kind == 3, F.concat(F.lit("\n\t"), text, F.lit("　"))).otherwise("```json\n```")
+    )
+
+
 SHAPE = {"rowId": ("int", 0, 10**9), "kind": ("enum", ["q0", "q1"]), "note": ("text?", 20), "ok": ("bool",), "score": ("number?", 0, 1), "dims": ("list", {"name": ("enum", ["persona", "scene"]), "hit": ("bool",)})}
 
 
@@ -201,8 +332,8 @@ def grouped(s, d):
 
 
 query("normalize_path", f"WITH {FP} SELECT id, regexp_replace(path, '^/+|/+$', '', 'g') AS path FROM files")(lambda s, d: B.files_pages(s, d).select("id", P.normalize_path(F.concat(F.lit("/"), F.regexp_replace("path", "/", r"\\"), F.lit("/"))).alias("path")))
-query("safe_archive_path", f"WITH {FP} SELECT id, CASE WHEN id % 7 <> 0 THEN rtrim(path, '/') END AS path FROM files")(
-    lambda s, d: B.files_pages(s, d).select("id", P.safe_archive_path(F.concat(F.lit("./"), F.when(F.col("id") % 7 == 0, "../").otherwise("/"), "path")).alias("path"))
+query("safe_archive_path", f"WITH {FP} SELECT id, CASE WHEN id % 7 NOT IN (0, 1) THEN rtrim(path, '/') END AS path FROM files")(
+    lambda s, d: B.files_pages(s, d).select("id", P.safe_archive_path(F.when(F.col("id") % 7 == 1, ".//./").otherwise(F.concat(F.lit("./"), F.when(F.col("id") % 7 == 0, "../").otherwise("/"), "path"))).alias("path"))
 )
 query("file_extension", f"WITH {FP} SELECT id, lower(string_split(path, '.')[-1]) AS extension FROM files")(lambda s, d: B.files_pages(s, d).select("id", T.file_extension(F.col("path")).alias("extension")))
 query("apply_overrides", f"WITH {GROUPED} SELECT id, group_name FROM grouped")(lambda s, d: grouped(s, d).select("id", "group_name"))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from larkspur.operators import aggregates as A
 from larkspur.operators import findings as FN
 from larkspur.operators import validate_rows as V
+from larkspur.operators.evidence import evidence_rows
+from larkspur.operators.joins import join_checked
 from larkspur.plans import bindings as B
 from larkspur.plans.spill import written
-from larkspur.schemas import DIMENSIONS, KINDS, TOPICS, catalog
+from larkspur.schemas import DIMENSIONS, KINDS, READY_ROWS, TOPICS, catalog
 
 
 class Report:
@@ -88,16 +90,29 @@ class Report:
         return written(kind(self.gaps, "type").union(kind(self.coverage, "dimension")).union(kind(self.topics, "question")).union(kind(self.completeness, "data")))
 
     @cached_property
-    def allowed(self) -> DataFrame:
-        """(finding_id, evidence_ids): what a finding may cite."""
-        mine = lambda df, keep, f: df.join(keep.hint("merge"), "product_id", "left_semi").select(F.lit(f).alias("finding_id"), "evidence_id")
+    def allowed_edges(self) -> DataFrame:
+        """(finding_id, evidence_id): what a finding may cite."""
+        mine = lambda df, keep, f: join_checked(df, keep, "product_id", "left_semi").select(F.lit(f).alias("finding_id"), "evidence_id")
         f03 = A.eligible_topic_evidence(self.topics, self.questions).select(F.lit("F03").alias("finding_id"), "evidence_id")
-        x = mine(self.gaps, self.own, "F01").union(mine(self.coverage, self.own, "F02")).union(f03)
-        return written(x.groupBy("finding_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids")))
+        return written(mine(self.gaps, self.own, "F01").union(mine(self.coverage, self.own, "F02")).union(f03))
+
+    @cached_property
+    def data_edges(self) -> DataFrame:
+        return written(FN.data_citations(self.completeness, READY_ROWS))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """(evidence_id, family, row_id) of every piece of evidence."""
+        return written(evidence_rows(self.gaps, self.coverage, self.topics, self.completeness, self.reviews, self.assessments, self.questions))
+
+    @cached_property
+    def allowed(self) -> DataFrame:
+        """(finding_id, evidence_ids): what a finding may cite, as arrays."""
+        return written(self.allowed_edges.groupBy("finding_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids")))
 
     @cached_property
     def findings(self) -> DataFrame:
-        return written(self.flags.join(self.allowed.hint("merge"), "finding_id").select("finding_id", "status", "has_problem", "measure", "evidence_ids"))
+        return written(join_checked(self.flags, self.allowed, "finding_id").select("finding_id", "status", "has_problem", "measure", "evidence_ids"))
 
     @cached_property
     def actions(self) -> DataFrame:

@@ -11,6 +11,7 @@ from larkspur.operators import findings as FN
 from larkspur.operators import integrity as I
 from larkspur.operators import report as R
 from larkspur.operators import validate_rows as V
+from larkspur.operators.numbering import numbered
 from larkspur.plans import bindings as B
 from larkspur.plans import review_queries as RQ
 from larkspur.plans.registry import query
@@ -25,8 +26,16 @@ FOUND = f"""{RQ.FLAGGED}, families AS (
 ), findings AS (SELECT f.finding_id, f.status, f.has_problem, list(e.evidence_id ORDER BY e.evidence_id) AS evidence_ids FROM flagged f JOIN families e USING (finding_id) GROUP BY ALL)"""
 
 
+def P1(share, unit="%"):
+    """The SQL of a share in hundredths with one decimal, by whole numbers: 2^60 times a double is one, and exact."""
+    x = f"(CAST({share} AS DOUBLE) * 100)"
+    tenths = f"((20 * CAST(abs({x}) * 1152921504606846976.0::DOUBLE AS HUGEINT) + 1152921504606846976) // 2305843009213693952)"
+    return f"(CASE WHEN {x} < 0 THEN '-' ELSE '' END || CAST({tenths} // 10 AS VARCHAR) || '.' || CAST({tenths} % 10 AS VARCHAR) || '{unit}')"
+
+
+
 TITLED = " UNION ALL ".join(f"SELECT '{f}' AS finding_id, '{o}' AS outcome, '{t}' AS title" for f, o, t in FN.TITLES)
-query("finding_text", f"WITH {RQ.FLAGGED}, t AS ({TITLED}) SELECT f.finding_id, title, printf('%.1f%%', measure * 100) AS measure FROM flagged f JOIN t ON t.finding_id = f.finding_id AND outcome = CASE WHEN status = 'unavailable' THEN status WHEN has_problem THEN 'problem' ELSE 'none' END")(
+query("finding_text", f"WITH {RQ.FLAGGED}, t AS ({TITLED}) SELECT f.finding_id, title, {P1('measure')} AS measure FROM flagged f JOIN t ON t.finding_id = f.finding_id AND outcome = CASE WHEN status = 'unavailable' THEN status WHEN has_problem THEN 'problem' ELSE 'none' END")(
     lambda s, d: FN.finding_titles(Report(s, d).flags).select("finding_id", "title", T.percent1(F.col("measure")).alias("measure"))
 )
 
@@ -41,7 +50,6 @@ def named(column, names):
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE {column} END"
 
 
-P1 = "printf('%.1f%%', 100 * ({}))".format
 SOME = " || CAST(count(*) FILTER (role = 'competitor' AND questions >= 90) AS VARCHAR) || ".join(f"'{x}'" for x in FN.COMPETITORS["some"].split("%s"))
 NOTE = f"(SELECT CASE WHEN count(*) FILTER (role = 'competitor' AND questions >= 90) = 0 THEN '{FN.COMPETITORS['few']}' ELSE {SOME} END FROM elig)"
 CLAUSE = " || ".join(f"'{p}' || {f}" if f else f"'{p}'" for p, f in zip(FN.TOPIC_CLAUSE.split("%s"), (f"CASE WHEN product_id = 'BUILDING' THEN '{FN.OWN_NAME}' ELSE product_id[1] || lower(product_id[2:]) END", named("topic_id", TOPICS), "count", P1("share"), None), strict=True))
@@ -122,12 +130,6 @@ def _(s, d):
     return FN.action_lineage(r.actions, r.evidence)
 
 
-@query("action_source_rows", f"WITH {ACTED}, {EVID}, e AS (SELECT action_id, unnest(evidence_ids) AS evidence_id FROM actions) SELECT action_id, evidence_id, row_id FROM e JOIN gaps USING (evidence_id) JOIN reviews r ON r.product_id = gaps.product_id AND r.type_id = gaps.type_id UNION ALL SELECT action_id, evidence_id, review_id FROM e JOIN cover USING (evidence_id) JOIN assessed a ON a.product_id = cover.product_id AND a.dimension = cover.dimension AND present UNION ALL SELECT action_id, evidence_id, row_id FROM e JOIN tstat USING (evidence_id) JOIN questions q ON q.product_id = tstat.product_id AND q.topic_id = tstat.topic_id")
-def _(s, d):
-    r = Report(s, d)
-    return FN.source_rows(FN.action_lineage(r.actions, r.evidence), r.gaps, r.coverage, r.topics, r.reviews, r.assessments, r.questions)
-
-
 @query("finding_evidence_join", f"WITH {FOUND}, {EVID} SELECT finding_id, e AS evidence_id, family FROM (SELECT *, unnest(evidence_ids) AS e FROM findings) LEFT JOIN evid ON evid.evidence_id = e")
 def _(s, d):
     r = Report(s, d)
@@ -374,9 +376,9 @@ def full_reviews(r):
     )
 
 
-REVIEW_ROWS = """SELECT r.product_id, sort, rank, source_id, CAST(rank + 1 AS INTEGER) AS source_row, row_id, strftime(DATE '2024-01-01' + CAST(rank AS INTEGER), '%Y-%m-%d') AS date, chr(39) || '=sku ' || rank AS sku, 'text of ' || row_id AS initial_text, '' AS followup_text,
-  r.type_id, r.type_id AS type_name, CASE WHEN rank % 2 = 0 THEN 'initial：quote ' || rank ELSE '' END AS type_evidence, g.default_count, printf('%.1f%%', g.default_share * 100) AS default_share, g.recent_count, printf('%.1f%%', g.recent_share * 100) AS recent_share,
-  printf('%.1f%%', g.difference * 100) AS difference, evidence_id FROM reviews r LEFT JOIN gaps g ON g.product_id = r.product_id AND g.type_id = r.type_id"""
+REVIEW_ROWS = f"""SELECT r.product_id, sort, rank, source_id, CAST(rank + 1 AS INTEGER) AS source_row, row_id, strftime(DATE '2024-01-01' + CAST(rank AS INTEGER), '%Y-%m-%d') AS date, chr(39) || '=sku ' || rank AS sku, 'text of ' || row_id AS initial_text, '' AS followup_text,
+  r.type_id, r.type_id AS type_name, CASE WHEN rank % 2 = 0 THEN 'initial：quote ' || rank ELSE '' END AS type_evidence, g.default_count, {P1('g.default_share')} AS default_share, g.recent_count, {P1('g.recent_share')} AS recent_share,
+  {P1('g.difference')} AS difference, evidence_id FROM reviews r LEFT JOIN gaps g ON g.product_id = r.product_id AND g.type_id = r.type_id"""
 
 
 @query("report_tables_reviews", f"WITH {RO}, {TYP}, {RQ.GAPS} {REVIEW_ROWS}")
@@ -391,20 +393,20 @@ def _(s, d):
     return r.reviews.join(r.gaps.hint("merge"), ["product_id", "type_id"], "left").select("row_id", "evidence_id", "default_count", "recent_count", "difference")
 
 
-@query("report_tables_dimensions", f"WITH {RO}, {AS}, {RQ.COVER} SELECT a.product_id, review_id AS row_id, a.product_id || ':default_reviews' AS source_id, CAST(rank + 1 AS INTEGER) AS source_row, CAST(rank AS INTEGER) AS rank, CAST(count(*) FILTER (present) OVER (PARTITION BY review_id) AS INTEGER) AS score, a.dimension, present, CASE WHEN present THEN a.dimension || ':' || review_id ELSE '' END AS evidence, hit_count, total_count, printf('%.1f%%', coverage * 100) AS coverage, evidence_id FROM assessed a LEFT JOIN cover c ON c.product_id = a.product_id AND c.dimension = a.dimension")
+@query("report_tables_dimensions", f"WITH {RO}, {AS}, {RQ.COVER} SELECT a.product_id, review_id AS row_id, a.product_id || ':default_reviews' AS source_id, CAST(rank + 1 AS INTEGER) AS source_row, CAST(rank AS INTEGER) AS rank, CAST(count(*) FILTER (present) OVER (PARTITION BY review_id) AS INTEGER) AS score, a.dimension, present, CASE WHEN present THEN a.dimension || ':' || review_id ELSE '' END AS evidence, hit_count, total_count, {P1('coverage')} AS coverage, evidence_id FROM assessed a LEFT JOIN cover c ON c.product_id = a.product_id AND c.dimension = a.dimension")
 def _(s, d):
     r = Report(s, d)
     return R.dimensions_table(r.assessments, full_reviews(r), r.coverage)
 
 
-@query("report_tables_questions", f"WITH {RQ.DOMAIN}, {RQ.TSTAT} SELECT q.product_id, rank, q.product_id || ':questions' AS source_id, CAST(rank + 1 AS INTEGER) AS source_row, row_id, '' AS date, question, answer, q.topic_id, {named('q.topic_id', TOPICS)} AS topic_name, left(question, 5) AS topic_evidence, count, printf('%.1f%%', share * 100) AS share, array_to_string(representative_ids, '、') AS representatives, evidence_id FROM questions q LEFT JOIN tstat t ON t.product_id = q.product_id AND t.topic_id = q.topic_id")
+@query("report_tables_questions", f"WITH {RQ.DOMAIN}, {RQ.TSTAT} SELECT q.product_id, rank, q.product_id || ':questions' AS source_id, CAST(rank + 1 AS INTEGER) AS source_row, row_id, '' AS date, question, answer, q.topic_id, {named('q.topic_id', TOPICS)} AS topic_name, left(question, 5) AS topic_evidence, count, {P1('share')} AS share, array_to_string(representative_ids, '、') AS representatives, evidence_id FROM questions q LEFT JOIN tstat t ON t.product_id = q.product_id AND t.topic_id = q.topic_id")
 def _(s, d):
     r = Report(s, d)
     q = r.questions.withColumns({"source_row": F.col("rank") + 1, "date": F.lit(""), "topic_evidence": F.left("question", F.lit(5))})
     return R.questions_table(q, r.topics)
 
 
-METRICS = f"""(SELECT type_id FROM gaps WHERE product_id = 'BUILDING' ORDER BY abs(difference) DESC, type_id LIMIT 1) AS f01_type, (SELECT printf('%.1fpp', abs(difference) * 100) FROM gaps WHERE product_id = 'BUILDING' ORDER BY abs(difference) DESC, type_id LIMIT 1) AS f01_difference"""
+METRICS = f"""(SELECT type_id FROM gaps WHERE product_id = 'BUILDING' ORDER BY abs(difference) DESC, type_id LIMIT 1) AS f01_type, (SELECT {P1('abs(difference)', 'pp')} FROM gaps WHERE product_id = 'BUILDING' ORDER BY abs(difference) DESC, type_id LIMIT 1) AS f01_difference"""
 
 
 def metrics(r):
@@ -483,6 +485,28 @@ query("review_tag_totals", f"WITH {TAGS} SELECT product_id, name, CAST(sum(count
 query("order_tags", f"WITH {TAGS} SELECT product_id, name, row_number() OVER (PARTITION BY product_id ORDER BY name) AS n FROM (SELECT DISTINCT product_id, name FROM tags WHERE count IS NOT NULL)")(
     lambda s, d: tagged(s, d)[0].select("product_id", "name", F.row_number().over(Window.partitionBy("product_id").orderBy("name")).cast("long").alias("n"))
 )
+
+
+def named_by_words(s, d):
+    """Tags named by the first word of each document, as it is written: capitals, accents and marks."""
+    word = F.regexp_extract("text", r"([^\s]+)", 1)
+    t = B.table(s, d, "documents").select(F.col("lang").alias("product_id"), word.alias("name"), F.col("n_chars").alias("count"))
+    return R.tag_totals(s.createDataFrame([], "product_id string, completeness string"), t, "UNICODE")[0]
+
+
+WORDS = "words AS (SELECT lang AS product_id, regexp_extract(text, '([^\\s]+)', 1) AS name, CAST(sum(n_chars) AS BIGINT) AS count FROM documents GROUP BY ALL)"
+query("order_tags_by_locale", f"WITH {WORDS} SELECT product_id, name, count, row_number() OVER (PARTITION BY product_id ORDER BY name COLLATE en, name) AS n FROM words")(
+    lambda s, d: numbered(named_by_words(s, d).withColumn("_name", F.collate("name", "UNICODE")), ["product_id"], ["_name", "name"]).select("product_id", "name", "count", "n")
+)
+
+
+@query("top_words_by_locale", f"WITH {WORDS} SELECT product_id, topic_id, share FROM (SELECT product_id, name AS topic_id, 0.5::DOUBLE AS share FROM words) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY share DESC, topic_id COLLATE en, topic_id) = 1")
+def _(s, d):
+    """The first word of each language where all have the same share: the order of the locale decides."""
+    t = named_by_words(s, d).select("product_id", F.col("name").alias("topic_id"), F.lit(0.5).alias("share"))
+    return A.top_topic_per_product(t, t.select("product_id").distinct(), "UNICODE").select("product_id", "topic_id", "share")
+
+
 query("tag_warnings", f"WITH {TAGS} SELECT 'SCREENSHOT_TAG_COUNT_UNAVAILABLE' AS code, product_id, name FROM tags WHERE count IS NULL UNION ALL SELECT 'SCREENSHOT_METADATA_PARTIAL', 'de', '' UNION ALL SELECT 'SCREENSHOT_METADATA_UNAVAILABLE', 'fr', ''")(lambda s, d: tagged(s, d)[1])
 query("long_cells", "SELECT 'CELL_TOO_LONG' AS code, doc_id || ':text' AS object_id FROM documents WHERE length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) > 5000")(lambda s, d: R.long_cells(B.table(s, d, "documents"), "doc_id", ["text", "source"], 5000))
 
@@ -492,7 +516,7 @@ def cells(name, sql, column):
     query(name, f"SELECT event_id, {sql} AS cell FROM events")(lambda s, d: B.table(s, d, "events").select("event_id", column().alias("cell")))
 
 
-cells("percent1", "printf('%.1f%%', (event_id % 7) / 8 * 100)", lambda: T.percent1(F.col("event_id") % 7 / 8))
+cells("percent1", P1("(CAST(event_id % 4001 AS DOUBLE) - 1000) / 2000"), lambda: T.percent1((F.col("event_id") % 4001 - 1000).cast("double") / 2000))
 cells("safe_cell", "CASE WHEN event_id % 2 = 0 THEN chr(39) || '  =' || event_type ELSE event_type END", lambda: T.safe_cell(F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("  ="), "event_type")).otherwise(F.col("event_type"))))
 cells("clean_xml_text", "event_type || chr(65533) || 'x'", lambda: T.clean_xml_text(F.concat("event_type", F.lit("\x01x"))))
 cells("cell_length_check", "CAST(2 + length(event_type) AS INTEGER)", lambda: T.cell_units(F.concat(F.lit("\U0001F600"), "event_type")))

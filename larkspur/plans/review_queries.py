@@ -149,8 +149,10 @@ query(
 query("status_of", "SELECT i AS used, CASE WHEN i = 0 THEN 'missing' WHEN i < 90 THEN 'insufficient' WHEN i < 100 THEN 'provisional' ELSE 'complete' END AS status FROM (SELECT DISTINCT user_id % 120 AS i FROM events)")(
     lambda s, d: B.table(s, d, "events").select((F.col("user_id") % 120).alias("used")).distinct().select("used", V.status_of(F.col("used")).alias("status"))
 )
-query("parse_rank", "SELECT doc_id, CASE WHEN regexp_full_match(item, '[0-9]+') AND length(item) < 30 AND CAST(item AS HUGEINT) BETWEEN 1 AND 9007199254740991 THEN CAST(item AS BIGINT) END AS rank FROM (SELECT doc_id, text AS item FROM documents UNION ALL SELECT doc_id, CAST(doc_id * 1000003 - 5 AS VARCHAR) FROM documents)")(
-    lambda s, d: B.table(s, d, "documents").select("doc_id", F.explode(F.array("text", (F.col("doc_id") * 1000003 - 5).cast("string"))).alias("item")).select("doc_id", T.rank_value(F.col("item")).alias("rank"))
+WIDE = "０１２３４５６７８９"
+query("parse_rank", "SELECT doc_id, CASE WHEN regexp_full_match(item, '[0-9]+') AND length(item) < 30 AND CAST(item AS HUGEINT) BETWEEN 1 AND 9007199254740991 THEN CAST(item AS BIGINT) END AS rank FROM (SELECT doc_id, text AS item FROM documents UNION ALL SELECT doc_id, CAST(doc_id * 1000003 - 5 AS VARCHAR) FROM documents UNION ALL SELECT doc_id, CAST(doc_id AS VARCHAR) FROM documents)")(
+    lambda s, d: B.table(s, d, "documents").select("doc_id", F.explode(F.array("text", (F.col("doc_id") * 1000003 - 5).cast("string"), F.concat(F.lit("　00"), F.translate(F.col("doc_id").cast("string"), "0123456789", WIDE), F.lit(" ")))).alias("item"))
+    .select("doc_id", T.rank_value(F.col("item")).alias("rank"))
 )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import integrity as I
 from larkspur.operators import report as R
 from larkspur.operators import validate_rows as V
+from larkspur.operators.numbering import numbered
 from larkspur.plans import bindings as B
 from larkspur.plans import review_queries as RQ
 from larkspur.plans.registry import query
@@ -44,9 +45,8 @@ query("header_diagnostics", f"WITH {SHEETS} SELECT source_id, 'UNKNOWN_COLUMN' A
 
 @query("pivot_cells", f"WITH {SHEETS}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) + 1 AS row_no FROM documents) SELECT source AS source_id, CAST(row_no AS INTEGER) AS row_no, CAST(doc_id AS VARCHAR) AS rank, lang AS sku, md5(text) AS \"initialText\", doc_id % 17 = 0 AS is_formula FROM n JOIN sheets ON source = source_id WHERE k % 12 NOT IN (0, 3, 4, 6, 8, 9)")
 def _(s, d):
-    from pyspark.sql import Window
-
-    doc = B.table(s, d, "documents").withColumn("row_no", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) + 1)
+    doc = B.table(s, d, "documents").select("doc_id", "source", "lang", "text")
+    doc = doc.join(numbered(doc.select("source", "doc_id"), ["source"], ["doc_id"], "n").select("doc_id", (F.col("n") + 1).cast("int").alias("row_no")).hint("merge"), "doc_id")
     values = F.array(*[F.struct(F.lit(c).alias("col_no"), v.alias("value"), f.alias("is_formula")) for c, v, f in (
         (1, F.col("doc_id").cast("string"), F.col("doc_id") % 17 == 0), (3, F.col("lang"), F.lit(False)), (4, F.md5("text"), F.lit(False)))])
     cells = doc.select(F.col("source").alias("source_id"), "row_no", F.explode(values).alias("c")).select("source_id", "row_no", "c.*")
@@ -54,10 +54,12 @@ def _(s, d):
     return H.pivot_cells(cells, mapping, faults, ["rank", "sku", "initialText"])
 
 
-query("question_profile", f"WITH {SHEETS} SELECT source_id, CASE k % 3 WHEN 0 THEN 'by_order' WHEN 1 THEN 'by_rank' ELSE 'INVALID_QUESTION_HEADER_PROFILE' END AS profile FROM sheets")(
+query("question_profile", f"WITH {SHEETS} SELECT source_id, CASE k % 4 WHEN 0 THEN 'by_order' WHEN 1 THEN 'by_rank' ELSE 'INVALID_QUESTION_HEADER_PROFILE' END AS profile FROM sheets")(
     lambda s, d: H.question_profile(
-        sheets(s, d).select("source_id", F.posexplode(F.when(F.col("k") % 3 == 0, F.array(*map(F.lit, ("昵称", "时间", "问题", "回答", "")))).when(F.col("k") % 3 == 1, F.array(*map(F.lit, ("序号", "问题", "回答")))).otherwise(F.array(*map(F.lit, ("问题", "回答"))))).alias("col_no", "name")),
-        ["昵称", "时间", "问题", "回答"],
+        sheets(s, d).select("source_id", F.posexplode(
+            F.when(F.col("k") % 4 == 0, F.array(*map(F.lit, ("昵 称", "时间　", "问题", "问答", "")))).when(F.col("k") % 4 == 1, F.array(*map(F.lit, (" 序号", "问题", "回答"))))
+            .when(F.col("k") % 4 == 2, F.array(*map(F.lit, ("昵称", "时间", "问题", "回答")))).otherwise(F.array(*map(F.lit, ("问题", "回答"))))
+        ).alias("col_no", "name"))
     )
 )
 query("row_and_source_ids", "SELECT source || ':default_reviews' AS source_id, source || ':default_reviews:' || (row_number() OVER (PARTITION BY source ORDER BY doc_id) + 1) AS row_id FROM documents")(

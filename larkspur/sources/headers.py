@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import is_blank, normalize_header
+from larkspur.functions.text import is_blank, normalize_exact, normalize_header, text_value
 from larkspur.operators.numbering import numbered
 
 # Names under which exports have each field.
@@ -44,8 +44,8 @@ def map_headers(headers: DataFrame, aliases: DataFrame, required: list[str], ign
     code = F.when(F.col("field").isNull(), "IGNORED_COLUMN" if ignore_unknown else "UNKNOWN_COLUMN").when(F.col("n") > 1, "DUPLICATE_COLUMN")
     faults = x.select("source_id", code.alias("code"), F.col("name").alias("detail")).where("code IS NOT NULL")
     sources = headers.select("source_id").distinct()
-    empty = sources.join(named, "source_id", "left_anti").select("source_id", F.lit("MISSING_HEADER").alias("code"), F.lit("").alias("detail"))
-    due = sources.join(empty, "source_id", "left_anti").select("source_id", F.explode(F.array(*[F.lit(r) for r in required])).alias("field"))
+    empty = sources.join(named.select("source_id").hint("merge"), "source_id", "left_anti").select("source_id", F.lit("MISSING_HEADER").alias("code"), F.lit("").alias("detail"))
+    due = sources.join(empty.hint("merge"), "source_id", "left_anti").select("source_id", F.explode(F.array(*[F.lit(r) for r in required])).alias("field"))
     lacking = due.join(mapping.hint("merge"), ["source_id", "field"], "left_anti").select("source_id", F.lit("MISSING_COLUMN").alias("code"), F.col("field").alias("detail"))
     return mapping, faults.union(empty).union(lacking)
 
@@ -60,13 +60,21 @@ def pivot_cells(cells: DataFrame, mapping: DataFrame, faults: DataFrame, fields:
     return x.groupBy("source_id", "row_no").agg(*columns, formula)
 
 
-def question_profile(headers: DataFrame, exact: list[str]) -> DataFrame:
-    """(source_id, profile): whether a source's headers are exactly the given ones without a rank, have a rank, or neither."""
-    h = trim_blank_headers(headers.withColumn("name", normalize_header(F.col("name"))))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("col_no", "name"))), lambda x: x["name"])
-    g = h.groupBy("source_id").agg(names.alias("names"))
+# Fixed value: the header of questions that have no rank of their own.
+RANKLESS_QUESTIONS = ("昵称", "时间", "问题", "问答")
+
+
+def question_profile(headers: DataFrame, exact=RANKLESS_QUESTIONS) -> DataFrame:
+    """(source_id, profile): whether a source's headers are exactly the given ones without a rank, have a rank, or neither.
+
+    For the first, blanks within a name count as little as around it; a rank is named as map_headers() binds it. A source whose
+    header has neither has the fault of its profile, whatever else is wrong with it.
+    """
+    h = trim_blank_headers(headers.withColumn("given", F.col("name")).withColumn("name", normalize_header(F.col("name"))))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("col_no", c))), lambda x: x[c])
+    g = h.withColumn("plain", normalize_exact(text_value(F.col("given")))).groupBy("source_id").agg(in_order("name").alias("names"), in_order("plain").alias("plain"))
     rank = F.arrays_overlap("names", F.array(*[F.lit(n) for n in QUESTION_ALIASES["rank"]]))
-    return g.select("source_id", F.when(F.col("names") == F.array(*[F.lit(e) for e in exact]), "by_order").when(rank, "by_rank").otherwise("INVALID_QUESTION_HEADER_PROFILE").alias("profile"))
+    return g.select("source_id", F.when(F.col("plain") == F.array(*[F.lit(e) for e in exact]), "by_order").when(rank, "by_rank").otherwise("INVALID_QUESTION_HEADER_PROFILE").alias("profile"))
 
 
 def rank_by_order(rows: DataFrame) -> DataFrame:
