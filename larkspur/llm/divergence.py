@@ -60,21 +60,24 @@ def term_counts(docs: DataFrame, digest: Callable[[bytes], int] | None = digest_
             whole = {"lang": pa.repeat(pa.scalar(lang, pa.string()), rows)} | columns
             return pa.RecordBatch.from_arrays([whole.get(f.name, pa.nulls(rows, f.type)) for f in _COUNTS], schema=_COUNTS)
 
+        def longs(values, rows: int) -> pa.Array:
+            return pa.array(np.fromiter(values, np.int64, rows))
+
         def out():
             digests: dict[str, dict[bytes, int]] = defaultdict(dict)
             for (lang, source), (n, docs) in held.items():
                 own = digests[lang]
                 if digest:
-                    for t in n:
-                        if t not in own:
-                            own[t] = digest(t)
-                    key = {"digest": pa.array([None, *(own[t] for t in n)], pa.int64())}
+                    new = n.keys() - own.keys()
+                    own.update(zip(new, map(digest, new), strict=True))
+                    key = {"digest": longs(map(own.__getitem__, n), len(n))}
                 else:
-                    key = {"term": pa.array([None, *n], pa.binary()).view(pa.string())}
-                rows = len(n) + 1
-                yield batch_of(rows, lang, source=pa.repeat(pa.scalar(source, pa.string()), rows), n=pa.array([0, *n.values()], pa.int64()), docs=pa.array([0, *(docs[t] for t in n)], pa.int64()), **key)
+                    key = {"term": pa.array(n, pa.binary()).view(pa.string())}
+                rows = len(n)
+                yield batch_of(1, lang, source=pa.array([source], pa.string()), n=pa.array([0], pa.int64()), docs=pa.array([0], pa.int64()))
+                yield batch_of(rows, lang, source=pa.repeat(pa.scalar(source, pa.string()), rows), n=longs(n.values(), rows), docs=longs(map(docs.__getitem__, n), rows), **key)
             for lang, own in digests.items():
-                yield batch_of(len(own), lang, digest=pa.array(own.values(), pa.int64()), term=pa.array(own, pa.binary()).view(pa.string()))
+                yield batch_of(len(own), lang, digest=longs(own.values(), len(own)), term=pa.array(own, pa.binary()).view(pa.string()))
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
@@ -99,9 +102,10 @@ _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("digest",
 
 
 def _share(n: Column, total: Column) -> Column:
-    """1 + floor(SCALE * (n + 1) / total), exact beyond 64 bits; 1 where there is no total."""
+    """1 + floor(SCALE * (n + 1) / total), by decimals where 64 bits do not hold the product; 1 where there is no total."""
     big = F.lit(SCALE).cast("decimal(10,0)") * (n + 1).cast("decimal(20,0)")
-    return F.when(total > 0, F.floor(_whole_quotient(big, total)) + 1).otherwise(F.lit(1)).cast("long")
+    small = F.call_function("div", F.lit(SCALE).cast("long") * (n + 1), total) + 1
+    return F.when(total <= 0, F.lit(1)).when(n < (1 << 62) // SCALE, small).otherwise(F.floor(_whole_quotient(big, total)) + 1).cast("long")
 
 
 def _whole_quotient(a: Column, b: Column) -> Column:
@@ -112,7 +116,7 @@ def _whole_quotient(a: Column, b: Column) -> Column:
 
 def _gap(p: Column, q: Column) -> Column:
     """floor((p - q)^2 / q) of shares, whose squares 64 bits hold."""
-    return F.expr("cast(0 as bigint)") + F.call_function("div", (p - q) * (p - q), q)
+    return F.call_function("div", (p - q) * (p - q), q)
 
 
 def kept_terms(docs: DataFrame, rows: DataFrame, sums: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
