@@ -84,20 +84,24 @@ def cover_tree(points: np.ndarray) -> CoverTree:
     return CoverTree(order, low, high, radius, first, last)
 
 
+#: Stands for no score; below every other.
+NONE = -(1 << 63)
+
+
 class Best:
-    """The k best of every query so far: score, then smaller id."""
+    """The k best of every query so far: score, then smaller id. Scores are 64-bit integers."""
 
     def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray):
         self.ids, self.k = ids, k
-        self.score = np.full((len(ids), k), -np.inf)
+        self.score = np.full((len(ids), k), NONE, np.int64)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
-        self.floor = floor
+        self.floor = np.asarray(floor, np.int64)
 
     def worst(self, rows: np.ndarray) -> np.ndarray:
         return np.maximum(self.score[rows, -1], self.floor[rows])
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.where(self.ids[rows][:, None] == ids[None, :], -np.inf, scores)
+        scores = np.where(self.ids[rows][:, None] == ids[None, :], NONE, scores)
         open_ = scores.max(axis=1) >= self.worst(rows)
         if not open_.any():
             return
@@ -108,8 +112,8 @@ class Best:
             scores, ids = scores[:, use], ids[use]
         s = np.concatenate([self.score[rows], scores], axis=1)
         i = np.concatenate([self.found[rows], np.broadcast_to(ids, scores.shape)], axis=1)
-        i = np.where(s == -np.inf, np.iinfo(np.int64).max, i)
-        first = np.lexsort((i, -s), axis=-1)[:, : self.k]
+        i = np.where(s == NONE, np.iinfo(np.int64).max, i)
+        first = np.lexsort((i, ~s), axis=-1)[:, : self.k]
         self.score[rows], self.found[rows] = np.take_along_axis(s, first, 1), np.take_along_axis(i, first, 1)
 
 
@@ -128,6 +132,22 @@ def spread(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
+def products(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """Inner products of whole numbers as 64-bit integers, exact; ``most`` bounds the sum of the products' sizes.
+
+    Doubles hold them below 2^53, 64-bit integers below 2^63. What may be larger is reckoned in integers of any size; a score that
+    a 64-bit column cannot hold is an error, not another number.
+    """
+    if most < 2**53:
+        return (a @ b.T).astype(np.int64)
+    if most < 2**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.array([[int(x) for x in row] for row in a], object) @ np.array([[int(x) for x in row] for row in b], object).T
+    if max(abs(x) for x in whole.flat) >= 1 << 63:
+        raise OverflowError("an inner product is beyond 64 bits")
+    return whole.astype(np.int64)
+
+
 def dual_tree(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, best: Best) -> None:
     """Walk both trees together: each query node with the data nodes that may still hold one of the k best of its queries.
 
@@ -137,7 +157,7 @@ def dual_tree(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, best: Best
     """
     if not len(queries) or not len(data):
         return
-    safe = max(np.abs(queries).max(), 1) * max(np.abs(data).max(), 1) * queries.shape[1] < 2**53
+    most = max(np.abs(queries).max(), 1) * max(np.abs(data).max(), 1) * queries.shape[1]
     q, x = cover_tree(queries), cover_tree(data)
     norm_q, norm_x = np.sqrt((queries[q.center] ** 2).sum(axis=1)), np.sqrt((data[x.center] ** 2).sum(axis=1))
     leaf_x = x.last == 0
@@ -169,7 +189,7 @@ def dual_tree(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, best: Best
             if len(some):
                 at = x.order[spread(x.low[some], x.high[some])]
                 a, b = queries[rows], data[at]
-                best.offer(rows, a @ b.T if safe else (a.astype(np.int64) @ b.astype(np.int64).T).astype(float), ids[at])
+                best.offer(rows, products(a, b, most), ids[at])
 
 
 def matrix(column) -> np.ndarray:
@@ -270,16 +290,16 @@ def searched(queries: DataFrame, data: DataFrame, pairs: DataFrame, k: int) -> D
     """
     pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("grp", F.lit(3)), F.lit(max(1, -(-queries.count() // CHUNK)))))
     asked = queries.join(pairs.hint("merge"), "grp").select("block", "chunk", "vec_id", "v", "floor", F.lit(True).alias("asks"))
-    given = data.join(pairs.select("block", "chunk").distinct().hint("merge"), "block").select("block", "chunk", "vec_id", "v", F.lit(0.0).alias("floor"), F.lit(False).alias("asks"))
+    given = data.join(pairs.select("block", "chunk").distinct().hint("merge"), "block").select("block", "chunk", "vec_id", "v", F.lit(0).cast("long").alias("floor"), F.lit(False).alias("asks"))
 
     def best(part: pa.Table) -> pa.Table:
         asks = np.array(part["asks"].to_pylist(), bool)
         v, ids, floor = matrix(part["v"]), part["vec_id"].to_numpy(), part["floor"].to_numpy()
         held = Best(ids[asks], k, floor[asks])
         dual_tree(v[asks], v[~asks], ids[~asks], held)
-        ok = (held.score > -np.inf) & (held.score >= held.floor[:, None])
+        ok = (held.score > NONE) & (held.score >= held.floor[:, None])
         q = np.broadcast_to(held.ids[:, None], ok.shape)[ok]
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(held.found[ok], pa.int64()), "score": pa.array(held.score[ok].astype(np.int64), pa.int64())})
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(held.found[ok], pa.int64()), "score": pa.array(held.score[ok], pa.int64())})
 
     return asked.unionByName(given).groupBy("block", "chunk").applyInArrow(best, "query_id long, vec_id long, score long")
 
@@ -298,7 +318,8 @@ def exact_top_k(embeddings: DataFrame, is_query, k: int = 20) -> DataFrame:
     walked together. Bounds only ever leave out what cannot be among the k best, so results are exact.
 
     Ties go to the smaller vec_id. Rows with a null vec_id take no part. Rows that share a vec_id are one candidate each, and
-    none for the query of that id; of queries that share an id, the smallest vector asks. An empty table gives no rows.
+    none for the query of that id; of queries that share an id, the smallest vector asks. Scores are exact up to 64 bits; one beyond
+    raises. An empty table gives no rows.
     """
     vectors = scratch(integer_vectors(embeddings.select("vec_id", "embedding")))
     if vectors.isEmpty():
@@ -309,12 +330,12 @@ def exact_top_k(embeddings: DataFrame, is_query, k: int = 20) -> DataFrame:
     queries = scratch(dealt(scratch(asking), GROUP, "grp"))
     blocks = scratch(balls(data, "block"))
     groups = balls(queries, "grp")
-    low = F.lit(float("-inf"))
+    low = F.lit(NONE).cast("long")
     home = scratch(nearest_blocks(scratch(groups), blocks))
     first = scratch(searched(queries.withColumn("floor", low), data, home, k))
     kth = top_k(first, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
     asked = scratch(
-        queries.join(kth.withColumnRenamed("query_id", "vec_id").hint("merge"), "vec_id", "left").select("grp", "vec_id", "v", F.coalesce(F.col("kth").cast("double"), low).alias("floor"))
+        queries.join(kth.withColumnRenamed("query_id", "vec_id").hint("merge"), "vec_id", "left").select("grp", "vec_id", "v", F.coalesce("kth", low).alias("floor"))
     )
     worst = asked.groupBy("grp").agg(F.min("floor").alias("worst"))
     left = meeting(balls(asked, "grp").join(worst.hint("merge"), "grp"), blocks).join(home.hint("merge"), ["grp", "block"], "left_anti")

@@ -309,13 +309,54 @@ def test_the_walk_prunes(monkeypatch):
     offer = topk_search.Best.offer
     monkeypatch.setattr(topk_search, "SCORED", 128)
     monkeypatch.setattr(topk_search.Best, "offer", lambda self, rows, scores, ids: (scored.append(scores.size), offer(self, rows, scores, ids))[1])
-    best = topk_search.Best(np.full(100, -1), 5, np.full(100, -np.inf))
+    best = topk_search.Best(np.full(100, -1), 5, np.full(100, topk_search.NONE))
     queries = data[::20]
     topk_search.dual_tree(queries, data, np.arange(2000), best)
     want = queries @ data.T
     assert (best.score == -np.sort(-want, axis=1)[:, :5]).all() and sum(scored) < 0.5 * want.size
 
 
+def test_large_scores_are_exact(spark):
+    rows = [(0, [200_000_001 / 64, 3 / 64]), (1, [200_000_003 / 64, 1 / 64]), (2, [200_000_003 / 64, 2 / 64]), (3, [-1.0, 2.0])]
+    got = topk_search.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 200_000_001 * 200_000_003 + 6), (1, 200_000_001 * 200_000_003 + 3), (3, -64 * 200_000_001 + 384)]
+    big = np.array([[2.0**31, 1.0]])
+    assert topk_search.products(big, np.array([[2.0**31, 5.0]]), 2.0**63)[0, 0] == 2**62 + 5
+    with pytest.raises(OverflowError):
+        topk_search.products(big, np.array([[2.0**33, 5.0]]), 2.0**65)
+
+
+def pruned_share(data, queries, k):
+    """The share of pairs of query and vector that no full cover tree's bound above single vectors rules out, if each query knew its k-th score."""
+    tree = topk_search.cover_tree(data)
+    norm = np.sqrt((data[tree.center] ** 2).sum(axis=1))
+    wide = tree.high - tree.low > 1
+    kept = 0
+    for q in queries:
+        kth = np.sort(data @ q)[-k]
+        top = topk_search.bounds(data[tree.center] @ q, np.sqrt(q @ q), 0.0, norm, tree.radius)
+        out = np.zeros(len(data), bool)
+        for n in np.flatnonzero(wide & (top < kth)):
+            out[tree.low[n] : tree.high[n]] = True
+        kept += len(data) - out.sum()
+    return kept / (len(data) * len(queries))
+
+
+def test_what_bounds_can_leave_out(spark, monkeypatch):
+    """With trees down to single vectors: all pairs of the given vectors have to be scored, and of any without structure in many
+    dimensions; of clustered ones few."""
+    monkeypatch.setattr(topk_search, "CHILD", 0)
+    monkeypatch.setattr(topk_search, "LEAF", 1)
+    given = np.array([r.v for r in topk_search.integer_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("vec_id").collect()])
+    r = np.random.default_rng(7)
+    centers = r.normal(size=(25, 16)) * 640
+    clustered = np.floor(np.repeat(centers, 80, axis=0) + r.normal(size=(2000, 16)) * 20)
+    loose = np.floor(r.normal(size=(1500, 256)) * 64)
+    shares = [pruned_share(m, m[::50], 20) for m in (given, clustered, loose)]
+    print("pairs to score: given, clustered, 256 dimensions", [round(x, 4) for x in shares])
+    assert shares[0] > 0.98 and shares[1] < 0.2 and shares[2] > 0.98
+
+
 def test_search_reads_no_other_columns(spark):
     m = np.random.default_rng(44).normal(size=(60, 4))
     d = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
