@@ -1,15 +1,19 @@
 """Functions and small operators on literal rows."""
 
+import math
+import random
 import zipfile
 from collections import defaultdict
+from fractions import Fraction
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import markdown as M
 from larkspur.functions import paths as P
 from larkspur.functions import text as T
-from larkspur.operators import dedup, files, findings, integrity, labels, report, validate_rows
+from larkspur.operators import aggregates, dedup, files, findings, integrity, labels, report, validate_rows
 from larkspur.operators.numbering import numbered
 from larkspur.plans.spill import scratch_path
 from larkspur.sources import headers, workbooks
@@ -32,12 +36,30 @@ def test_modules_of_paths(spark):
 
 def test_ranks(spark):
     assert values(spark, ["1", "007", "0", "-1", "1.0", "9007199254740991", "9007199254740992", "9" * 40, "", None], T.rank_value) == [1, 7, None, None, None, 9007199254740991, None, None, None, None]
+    assert values(spark, ["１２", " 12 ", "\u3000０7\t", "1 2", "⑫", "²", "0" * 30 + "5"], T.rank_value) == [12, 12, 7, None, 12, 2, 5]
 
 
 def test_exact_form(spark):
     assert values(spark, ["Ａ b　c", "a﻿b ", "é", None], T.normalize_exact) == ["Abc", "ab", "é", None]
 
 
+def decimal_tenths(x):
+    """x times 100 as one rounds the exact value of a double: half away from zero."""
+    n = abs(Fraction(x * 100.0)) * 10
+    n = int(n + Fraction(1, 2))
+    return f"{'-' if x * 100.0 < 0 else ''}{n // 10}.{n % 10}%"
+
+
+def test_percent_of_any_double(spark):
+    r = random.Random(1)
+    shares = [r.random() for _ in range(300_000)] + [r.randint(0, 20_000) / 20_000 for _ in range(300_000)] + [a / b for a in range(0, 700) for b in range(max(a, 1), 701)]
+    shares += [-x for x in shares[:50_000]] + [x * 10 ** -r.randint(1, 9) for x in shares[:100_000]] + [0.0635, 0.0115, 0.0005, 0.00049999999, 1.0, 5e-324, 1e-17, 12.3455]
+    near = [math.nextafter(x, y) for x in (0.0005, 0.0635, 0.0115, 0.5005, 0.9995, 0.1235) for y in (0, 1)]
+    shares += near
+    got = spark.createDataFrame(pd.DataFrame({"i": range(len(shares)), "x": shares})).select("i", T.percent1(F.col("x")).alias("y")).toPandas().sort_values("i")["y"].tolist()
+    assert [(x, g) for x, g in zip(shares, got, strict=True) if g != decimal_tenths(x)] == []
+
+
 def test_percent(spark):
     assert values(spark, [0.0625, 0.5, 0.0, 1.0], T.percent1, "double") == ["6.3%", "50.0%", "0.0%", "100.0%"]
 
@@ -60,6 +82,68 @@ def test_markdown_table_rules(spark):
     ]
 
 
+def test_a_heading_with_a_pipe_is_a_heading(spark):
+    text = "# A | B\n|---|---|\n| x | y |\n|---|---|\n| 1 | 2 |\n# no | heading\n\n## C | D\n| k |\n|---|"
+    got = files.markdown_rows(spark.createDataFrame([("d", text)], "doc string, markdown string")).orderBy("table_no", "row_no").collect()
+    assert [(r.table_no, r.row_no, r.name, r.cells) for r in got] == [
+        (1, 0, "A | B", ["x", "y"]), (1, 1, "A | B", ["1", "2"]), (1, 2, "A | B", ["# no", "heading"]), (2, 0, "C | D", ["k"]),
+    ]
+
+
+def test_members_need_a_path(spark):
+    assert values(spark, ["./", "", "/", "a//./b", "..", "a/../b", "\\x\\y"], P.safe_archive_path) == [None, None, None, "a/b", None, None, "x/y"]
+
+
+def test_fences(spark):
+    assert values(spark, ["```JSON\n{}\n```", "```\n```", "```json```", " \n x \u3000", "``` a", "a ```json b```"], labels.unwrap_fence) == ["{}", "", "", "x", "``` a", "a ```json b```"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Shanghai"])
+def test_minutes_in_any_session_zone(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = values(spark, ["2024-03-10T07:30:00Z", "2024-03-10T02:30:00.123Z", "2024-11-03 06:30:00+01:00", "1988-07-01T00:00:00Z", "x", None], T.beijing_minute)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == [f"{t}{T.MINUTE_MARK}" for t in ("2024-03-10 15:30", "2024-03-10 10:30", "2024-11-03 13:30", "1988-07-01 09:00")] + [T.NO_MINUTE] * 2
+
+
+def test_order_by_locale(spark):
+    names = ["b", "B", "a", "É", "e", "é", "Z", "_", "10", "9", "ä"]
+    gaps = spark.createDataFrame([("p", n, 0.5) for n in names], "product_id string, type_id string, difference double")
+    own = spark.createDataFrame([("p",)], "product_id string")
+    assert aggregates.top_gap_type(gaps, own).first().type_id == "10" and aggregates.top_gap_type(gaps, own, "UNICODE").first().type_id == "_"
+    found = gaps.select(F.col("type_id").alias("product_id"))
+    assert [r.product_id for r in aggregates.distinct_products(found, "UNICODE").collect()] == ["_", "10", "9", "a", "ä", "b", "B", "e", "é", "É", "Z"]
+    q = spark.createDataFrame([("p", "t", 1, n) for n in names], "product_id string, topic_id string, rank int, row_id string")
+    assert [r.row_id for r in aggregates.representatives(q, 3, "UNICODE").orderBy("n").collect()] == ["_", "10", "9"]
+
+
+def test_question_headers(spark):
+    h = [("a", "昵 称", "时间", "问题\u3000", "问答"), ("b", "昵称", "时间", "问题", "回答"), ("c", "序号 ", "x"), ("d", "昵称", "时间", "问题", "问答", "多")]
+    cells = spark.createDataFrame([(s, i, n) for s, *names in h for i, n in enumerate(names)], "source_id string, col_no int, name string")
+    assert {r.source_id: r.profile for r in headers.question_profile(cells).collect()} == {"a": "by_order", "b": "INVALID_QUESTION_HEADER_PROFILE", "c": "by_rank", "d": "INVALID_QUESTION_HEADER_PROFILE"}
+
+
+def test_limits_of_requests(spark):
+    rows = [("ok", "1", "a", None), ("ids", "", "a", None), ("ids2", "x" * 257, "a", ""), ("twice", "1", "a", None), ("twice", "1", "b", None), ("blank", "1", " ", None), ("long", "1", "a", "\U0001F600" * 11), ("picture", "1", "a", "\n data:image/png;base64,xx")]
+    rows += [("many", str(i), "a", None) for i in range(51)]
+    got = labels.input_limits(spark.createDataFrame(rows, "request_id string, row_id string, a string, b string"), ["a", "b"], longest=21 + 5).collect()
+    assert {(r.request_id, r.code) for r in got} == {("ids", "INVALID_ID"), ("ids2", "INVALID_ID"), ("twice", "REPEATED_ID"), ("blank", "EMPTY_TEXT"), ("picture", "IMAGE_DATA"), ("many", "TOO_MANY_ROWS")}
+    assert [r.code for r in labels.input_limits(spark.createDataFrame(rows[6:7], "request_id string, row_id string, a string, b string"), ["a", "b"], longest=21).collect()] == ["TEXT_TOO_LONG"]
+
+
+def test_groups_with_further_names(spark):
+    rows = [(0, "a.png", "01_甲"), (1, "b.md", None), (2, "c", "乙"), (3, "d.csv", " 2-甲"), (4, "e", "123"), (5, "f.jpg", "丙" * 50)]
+    given = spark.createDataFrame(rows, "id long, path string, group_name string")
+    extra = spark.createDataFrame([("3 丁", 0), ("乙", 1), ("9", 2)], "name string, position long")
+    groups, entries, none = files.recognise(given, extra)
+    got = {r.group_name: (r.position, r.files, r.image_count, r.spreadsheet_count) for r in groups.collect()}
+    assert got == {"丁": (1, 0, 0, 0), "乙": (2, 1, 0, 0), "甲": (3, 1, 1, 0), " 2-甲": (4, 1, 0, 1), "丙" * 40: (5, 1, 1, 0)} or got == {"丁": (1, 0, 0, 0), "乙": (2, 1, 0, 0), "甲": (3, 1, 1, 0), "2-甲": (4, 1, 0, 1), "丙" * 40: (5, 1, 1, 0)}
+    assert {r.id for r in entries.collect()} == {0, 2, 3, 5} and [r.id for r in none.collect()] == [1]
+
+
 def test_separator(spark):
     assert values(spark, ["|---|:---:|", "|--|", "a", None], lambda c: M.is_separator(M.split_row(c))) == [True, False, False, False]
 
