@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from larkspur.functions import markdown as M
 from larkspur.functions.paths import clean_group, file_type, is_system_path, is_temporary
 from larkspur.functions.text import cell_units, file_extension, sanitize_text, strip
+from larkspur.operators.joins import join_written
 from larkspur.operators.numbering import numbered
+from larkspur.plans.spill import written
 
 #: Files that one row of a manifest names at most.
 FILES = 1000
@@ -130,6 +132,48 @@ def module_counts(files: DataFrame, module: Column, modules) -> DataFrame:
     return names.join(F.broadcast(n), "module", "left").select("module", F.coalesce("n", F.lit(0)).alias("files"))
 
 
+def markdown_tables(lines: DataFrame) -> DataFrame:
+    """(doc, table_no, row_no, name, cells) as markdown_rows() gives them, of texts that are tables of lines (doc, pos, line).
+
+    ``pos`` counts a text's lines without gaps. Lines are dealt by ranges of text and place, and what a range must know of those
+    before it is carried over from one row per range and text: how many lines without pipes there were, where the island that
+    goes on began its table and how wide that is, the last heading and how many tables there were; and whether the line after it is a
+    separator. So a text of any length is many tasks. Windows stay within ranges; those over carried rows have a row per range.
+    """
+    title = F.regexp_extract(strip(F.col("line")), r"^#{1,6}\s+(.+)$", 1)
+    x = lines.select("doc", F.coalesce(F.concat(F.lit("="), F.col("doc").cast("string")), F.lit("")).alias("_d"), "pos", "line").repartitionByRange("_d", "pos").withColumn("_r", F.spark_partition_id())
+    x = x.withColumn("cells", M.split_row(F.col("line"))).withColumn("piped", F.col("cells").isNotNull()).withColumn("title", title).drop("line")
+    x = written(x.withColumn("separator", M.is_separator(F.col("cells"))))
+    key = ["_d", "_r"]
+    ranges, local = Window.partitionBy("_d").orderBy("_r"), Window.partitionBy(*key).orderBy("pos")
+    before, so_far = ranges.rowsBetween(Window.unboundedPreceding, -1), local.rowsBetween(Window.unboundedPreceding, 0)
+
+    ends = x.groupBy(*key).agg(F.min_by("separator", "pos").alias("_s"), F.count_if(~F.col("piped")).alias("_n"))
+    carried = ends.select(*key, F.coalesce(F.lead("_s").over(ranges), F.lit(False)).alias("_next"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_islands"))
+    x = join_written(x, carried, key).withColumn("island", F.col("_islands") + F.sum(F.when(F.col("piped"), 0).otherwise(1)).over(so_far))
+    x = x.withColumn("starts", F.col("piped") & (F.col("title") == "") & F.coalesce(F.lead("separator").over(local), F.col("_next")))
+    own = Window.partitionBy(*key, "island").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = written(x.withColumn("own", F.min(F.when(F.col("starts"), F.struct(F.col("pos").alias("at"), F.size("cells").alias("width")))).over(own)).drop("_next", "_islands", "separator", "starts"))
+
+    ends = x.groupBy(*key).agg(F.min("island").alias("_first"), F.max("island").alias("_last"), F.max_by("own", "pos").alias("_own"))
+    ends = ends.withColumn("_own", F.min("_own").over(Window.partitionBy("_d", "_last").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)))
+    goes_on = F.lag("_last").over(ranges) == F.col("_first")
+    carried = ends.select(*key, "_first", F.when(goes_on, F.lag("_own").over(ranges)).alias("_start"))
+    x = join_written(x, carried, key).withColumn("start", F.coalesce(F.when(F.col("island") == F.col("_first"), F.col("_start")), "own"))
+    x = x.withColumn("inside", F.col("piped") & F.col("start").isNotNull()).withColumn("begins", F.coalesce(F.col("piped") & (F.col("pos") == F.col("start.at")), F.lit(False)))
+    x = x.withColumn("heading", F.when(~F.col("inside") & (F.col("title") != ""), M.clean_heading(F.col("title"))))
+    x = written(x.select("doc", *key, "pos", "cells", "inside", "begins", "heading", "start"))
+
+    ends = x.groupBy(*key).agg(F.max(F.when(F.col("heading").isNotNull(), F.struct("pos", "heading"))).alias("_h"), F.count_if("begins").alias("_t"))
+    carried = ends.select(*key, F.last("_h.heading", ignorenulls=True).over(before).alias("_heading"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_tables"))
+    x = join_written(x, carried, key)
+    x = x.withColumn("name", F.coalesce(F.last("heading", ignorenulls=True).over(so_far), "_heading")).withColumn("table_no", (F.col("_tables") + F.sum(F.col("begins").cast("int")).over(so_far)).cast("int"))
+    x = x.where(F.col("inside") & (F.col("pos") != F.col("start.at") + 1))
+    row_no = F.when(F.col("begins"), 0).otherwise(F.col("pos") - F.col("start.at") - 1).cast("int")
+    name = F.coalesce(F.when(F.col("name") != "", F.col("name")), F.concat(F.lit("分析表 "), "table_no"))
+    return x.select("doc", "table_no", row_no.alias("row_no"), name.alias("name"), M.fit_width(F.col("cells"), F.col("start.width")).alias("cells"))
+
+
 def markdown_rows(texts: DataFrame) -> DataFrame:
     """(doc, table_no, row_no, name, cells) of every table in (doc, markdown); row 0 is the header.
 

@@ -178,9 +178,10 @@ FILES_PAGES = """files AS (
 
 
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Markdown text per source and language: a heading and a table with a line for each of its documents."""
-    d = table(spark, sf_dir, "documents").withColumn("line", F.format_string("| %d | **%s** |", "doc_id", F.md5("text")))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"])
-    rows = d.groupBy("source", "lang").agg(lines.alias("ls"))
-    head = F.array(F.concat(F.lit("## 1. "), "source", F.lit(" "), "lang"), F.lit(""), F.lit("| key | name |"), F.lit("|---|:---:|"))
-    return rows.select(F.concat_ws(":", "source", "lang").alias("doc"), F.array_join(F.concat(head, F.col("ls"), F.array(F.lit(""), F.lit("end"))), "\n").alias("markdown"))
+    """A Markdown text per source and language as lines (doc, pos, line): a heading and a table with a line for each of its documents."""
+    d = table(spark, sf_dir, "documents").withColumn("doc", F.concat_ws(":", "source", "lang"))
+    body = d.select("doc", F.lit(1).alias("part"), F.col("doc_id").alias("o"), F.format_string("| %d | **%s** |", "doc_id", F.md5("text")).alias("line"))
+    around = [F.struct(F.lit(p).alias("part"), F.lit(o).cast("long").alias("o"), line.alias("line")) for p, o, line in (
+        (0, 0, F.concat(F.lit("## 1. "), "source", F.lit(" "), "lang")), (0, 1, F.lit("")), (0, 2, F.lit("| key | name |")), (0, 3, F.lit("|---|:---:|")), (2, 0, F.lit("")), (2, 1, F.lit("end")))]
+    ends = d.select("doc", "source", "lang").distinct().select("doc", F.explode(F.array(*around)).alias("x")).select("doc", "x.*")
+    return numbered(body.unionByName(ends), ["doc"], ["part", "o"], "pos").select("doc", "pos", "line")

@@ -393,7 +393,7 @@ query("skipped_files", f"WITH {INVENTORY} SELECT id, p || '.exe' AS path, 'UNSUP
 # Markdown.
 
 query("markdown_islands", "SELECT source || ':' || lang AS doc, doc_id AS k, md5(text) AS name, source || ' ' || lang AS heading FROM documents")(
-    lambda s, d: FI.markdown_rows(B.markdown_docs(s, d)).where("row_no > 0").select("doc", F.get("cells", F.lit(0)).cast("long").alias("k"), F.get("cells", F.lit(1)).alias("name"), F.col("name").alias("heading"))
+    lambda s, d: FI.markdown_tables(B.markdown_docs(s, d)).where("row_no > 0").select("doc", F.get("cells", F.lit(0)).cast("long").alias("k"), F.get("cells", F.lit(1)).alias("name"), F.col("name").alias("heading"))
 )
 DOCS = "(SELECT doc_id, md5(text) AS m FROM documents)"
 

@@ -82,6 +82,26 @@ def test_markdown_table_rules(spark):
     ]
 
 
+def test_lines_over_many_tasks_are_the_same_tables(spark, monkeypatch):
+    r = random.Random(12)
+    kinds = ["| a | b |", "|---|---|", "|---|:--:|", "| c |", "text", "", "# H1", "## 2. `H2` x", "# P | Q", "x | y", "| d \\| e | **f** | g |"]
+    docs = [(f"d{i}", "\n".join(r.choices(kinds, [5, 4, 1, 3, 2, 1, 1, 1, 1, 2, 1], k=r.choice([3, 20, 150])))) for i in range(40)] + [("long", "\n".join(["# Long", "| a | b |", "|---|---|", *(["| 1 | 2 |"] * 4000), "# in | it", "end", "| x |", "|---|"]))]
+    texts = spark.createDataFrame(docs, "doc string, markdown string")
+    lines = spark.createDataFrame([(d, i, line) for d, t in docs for i, line in enumerate(t.split("\n"))], "doc string, pos long, line string").repartition(3)
+    columns = ["doc", "table_no", "row_no", "name", "cells"]
+    want = sorted(map(str, files.markdown_rows(texts).select(*columns).collect()))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for parts in ("60", "7"):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = sorted(map(str, files.markdown_tables(lines).select(*columns).collect()))
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert got == want and len(want) > 4500
+
+
 def test_a_heading_with_a_pipe_is_a_heading(spark):
     text = "# A | B\n|---|---|\n| x | y |\n|---|---|\n| 1 | 2 |\n# no | heading\n\n## C | D\n| k |\n|---|"
     got = files.markdown_rows(spark.createDataFrame([("d", text)], "doc string, markdown string")).orderBy("table_no", "row_no").collect()
