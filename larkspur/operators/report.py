@@ -119,6 +119,49 @@ def report_document(parts: dict[str, tuple[DataFrame, dict[str, str]]], keys: di
     return out
 
 
+def report_parts(
+    meta: DataFrame, products: DataFrame, completeness: DataFrame, types: DataFrame, topics: DataFrame, gaps: DataFrame, coverage: DataFrame, topic_stats: DataFrame, findings: DataFrame, actions: DataFrame,
+    questions: DataFrame, tags: DataFrame, errors: DataFrame, warnings: DataFrame, excluded: DataFrame,
+) -> dict[str, tuple[DataFrame, dict[str, str], list[str]]]:
+    """The parts of a report's document with the names of their fields and their keys, as report_document() takes them.
+
+    meta: key, ready_rows, source_cap; types and topics: catalogs with name; findings: with title and detail; tags: source_id,
+    product_id, name, count; errors and warnings: code, message; excluded: row_id, source_id, reason; others as their operators give them.
+    """
+    same = lambda *names: {_camel(n): n for n in names}
+    return {
+        "meta": (meta, same("ready_rows", "source_cap"), ["key"]),
+        "products": (products, same("product_id", "role", "name"), ["product_id"]),
+        "completeness": (completeness, same("evidence_id", "product_id", "kind", "expected_rows", "valid_rows", "used_rows", "excluded_over_limit", "status", "blocking"), ["evidence_id"]),
+        "typeCatalog": (types, {"id": "type_id", "name": "name"}, ["type_id"]),
+        "topicCatalog": (topics, {"id": "topic_id", "name": "name"}, ["topic_id"]),
+        "taxonomy": (gaps, same("product_id", "type_id", "default_count", "default_share", "recent_count", "recent_share", "difference", "evidence_id"), ["product_id", "type_id"]),
+        "dimensions": (coverage, same("product_id", "dimension", "hit_count", "total_count", "coverage", "evidence_id"), ["product_id", "dimension"]),
+        "topics": (topic_stats, same("product_id", "topic_id", "count", "share", "evidence_id") | {"representativeQuestionIds": "representative_ids"}, ["product_id", "topic_id"]),
+        "findings": (findings, same("finding_id", "status", "title", "detail", "evidence_ids"), ["finding_id"]),
+        "actions": (actions, same("action_id", "priority", "action", "reason", "finding_ids", "evidence_ids"), ["action_id"]),
+        "questions": (questions, same("product_id"), ["row_id"]),
+        "reviewTags": (tags, same("source_id", "product_id", "name", "count"), ["product_id", "name"]),
+        "errors": (errors, same("code", "message"), ["message"]),
+        "warnings": (warnings, same("code", "message"), ["message"]),
+        "excludedRows": (excluded, same("row_id", "source_id", "reason"), ["row_id"]),
+    }
+
+
+def _camel(name: str) -> str:
+    first, *rest = name.split("_")
+    return first + "".join(x.capitalize() for x in rest)
+
+
+def report_fields(document: DataFrame) -> DataFrame:
+    """(part, key, field, text, number) of a report's document: each member of its entries, numbers as such and lists joined by commas."""
+    members = F.from_json("entry", "map<string,variant>")
+    x = document.select("part", "key", F.explode(members).alias("field", "v")).withColumn("kind", F.schema_of_variant("v"))
+    number = F.when((F.col("kind").isin("BIGINT", "DOUBLE", "FLOAT")) | F.startswith(F.col("kind"), F.lit("DECIMAL")), F.try_variant_get("v", "$", "double"))
+    text = F.when(F.startswith(F.col("kind"), F.lit("ARRAY")), F.array_join(F.try_variant_get("v", "$", "array<string>"), ",")).otherwise(F.try_variant_get("v", "$", "string"))
+    return x.select("part", "key", "field", F.when(number.isNotNull() & (F.col("part") != "meta"), "").otherwise(text).alias("text"), number.alias("number"))
+
+
 def tag_totals(results: DataFrame, tags: DataFrame, collation: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(totals, warnings) of screenshots' tags. results: (product_id, completeness); tags: (product_id, name, count).
 

@@ -455,6 +455,43 @@ def _(s, d):
     return R.report_document({k: v[:2] for k, v in parts.items()}, {k: v[2] for k, v in parts.items()})
 
 
+ENTRIES = {
+    "meta": "SELECT 'report' AS key, 'readyRows' AS field, '90' AS text, 90.0 AS number UNION ALL SELECT 'report', 'sourceCap', '100', 100.0",
+    "products": "SELECT product_id, unnest(['productId', 'role', 'name']), unnest([product_id, role, upper(product_id[1]) || lower(product_id[2:])]), unnest([NULL, NULL, NULL]::DOUBLE[]) FROM products",
+    "completeness": "SELECT 'DATA-' || product_id || '-' || kind, unnest(['evidenceId', 'productId', 'kind', 'expectedRows', 'validRows', 'usedRows', 'excludedOverLimit', 'status', 'blocking']), unnest(['DATA-' || product_id || '-' || kind, product_id, role || '_' || kind, '', '', '', '', status, CASE WHEN used_rows < 90 THEN 'true' ELSE 'false' END]), unnest([NULL, NULL, NULL, 100, used_rows, used_rows, 0, NULL, NULL]::DOUBLE[]) FROM sources JOIN products USING (product_id)",
+    "typeCatalog": "SELECT type_id, unnest(['id', 'name']), unnest([type_id, type_id]), unnest([NULL, NULL]::DOUBLE[]) FROM types",
+    "topicCatalog": f"SELECT topic_id, unnest(['id', 'name']), unnest([topic_id, {named('topic_id', TOPICS)}]), unnest([NULL, NULL]::DOUBLE[]) FROM topics",
+    "taxonomy": "SELECT product_id || ':' || type_id, unnest(['productId', 'typeId', 'defaultCount', 'defaultShare', 'recentCount', 'recentShare', 'difference', 'evidenceId']), unnest([product_id, type_id, '', '', '', '', '', evidence_id]), unnest([NULL, NULL, default_count, default_share, recent_count, recent_share, difference, NULL]::DOUBLE[]) FROM gaps",
+    "dimensions": "SELECT product_id || ':' || dimension, unnest(['productId', 'dimension', 'hitCount', 'totalCount', 'coverage', 'evidenceId']), unnest([product_id, dimension, '', '', '', evidence_id]), unnest([NULL, NULL, hit_count, total_count, coverage, NULL]::DOUBLE[]) FROM cover",
+    "topics": "SELECT product_id || ':' || topic_id, unnest(['productId', 'topicId', 'count', 'share', 'representativeQuestionIds', 'evidenceId']), unnest([product_id, topic_id, '', '', array_to_string(representative_ids, ','), evidence_id]), unnest([NULL, NULL, count, share, NULL, NULL]::DOUBLE[]) FROM tstat",
+    "findings": "SELECT f.finding_id, unnest(['findingId', 'status', 'title', 'detail', 'evidenceIds']), unnest([f.finding_id, status, title, detail, array_to_string(evidence_ids, ',')]), unnest([NULL, NULL, NULL, NULL, NULL]::DOUBLE[]) FROM detailed f JOIN t ON t.finding_id = f.finding_id AND outcome = CASE WHEN status = 'unavailable' THEN status WHEN has_problem THEN 'problem' ELSE 'none' END",
+    "actions": "SELECT action_id, unnest(['actionId', 'priority', 'action', 'reason', 'findingIds', 'evidenceIds']), unnest([action_id, priority, action, reason, array_to_string(finding_ids, ','), array_to_string(evidence_ids, ',')]), unnest([NULL, NULL, NULL, NULL, NULL, NULL]::DOUBLE[]) FROM actions",
+    "questions": "SELECT row_id, 'productId', product_id, NULL FROM questions",
+    "reviewTags": "SELECT product_id || ':' || name, unnest(['sourceId', 'productId', 'name', 'count']), unnest([product_id || ':review_tags', product_id, name, '']), unnest([NULL, NULL, NULL, count]::DOUBLE[]) FROM (SELECT lang AS product_id, source AS name, sum(n_chars) AS count FROM documents GROUP BY ALL)",
+    "errors": "SELECT finding_id, unnest(['code', 'message']), unnest(['SYNTHESIS_EVIDENCE_REJECTED', finding_id]), unnest([NULL, NULL]::DOUBLE[]) FROM findings WHERE finding_id <> 'F01'",
+    "warnings": "SELECT product_id || ':' || name, unnest(['code', 'message']), unnest(['TAG', product_id || ':' || name]), unnest([NULL, NULL]::DOUBLE[]) FROM (SELECT DISTINCT lang AS product_id, source AS name FROM documents)",
+    "excludedRows": "SELECT source_id || ':' || row_no, unnest(['rowId', 'sourceId', 'reason']), unnest([source_id || ':' || row_no, source_id, reason]), unnest([NULL, NULL, NULL]::DOUBLE[]) FROM judged WHERE reason <> 'USED'",
+}
+
+
+def whole_report(s, d):
+    """Every part of a report's document with all of its fields: (part, key, field, text, number)."""
+    r = Report(s, d)
+    tags = R.tag_totals(s.createDataFrame([], "product_id string, completeness string"), B.table(s, d, "documents").select(F.col("lang").alias("product_id"), F.col("source").alias("name"), F.col("n_chars").alias("count")))[0]
+    tags = tags.withColumn("source_id", F.concat("product_id", F.lit(":review_tags")))
+    excluded = RQ.judged(s, d).where("reason <> 'USED'").select(F.concat_ws(":", "source_id", "row_no").alias("row_id"), "source_id", "reason")
+    warnings = tags.select(F.lit("TAG").alias("code"), F.concat_ws(":", "product_id", "name").alias("message"))
+    types = r.types.withColumn("name", F.col("type_id"))
+    parts = R.report_parts(
+        meta=s.createDataFrame([("report", 90, 100)], "key string, ready_rows int, source_cap int"), products=r.products, completeness=r.completeness, types=types, topics=catalog(s, TOPICS, "topic_id"), gaps=r.gaps, coverage=r.coverage,
+        topic_stats=r.topics, findings=told(r), actions=r.actions, questions=r.questions, tags=tags, errors=proposed(r)[1].select("code", F.col("finding_id").alias("message")), warnings=warnings, excluded=excluded,
+    )
+    return R.report_fields(R.report_document({k: v[:2] for k, v in parts.items()}, {k: v[2] for k, v in parts.items()}))
+
+
+query("report_document", f"WITH {ACTED}, {RQ.SOURCES}, {DETAILED}, t AS ({TITLED}), {B.GRID_DOCS} " + " UNION ALL ".join(f"SELECT '{part}' AS part, CAST(key AS VARCHAR) AS key, field, text, number FROM ({sql}) x(key, field, text, number)" for part, sql in ENTRIES.items()))(whole_report)
+
+
 def notes(s, d):
     title = T.strip(F.when(F.col("event_id") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "event_type", F.lit(" "))))
     return B.table(s, d, "events").select(F.col("event_id").alias("note_id"), "ts", title.alias("title"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("content"))

@@ -20,26 +20,32 @@ def sheets(s, d):
     return B.table(s, d, "documents").select(F.col("source").alias("source_id"), F.regexp_extract("source", "([0-9]+)$", 1).cast("int").alias("k")).distinct()
 
 
-def headers(s, d):
-    """A header row per source: every third has a second text column, every fourth an unknown one and no date, each fifth blanks."""
+def pages(s, d):
+    """Every document as a sheet of its own."""
+    return B.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.col("doc_id").alias("k"))
+
+
+def headers(given):
+    """A header row per sheet: every third has a second text column, every fourth an unknown one and no date, each fifth blanks."""
     k = F.col("k")
     names = F.array(
         F.lit(" 序号"), F.when(k % 4 == 0, "备注").otherwise("评价时间"), F.lit("ＳＫＵ"), F.lit("初评内容"), F.when(k % 3 == 0, "评价内容").otherwise(""), F.lit("　"),
     )
-    return sheets(s, d).select("source_id", F.posexplode(names).alias("p", "name")).select("source_id", (F.col("p") + 1).alias("col_no"), "name")
+    return given.select("source_id", F.posexplode(names).alias("p", "name")).select("source_id", (F.col("p") + 1).alias("col_no"), "name")
 
 
-def mapped(s, d):
-    return H.map_headers(headers(s, d), H.alias_table(s, H.REVIEW_ALIASES), ["rank", "initialText", "date"])
+def mapped(s, given):
+    return H.map_headers(headers(given), H.alias_table(s, H.REVIEW_ALIASES), ["rank", "initialText", "date"])
 
 
+PAGES = "sheets AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, doc_id AS k FROM documents)"
 SHEETS = "sheets AS (SELECT DISTINCT source AS source_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS k FROM documents)"
-query("trim_blank_headers", f"WITH {SHEETS} SELECT source_id, CAST(CASE WHEN k % 3 = 0 THEN 5 ELSE 4 END AS BIGINT) AS n FROM sheets")(
-    lambda s, d: H.trim_blank_headers(headers(s, d).withColumn("name", F.regexp_replace("name", "　", ""))).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+query("trim_blank_headers", f"WITH {PAGES} SELECT source_id, CAST(CASE WHEN k % 3 = 0 THEN 5 ELSE 4 END AS BIGINT) AS n FROM sheets")(
+    lambda s, d: H.trim_blank_headers(headers(pages(s, d)).withColumn("name", F.regexp_replace("name", "　", ""))).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 )
-query("map_headers", f"WITH {SHEETS} SELECT source_id, field, CAST(col_no AS INTEGER) AS col_no FROM sheets, (VALUES ('rank', 1), ('date', 2), ('sku', 3), ('initialText', 4)) v(field, col_no) WHERE field <> 'date' OR k % 4 <> 0")(lambda s, d: mapped(s, d)[0])
-query("header_diagnostics", f"WITH {SHEETS} SELECT source_id, 'UNKNOWN_COLUMN' AS code, '备注' AS detail FROM sheets WHERE k % 4 = 0 UNION ALL SELECT source_id, 'MISSING_COLUMN', 'date' FROM sheets WHERE k % 4 = 0 UNION ALL SELECT source_id, 'DUPLICATE_COLUMN', '评价内容' FROM sheets WHERE k % 3 = 0")(
-    lambda s, d: mapped(s, d)[1]
+query("map_headers", f"WITH {PAGES} SELECT source_id, field, CAST(col_no AS INTEGER) AS col_no FROM sheets, (VALUES ('rank', 1), ('date', 2), ('sku', 3), ('initialText', 4)) v(field, col_no) WHERE field <> 'date' OR k % 4 <> 0")(lambda s, d: mapped(s, pages(s, d))[0])
+query("header_diagnostics", f"WITH {PAGES} SELECT source_id, 'UNKNOWN_COLUMN' AS code, '备注' AS detail FROM sheets WHERE k % 4 = 0 UNION ALL SELECT source_id, 'MISSING_COLUMN', 'date' FROM sheets WHERE k % 4 = 0 UNION ALL SELECT source_id, 'DUPLICATE_COLUMN', '评价内容' FROM sheets WHERE k % 3 = 0")(
+    lambda s, d: mapped(s, pages(s, d))[1]
 )
 
 
@@ -50,13 +56,13 @@ def _(s, d):
     values = F.array(*[F.struct(F.lit(c).alias("col_no"), v.alias("value"), f.alias("is_formula")) for c, v, f in (
         (1, F.col("doc_id").cast("string"), F.col("doc_id") % 17 == 0), (3, F.col("lang"), F.lit(False)), (4, F.md5("text"), F.lit(False)))])
     cells = doc.select(F.col("source").alias("source_id"), "row_no", F.explode(values).alias("c")).select("source_id", "row_no", "c.*")
-    mapping, faults = mapped(s, d)
+    mapping, faults = mapped(s, sheets(s, d))
     return H.pivot_cells(cells, mapping, faults, ["rank", "sku", "initialText"])
 
 
-query("question_profile", f"WITH {SHEETS} SELECT source_id, CASE k % 4 WHEN 0 THEN 'by_order' WHEN 1 THEN 'by_rank' ELSE 'INVALID_QUESTION_HEADER_PROFILE' END AS profile FROM sheets")(
+query("question_profile", f"WITH {PAGES} SELECT source_id, CASE k % 4 WHEN 0 THEN 'by_order' WHEN 1 THEN 'by_rank' ELSE 'INVALID_QUESTION_HEADER_PROFILE' END AS profile FROM sheets")(
     lambda s, d: H.question_profile(
-        sheets(s, d).select("source_id", F.posexplode(
+        pages(s, d).select("source_id", F.posexplode(
             F.when(F.col("k") % 4 == 0, F.array(*map(F.lit, ("昵 称", "时间　", "问题", "问答", "")))).when(F.col("k") % 4 == 1, F.array(*map(F.lit, (" 序号", "问题", "回答"))))
             .when(F.col("k") % 4 == 2, F.array(*map(F.lit, ("昵称", "时间", "问题", "回答")))).otherwise(F.array(*map(F.lit, ("问题", "回答"))))
         ).alias("col_no", "name"))
@@ -68,7 +74,32 @@ query("row_and_source_ids", "SELECT source || ':default_reviews' AS source_id, s
 query("select_sheet", "SELECT source AS path, doc_id, lang AS sheet FROM documents WHERE lang = 'en'")(
     lambda s, d: W.select_sheet(B.table(s, d, "documents").select(F.col("source").alias("path"), "doc_id", F.col("lang").alias("sheet"), F.lit(None).cast("int").alias("sheet_no")), "en").select("path", "doc_id", "sheet")
 )
-query("sheet_conflicts", f"WITH {SHEETS} SELECT source_id, CASE WHEN k % 5 = 0 THEN 'MISSING_REVIEW_SHEET' ELSE 'RANK_ORDER_CONFLICT' END AS code FROM sheets WHERE k % 5 = 0 OR k % 2 = 1")(
+PACKS = "packs AS (SELECT CAST(doc_id AS VARCHAR) AS product_id, doc_id % 8 AS m FROM documents)"
+
+
+def packs(s, d):
+    """Documents as packs: with files of their own for the lists, one of them temporary or missing; with a file for both that lacks a
+    sheet, has them in the wrong order or is missing; with a file that has no sheet at all."""
+    m, k = F.col("doc_id") % 8, F.col("doc_id").cast("string")
+    name = lambda part: F.concat(F.lit("up/"), k, F.lit(f"_{part}.xlsx"))
+    p = B.table(s, d, "documents").select(
+        k.alias("product_id"), F.when(m.isin(0, 2), name("a")).when(m == 1, F.concat(F.lit("up/~$"), k, F.lit(".xlsx"))).alias("default_file"), F.when(m.isin(0, 1), name("b")).alias("recent_file"), F.when(m.isin(3, 4, 5, 7), name("c")).alias("review_file"), m.alias("m")
+    )
+    first, second = W.REVIEW_SHEETS.values()
+    sheets_of = lambda path, array: p.select(path.alias("path"), F.posexplode(array).alias("sheet_no", "sheet")).where("path IS NOT NULL")
+    m = F.col("m")
+    names = F.when(m == 3, F.array(F.lit("x"), F.lit(first), F.lit(second))).when(m == 4, F.array(F.lit(second), F.lit(first))).when(m == 5, F.array(F.lit(first), F.lit("y")))
+    sheets = sheets_of(F.col("default_file"), F.array(F.lit("s0"), F.lit("s1"))).unionByName(sheets_of(F.col("recent_file"), F.array(F.lit("t0")))).unionByName(sheets_of(F.col("review_file"), names))
+    return W.choose_sheets(p.drop("m"), sheets.where("path NOT LIKE '%~$%'"))
+
+
+FIRST_SHEET, SECOND_SHEET = W.REVIEW_SHEETS.values()
+query("choose_sheets", f"""WITH {PACKS} SELECT product_id, 'default_reviews' AS kind, 'up/' || product_id || '_a.xlsx' AS path, 's0' AS sheet FROM packs WHERE m IN (0, 2) UNION ALL SELECT product_id, 'recent_reviews', 'up/' || product_id || '_b.xlsx', 't0' FROM packs WHERE m IN (0, 1)
+  UNION ALL SELECT product_id, 'default_reviews', 'up/' || product_id || '_c.xlsx', '{FIRST_SHEET}' FROM packs WHERE m IN (3, 4, 5) UNION ALL SELECT product_id, 'recent_reviews', 'up/' || product_id || '_c.xlsx', '{SECOND_SHEET}' FROM packs WHERE m IN (3, 4)""")(lambda s, d: packs(s, d)[0])
+query("sheet_faults", f"""WITH {PACKS} SELECT product_id, CASE m WHEN 1 THEN 'default_reviews' WHEN 2 THEN 'recent_reviews' ELSE '' END AS kind, 'MISSING_REVIEW_FILE' AS code FROM packs WHERE m IN (1, 2, 6) UNION ALL SELECT product_id, '', 'RANK_ORDER_CONFLICT' FROM packs WHERE m = 4
+  UNION ALL SELECT product_id, 'recent_reviews', 'MISSING_REVIEW_SHEET' FROM packs WHERE m IN (5, 7) UNION ALL SELECT product_id, 'default_reviews', 'MISSING_REVIEW_SHEET' FROM packs WHERE m = 7""")(lambda s, d: packs(s, d)[1])
+query("sheet_warnings", f"WITH {PACKS} SELECT product_id, 'up/~$' || product_id || '.xlsx' AS detail FROM packs WHERE m = 1")(lambda s, d: packs(s, d)[2])
+query("sheet_conflicts", f"WITH {PAGES} SELECT source_id, CASE WHEN k % 5 = 0 THEN 'MISSING_REVIEW_SHEET' ELSE 'RANK_ORDER_CONFLICT' END AS code FROM sheets WHERE k % 5 = 0 OR k % 2 = 1")(
     lambda s, d: _conflicts(s, d)
 )
 
@@ -76,7 +107,7 @@ query("sheet_conflicts", f"WITH {SHEETS} SELECT source_id, CASE WHEN k % 5 = 0 T
 def _conflicts(s, d):
     k = F.col("k")
     names = F.when(k % 5 == 0, F.array(F.lit("default"))).when(k % 2 == 1, F.array(F.lit("recent"), F.lit("default"))).otherwise(F.array(F.lit("default"), F.lit("recent")))
-    cells = sheets(s, d).select(F.col("source_id").alias("path"), F.posexplode(names).alias("sheet_no", "sheet"))
+    cells = pages(s, d).select(F.col("source_id").alias("path"), F.posexplode(names).alias("sheet_no", "sheet"))
     return W.sheet_conflicts(cells, "default", "recent").withColumnRenamed("path", "source_id")
 
 
@@ -88,7 +119,7 @@ def _(s, d):
     packs = sheets(s, d).select("source_id", F.when(k % 7 == 0, " ").otherwise(F.col("source_id")).alias("name"), (k % 5 != 0).alias("confirmed"))
     used = B.table(s, d, "documents").groupBy(F.col("source").alias("source_id")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5").select("source_id")
     warnings = sheets(s, d).where(k % 2 == 0).select("source_id")
-    return H.preflight_gate(packs, mapped(s, d)[1], used, warnings)
+    return H.preflight_gate(packs, mapped(s, sheets(s, d))[1], used, warnings)
 
 
 @query("by_order_ranks", "SELECT source AS source_id, doc_id AS row_no, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS rank FROM documents")

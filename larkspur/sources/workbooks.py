@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.paths import is_temporary
+
 # Bytes of a workbook file; members, bytes of one and of all members of an archive.
 MOST_FILE, MOST_MEMBERS, MOST_MEMBER, MOST_ALL = 10 * 1024 * 1024, 120, 15 * 1024 * 1024, 60 * 1024 * 1024
 CELLS = "path string, sheet_no int, sheet string, row_no int, col_no int, value string, is_formula boolean, error string"
@@ -77,6 +79,38 @@ def select_sheet(cells: DataFrame, name: str | None = None) -> DataFrame:
     return cells.where(F.col("sheet_no") == 0 if name is None else F.col("sheet") == name)
 
 
+# The sheets of a workbook with both lists of reviews, in their order.
+REVIEW_SHEETS = {"default_reviews": "默认排序评价", "recent_reviews": "时间排序评价"}
+
+
+def choose_sheets(packs: DataFrame, sheets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chosen, faults, warnings) of packs of files (product_id, default_file, recent_file, review_file) and the sheets (path, sheet, sheet_no) in them.
+
+    A pack with a file of its own for either list has the first sheet of each; else the lists are the two sheets of the review file
+    that have their names, whose order must be that of the lists. Temporary files count as none and have a warning. chosen:
+    (product_id, kind, path, sheet); faults: (product_id, kind, code), MISSING_REVIEW_FILE, MISSING_REVIEW_SHEET or
+    RANK_ORDER_CONFLICT, kind blank where both lists are meant; warnings: (product_id, detail).
+    """
+    names = ["default_file", "recent_file", "review_file"]
+    temporary = {n: F.coalesce(is_temporary(F.element_at(F.split(n, "/"), -1)), F.lit(False)) for n in names}
+    warnings = packs.select("product_id", F.explode(F.array_compact(F.array(*[F.when(temporary[n], F.col(n)) for n in names]))).alias("detail"))
+    x = packs.select("product_id", (F.col("default_file").isNotNull() | F.col("recent_file").isNotNull()).alias("apart"), *[F.when(~temporary[n], F.col(n)).alias(n) for n in names])
+    wish = lambda kind, path, sheet: F.struct(F.lit(kind).alias("kind"), path.alias("path"), sheet.alias("name"))
+    alone = F.array(*[wish(k, F.col(n), F.lit(None).cast("string")) for k, n in zip(REVIEW_SHEETS, names, strict=False)])
+    both = F.array(*[wish(k, F.col("review_file"), F.lit(s)) for k, s in REVIEW_SHEETS.items()])
+    wanted = x.select("product_id", "apart", F.explode(F.when(F.col("apart"), alone).otherwise(both)).alias("w")).select("product_id", "apart", "w.*")
+    no_file = wanted.where("path IS NULL").select("product_id", F.when(F.col("apart"), F.col("kind")).otherwise("").alias("kind"), F.lit("MISSING_REVIEW_FILE").alias("code")).distinct()
+    found = sheets.select("path", "sheet", "sheet_no").distinct()
+    here = wanted.where("path IS NOT NULL").join(found.hint("merge"), "path", "left")
+    fits = F.coalesce(F.when(F.col("name").isNull(), F.col("sheet_no") == 0).otherwise(F.col("sheet") == F.col("name")), F.lit(False))
+    first = here.groupBy("product_id", "kind", "path", "apart").agg(F.min(F.when(fits, F.struct("sheet_no", "sheet"))).alias("s"))
+    chosen = first.where("s IS NOT NULL").select("product_id", "kind", "path", "s.sheet")
+    no_sheet = first.where("s IS NULL").select("product_id", "kind", F.lit("MISSING_REVIEW_SHEET").alias("code"))
+    at = {k: F.min(F.when(F.col("kind") == k, F.col("s.sheet_no"))) for k in REVIEW_SHEETS}
+    turned = first.where("NOT apart").groupBy("product_id").agg((at["default_reviews"] > at["recent_reviews"]).alias("turned")).where("turned").select("product_id", F.lit("").alias("kind"), F.lit("RANK_ORDER_CONFLICT").alias("code"))
+    return chosen, no_file.unionByName(no_sheet).unionByName(turned), warnings
+
+
 def sheet_conflicts(cells: DataFrame, first: str, second: str) -> DataFrame:
     """(path, code) of files that lack one of two sheets or have them in the wrong order."""
     s = cells.groupBy("path").agg(F.min(F.when(F.col("sheet") == first, F.col("sheet_no"))).alias("a"), F.min(F.when(F.col("sheet") == second, F.col("sheet_no"))).alias("b"))

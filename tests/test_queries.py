@@ -7,7 +7,7 @@ from tests.conftest import LARGER, SMALL
 
 #: Reports are whole, and their faults planted, at the size at which products are comparable.
 WHOLE = {"gate_findings", "refused_findings", "build_actions", "build_actions_short", "action_numbering", "business_reason", "array_refs_merge", "extract_refs", "action_lineage", "action_source_rows", "report_tables_actions", "report_tables_findings",
-         "report_metrics", "report_json", "finding_evidence_join", "v18_v21_finding_evidence", "finding_text", "finding_details", "finding_details_short", "problem_flags", "v14_diagnosis_mismatch", "validate_report", "source_anchor_check", "evidence_edges", "gate_citations", "gated_edges", "rows_cited_by", "validate_synthesis",
+         "report_metrics", "report_json", "finding_evidence_join", "v18_v21_finding_evidence", "finding_text", "finding_details", "finding_details_short", "problem_flags", "v14_diagnosis_mismatch", "validate_report", "source_anchor_check", "report_document", "evidence_edges", "gate_citations", "gated_edges", "rows_cited_by", "validate_synthesis",
          "resume_plan", "state_transitions", "checked_labels", "dead_letters", "apply_labeller"}
 
 

@@ -1,6 +1,7 @@
 """Functions and small operators on literal rows."""
 
 import math
+import os
 import random
 import zipfile
 from collections import defaultdict
@@ -15,7 +16,7 @@ from larkspur.functions import paths as P
 from larkspur.functions import text as T
 from larkspur.operators import aggregates, dedup, files, findings, integrity, labels, report, validate_rows
 from larkspur.operators.numbering import numbered
-from larkspur.plans.spill import scratch_path
+from larkspur.plans.spill import scratch_path, workspace
 from larkspur.sources import headers, workbooks
 
 
@@ -299,6 +300,14 @@ def test_notes_are_appended(spark, tmp_path):
     assert [(r.note_id, r.title, r.content) for r in report.recent_notes(table, 2).collect()] == [(4, "b", "y"), (3, "b", "y")] and table.count() == 3
 
 
+def test_work_tables_go_with_their_workspace(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(root))
+    with workspace(spark):
+        assert numbered(spark.range(20), [], ["id"]).count() == 20 and set(os.listdir(root)) - before
+    assert set(os.listdir(root)) <= before
+
+
 def test_work_tables_need_a_shared_folder():
     class Session:
         class conf:  # noqa: N801
