@@ -19,11 +19,8 @@ from larkspur.llm.common import UPPER_TO_LOWER, drop, join_checked, scratch
 KEEP_DOCS, TOP_TERMS = 3, 200
 #: What a probability of 1 is as an integer.
 SCALE = 1_000_000_000
-#: Distinct terms and documents that a task holds before it passes their counts on; bytes of a text that are split at once.
-HELD_TERMS, HELD_DOCS, PIECE_BYTES = 1_000_000, 1 << 22, 1 << 20
-#: A count of documents stands above that of occurrences in one number.
-DOC_BITS = 40
-ONE_DOC = 1 << DOC_BITS
+#: Distinct terms that a task holds before it passes their counts on; bytes of a text that are split at once.
+HELD_TERMS, PIECE_BYTES = 600_000, 1 << 20
 #: Terms of a block and sources of a tile whose pairs one task compares.
 BLOCK_TERMS, TILE_SOURCES = 16_384, 128
 
@@ -51,51 +48,55 @@ def term_counts(docs: DataFrame, digest: Callable[[bytes], int] | None = digest_
     """(lang, source, digest, n, docs, term) of docs (text, lang, source): rows of two kinds, several for a key where tasks pass on in parts.
 
     Counts: occurrences n and documents of a term's digest, without its text; each group has a row without a digest as well, so
-    that groups without terms are known. Texts: the terms of a language with their digests, no source and no counts. Without a
+    that groups without terms are known. Texts: the terms of a language with their digests, no source and no counts, mostly once a task. Without a
     ``digest`` counts have the term's text instead, and there are no texts.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)
-        size = seen = 0
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
+        given_out: dict[str, set[bytes]] = defaultdict(set)
+        size = 0
 
         def batch_of(rows: int, lang: str, **columns) -> pa.RecordBatch:
             whole = {"lang": pa.repeat(pa.scalar(lang, pa.string()), rows)} | columns
             return pa.RecordBatch.from_arrays([whole.get(f.name, pa.nulls(rows, f.type)) for f in _COUNTS], schema=_COUNTS)
 
-        def longs(values, rows: int) -> np.ndarray:
-            return np.fromiter(values, np.int64, rows)
+        def longs(values, rows: int) -> pa.Array:
+            return pa.array(np.fromiter(values, np.int64, rows))
 
         def out():
             digests: dict[str, dict[bytes, int]] = defaultdict(dict)
-            for (lang, source), group in held.items():
-                own, rows = digests[lang], len(group)
+            for (lang, source), (n, docs) in held.items():
+                own, rows = digests[lang], len(n)
                 if digest:
-                    new = group.keys() - own.keys()
+                    new = n.keys() - own.keys()
                     own.update(zip(new, map(digest, new), strict=True))
-                    key = {"digest": pa.array(longs(map(own.__getitem__, group), rows))}
+                    key = {"digest": longs(map(own.__getitem__, n), rows)}
                 else:
-                    key = {"term": pa.array(group, pa.binary()).view(pa.string())}
-                both = longs(group.values(), rows)
+                    key = {"term": pa.array(n, pa.binary()).view(pa.string())}
                 yield batch_of(1, lang, source=pa.array([source], pa.string()), n=pa.array([0], pa.int64()), docs=pa.array([0], pa.int64()))
-                yield batch_of(rows, lang, source=pa.repeat(pa.scalar(source, pa.string()), rows), n=pa.array(both & (ONE_DOC - 1)), docs=pa.array(both >> DOC_BITS), **key)
+                yield batch_of(rows, lang, source=pa.repeat(pa.scalar(source, pa.string()), rows), n=longs(n.values(), rows), docs=longs(map(docs.__getitem__, n), rows), **key)
+            if sum(map(len, given_out.values())) > HELD_TERMS:
+                given_out.clear()
             for lang, own in digests.items():
-                yield batch_of(len(own), lang, digest=pa.array(longs(own.values(), len(own))), term=pa.array(own, pa.binary()).view(pa.string()))
+                new = own.keys() - given_out[lang]
+                given_out[lang] |= new
+                yield batch_of(len(new), lang, digest=longs(map(own.__getitem__, new), len(new)), term=pa.array(new, pa.binary()).view(pa.string()))
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                group = held[lang, source]
-                before, terms = len(group), Counter()
+                n, docs = held[lang, source]
+                before, seen = len(n), set()
                 for piece in _pieces(text.as_py().translate(UPPER_TO_LOWER)):
-                    terms.update(_TERM.findall(piece))
-                get = group.get
-                for term, n in terms.items():
-                    group[term] = get(term, 0) + n + ONE_DOC
-                size, seen = size + len(group) - before, seen + 1
-                if size > HELD_TERMS or seen == HELD_DOCS:
+                    terms = _TERM.findall(piece)
+                    n.update(terms)
+                    seen.update(terms)
+                docs.update(seen)
+                size += len(n) - before
+                if size > HELD_TERMS:
                     yield from out()
                     held.clear()
-                    size = seen = 0
+                    size = 0
         yield from out()
 
     given = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
