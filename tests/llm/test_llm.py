@@ -644,6 +644,19 @@ def test_passages_are_found(spark, none):
     assert chunk_dedup.repeats(none).count() == 0
 
 
+def test_how_many_passages_are_seen(spark):
+    """Passages of 51 words that stand in two texts each: chunks lose a little at both ends, and few passages are missed."""
+    r = random.Random(33)
+    rows, long_words = [], lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8))) for _ in range(n))
+    for i in range(400):
+        passage = long_words(51)
+        rows += [(2 * i, f"{long_words(60)} {passage} {long_words(60)}"), (2 * i + 1, f"{long_words(70)} {passage} {long_words(40)}")]
+    got = {x.doc_id: x for x in chunk_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = [i for i in range(400) if 2 * i in got and 2 * i + 1 in got]
+    print(f"passages seen: {len(seen)} of 400")
+    assert len(seen) >= 380 and all(got[2 * i].dropped_bytes == 0 and got[2 * i + 1].dropped_bytes > 0 for i in seen)
+
+
 def plain_repeats(rows):
     """What repeats() gives, by a rolling sum byte after byte and a dictionary of chunks."""
     table, found, cuts = [int(x) for x in chunk_dedup.gear_table()], defaultdict(list), {}
@@ -732,6 +745,27 @@ def test_a_large_family(spark):
     assert got == brute(rows)
 
 
+def test_links_in_lists_of_a_thousand_texts(spark):
+    """Every text has half of its words from one passage, so its sketch is mostly values that more than a thousand texts retain;
+    among them near copies, some barely similar enough. No link is lost."""
+    r = random.Random(31)
+    passage, rows = prose(r, 34), []
+    for i in range(1100):
+        tail = prose(r, 30).split()
+        rows.append((i, f"{passage} {' '.join(tail)}"))
+        if i % 5 == 0:
+            w = list(tail)
+            for _ in range(r.choice([1, 1, 1, 2])):
+                w[r.choice([0, 1, 2, r.randrange(30), 28, 29])] = prose(r, 1)
+            rows.append((5000 + i, f"{passage} {' '.join(w)}"))
+    want = brute(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i, (_, c) in want.items() if i != c]
+    found = [i for i in linked if got[i][1] == want[i][1]]
+    print(f"links found: {len(found)} of {len(linked)}")
+    assert len(linked) > 100 and got == want
+
+
 def test_one_of_each(docs):
     left = near_dup.one_of_each(docs)
     assert left.columns == docs.columns
