@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import in_order
-from larkspur.operators.joins import join_checked, join_written
+from larkspur.operators.joins import join_checked, join_written, small
 from larkspur.plans.spill import written
 from larkspur.schemas import READY_ROWS, SHARE_GAP, LOW_COVERAGE, TOPIC_SHARE, TOP_ROWS
 
@@ -30,7 +30,7 @@ def type_share_gap(reviews: DataFrame, types: DataFrame) -> DataFrame:
         F.count_if(F.col("sort") == "default").alias("default_count"), F.count_if(F.col("sort") == "recent").alias("recent_count")
     )
     totals = counts.groupBy("product_id").agg(F.sum("default_count").alias("default_total"), F.sum("recent_count").alias("recent_total"))
-    dense = totals.crossJoin(F.broadcast(types.select("type_id")))
+    dense = totals.crossJoin(small(types.select("type_id")))
     out = dense.join(counts, ["product_id", "type_id"], "left").fillna(0, ["default_count", "recent_count"])
     out = out.withColumn("default_share", share(F.col("default_count"), F.col("default_total"))).withColumn("recent_share", share(F.col("recent_count"), F.col("recent_total")))
     return out.select(
@@ -64,7 +64,7 @@ def topic_stats(questions: DataFrame, topics: DataFrame, most: int = 3, collatio
     )
     counts = questions.groupBy("product_id", "topic_id").agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy("product_id").agg(F.sum("count").alias("total"))
-    dense = totals.crossJoin(F.broadcast(topics.select("topic_id"))).join(counts, ["product_id", "topic_id"], "left").join(top, ["product_id", "topic_id"], "left")
+    dense = totals.crossJoin(small(topics.select("topic_id"))).join(counts, ["product_id", "topic_id"], "left").join(top, ["product_id", "topic_id"], "left")
     n = F.coalesce("count", F.lit(0))
     return dense.select(
         "product_id", "topic_id", n.alias("count"), share(n, F.col("total")).alias("share"),
@@ -83,7 +83,7 @@ def dimension_coverage(assessments: DataFrame, reviews: DataFrame, dimensions: D
         rows.select("product_id", "review_id", F.explode(F.array_distinct(F.transform(F.filter("dimensions", lambda d: d["present"]), lambda d: d["dimension"]))).alias("dimension"))
         .groupBy("product_id", "dimension").agg(F.count_distinct("review_id").alias("hit_count"))
     )
-    dense = enough.crossJoin(F.broadcast(dimensions.select("dimension"))).join(total.hint("merge"), "product_id", "left").join(hits.hint("merge"), ["product_id", "dimension"], "left")
+    dense = enough.crossJoin(small(dimensions.select("dimension"))).join(total.hint("merge"), "product_id", "left").join(hits.hint("merge"), ["product_id", "dimension"], "left")
     hit, all_ = F.coalesce("hit_count", F.lit(0)), F.coalesce("total_count", F.lit(0))
     return dense.select(
         "product_id", "dimension", hit.alias("hit_count"), all_.alias("total_count"), share(hit, all_).alias("coverage"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import label_name, percent1
 from larkspur.operators.aggregates import lowest_coverage, top_gap_type, top_own_topic, top_topic_per_product
+from larkspur.operators.joins import join_written
 from larkspur.plans.spill import written
 from larkspur.schemas import DIMENSIONS, FINDINGS, READY_ROWS, TOPICS, TYPES
 
@@ -108,8 +109,8 @@ def data_evidence(completeness: DataFrame, need: int) -> DataFrame:
     found = completeness.select(F.explode(mine).alias("finding_id"), "evidence_id").groupBy("finding_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("ids"))
     first = completeness.where(F.startswith(k, F.lit("self_"))).agg(F.min("evidence_id").alias("first"))
     names = completeness.sparkSession.createDataFrame([(f,) for f in FINDINGS], "finding_id string")
-    # Three rows, and one: small by their nature.
-    x = names.join(F.broadcast(found), "finding_id", "left").crossJoin(F.broadcast(first))
+    # One row is broadcast; the lists of ids grow with the products and are measured.
+    x = join_written(names, found, "finding_id", "left").crossJoin(F.broadcast(first))
     ids = F.coalesce("ids", F.when((F.col("finding_id") != "F03") & F.col("first").isNotNull(), F.array("first")))
     return x.select("finding_id", F.coalesce(ids, F.array().cast("array<string>")).alias("evidence_ids"))
 

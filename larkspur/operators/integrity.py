@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import extract_refs, is_blank
 from larkspur.operators.aggregates import dimension_coverage, problem_flags, readiness, topic_stats, type_share_gap
-from larkspur.operators.joins import join_written
+from larkspur.operators.joins import join_written, small
 from larkspur.operators.validate_rows import completeness, status_of
 from larkspur.plans.spill import written
 from larkspur.schemas import FINDINGS
@@ -26,8 +26,8 @@ def repeated(rows: DataFrame, key: str, code: str) -> DataFrame:
 
 
 def unknown(rows: DataFrame, known: DataFrame, on: list[str], code: str, object_id) -> DataFrame:
-    """Rows that the known ones do not have."""
-    return _hit(rows.join(known.select(*on).distinct().hint("merge"), on, "left_anti"), code, object_id)
+    """Rows that the known ones do not have; not shuffled where those are few."""
+    return _hit(join_written(rows, known.select(*on).distinct(), on, "left_anti"), code, object_id)
 
 
 def where(rows: DataFrame, condition: Column, code: str, object_id) -> DataFrame:
@@ -82,7 +82,7 @@ def source_anchor(rows: DataFrame, sources: DataFrame) -> DataFrame:
 def missing_required(products: DataFrame, kinds: DataFrame, sources: DataFrame) -> DataFrame:
     """Products that do not have exactly one source of a kind."""
     n = sources.groupBy("product_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-    dense = products.select("product_id").crossJoin(F.broadcast(kinds)).join(n, ["product_id", "kind"], "left")
+    dense = products.select("product_id").crossJoin(small(kinds)).join(n, ["product_id", "kind"], "left")
     return _hit(dense.where(F.coalesce("n", F.lit(0)) != 1), "MISSING_REQUIRED_SOURCE", F.concat_ws(":", "product_id", "kind"))
 
 

@@ -43,3 +43,9 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", most
 def join_written(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """join_checked() with a table that is not written yet: it is made once, measured and read back."""
     return join_checked(left, written(right), on, how)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A catalog to be broadcast, if its bytes are proven few; else as it is, and Spark joins it without. Measured by one more reading, so it
+    is written or cheap to make."""
+    return df.hint("broadcast") if table_bytes(df) <= most else df

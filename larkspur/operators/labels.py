@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import cell_units, in_order, is_blank, quote_contained, strip
+from larkspur.operators.joins import join_written
 from larkspur.operators.numbering import numbered
 
 LABELS = "struct<labels:array<struct<rowId:bigint,typeId:string,evidenceSource:string,evidenceQuote:string>>>"
@@ -44,8 +45,8 @@ def split_results(results: DataFrame, asked: DataFrame, task: str) -> tuple[Data
 
 
 def out_of_domain(labels: DataFrame, types: DataFrame) -> DataFrame:
-    """(request_id, position, type_id) of labels whose type is not in the catalog (type_id), which is a few rows."""
-    return labels.join(F.broadcast(types.select("type_id")), "type_id", "left_anti").select("request_id", "position", "type_id")
+    """(request_id, position, type_id) of labels whose type is not in the catalog (type_id)."""
+    return join_written(labels, types.select("type_id").distinct(), "type_id", "left_anti").select("request_id", "position", "type_id")
 
 
 def results_in_order(labels: DataFrame, collation: str | None = None) -> DataFrame:

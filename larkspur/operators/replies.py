@@ -193,7 +193,8 @@ def run_labeller(requests: DataFrame, label: Callable[[pd.DataFrame], pd.DataFra
 
     ``label`` takes some requests and returns (request_id, output). If it raises, each of them is given to it alone, up to
     ``attempts`` times in all; one that fails to the last is a row with LABELLER_FAILED and what was raised, and costs no other.
-    A request without an output has NO_OUTPUT, one with several REPEATED_OUTPUT. Written, so that nothing is asked twice.
+    A request without an output has NO_OUTPUT, one with several REPEATED_OUTPUT. Written, so that reading the answers asks nothing
+    again; only a task that is lost and run anew does.
     """
 
     def ask(part: pd.DataFrame, attempt: int) -> list[tuple]:

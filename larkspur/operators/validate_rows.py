@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import is_blank, rank_value
-from larkspur.operators.joins import join_written
+from larkspur.operators.joins import join_written, small
 from larkspur.schemas import READY_ROWS, SOURCE_CAP
 
 
@@ -60,8 +60,8 @@ def union_packs(*packs: DataFrame) -> DataFrame:
 
 
 def every_pair(products: DataFrame, names: DataFrame, key: str) -> DataFrame:
-    """Each product with each id of a catalog, which is a few rows: products are many, catalogs are not."""
-    return products.select("product_id").crossJoin(F.broadcast(names.select(key)))
+    """Each product with each id of a catalog; that is broadcast if it is small."""
+    return products.select("product_id").crossJoin(small(names.select(key)))
 
 
 def known_products(rows: DataFrame, products: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def exclusion_counts(judged: DataFrame) -> DataFrame:
 def densify_sources(products: DataFrame, kinds: DataFrame, counts: DataFrame) -> DataFrame:
     """A source row for every product and kind; one without rows is missing. counts: (product_id, kind, used_rows)."""
     n = F.coalesce("used_rows", F.lit(0)).cast("long")
-    dense = products.select("product_id").crossJoin(F.broadcast(kinds)).join(counts, ["product_id", "kind"], "left")
+    dense = products.select("product_id").crossJoin(small(kinds)).join(counts, ["product_id", "kind"], "left")
     return dense.select(F.concat_ws(":", "product_id", "kind").alias("source_id"), "product_id", "kind", n.alias("used_rows"), status_of(n).alias("status"))
 
 

@@ -395,11 +395,13 @@ query("skipped_files", f"WITH {INVENTORY} SELECT id, p || '.exe' AS path, 'UNSUP
 query("markdown_islands", "SELECT source || ':' || lang AS doc, doc_id AS k, md5(text) AS name, source || ' ' || lang AS heading FROM documents")(
     lambda s, d: FI.markdown_tables(B.markdown_docs(s, d)).where("row_no > 0").select("doc", F.get("cells", F.lit(0)).cast("long").alias("k"), F.get("cells", F.lit(1)).alias("name"), F.col("name").alias("heading"))
 )
-DOCS = "(SELECT doc_id, md5(text) AS m FROM documents)"
+#: A document's whole text as a cell: on one line, without the marks of Markdown and entities, between two letters.
+MARKS = "[\\n\\r|\\\\*_`&<>]"
+DOCS = f"(SELECT doc_id, 't' || regexp_replace(text, '{MARKS}', ' ', 'g') || 't' AS m FROM documents)"
 
 
 def md(s, d):
-    return B.table(s, d, "documents").select("doc_id", F.md5("text").alias("m"))
+    return B.table(s, d, "documents").select("doc_id", F.concat(F.lit("t"), F.regexp_replace("text", MARKS, " "), F.lit("t")).alias("m"))
 
 
 query("split_md_row", f"SELECT doc_id, [m, 'a|b', ''] AS cells FROM {DOCS}")(lambda s, d: md(s, d).select("doc_id", M.split_row(F.concat(F.lit(" | "), "m", F.lit(r" | a\|b | | "))).alias("cells")))

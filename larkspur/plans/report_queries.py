@@ -264,15 +264,15 @@ def miscited(r):
 CODES = ("MISSING_ACTION_FINDING", "MISSING_ACTION_EVIDENCE", "UNKNOWN_FINDING", "UNKNOWN_EVIDENCE", "EVIDENCE_NOT_IN_FINDING", "REASON_FINDING_MISMATCH", "REASON_EVIDENCE_MISMATCH")
 
 
-@query("v22_v30_action_checks", "SELECT CASE k % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES)) + """ END AS code, CAST(k AS VARCHAR) AS object_id FROM (SELECT n_nationkey AS k FROM nation) WHERE k % 8 < 7
-  UNION ALL SELECT 'TOO_MANY_ACTIONS', CAST(count(*) AS VARCHAR) FROM nation UNION ALL SELECT 'DUPLICATE_FINDING_ACTION', f FROM (SELECT CASE n_nationkey % 8 WHEN 2 THEN 'F9' ELSE 'F' || n_nationkey END AS f FROM nation WHERE n_nationkey % 8 <> 0) GROUP BY f HAVING count(*) > 1""")
+@query("v22_v30_action_checks", "SELECT CASE k % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES)) + """ END AS code, CAST(k AS VARCHAR) AS object_id FROM (SELECT c_custkey AS k FROM customer) WHERE k % 8 < 7
+  UNION ALL SELECT 'TOO_MANY_ACTIONS', CAST(count(*) AS VARCHAR) FROM customer UNION ALL SELECT 'DUPLICATE_FINDING_ACTION', f FROM (SELECT CASE c_custkey % 8 WHEN 2 THEN 'F9' ELSE 'F' || c_custkey END AS f FROM customer WHERE c_custkey % 8 <> 0) GROUP BY f HAVING count(*) > 1""")
 def _(s, d):
-    """One action per nation, each eighth without fault, the others with the fault of their number."""
-    k, m = F.col("n_nationkey"), F.col("n_nationkey") % 8
-    n = B.table(s, d, "nation")
+    """One action per customer, each eighth without fault, the others with the fault of their number."""
+    k, m = F.col("c_custkey"), F.col("c_custkey") % 8
+    n = B.table(s, d, "customer")
     none = F.array().cast("array<string>")
     f = F.concat(F.lit("F"), F.when(m == 2, 9).otherwise(k).cast("string"))
-    e = F.concat(F.lit("AGG-"), F.when(m == 3, "x").when(m == 4, ((k + 1) % 25).cast("string")).otherwise(k.cast("string")))
+    e = F.concat(F.lit("AGG-"), F.when(m == 3, "x").when(m == 4, (k - 1).cast("string")).otherwise(k.cast("string")))
     fs, es = F.when(m == 0, none).otherwise(F.array(f)), F.when(m == 1, none).otherwise(F.array(e))
     reason = F.concat(F.when(m == 5, "F77").otherwise(f), F.lit("｜"), F.when(m == 6, "AGG-77").otherwise(e), F.lit("：x"))
     acts = n.select(k.cast("string").alias("action_id"), fs.alias("finding_ids"), es.alias("evidence_ids"), reason.alias("reason"))

@@ -11,6 +11,7 @@ from larkspur.operators import validate_rows as V
 from larkspur.plans import bindings as B
 from larkspur.plans.registry import query
 from larkspur.plans.report import Report
+from larkspur.plans.spill import written
 from larkspur.schemas import KINDS, TOPICS, catalog
 
 RO, PO, TY, AS, QC, PC, TP, GD, DR = B.REVIEWS_ORDERS, B.PRODUCTS_ORDERS, B.PRIORITIES, B.ASSESSMENTS_ORDERS, B.QUESTIONS_CONV, B.PRODUCTS_CONV, B.TOPICS_SQL, B.GRID_DOCS, B.REVIEWS_DOCS
@@ -34,7 +35,7 @@ TSTAT = """tstat AS (
 
 
 def gaps(s, d):
-    return A.type_share_gap(B.reviews_orders(s, d), B.priorities(s, d))
+    return A.type_share_gap(B.reviews_orders(s, d), written(B.priorities(s, d)))
 
 
 def coverage(s, d):

@@ -11,6 +11,7 @@ from larkspur.operators.numbering import numbered
 from larkspur.plans import bindings as B
 from larkspur.plans import review_queries as RQ
 from larkspur.plans.registry import query
+from larkspur.plans.spill import written
 from larkspur.schemas import FINDINGS
 from larkspur.sources import headers as H
 from larkspur.sources import workbooks as W
@@ -134,7 +135,7 @@ query("union_packs", "SELECT product_id, count(*) AS n, count(extra) AS extras F
 query("screenshot_tags_flatten", "SELECT role AS product_id, x AS name, len(x) AS count FROM (SELECT role, unnest(regexp_extract_all(text, '[a-z]+')) AS x FROM conversations)")(
     lambda s, d: R.flatten_tags(B.table(s, d, "conversations").select(F.col("role").alias("product_id"), F.transform(F.regexp_extract_all("text", F.lit("[a-z]+"), 0), lambda x: F.struct(x.alias("name"), F.length(x).cast("long").alias("count"))).alias("tags")))
 )
-query("cross_catalog", f"WITH {B.PRODUCTS_ORDERS}, {B.PRIORITIES} SELECT product_id, type_id FROM products, types")(lambda s, d: V.every_pair(B.products_orders(s, d), B.priorities(s, d), "type_id"))
+query("cross_catalog", f"WITH {B.PRODUCTS_ORDERS}, {B.PRIORITIES} SELECT product_id, type_id FROM products, types")(lambda s, d: V.every_pair(B.products_orders(s, d), written(B.priorities(s, d)), "type_id"))
 
 
 @query("gate_then_write", f"WITH {RQ.DENSE} SELECT source_id, used_rows FROM sources")

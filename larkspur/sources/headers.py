@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import is_blank, normalize_exact, normalize_header, text_value
+from larkspur.operators.joins import join_checked
 from larkspur.operators.numbering import numbered
 
 # Names under which exports have each field.
@@ -38,7 +39,7 @@ def map_headers(headers: DataFrame, aliases: DataFrame, required: list[str], ign
     all, columns without a field, a second column of a field, required fields without a column.
     """
     named = trim_blank_headers(headers.withColumn("name", normalize_header(F.col("name"))))
-    x = named.join(F.broadcast(aliases), "name", "left")
+    x = join_checked(named, aliases, "name", "left")
     x = x.withColumn("n", F.when(F.col("field").isNotNull(), F.row_number().over(Window.partitionBy("source_id", "field").orderBy("col_no"))))
     mapping = x.where("n = 1").select("source_id", "field", "col_no")
     code = F.when(F.col("field").isNull(), "IGNORED_COLUMN" if ignore_unknown else "UNKNOWN_COLUMN").when(F.col("n") > 1, "DUPLICATE_COLUMN")
