@@ -48,13 +48,12 @@ def term_counts(docs: DataFrame, digest: Callable[[bytes], int] | None = digest_
     """(lang, source, digest, n, docs, term) of docs (text, lang, source): rows of two kinds, several for a key where tasks pass on in parts.
 
     Counts: occurrences n and documents of a term's digest, without its text; each group has a row without a digest as well, so
-    that groups without terms are known. Texts: the terms of a language with their digests, no source and no counts, mostly once a task. Without a
+    that groups without terms are known. Texts: the terms of a language with their digests, no source and no counts. Without a
     ``digest`` counts have the term's text instead, and there are no texts.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
-        given_out: dict[str, set[bytes]] = defaultdict(set)
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         size = 0
 
         def batch_of(rows: int, lang: str, **columns) -> pa.RecordBatch:
@@ -67,25 +66,22 @@ def term_counts(docs: DataFrame, digest: Callable[[bytes], int] | None = digest_
         def out():
             digests: dict[str, dict[bytes, int]] = defaultdict(dict)
             for (lang, source), (n, docs) in held.items():
-                own, rows = digests[lang], len(n)
+                own = digests[lang]
                 if digest:
                     new = n.keys() - own.keys()
                     own.update(zip(new, map(digest, new), strict=True))
-                    key = {"digest": longs(map(own.__getitem__, n), rows)}
+                    key = {"digest": longs(map(own.__getitem__, n), len(n))}
                 else:
                     key = {"term": pa.array(n, pa.binary()).view(pa.string())}
+                rows = len(n)
                 yield batch_of(1, lang, source=pa.array([source], pa.string()), n=pa.array([0], pa.int64()), docs=pa.array([0], pa.int64()))
                 yield batch_of(rows, lang, source=pa.repeat(pa.scalar(source, pa.string()), rows), n=longs(n.values(), rows), docs=longs(map(docs.__getitem__, n), rows), **key)
-            if sum(map(len, given_out.values())) > HELD_TERMS:
-                given_out.clear()
             for lang, own in digests.items():
-                new = own.keys() - given_out[lang]
-                given_out[lang] |= new
-                yield batch_of(len(new), lang, digest=longs(map(own.__getitem__, new), len(new)), term=pa.array(new, pa.binary()).view(pa.string()))
+                yield batch_of(len(own), lang, digest=longs(own.values(), len(own)), term=pa.array(own, pa.binary()).view(pa.string()))
 
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                n, docs = held[lang, source]
+                n, docs = held.setdefault((lang, source), (Counter(), Counter()))
                 before, seen = len(n), set()
                 for piece in _pieces(text.as_py().translate(UPPER_TO_LOWER)):
                     terms = _TERM.findall(piece)
@@ -95,8 +91,7 @@ def term_counts(docs: DataFrame, digest: Callable[[bytes], int] | None = digest_
                 size += len(n) - before
                 if size > HELD_TERMS:
                     yield from out()
-                    held.clear()
-                    size = 0
+                    held, size = {}, 0
         yield from out()
 
     given = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
