@@ -25,7 +25,7 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def append_versions(state: DataFrame, version: int, path: str) -> None:
-    """Add rows to the log below ``path`` as one version. A version is a folder, written whole or not at all; writing it again replaces it."""
+    """Add rows to the log below ``path`` as one version: a folder, written by one job; writing it again replaces it."""
     state.select(F.lit(version).cast("long").alias("version"), *COLUMNS).write.mode("overwrite").parquet(f"{path.rstrip('/')}/v={version:010d}")
 
 

@@ -274,7 +274,7 @@ def _(s, d):
     f = F.concat(F.lit("F"), F.when(m == 2, 9).otherwise(k).cast("string"))
     e = F.concat(F.lit("AGG-"), F.when(m == 3, "x").when(m == 4, (k - 1).cast("string")).otherwise(k.cast("string")))
     fs, es = F.when(m == 0, none).otherwise(F.array(f)), F.when(m == 1, none).otherwise(F.array(e))
-    reason = F.concat(F.when(m == 5, "F77").otherwise(f), F.lit("｜"), F.when(m == 6, "AGG-77").otherwise(e), F.lit("：x"))
+    reason = F.concat(F.when(m == 5, "F0").otherwise(f), F.lit("｜"), F.when(m == 6, "AGG-0").otherwise(e), F.lit("：x"))
     acts = n.select(k.cast("string").alias("action_id"), fs.alias("finding_ids"), es.alias("evidence_ids"), reason.alias("reason"))
     found = n.where(k != 9).select(F.concat(F.lit("F"), k).alias("finding_id"), F.array(F.concat(F.lit("AGG-"), k)).alias("evidence_ids"))
     return I.action_checks(acts, found, n.select(F.concat(F.lit("AGG-"), k).alias("evidence_id")))
