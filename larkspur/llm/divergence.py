@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,13 +19,19 @@ from larkspur.llm.common import UPPER_TO_LOWER, drop, join_checked, scratch
 KEEP_DOCS, TOP_TERMS = 3, 200
 #: What a probability of 1 is as an integer.
 SCALE = 1_000_000_000
-#: Distinct terms that a task holds before it passes their counts on; bytes of a text that are split at once.
-HELD_TERMS, PIECE_BYTES = 600_000, 1 << 20
+#: Distinct terms and counts that a task holds before it passes them on; bytes of texts that are split at once.
+HELD_TERMS, HELD_COUNTS, PIECE_BYTES = 600_000, 4_000_000, 4 << 20
 #: Terms of a block and sources of a tile whose pairs one task compares.
 BLOCK_TERMS, TILE_SOURCES = 16_384, 128
 
-_TERM = re.compile(rb"[a-z\x80-\xff]+")
 _NO_TERM = re.compile(rb"[^a-z\x80-\xff]")
+#: 1 where a byte belongs to a term of a text in lower case.
+_IN_TERM = bytes(97) + b"\1" * 26 + bytes(5) + b"\1" * 128
+#: Terms of more bytes are told apart one by one. Bits of a document and of a term in the numbers that are sorted.
+_LONG, _DOC_BITS, _TERM_BITS = 256, 16, 28
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
@@ -44,54 +50,181 @@ def digest_of(term: bytes) -> int:
     return xxhash.xxh64_intdigest(term) - (1 << 63)
 
 
+class _Words:
+    """Eight bytes of a text from any place, as numbers; behind ``left`` bytes zeros, which no term has."""
+
+    def __init__(self, data: bytes):
+        self.words = np.frombuffer(data + bytes(16 + -len(data) % 8), "<u8")
+
+    def at(self, places: np.ndarray, left: np.ndarray) -> np.ndarray:
+        word, shift = places >> 3, ((places & 7) << 3).astype(np.uint64)
+        low = self.words[word] >> shift
+        high = (self.words[word + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+        spare = ((8 - np.minimum(left, 8)) << 3).astype(np.uint64)
+        return (low | high) << spare >> spare
+
+
+def _told_apart(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of its term for each place, a place of each term); terms are equal only if all their bytes are.
+
+    Terms of at most 8 bytes are numbers themselves. Others go by a hash of their words, then each is held against a place of
+    its number; should a hash have two terms, their bytes decide, as for very long terms.
+    """
+    length, words = ends - starts, _Words(data)
+    number = np.empty(len(starts), np.int64)
+    places: list[np.ndarray] = []
+    known = 0
+
+    def numbered(which: np.ndarray, keys) -> np.ndarray:
+        nonlocal known
+        codes, terms = pd.factorize(keys)
+        first = np.empty(len(terms), np.int64)
+        first[codes[::-1]] = which[::-1]
+        number[which] = codes + known
+        places.append(first)
+        known += len(terms)
+        return first[codes]
+
+    short = np.flatnonzero(length <= 8)
+    numbered(short, words.at(starts[short], length[short]))
+    middle = np.flatnonzero((length > 8) & (length <= _LONG))
+    hashed = np.zeros(len(middle), np.uint64)
+    for k in range(0, _LONG, 8):
+        on = np.flatnonzero(length[middle] > k)
+        if not len(on):
+            break
+        at = middle[on]
+        mixed = (hashed[on] ^ words.at(starts[at] + k, length[at] - k)) * _MIX
+        hashed[on] = mixed ^ (mixed >> np.uint64(29))
+    before = known
+    held = numbered(middle, hashed)
+    same = length[middle] == length[held]
+    for k in range(0, _LONG, 8):
+        on = np.flatnonzero(same & (length[middle] > k))
+        if not len(on):
+            break
+        at, by = middle[on], held[on]
+        same[on] = words.at(starts[at] + k, length[at] - k) == words.at(starts[by] + k, length[by] - k)
+    by_bytes = [np.flatnonzero(length > _LONG)]
+    if not same.all():
+        places.pop()
+        known = before
+        by_bytes.append(middle)
+    for which in by_bytes:
+        terms = np.empty(len(which), object)
+        terms[:] = [data[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+        numbered(which, terms)
+    return number, np.concatenate(places)
+
+
+def _added(parts: list[Counts]) -> Counts:
+    """Counts (key, n, docs) with one row a key."""
+    key, n, docs = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], *[np.add.reduceat(c[order], first) if len(first) else c for c in (n, docs)]
+
+
+def _counted(data: bytes, doc_starts: np.ndarray, groups: np.ndarray, ids: dict[bytes, int]) -> Counts:
+    """(group and term in one number, n, docs) of documents that begin at these bytes of a text in lower case; ``ids`` learns new terms."""
+    inside = np.frombuffer(data.translate(_IN_TERM), bool)
+    begins, closes = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    cuts = doc_starts[(doc_starts > 0) & (doc_starts < len(data))]
+    begins[cuts] = inside[cuts]
+    closes[cuts - 1] = inside[cuts - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+    if not len(starts):
+        return tuple(np.empty(0, np.int64) for _ in range(3))
+    number, places = _told_apart(data, starts, ends)
+    terms = [data[a:b] for a, b in zip(starts[places].tolist(), ends[places].tolist(), strict=True)]
+    new = set(terms).difference(ids)
+    ids.update(zip(new, range(len(ids), len(ids) + len(new)), strict=True))
+    term = np.fromiter(map(ids.__getitem__, terms), np.int64, len(terms))[number]
+    doc = np.searchsorted(doc_starts, starts, "right") - 1
+    key = np.sort((groups[doc] << _TERM_BITS | term) << _DOC_BITS | doc)
+    by_doc = np.flatnonzero(np.diff(key, prepend=-1))
+    pair = key[by_doc] >> _DOC_BITS
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    return pair[first], np.diff(by_doc[first], append=len(key)), np.diff(first, append=len(by_doc))
+
+
+def _portions(texts: pa.Array) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """(first text, its pieces or the texts' bytes, where each begins) of consecutive texts of PIECE_BYTES in all, or one longer text."""
+    size = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(texts):
+        below = int(np.searchsorted(np.cumsum(size[at : at + (1 << _DOC_BITS)]), PIECE_BYTES, "right"))
+        many = texts.slice(at, max(below, 1))
+        data = b"".join(many.to_pylist()).translate(UPPER_TO_LOWER)
+        starts = np.concatenate([[0], np.cumsum(size[at : at + len(many) - 1])]).astype(np.int64)
+        yield at, [data] if below else list(_pieces(data)), starts
+        at += len(many)
+
+
 def term_counts(docs: DataFrame, digest: Callable[[bytes], int] | None = digest_of) -> DataFrame:
     """(lang, source, digest, n, docs, term) of docs (text, lang, source): rows of two kinds, several for a key where tasks pass on in parts.
 
     Counts: occurrences n and documents of a term's digest, without its text; each group has a row without a digest as well, so
     that groups without terms are known. Texts: the terms of a language with their digests, no source and no counts. Without a
-    ``digest`` counts have the term's text instead, and there are no texts.
+    ``digest`` counts have the term's text instead, and there are no texts. Within a task terms are numbers that stand for all
+    their bytes, so what one task counts together is one term.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        size = 0
-
-        def batch_of(rows: int, lang: str, **columns) -> pa.RecordBatch:
-            whole = {"lang": pa.repeat(pa.scalar(lang, pa.string()), rows)} | columns
-            return pa.RecordBatch.from_arrays([whole.get(f.name, pa.nulls(rows, f.type)) for f in _COUNTS], schema=_COUNTS)
+        ids: dict[bytes, int] = {}
+        groups: dict[tuple[str, str], int] = {}
+        parts: list[Counts] = []
+        rows, limit = 0, HELD_COUNTS // 2
 
-        def longs(values, rows: int) -> pa.Array:
-            return pa.array(np.fromiter(values, np.int64, rows))
+        def batch_of(size: int, **columns) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _COUNTS], schema=_COUNTS)
 
         def out():
-            digests: dict[str, dict[bytes, int]] = defaultdict(dict)
-            for (lang, source), (n, docs) in held.items():
-                own = digests[lang]
-                if digest:
-                    new = n.keys() - own.keys()
-                    own.update(zip(new, map(digest, new), strict=True))
-                    key = {"digest": longs(map(own.__getitem__, n), len(n))}
-                else:
-                    key = {"term": pa.array(n, pa.binary()).view(pa.string())}
-                rows = len(n)
-                yield batch_of(1, lang, source=pa.array([source], pa.string()), n=pa.array([0], pa.int64()), docs=pa.array([0], pa.int64()))
-                yield batch_of(rows, lang, source=pa.repeat(pa.scalar(source, pa.string()), rows), n=longs(n.values(), rows), docs=longs(map(docs.__getitem__, n), rows), **key)
-            for lang, own in digests.items():
-                yield batch_of(len(own), lang, digest=longs(own.values(), len(own)), term=pa.array(own, pa.binary()).view(pa.string()))
+            if not groups:
+                return
+            langs, sources = (pa.array(x, pa.string()) for x in zip(*groups, strict=True))
+            none = pa.array(np.zeros(len(groups), np.int64))
+            yield batch_of(len(groups), lang=langs, source=sources, n=none, docs=none)
+            if not ids:
+                return
+            key, n, docs = _added(parts)
+            group, term = key >> _TERM_BITS, key & ((1 << _TERM_BITS) - 1)
+            texts = pa.array(ids, pa.binary()).view(pa.string())
+            digests = np.fromiter(map(digest, ids), np.int64, len(ids)) if digest else None
+            for a in range(0, len(key), HELD_TERMS):
+                g, t = group[a : a + HELD_TERMS], term[a : a + HELD_TERMS]
+                name = {"digest": pa.array(digests[t])} if digest else {"term": texts.take(pa.array(t))}
+                yield batch_of(len(g), lang=langs.take(pa.array(g)), source=sources.take(pa.array(g)), n=pa.array(n[a : a + len(g)]), docs=pa.array(docs[a : a + len(g)]), **name)
+            if digest:
+                lang_of, names = pd.factorize(np.array(langs.to_pylist(), object))
+                for lang, name in enumerate(names):
+                    own = np.unique(term[lang_of[group] == lang])
+                    if len(own):
+                        yield batch_of(len(own), lang=pa.repeat(pa.scalar(name, pa.string()), len(own)), digest=pa.array(digests[own]), term=texts.take(pa.array(own)))
 
         for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                before, seen = len(n), set()
-                for piece in _pieces(text.as_py().translate(UPPER_TO_LOWER)):
-                    terms = _TERM.findall(piece)
-                    n.update(terms)
-                    seen.update(terms)
-                docs.update(seen)
-                size += len(n) - before
-                if size > HELD_TERMS:
+            group = [groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            group = np.array(group, np.int64)
+            for at, pieces, starts in _portions(batch.column(2).cast(pa.binary())):
+                counts = [_counted(piece, starts, group[at:], ids) for piece in pieces]
+                if len(counts) > 1:
+                    key, n, _ = _added(counts)
+                    counts = [(key, n, np.ones(len(key), np.int64))]
+                parts += counts
+                rows += len(counts[0][0])
+                if rows > limit:
+                    parts = [_added(parts)]
+                    rows = len(parts[0][0])
+                    limit = max(limit, 2 * rows)
+                if len(ids) > HELD_TERMS or rows > HELD_COUNTS:
                     yield from out()
-                    held, size = {}, 0
+                    ids, parts, rows, limit = {}, [], 0, HELD_COUNTS // 2
+            if len(groups) >= 1 << 18:
+                yield from out()
+                ids, groups, parts, rows, limit = {}, {}, [], 0, HELD_COUNTS // 2
         yield from out()
 
     given = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])

@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -308,6 +309,20 @@ def test_divergence_against_its_definition(spark, digest):
     assert divergence.divergence(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("mix", [divergence._MIX, np.uint64(0)])
+def test_terms_are_told_apart_by_all_their_bytes(monkeypatch, mix):
+    """Terms of any length, with a hash that has all terms of 9 to 256 bytes alike as well."""
+    monkeypatch.setattr(divergence, "_MIX", mix)
+    rng = random.Random(5)
+    terms = ["".join(rng.choices("ab\xe9", k=rng.choice([1, 2, 7, 8, 9, 16, 17, 200, 256, 257, 600]))).encode()[:600] for _ in range(300)]
+    terms += [t[:-1] + b"z" for t in terms] + rng.choices(terms, k=400)
+    data = b" ".join(terms)
+    ends = np.cumsum([len(t) + 1 for t in terms]) - 1
+    starts = ends - np.array([len(t) for t in terms])
+    number, places = divergence._told_apart(data, starts, ends)
+    assert len(places) == len(set(terms)) and [terms[places[i]] for i in number] == terms
+
+
 def test_tiles_blocks_and_parts_of_counts_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(divergence, "TILE_SOURCES", 2)
     monkeypatch.setattr(divergence, "BLOCK_TERMS", 5)
