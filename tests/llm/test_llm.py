@@ -255,6 +255,25 @@ def test_templates_of_a_large_leaf_are_whole(spark):
     assert len(got) == len(texts) and len({got[i] for i in range(12)}) == 1 and len(set(got.values())) == 1501
 
 
+@pytest.mark.parametrize("alike", [0.0, 0.6])
+def test_parts_of_a_leaf_find_the_templates_of_the_whole(spark, alike):
+    """Twelve templates with three variable places among nine, sharing a part of their fixed words: parsed at once and in parts of 60 lines."""
+    r = random.Random(3)
+    words = [f"w{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    base, planted = r.sample(words, 12), {}
+    for form in range(12):
+        own = base[:3] + [b if r.random() < alike else r.choice(words) for b in base[3:]]
+        places = r.sample(range(3, 12), 3)
+        for _ in range(40):
+            planted[" ".join(r.choice(words) if i in places else w for i, w in enumerate(own))] = form
+    lines = sorted(planted)
+    df = spark.createDataFrame([(7, i, t.encode()) for i, t in enumerate(lines)], "leaf long, line long, text binary")
+    whole, parts = ({x.line: x.template for x in line_templates.templates_of(df, parsed=n).collect()} for n in (1 << 20, 60 * 12))
+    for got in (whole, parts):
+        assert len(set(got.values())) == len({(got[i], planted[t]) for i, t in enumerate(lines)}) == 12
+    assert whole == parts
+
+
 # 3 top k
 
 
