@@ -1,5 +1,8 @@
 """Every query of the domain against its SQL on the smallest tables."""
 
+import os
+
+import duckdb
 import pytest
 
 from larkspur.plans.all_queries import ORACLE_SQL, QUERIES
@@ -20,3 +23,23 @@ def test_a_report_with_every_fault(spark):
     found = {r.code for r in QUERIES["validate_report"](spark, LARGER).select("code").distinct().collect()}
     assert len(found) == 30
 
+
+
+@pytest.fixture(scope="module")
+def many_questions(duck, tmp_path_factory):
+    """Tables in which every product has more than 90 questions: conversations thirty times, with shifted ids that keep their product."""
+    folder = tmp_path_factory.mktemp("many")
+    for f in set(os.listdir(LARGER)) - {"conversations.parquet"}:
+        os.symlink(f"{LARGER}/{f}", folder / f)
+    db = duckdb.connect()
+    db.sql(f"COPY (SELECT * REPLACE (conv_id + 1000000 * i AS conv_id) FROM '{LARGER}/conversations.parquet', range(30) t(i)) TO '{folder}/conversations.parquet'")
+    for f in os.listdir(folder):
+        db.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{f}'")
+    duck[str(folder)] = db
+    return str(folder)
+
+
+def test_a_competitor_with_enough_questions_may_be_cited(same, spark, many_questions):
+    """The SQL once took a product to have fewer than 90 questions whatever the tables hold."""
+    same(QUERIES["v18_v21_finding_evidence"], ORACLE_SQL["v18_v21_finding_evidence"], many_questions)
+    assert "INELIGIBLE_COMPETITOR_EVIDENCE" not in {r.code for r in QUERIES["v18_v21_finding_evidence"](spark, many_questions).collect()}
