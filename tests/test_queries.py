@@ -43,3 +43,8 @@ def test_a_competitor_with_enough_questions_may_be_cited(same, spark, many_quest
     """The SQL once took a product to have fewer than 90 questions whatever the tables hold."""
     same(QUERIES["v18_v21_finding_evidence"], ORACLE_SQL["v18_v21_finding_evidence"], many_questions)
     assert "INELIGIBLE_COMPETITOR_EVIDENCE" not in {r.code for r in QUERIES["v18_v21_finding_evidence"](spark, many_questions).collect()}
+
+
+def test_a_report_with_many_questions(same, many_questions):
+    """The SQL of the whole report once took the same."""
+    same(QUERIES["validate_report"], ORACLE_SQL["validate_report"], many_questions)
