@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import is_ascii, normalize_exact
+from larkspur.functions.text import SPACE, is_ascii, normalize_exact
 from larkspur.operators.aggregates import share
 from larkspur.operators.numbering import numbered
 from larkspur.plans.spill import written
@@ -17,11 +23,19 @@ IDS = 1000
 def with_text_key(rows: DataFrame, text: str) -> DataFrame:
     """rows without their text, with ``key``: digest of the text's normal form; written, so that each text is read once.
 
-    Only texts that are not ASCII alone go through the normalisation of Unicode, in Python.
+    Only texts that are not ASCII alone go through the normalisation of Unicode in Python, one at a time; digests come back.
     """
     others = [c for c in rows.columns if c != text]
-    plain, wide = (rows.where(c).select(*others, F.md5(normalize_exact(F.col(text), u)).alias("key")) for c, u in ((is_ascii(F.col(text)), False), (~is_ascii(F.col(text)), True)))
-    return written(plain.unionByName(wide))
+    plain = rows.where(is_ascii(F.col(text))).select(*others, F.md5(normalize_exact(F.col(text), False)).alias("key"))
+    wide = rows.where(~is_ascii(F.col(text))).select(*others, text)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = re.compile(SPACE)
+        for b in batches:
+            keys = [hashlib.md5(space.sub("", unicodedata.normalize("NFKC", t.as_py())).encode()).hexdigest() for t in b.column(len(others))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(keys, pa.string())], [*others, "key"])
+
+    return written(plain.unionByName(wide.mapInArrow(digests, plain.schema)))
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:

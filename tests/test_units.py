@@ -1,5 +1,6 @@
 """Functions and small operators on literal rows."""
 
+import hashlib
 import math
 import os
 import random
@@ -44,6 +45,27 @@ def test_exact_form(spark):
     assert values(spark, ["Ａ b　c", "a﻿b ", "é", None], T.normalize_exact) == ["Abc", "ab", "é", None]
 
 
+def test_text_keys_of_composed_and_wide_texts(spark):
+    texts = ["Ａ b", "A\u3000b", "Ab", "é x", "e\u0301x", "éx", None, "ﬁ", "fi"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
+    got = {r.row_id: r.key for r in dedup.with_text_key(rows, "text").collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert [got[i] for i in range(9)] == [md5("Ab")] * 3 + [md5("éx")] * 3 + [None] + [md5("fi")] * 2
+
+
+def test_no_text_comes_back_from_python_for_its_key(spark, tmp_path):
+    """Texts once went to Python and back as whole batches; only digests come back."""
+    spark.createDataFrame([(1, "é")], "row_id long, text string").write.parquet(str(tmp_path / "t"))
+    seen = []
+    write = dedup.written
+    dedup.written = lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df)
+    try:
+        dedup.with_text_key(spark.read.parquet(str(tmp_path / "t")), "text")
+    finally:
+        dedup.written = write
+    assert "MapInArrow" in seen[0] and "ArrowEvalPython" not in seen[0]
+
+
 def decimal_tenths(x):
     """x times 100 as one rounds the exact value of a double: half away from zero."""
     n = abs(Fraction(x * 100.0)) * 10
