@@ -9,6 +9,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,12 @@ def test_no_text_comes_back_from_python_for_its_key(spark, tmp_path):
     assert "MapInArrow" in seen[0] and "ArrowEvalPython" not in seen[0]
 
 
+def test_compatibility_form_in_slices():
+    texts = [None, "Ａ", "b"] * 50
+    assert T.nfkc.func(pa.array(texts)).to_pylist() == [None, "A", "b"] * 50
+    assert T.nfkc.func(pa.array([], pa.string())).to_pylist() == []
+
+
 def decimal_tenths(x):
     """x times 100 as one rounds the exact value of a double: half away from zero."""
     n = abs(Fraction(x * 100.0)) * 10
