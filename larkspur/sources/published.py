@@ -13,6 +13,9 @@ from larkspur.operators.numbering import numbered
 
 #: How often an append is tried again when others publish at the same time.
 TRIES = 20
+#: Rows that a task of write_dealt() has at least, if there are so many: ranges are found from samples at the driver, a hundred
+#: and more rows a range, so small files are many a task.
+TASK_ROWS = 200_000
 
 
 class Conflict(RuntimeError):
@@ -164,10 +167,10 @@ def write_dealt(rows: DataFrame, path: str, by: str, order: list[str], rows_per_
     """Write a table with a folder for each value of ``by`` and at most ``rows_per_file`` rows a file, in order.
 
     Rows are dealt by ranges of ``by`` and ``order``, so a value that holds most rows is many tasks and files, and small values share
-    tasks. As CSV with a header, every cell quoted and quotes doubled, so that line ends and separators within cells come back.
+    tasks; a task of TASK_ROWS rows writes as many files as it takes. As CSV with a header, every cell quoted and quotes doubled, so that line ends and separators within cells come back.
     """
     n = rows.count()
-    dealt = rows.repartitionByRange(max(1, -(-n // rows_per_file)), by, *order).sortWithinPartitions(by, *order)
+    dealt = rows.repartitionByRange(max(1, -(-n // max(rows_per_file, TASK_ROWS))), by, *order).sortWithinPartitions(by, *order)
     writer = dealt.write.partitionBy(by).option("maxRecordsPerFile", rows_per_file).format(fmt)
     if fmt == "csv":
         writer = writer.options(header=True, quoteAll=True, escape='"', emptyValue="", nullValue="\\N", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

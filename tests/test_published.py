@@ -79,6 +79,16 @@ def test_a_hot_value_is_many_files(spark, tmp_path):
     assert max(r["count"] for r in sizes) <= 500 and sum(r["product"] == "hot/ product" for r in sizes) >= 8
 
 
+def test_small_files_do_not_make_many_tasks(spark, tmp_path):
+    """There was once a range, and samples of it at the driver, for each file."""
+    rows = spark.range(20_000).select(F.lit("a").alias("product"), F.col("id").alias("rank"))
+    P.write_dealt(rows, str(tmp_path / "t"), "product", ["rank"], rows_per_file=100)
+    names = os.listdir(tmp_path / "t" / "product=a")
+    parts = {n.split("-")[1] for n in names if n.startswith("part-")}
+    assert len([n for n in names if n.startswith("part-")]) == 200 and len(parts) == 1
+    assert P.read_dealt(spark, str(tmp_path / "t"), rows.schema).count() == 20_000
+
+
 def test_joins_are_measured(spark):
     left, right = spark.range(100).withColumn("k", F.col("id") % 5), spark.range(5).select(F.col("id").alias("k"), F.array(F.struct(F.lit("x").alias("a"))).alias("nested"))
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
