@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,14 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 _WORD_AND_MARKS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]+)")
-_LETTERS = re.compile(rb"[a-z]+")
+#: Letters that need no normal form and have one small letter each; signs of a tokenizer's bytes.
+_LATIN = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = dict(zip(sorted(set(range(256)) - set(_PLAIN)), range(256, 512)))
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds(dict):
@@ -42,23 +50,26 @@ class WordIds(dict):
         self.old: dict[bytes, bytes] = {}
 
     def ids_of(self, word: bytes) -> bytes:
-        if _LETTERS.fullmatch(word):
-            return np.array([t.id for t in self.letters(word.decode())], "<u4").tobytes()
+        if word.isalpha() and word.islower():
+            return packed([t.id for t in self.letters(word.decode())])
         parts = _WORD_AND_MARKS.fullmatch(word)
         if parts and parts[1].decode()[-1].isalpha():
             return self[parts[1]] + self[parts[2]]
-        return np.array(self.tokenizer.encode_batch_fast([word.decode()], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        text = word.decode()
+        if _LATIN.fullmatch(text):
+            return packed([t.id for t in self.letters(text.lower().encode().decode("latin-1").translate(_BYTE_LEVEL))])
+        return packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        packed = self.old.get(word)
-        if packed is None:
-            packed = self.ids_of(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.ids_of(word)
         if len(word) <= CACHE_WORD_BYTES:
             if len(self) >= CACHE_WORDS:
                 self.old = dict(self)
                 self.clear()
-            self[word] = packed
-        return packed
+            self[word] = ids
+        return ids
 
     def of(self, text: str | None) -> bytes:
         data = (text or "").encode()
